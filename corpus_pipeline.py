@@ -17,11 +17,11 @@ from lakeloom.llm import langcrf, linedup, minhash, mix, packing
 from lakeloom.llm.common import shared_dir
 from lakeloom.llm.queries import tokenizer_path
 
-LEAST_LANGUAGE_SCORE = 0.5
+LEAST_LANGUAGE_SCORE = 0.3
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a language, or in which no language has half of the words' weight."""
+    """Rejects documents without a language, or in which no language has a share of 0.3 of the words."""
     model = langcrf.train_on(docs)
     labelled = langcrf.identify_languages(spark, docs, model, carry=tuple(docs.columns))
     return labelled.filter((F.col("lang_pred") != langcrf.NO_LANGUAGE) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
