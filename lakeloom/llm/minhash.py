@@ -171,7 +171,7 @@ class NearDuplicates:
         self.shingle, self.percent, self.bands, self.rows, self.rounds, self.seed = shingle, percent, bands, rows, rounds, seed
 
     def _heads(self) -> DataFrame:
-        """One row for each class of equal word sequences: node (a dense-free 64-bit id), head, size, signature, bands."""
+        """One row for each class of equal word sequences: node (the class), head (its smallest doc_id), size, signature, bands."""
         id_type = self.docs.schema["doc_id"].dataType.simpleString()
         sketch = self.docs.mapInArrow(_sketch(self.shingle, self.bands, self.rows, self.seed), f"doc_id {id_type}, class binary, n_shingles long, signature binary, bands array<long>")
         self.sketches = self.scratch.save(sketch, "sketches")
@@ -184,34 +184,10 @@ class NearDuplicates:
         shared = each.groupBy("band", "key").agg(F.count("*").alias("m")).filter("m > 1").select("band", "key")
         return self.scratch.save(each.join(shared, ["band", "key"]).select("band", "key", "node", "n"), "members")
 
-    def _confirmed(self, pairs: DataFrame, heads: DataFrame, name: str) -> DataFrame:
-        """The pairs (a, b) that the lengths, the signatures and then the full sets confirm."""
-        pairs = pairs.filter(f"100 * least(na, nb) >= {self.percent} * greatest(na, nb)").select("a", "b").distinct()
-        width = self.bands * self.rows
-        t = self.percent / 100
-        least = width * t - 6 * (width * t * (1 - t)) ** 0.5
-        signed = heads.select("node", "signature", "head")
-        pairs = pairs.join(signed.withColumnsRenamed({"node": "a", "signature": "sa", "head": "ha"}), "a").join(signed.withColumnsRenamed({"node": "b", "signature": "sb", "head": "hb"}), "b")
-
-        def agree(batches):
-            import pyarrow as pa
-
-            for batch in batches:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, width) for c in ("sa", "sb"))
-                yield batch.select(["a", "ha", "b", "hb"]).filter(pa.array((x == y).sum(1) >= least))
-
-        id_type = heads.schema["head"].dataType.simpleString()
-        likely = self.scratch.save(pairs.mapInArrow(agree, f"a binary, ha {id_type}, b binary, hb {id_type}"), f"likely-{name}")
-        wanted = likely.select(F.col("a").alias("node"), F.col("ha").alias("head")).union(likely.select("b", "hb")).distinct()
-        keyed = self.docs.select("doc_id", "text").join(wanted.select("head").distinct(), F.col("doc_id").eqNullSafe(F.col("head")), "left_semi")
-        texts = self.scratch.save(self._texts_of(keyed, wanted), f"texts-{name}")
-        full = likely.select("a", "b").join(texts.withColumnsRenamed({"node": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b")
-        done = self.scratch.save(full.mapInArrow(_verify(self.shingle, self.percent), "a binary, b binary"), f"links-{name}")
-        self.scratch.drop(f"likely-{name}", f"texts-{name}")
-        return done
-
-    def _texts_of(self, docs: DataFrame, wanted: DataFrame) -> DataFrame:
-        """(node, text): one text of each wanted class. Rows that share a doc_id are told apart by their class."""
+    def _texts(self, heads: DataFrame, members: DataFrame) -> DataFrame:
+        """(node, text): one text of each class that has a bucket in common with another, found once for all rounds.
+        Rows that share a doc_id are told apart by their class."""
+        wanted = members.select("node").distinct().join(heads.select("node", "head"), "node")
 
         def classify(batches):
             import pyarrow as pa
@@ -223,23 +199,47 @@ class NearDuplicates:
                     first, last = find_words(buffer)
                     words, at = hash_words(buffer, first, last), spans_of(starts, first)
                     keys.extend(hashlib.blake2b(words[at[d] : at[d + 1]].tobytes(), digest_size=16).digest() for d in range(k))
-                yield pa.RecordBatch.from_pydict({"node": pa.array(keys, pa.binary()), "text": batch.column("text")})
+                same = pa.array([x == y for x, y in zip(keys, batch.column("node").to_pylist(), strict=True)], pa.bool_())
+                yield batch.select(["node", "text"]).filter(same)
+
+        named = self.docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("head"))).select("node", "text")
+        return self.scratch.save(named.mapInArrow(classify, "node binary, text string").dropDuplicates(["node"]), "texts")
 
-        named = docs.select("text").mapInArrow(classify, "node binary, text string")
-        return named.join(wanted.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    def _confirmed(self, pairs: DataFrame, signed: DataFrame, texts: DataFrame, name: str) -> DataFrame:
+        """The pairs (a, b) that the lengths, the signatures and then the full sets confirm."""
+        pairs = pairs.filter(f"100 * least(na, nb) >= {self.percent} * greatest(na, nb)").select("a", "b").distinct()
+        width = self.bands * self.rows
+        t = self.percent / 100
+        least = width * t - 6 * (width * t * (1 - t)) ** 0.5
+        pairs = pairs.join(signed.withColumnsRenamed({"node": "a", "signature": "sa"}), "a").join(signed.withColumnsRenamed({"node": "b", "signature": "sb"}), "b")
+
+        def agree(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, width) for c in ("sa", "sb"))
+                yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= least))
+
+        likely = pairs.mapInArrow(agree, "a binary, b binary")
+        full = likely.join(texts.withColumnsRenamed({"node": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b")
+        return self.scratch.save(full.mapInArrow(_verify(self.shingle, self.percent), "a binary, b binary"), f"links-{name}")
 
     def links(self) -> tuple[DataFrame, DataFrame]:
         """Confirmed links (a, b) that span every component, and the classes."""
         heads = self._heads()
         members = self._members(heads)
+        texts = self._texts(heads, members)
+        signed = heads.select("node", "signature")
         found: list[DataFrame] = []
-        roots = None
+        self.roots = None
         for i in range(self.rounds + 1):
-            now = members.withColumn("root", F.col("node")) if roots is None else members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            if i:
-                now = self.scratch.save(now, f"rooted-{i}")
+            now = members.withColumn("root", F.col("node"))
+            if self.roots is not None:
+                now = members.join(self.roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
                 open_ = now.groupBy("band", "key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("band", "key")
-                now = now.join(open_, ["band", "key"], "left_semi")
+                now = self.scratch.save(now.join(open_, ["band", "key"], "left_semi"), f"open-{i}")
+                if now.isEmpty():
+                    break
             if i < self.rounds:
                 order = F.xxhash64("node", "band", F.lit(i))
                 centre = now.groupBy("band", "key").agg(F.min_by(F.struct("node", "n", "root"), order).alias("c"))
@@ -247,20 +247,17 @@ class NearDuplicates:
             else:
                 other = now.withColumnsRenamed({"node": "node2", "n": "n2", "root": "root2"})
                 pairs = now.join(other, ["band", "key"]).filter("node < node2 and root <> root2").filter(f"100 * least(n, n2) >= {self.percent} * greatest(n, n2)").select(F.col("node").alias("a"), F.col("node2").alias("b"), F.col("n").alias("na"), F.col("n2").alias("nb"))
-            tried = self._confirmed(pairs, heads, str(i))
+            tried = self._confirmed(pairs, signed, texts, str(i))
             found.append(tried)
-            if roots is not None and tried.isEmpty():
-                if i == self.rounds:
-                    break
-                continue
-            edges = found[0]
-            for x in found[1:]:
-                edges = edges.union(x)
-            roots = star_components(self.spark, edges.select(F.col("a").alias("u"), F.col("b").alias("v")), self.scratch, f"star-{i}")
+            fresh = tried.select(F.col("a").alias("u"), F.col("b").alias("v"))
+            if self.roots is not None:
+                if tried.isEmpty():
+                    continue
+                fresh = fresh.union(self.roots.filter("node <> root").select("node", "root"))
+            self.roots = star_components(self.spark, fresh, self.scratch, f"star-{i}")
         edges = found[0]
         for x in found[1:]:
             edges = edges.union(x)
-        self.roots = roots
         return edges, heads
 
     def components(self) -> DataFrame:
