@@ -191,7 +191,7 @@ def scalar_restore(code: str, low: Sequence[float], high: Sequence[float]) -> Co
 
 def sign_bits(vector: str, width: int = 64) -> Column:
     """The signs of up to 64 dimensions as one long: bit i is set where x[i] > 0."""
-    bits = F.transform(F.slice(vector, 1, width), lambda x, i: F.when(x > 0, F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+    bits = F.transform(F.slice(vector, 1, width), lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
     return F.aggregate(bits, F.lit(0).cast("long"), lambda s, b: s.bitwiseOR(b))
 
 

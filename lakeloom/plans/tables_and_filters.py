@@ -210,7 +210,7 @@ _PATHS = "p AS (SELECT c_custkey AS id, '/' || r_regionkey || '/' || n_nationkey
 
 
 def _paths(t):
-    n = t.nation.join(t.region, t.nation.n_regionkey == t.region.r_regionkey)
+    n = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
     c = t.customer.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("id"), F.concat(F.lit("/"), F.concat_ws("/", "r_regionkey", "n_nationkey", "c_custkey"), F.lit("/")).alias("path"))
     return c.unionByName(t.nation.select((-F.col("n_nationkey") - 1).cast("long").alias("id"), F.concat(F.lit("/"), F.concat_ws("/", "n_regionkey", "n_nationkey"), F.lit("/")).alias("path")))
 
