@@ -35,7 +35,7 @@ RANK_SHIFT = 51
 
 
 def _words(line: Column) -> Column:
-    return F.filter(F.split(F.lower(line), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(line), r"[\x20\x09-\x0D]+"), "")
 
 
 def _bucket(word: Column) -> Column:
@@ -62,14 +62,14 @@ def line_tokens(line: Column, ranks: list[int], shingle: int) -> Column:
         rank = F.get(table, F.pmod(h, F.lit(BUCKETS)).cast("int"))
         return F.shiftleft(rank, RANK_SHIFT).bitwiseOR(F.shiftrightunsigned(h, 64 - RANK_SHIFT))
 
-    def tokens(keys: Column) -> Column:
-        def one(i: Column) -> Column:
-            part = F.slice(keys, i, shingle)
-            rare = F.shiftleft(F.shiftright(F.array_min(part), RANK_SHIFT), RANK_SHIFT)
-            return rare.bitwiseOR(F.shiftrightunsigned(F.xxhash64(part), 64 - RANK_SHIFT))
+    def one(part: Column) -> Column:
+        rare = F.shiftleft(F.shiftright(F.array_min(part), RANK_SHIFT), RANK_SHIFT)
+        return rare.bitwiseOR(F.shiftrightunsigned(F.xxhash64(part), 64 - RANK_SHIFT))
 
+    def tokens(keys: Column) -> Column:
         places = F.sequence(F.lit(1), F.greatest(F.size(keys) - (shingle - 1), F.lit(1)))
-        return F.when(F.size(keys) > 0, F.sort_array(F.array_distinct(F.transform(places, one)))).otherwise(F.array().cast("array<bigint>"))
+        parts = F.transform(places, lambda i: F.slice(keys, i, shingle))
+        return F.when(F.size(keys) > 0, F.sort_array(F.array_distinct(F.transform(parts, one)))).otherwise(F.array().cast("array<bigint>"))
 
     # a one-element list binds the keys once for all places
     keys = F.transform(_words(line), word_key)
@@ -87,7 +87,9 @@ class LineJoin:
     def _lines(self) -> DataFrame:
         """doc_id, th (hash of the text), line, class, n, prefix of each line with words."""
         each = self.docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("line", "s"))
-        sets = each.select("doc_id", "th", "line", line_tokens(F.col("s"), self.ranks, self.shingle).alias("tokens")).filter(F.size("tokens") > 0)
+        # the filter is on the text: one on the tokens would be pushed below, and make them twice
+        each = each.filter(F.col("s").rlike(r"[^\x20\x09-\x0D]"))
+        sets = each.select("doc_id", "th", "line", line_tokens(F.col("s"), self.ranks, self.shingle).alias("tokens"))
         n = F.size("tokens")
         prefix = F.slice("tokens", 1, (n - F.floor((n * self.percent + 99) / 100) + 1).cast("int"))
         return self.scratch.save(sets.select("doc_id", "th", "line", F.xxhash64("tokens").alias("class"), n.alias("n"), prefix.alias("prefix")), "lines")
@@ -95,18 +97,24 @@ class LineJoin:
     def _postings(self, lines: DataFrame) -> DataFrame:
         """token, class, n, i (place in the prefix), at (the class's first line), head (the list's first class), of tokens that several classes post."""
         each = lines.select("doc_id", "line", "class", "n", F.posexplode("prefix").alias("i", "token")).repartition("token")
+        # plain longs only here: they are summed by hash, and most tokens end here
+        several = each.groupBy("token").agg(F.min("class").alias("x"), F.max("class").alias("y")).filter("x <> y").select("token")
+        shared = self.scratch.save(each.join(several.hint("shuffle_hash"), "token"), "shared")
         at = F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id", "line")
-        lists = each.groupBy("token").agg(F.min(F.struct(at.alias("at"), "class", "n")).alias("head"), F.min("class").alias("x"), F.max("class").alias("y")).filter("x <> y").select("token", "head")
-        both = each.join(lists.hint("shuffle_hash"), "token")
-        return self.scratch.save(both.groupBy("token", "class").agg(F.min(at).alias("at"), F.first("n").alias("n"), F.first("i").alias("i"), F.first("head").alias("head")), "postings")
+        posts = shared.groupBy("token", "class").agg(F.min(at).alias("at"), F.first("n").alias("n"), F.first("i").alias("i"))
+        posts = self.scratch.save(posts, "posts")
+        heads = posts.groupBy("token").agg(F.min(F.struct("at", "class", "n")).alias("head"))
+        self.scratch.drop("shared")
+        return self.scratch.save(posts.join(heads, "token"), "postings")
 
     def _sets(self, postings: DataFrame) -> DataFrame:
         """class, tokens of every posted class, made again from the text of its first line."""
         places = postings.groupBy("class").agg(F.min("at").alias("at")).select("class", "at.doc_id", "at.line")
         wanted = places.groupBy("doc_id").agg(F.collect_list(F.struct("line", "class")).alias("wanted")).withColumnRenamed("doc_id", "d")
         found = self.docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("d")))
-        found = found.select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w")).select(F.col("w.class").alias("class"), F.get("lines", F.col("w.line")).alias("s")).filter("s is not null")
-        sets = found.select("class", line_tokens(F.col("s"), self.ranks, self.shingle).alias("tokens")).filter(F.xxhash64("tokens") == F.col("class"))
+        pick = lambda lines: F.transform("wanted", lambda w: F.struct(w["class"].alias("class"), F.get(lines, w["line"]).alias("s")))
+        found = found.select(F.explode(F.get(F.transform(F.array(F.split("text", "\n")), pick), F.lit(0))).alias("w")).select("w.class", "w.s").filter("s is not null")
+        sets = self.scratch.save(found.select("class", line_tokens(F.col("s"), self.ranks, self.shingle).alias("tokens")), "found").filter(F.xxhash64("tokens") == F.col("class"))
         return self.scratch.save(sets.dropDuplicates(["class"]), "sets")
 
     def _fits(self) -> Column:
@@ -140,8 +148,11 @@ class LineJoin:
         lines, found = self.matches()
         at = F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id", "line")
         late = found.select("class").distinct().withColumn("late", F.lit(True))
-        classes = lines.groupBy("class").agg(F.min(at).alias("head"), F.max(at).alias("last")).join(late, "class", "left").filter("late or head <> last").select("class", "head", "late")
-        gone = lines.select("doc_id", "th", "line", "class").join(classes, "class").filter(F.coalesce("late", F.lit(False)) | (at != F.col("head")))
+        copied = lines.groupBy("class").agg(F.count("*").alias("copies")).filter("copies > 1").select("class")
+        known = copied.join(late, "class", "full").select("class", F.coalesce("late", F.lit(False)).alias("late"))
+        several = self.scratch.save(lines.select("doc_id", "th", "line", "class").join(known, "class"), "several")
+        heads = several.groupBy("class").agg(F.min(at).alias("head"))
+        gone = several.join(heads, "class").filter(F.col("late") | (at != F.col("head")))
         gone = gone.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("line")).alias("gone"))
         return self.scratch.save(gone, "gone")
 
@@ -154,13 +165,12 @@ def _kept(lines: Column, gone: Column) -> Column:
     return F.array_join(F.zip_with(F.slice(lines, 1, F.size(lines)), F.slice(flags, 1, F.size(lines)), lambda s, f: F.when(F.coalesce(f, F.lit("0")) != "1", s)), "\n")
 
 
-def dedup_lines(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs with their text cut, and n_lines, n_removed."""
+def dedup_lines(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent: int = 80, names: tuple = ("n_lines", "n_removed")) -> DataFrame:
+    """The rows of docs with their text cut, and the numbers of lines and of removed ones under the two names."""
     gone = LineJoin(spark, docs, shingle, percent).removed_lines().withColumnsRenamed({"doc_id": "__d", "th": "__h", "gone": "__gone"})
     both = docs.withColumn("__th", F.xxhash64("text")).join(gone, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__th") == F.col("__h")), "left")
     split = F.split("text", "\n")
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(_kept(split, F.col("__gone")))
     n_lines, n_removed = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(split)), F.coalesce(F.size("__gone"), F.lit(0))
-    rest = [F.col(c) for c in docs.columns if c != "text"]
-    out = both.select(*rest, text.alias("text"), n_lines.cast("long").alias("n_lines"), F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(n_removed).cast("long").alias("n_removed"))
-    return out
+    n_removed = F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(n_removed)
+    return both.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns], n_lines.cast("long").alias(names[0]), n_removed.cast("long").alias(names[1]))
