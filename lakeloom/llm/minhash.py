@@ -278,5 +278,5 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, **options) -> DataFram
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that stand for their group: of rows with one id, the first by text stays."""
-    kept = near_duplicates(spark, docs, **options).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id"])
+    kept = near_duplicates(spark, docs, **options).filter("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi").dropDuplicates(["doc_id"])

@@ -86,17 +86,20 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, **options) -> DataFram
 
     n_chars, where docs has it, follows the text.
     """
-    rest = tuple(c for c in docs.columns if c not in ("doc_id", "source"))
-    mixed = mix_sources(spark, docs.select("doc_id", "source", *rest), carry=rest, **options)
+    names = {c: f"__{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "source")}  # no clash with what the mix adds
+    mixed = mix_sources(spark, docs.select("doc_id", "source", "text", *[F.col(c).alias(n) for c, n in names.items()]), carry=tuple(names.values()), **options)
     whole = F.array_repeat(F.col("size"), F.col("copies").cast("int"))
-    rows = mixed.withColumn("words", F.explode(F.concat(whole, F.when((F.col("part") > 0), F.array("part")).otherwise(F.array().cast("array<bigint>")))))
-    rows = rows.filter("words > 0").withColumn("text", F.when(F.col("words") == F.col("size"), F.col("text")).otherwise(_cut_text()))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("words") == F.col("size"), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return rows.select(*docs.columns)
+    rows = mixed.withColumn("words", F.explode(F.concat(whole, F.when((F.col("part") > 0), F.array("part")).otherwise(F.array().cast("array<bigint>"))))).filter("words > 0")
+    whole_text, text = F.col("words") == F.col("size"), F.col(names["text"])
+    rows = rows.withColumn(names["text"], F.when(whole_text, text).otherwise(_cut_text(names["text"])))
+    if "n_chars" in names:
+        rows = rows.withColumn(names["n_chars"], F.when(whole_text, F.col(names["n_chars"])).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType)))
+    return rows.select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])
 
 
-def _cut_text() -> Column:
+def _cut_text(text: str) -> Column:
+    """The text up to the end of its last taken word."""
+
     @F.pandas_udf("string")
     def cut(text, words):
         import re
@@ -111,4 +114,4 @@ def _cut_text() -> Column:
 
         return pd.Series([one(t, n) if t is not None else None for t, n in zip(text, words, strict=True)])
 
-    return cut(F.col("text"), F.col("words"))
+    return cut(F.col(text), F.col("words"))
