@@ -23,15 +23,15 @@ LEAST_LANGUAGE_SCORE = 0.3
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a language, or in which no language has a share of 0.3 of the words."""
     model = langcrf.train_on(docs)
-    labelled = langcrf.identify_languages(spark, docs, model, carry=tuple(docs.columns))
-    return labelled.filter((F.col("lang_pred") != langcrf.NO_LANGUAGE) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    labelled = langcrf.identify_languages(spark, docs, model, carry=tuple(docs.columns), names=("__lang", "__score"))
+    return labelled.filter((F.col("__lang") != langcrf.NO_LANGUAGE) & (F.col("__score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts later matches of lines out of texts. A document of which no word is left goes."""
-    cut = linedup.dedup_lines(spark, docs).filter("n_removed = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
+    cut = linedup.dedup_lines(spark, docs, names=("__lines", "__removed")).filter("__removed = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        cut = cut.withColumn("n_chars", F.when(F.col("__removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return cut.select(*docs.columns)
 
 
