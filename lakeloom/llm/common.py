@@ -7,6 +7,7 @@ never uses those bytes inside a longer code point.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import tempfile
 import uuid
@@ -47,6 +48,12 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of steps that are done: it does so when the driver's heap is collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser over uint64."""
     x = x ^ (x >> np.uint64(30))

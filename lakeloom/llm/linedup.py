@@ -5,18 +5,19 @@ words), after lower-casing; it goes if an earlier line, by (doc_id, line number)
 similarity of ``percent`` or more with it. Matches are judged on the input, not on what is left.
 
 1. *Rarity.* All words are counted into 4096 hash buckets. A phrase is as rare as its rarest
-   word's bucket; phrases are ordered by that, then by hash. A token is one long that starts with
-   the rarity, so that sorting tokens sorts by rarity.
+   word's bucket; phrases are ordered by that, ties by intrinsic properties of the phrase.
 2. *Prefix filter.* Two sets that match share a token among the first n - ceil(t n) + 1 of each.
-   Only those are posted. Lines of the same set are one class, and tokens that one class alone
-   posts are dropped.
+   Only those are posted (n is taken as the number of phrases with repeats, which posts a few
+   more). Lines of the same words are one class; tokens that one class alone posts are dropped.
 3. *First round.* In each token's list every class is tried against the earliest line only.
    Most lines that go, go here: a group of copies costs as much as it has members.
 4. *Second round.* Lines that are still there are tried against every earlier class of their
-   lists, by length filter and positional filter. So no match is lost.
+   lists. So no match is lost. Lines before the line tried are the only ones that count
+   (positional filter on the list), and only lengths that fit are compared (length filter).
 5. Candidates are verified on their whole token sets.
 
-The order of tokens only affects work, not results. Sets are compared by 63-bit token hashes.
+The order of tokens only affects work, not results. Sets are compared by 64-bit token hashes, classes by
+64-bit hashes of their words.
 
 Defined results: null text has no lines; lines without words stay; a text's last line may lack
 its newline; rows that share a doc_id share their places (equal lines at the same place stay);
@@ -28,10 +29,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import Scratch
+from lakeloom.llm.common import Scratch, release
 
 BUCKETS = 4096
-RANK_SHIFT = 51
+PLACE_BITS = 20
 
 
 def _words(line: Column) -> Column:
@@ -53,27 +54,67 @@ def word_ranks(docs: DataFrame) -> list[int]:
     return ranks
 
 
-def line_tokens(line: Column, ranks: list[int], shingle: int) -> Column:
-    """The line's tokens, distinct, the rarest first; empty for a line without words."""
-    table = F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")
+def _bind(value: Column, body) -> Column:
+    """body(value) with the value made once: inside a function of elements it would be made for each of them."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    def word_key(w: Column) -> Column:
-        h = F.xxhash64(w)
-        rank = F.get(table, F.pmod(h, F.lit(BUCKETS)).cast("int"))
-        return F.shiftleft(rank, RANK_SHIFT).bitwiseOR(F.shiftrightunsigned(h, 64 - RANK_SHIFT))
 
-    def one(part: Column) -> Column:
-        rare = F.shiftleft(F.shiftright(F.array_min(part), RANK_SHIFT), RANK_SHIFT)
-        return rare.bitwiseOR(F.shiftrightunsigned(F.xxhash64(part), 64 - RANK_SHIFT))
+def _shingle(words: Column, start: Column, shingle: int) -> Column:
+    return F.xxhash64(F.slice(words, start + 1, shingle))
 
-    def tokens(keys: Column) -> Column:
-        places = F.sequence(F.lit(1), F.greatest(F.size(keys) - (shingle - 1), F.lit(1)))
-        parts = F.transform(places, lambda i: F.slice(keys, i, shingle))
-        return F.when(F.size(keys) > 0, F.sort_array(F.array_distinct(F.transform(parts, one)))).otherwise(F.array().cast("array<bigint>"))
 
-    # a one-element list binds the keys once for all places
-    keys = F.transform(_words(line), word_key)
-    return F.get(F.transform(F.array(keys), tokens), F.lit(0))
+def line_tokens(line: Column, shingle: int) -> Column:
+    """The hashes of all of a line's distinct phrases; empty for a line without words."""
+
+    def tokens(words: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(words) - shingle, F.lit(0)))
+        return F.when(F.size(words) > 0, F.array_distinct(F.transform(starts, lambda i: _shingle(words, i, shingle)))).otherwise(F.array().cast("array<bigint>"))
+
+    return _bind(_words(line), tokens)
+
+
+def line_prefix(words: Column, ranks: list[int], shingle: int, percent: int) -> Column:
+    """The line's rarest phrases, one more than may be missing from a match.
+
+    A word's key is its bucket's rank and 31 bits of hash. Phrases are ordered by the key of their
+    rarest word, then by how late that word stands in them, then by hash. Mostly the rarest words
+    of a line occur once in it; then the first phrases are those around these words, and no other
+    phrase is made. Otherwise all phrases are made and sorted.
+    """
+    table = F.split(F.lit(",".join(str(r << 51) for r in ranks)), ",").cast("array<bigint>")
+    last = F.size(words) - shingle  # the last start, negative for short lines
+    wanted = F.greatest(last + 1 - F.floor((F.greatest(last + 1, F.lit(1)) * percent + 99) / 100) + 1, F.lit(1)).cast("int")
+    most = F.least((wanted / shingle).cast("int") + 2, F.size(words))
+
+    def place_key(w: Column, i: Column) -> Column:
+        return _bind(F.xxhash64(w), lambda h: F.get(table, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")) + F.shiftrightunsigned(h, 33) * (1 << PLACE_BITS) + i)
+
+    def near(keys: Column) -> Column:
+        rarest = F.slice(keys, 1, most + 1)
+        once = F.size(F.array_distinct(F.transform(rarest, lambda k: F.shiftright(k, PLACE_BITS)))) == F.size(rarest)
+
+        def starts(k: Column) -> Column:
+            place = k.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
+            return F.sequence(F.greatest(place - (shingle - 1), F.lit(0)), F.least(place, F.greatest(last, F.lit(0))))
+
+        around = F.array_distinct(F.flatten(F.transform(F.slice(keys, 1, most), starts)))
+        fine = lambda found: F.when(once & (F.size(found) >= wanted), F.transform(F.slice(found, 1, wanted), lambda i: _shingle(words, i, shingle)))
+        return _bind(around, fine)
+
+    def sorted_all(keys: Column) -> Column:
+        def one(i: Column) -> Column:
+            part = F.slice(keys, i + 1, shingle)
+            return F.struct(F.array_min(part).alias("rare"), (-F.array_position(part, F.array_min(part))).alias("late"), _shingle(words, i, shingle).alias("token"))
+
+        every = F.sort_array(F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), one))
+        return F.slice(F.array_distinct(F.transform(every, lambda x: x["token"])), 1, wanted)
+
+    def plain_key(w: Column) -> Column:
+        return _bind(F.xxhash64(w), lambda h: F.shiftright(F.get(table, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), PLACE_BITS) + F.shiftrightunsigned(h, 33))
+
+    fast = F.when((last >= 0) & (F.size(words) < (1 << PLACE_BITS)), _bind(F.sort_array(F.transform(words, place_key)), near))
+    short = F.when(last < 0, F.array(F.xxhash64(words)))
+    return F.coalesce(short, fast, _bind(F.transform(words, plain_key), sorted_all))
 
 
 class LineJoin:
@@ -87,23 +128,19 @@ class LineJoin:
     def _lines(self) -> DataFrame:
         """doc_id, th (hash of the text), line, class, n, prefix of each line with words."""
         each = self.docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("line", "s"))
-        # the filter is on the text: one on the tokens would be pushed below, and make them twice
         each = each.filter(F.col("s").rlike(r"[^\x20\x09-\x0D]"))
-        sets = each.select("doc_id", "th", "line", line_tokens(F.col("s"), self.ranks, self.shingle).alias("tokens"))
-        n = F.size("tokens")
-        prefix = F.slice("tokens", 1, (n - F.floor((n * self.percent + 99) / 100) + 1).cast("int"))
-        return self.scratch.save(sets.select("doc_id", "th", "line", F.xxhash64("tokens").alias("class"), n.alias("n"), prefix.alias("prefix")), "lines")
+        prefix = _bind(_words(F.col("s")), lambda w: F.struct(F.xxhash64(w).alias("class"), line_prefix(w, self.ranks, self.shingle, self.percent).alias("prefix")))
+        return self.scratch.save(each.select("doc_id", "th", "line", prefix.alias("p")).select("doc_id", "th", "line", "p.class", "p.prefix"), "lines")
 
     def _postings(self, lines: DataFrame) -> DataFrame:
-        """token, class, n, i (place in the prefix), at (the class's first line), head (the list's first class), of tokens that several classes post."""
-        each = lines.select("doc_id", "line", "class", "n", F.posexplode("prefix").alias("i", "token")).repartition("token")
+        """token, class, at (the class's first line), head (the list's first class), of tokens that several classes post."""
+        each = lines.select("doc_id", "line", "class", F.explode("prefix").alias("token")).repartition("token")
         # plain longs only here: they are summed by hash, and most tokens end here
         several = each.groupBy("token").agg(F.min("class").alias("x"), F.max("class").alias("y")).filter("x <> y").select("token")
         shared = self.scratch.save(each.join(several.hint("shuffle_hash"), "token"), "shared")
         at = F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id", "line")
-        posts = shared.groupBy("token", "class").agg(F.min(at).alias("at"), F.first("n").alias("n"), F.first("i").alias("i"))
-        posts = self.scratch.save(posts, "posts")
-        heads = posts.groupBy("token").agg(F.min(F.struct("at", "class", "n")).alias("head"))
+        posts = self.scratch.save(shared.groupBy("token", "class").agg(F.min(at).alias("at")), "posts")
+        heads = posts.groupBy("token").agg(F.min(F.struct("at", "class")).alias("head"))
         self.scratch.drop("shared")
         return self.scratch.save(posts.join(heads, "token"), "postings")
 
@@ -114,33 +151,34 @@ class LineJoin:
         found = self.docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("d")))
         pick = lambda lines: F.transform("wanted", lambda w: F.struct(w["class"].alias("class"), F.get(lines, w["line"]).alias("s")))
         found = found.select(F.explode(F.get(F.transform(F.array(F.split("text", "\n")), pick), F.lit(0))).alias("w")).select("w.class", "w.s").filter("s is not null")
-        sets = self.scratch.save(found.select("class", line_tokens(F.col("s"), self.ranks, self.shingle).alias("tokens")), "found").filter(F.xxhash64("tokens") == F.col("class"))
-        return self.scratch.save(sets.dropDuplicates(["class"]), "sets")
-
-    def _fits(self) -> Column:
-        return 100 * F.least("n", "m") >= self.percent * F.greatest("n", "m")
+        found = found.filter(F.xxhash64(_words(F.col("s"))) == F.col("class"))  # rows that share a doc_id have other lines at the place
+        sets = found.dropDuplicates(["class"]).select("class", line_tokens(F.col("s"), self.shingle).alias("tokens"))
+        return self.scratch.save(sets.withColumn("n", F.size("tokens")), "sets")
 
     def _verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """class, match of the pairs whose whole sets are similar enough."""
-        pairs = pairs.select("class", "match").distinct()
-        full = pairs.join(sets, "class").join(sets.withColumnsRenamed({"class": "match", "tokens": "others"}), "match")
-        both = F.size(F.array_intersect("tokens", "others"))
-        return full.filter(100 * both >= self.percent * (F.size("tokens") + F.size("others") - both)).select("class", "match")
+        """class, match of the pairs whose whole sets are similar enough. Lengths that cannot fit are left out before sets are compared."""
+        sizes = sets.select("class", "n")
+        pairs = pairs.select("class", "match").distinct().join(sizes, "class").join(sizes.withColumnsRenamed({"class": "match", "n": "m"}), "match")
+        pairs = pairs.filter(100 * F.least("n", "m") >= self.percent * F.greatest("n", "m")).select("class", "match")
+        full = pairs.join(sets.select("class", "tokens"), "class").join(sets.select(F.col("class").alias("match"), F.col("tokens").alias("others")), "match")
+        shared = F.size(F.array_intersect("tokens", "others"))
+        return full.filter(100 * shared >= self.percent * (F.size("tokens") + F.size("others") - shared)).select("class", "match")
 
     def matches(self) -> tuple[DataFrame, DataFrame]:
         """The lines, and (class, match) with an earlier similar class for each class that has one."""
         lines = self._lines()
         postings = self._postings(lines)
+        release(self.spark)
         sets = self._sets(postings)
-        tried = postings.filter(F.col("class") != F.col("head.class")).select("class", F.col("head.class").alias("match"), "n", F.col("head.n").alias("m")).filter(self._fits())
+        release(self.spark)
+        tried = postings.filter(F.col("class") != F.col("head.class")).select("class", F.col("head.class").alias("match"))
         first = self.scratch.save(self._verified(tried, sets), "first")
         left = postings.join(first.select("class").distinct(), "class", "left_anti").filter(F.col("class") != F.col("head.class"))
-        others = postings.select("token", F.col("class").alias("match"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("at").alias("before"))
-        shared = F.floor((self.percent * (F.col("n") + F.col("m")) + 99 + self.percent) / (100 + self.percent))
-        pairs = left.join(others, "token").filter("before < at and match <> head.class").filter(self._fits()).filter(1 + F.least(F.col("n") - F.col("i") - 1, F.col("m") - F.col("j") - 1) >= shared)
+        others = postings.select("token", F.col("class").alias("match"), F.col("at").alias("before"))
+        pairs = left.join(others, "token").filter("before < at and match <> head.class")
         second = self.scratch.save(self._verified(pairs, sets), "second")
         found = first.union(second)
-        self.scratch.drop("postings", "sets")
+        self.scratch.drop("postings", "posts", "sets")
         return lines, found
 
     def removed_lines(self) -> DataFrame:
