@@ -172,6 +172,67 @@ def residuals(data: DataFrame, centres: np.ndarray, vector: str = "embedding") -
     return x.withColumn("residual", F.zip_with(F.col(vector), F.get(book, F.col("cell")), lambda a, b: a.cast("double") - b))
 
 
+def ivf_pq_search(spark: SparkSession, queries: DataFrame, data: DataFrame, cells: int, probes: int, k: int, m: int = 8, codes: int = 16, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """Neighbours by product codes of residuals in the probed cells: a query is coded against each probed cell's centre."""
+    centres = kmeans(data, cells, vector)
+    x = residuals(data.select(key, vector), centres, vector).select(F.col(key).alias("vec_id"), "cell", "residual")
+    pq = ProductQuantizer(m, codes).fit(x, "residual")
+    coded = pq.encode(x, "residual").select("vec_id", "cell", "code")
+    q = assign_cells(queries.select(F.col(key).alias("query_id"), F.col(vector).alias("q")), centres, "q", probes, "cells").select("query_id", "q", F.explode("cells").alias("cell"))
+    book = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in centres])
+    q = q.select("query_id", "cell", F.zip_with("q", F.get(book, F.col("cell")), lambda a, b: a.cast("double") - b).alias("r"))
+
+    @F.pandas_udf("array<array<double>>")
+    def table(r):
+        import pandas as pd
+
+        return pd.Series([pq.tables(np.asarray(v)).tolist() for v in r])
+
+    near = q.select("query_id", "cell", table("r").alias("t"))
+    pairs = coded.join(F.broadcast(near), "cell").filter("query_id <> vec_id")
+    d = F.aggregate(F.zip_with("t", "code", lambda row, c: F.get(row, c.cast("int"))), F.lit(0.0), lambda s, v: s + v)
+    w = Window.partitionBy("query_id").orderBy("distance", "vec_id")
+    return pairs.select("query_id", "vec_id", d.alias("distance")).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def principal_rotation(data: DataFrame, vector: str = "embedding") -> np.ndarray:
+    """A rotation to principal axes, dealt over slices so that each has a like share of variance. Only a d x d matrix comes to the driver."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Summarizer
+
+    x = data.select(array_to_vector(F.col(vector).cast("array<double>")).alias("v"))
+    mean = np.asarray(x.select(Summarizer.mean(F.col("v")).alias("m")).first()["m"].toArray())
+
+    def products(frames):
+        import pandas as pd
+
+        total = np.zeros((len(mean), len(mean)))
+        for f in frames:
+            m = np.asarray(f["x"].tolist(), np.float64).reshape(-1, len(mean)) - mean
+            total += m.T @ m
+        yield pd.DataFrame({"i": np.arange(len(total)), "row": list(total)})
+
+    rows = data.select(F.col(vector).cast("array<double>").alias("x")).mapInPandas(products, "i int, row array<double>")
+    sums = rows.select("i", F.posexplode("row").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v")).collect()
+    n = len(mean)
+    cov = np.zeros((n, n))
+    for r in sums:
+        cov[r["i"], r["j"]] = r["v"]
+    _, axes = np.linalg.eigh(cov)
+    axes = axes[:, ::-1]
+    return np.concatenate([axes[:, i::8] for i in range(8)], axis=1) if n % 8 == 0 else axes
+
+
+def rotate(data: DataFrame, axes: np.ndarray, vector: str = "embedding") -> DataFrame:
+    @F.pandas_udf("array<double>")
+    def turn(v):
+        import pandas as pd
+
+        return pd.Series(list(np.asarray(v.tolist(), np.float64) @ axes))
+
+    return data.withColumn(vector, turn(F.col(vector)))
+
+
 def scalar_ranges(data: DataFrame, vector: str = "embedding") -> tuple[list[float], list[float]]:
     """Least and largest value of each dimension, by aggregation."""
     rows = data.select(F.posexplode(vector).alias("i", "x")).groupBy("i").agg(F.min("x").alias("a"), F.max("x").alias("b")).orderBy("i").collect()
