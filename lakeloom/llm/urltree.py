@@ -78,14 +78,17 @@ class TemplateTree:
         self.strength, self.prior, self.reject = strength, prior, reject
 
     def _generalise(self, paths: DataFrame, level: int) -> DataFrame:
-        """Turns rare children at a level into wildcards. template holds the levels above as they are now."""
-        node = ["host", "__up"]
-        child = F.get("template", F.lit(level))
-        x = paths.withColumn("__up", F.slice("template", 1, level) if level else F.array().cast("array<string>")).withColumn("__c", child)
-        kinds = F.dense_rank().over(Window.partitionBy(*node).orderBy(F.col("__c").asc_nulls_first())) + F.dense_rank().over(Window.partitionBy(*node).orderBy(F.col("__c").desc_nulls_last())) - 1
-        x = x.withColumn("__kinds", kinds).withColumn("__n", F.sum("n").over(Window.partitionBy(*node))).withColumn("__own", F.sum("n").over(Window.partitionBy(*node, "__c")))
-        rare = F.col("__c").isNotNull() & (F.col("__kinds") > self.fanout) & (F.col("__own") < self.least_share * F.col("__n"))
-        return x.withColumn("template", F.when(rare, self._with_star(level)).otherwise(F.col("template"))).drop("__up", "__c", "__kinds", "__n", "__own")
+        """Turns rare children at a level into wildcards. template holds the levels above as they are now.
+
+        Children are counted by aggregation and met again by joins: a host's paths may be as many as its urls here.
+        """
+        up = F.slice("template", 1, level) if level else F.array().cast("array<string>")
+        x = paths.withColumn("__up", up).withColumn("__c", F.get("template", F.lit(level)))
+        kids = x.filter("__c is not null").groupBy("host", "__up", "__c").agg(F.sum("n").alias("__own"))
+        nodes = kids.groupBy("host", "__up").agg(F.count("*").alias("__kinds"), F.sum("__own").alias("__n")).filter(F.col("__kinds") > self.fanout)
+        rare = kids.join(nodes, ["host", "__up"]).filter(F.col("__own") < self.least_share * F.col("__n")).select("host", "__up", "__c", F.lit(True).alias("__rare"))
+        x = x.join(rare, ["host", "__up", "__c"], "left")
+        return x.select(*[c for c in paths.columns if c != "template"], F.when(F.coalesce("__rare", F.lit(False)), self._with_star(level)).otherwise(F.col("template")).alias("template"))
 
     def _with_star(self, level: int) -> Column:
         return F.transform("template", lambda s, i: F.when(i == level, F.lit("*")).otherwise(s))
@@ -112,20 +115,23 @@ class TemplateTree:
         paths = shaped.groupBy("host", "shape").agg(F.count("*").alias("n"), F.count("label").alias("labelled"), F.count(F.when(F.col("label"), 1)).alias("blocked"))
         paths = scratch.save(paths.withColumn("template", F.col("shape")), "shapes")
         for level in range(self.depth):
-            paths = self._generalise(paths, level)
-        paths = scratch.save(paths, "wild")
+            paths = scratch.save(self._generalise(paths, level), f"wild-{level}")
+        # from here on a node has a bounded number of children, so its rows are few whatever the host
+        few = paths.groupBy("host", "template").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
+        few = few.withColumn("wild", F.col("template"))
         for level in range(self.depth):
-            paths = self._merge(paths, level)
-        paths = scratch.save(paths, "merged")
-        levels = paths.select("host", "template", "labelled", "blocked", F.explode(F.sequence(F.lit(0), F.size("template"))).alias("level"))
+            few = self._merge(few, level)
+        few = scratch.save(few, "merged")
+        levels = few.select("host", "template", "labelled", "blocked", F.explode(F.sequence(F.lit(0), F.size("template"))).alias("level"))
         nodes = levels.groupBy("host", F.slice("template", 1, F.col("level")).alias("node"), "level").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
         nodes = scratch.save(nodes, "nodes")
-        whole = paths.select("host", "template").distinct().select("host", "template", F.explode(F.sequence(F.lit(0), F.size("template"))).alias("level"))
+        whole = few.select("host", "template").distinct().select("host", "template", F.explode(F.sequence(F.lit(0), F.size("template"))).alias("level"))
         whole = whole.withColumn("node", F.slice("template", 1, F.col("level"))).join(nodes, ["host", "node", "level"])
         chain = whole.groupBy("host", "template").agg(F.sort_array(F.collect_list(F.struct("level", "l", "b"))).alias("chain"))
         purity = F.aggregate("chain", F.lit(self.prior), lambda p, x: (x["b"] + F.lit(self.strength) * p) / (x["l"] + F.lit(self.strength)))
         scored = chain.select("host", "template", purity.alias("purity"))
-        return scratch.save(paths.select("host", "shape", "template").join(scored, ["host", "template"]), "templates")
+        named = few.select("host", "wild", "template").join(scored, ["host", "template"])
+        return scratch.save(paths.select("host", "shape", F.col("template").alias("wild")).join(named, ["host", "wild"]).select("host", "shape", "template", "purity"), "templates")
 
 
 def filter_urls(spark: SparkSession, pages: DataFrame, rules: list[Rule], tree: TemplateTree | None = None) -> DataFrame:
