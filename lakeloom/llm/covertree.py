@@ -122,7 +122,9 @@ def dual_tree_search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarra
             continue
         if qt.rows[q] is not None and dt.rows[d] is not None:
             a, b = qt.rows[q], dt.rows[d]
-            scores = (queries[a] @ data[b].T if small else queries[a].astype(np.int64).astype(object) @ data[b].T.astype(np.int64).astype(object)).astype(np.int64)
+            scores = queries[a] @ data[b].T if small else queries[a].astype(np.int64).astype(object) @ data[b].T.astype(np.int64).astype(object)
+            scores[query_ids[a][:, None] == ids[b][None]] = 0  # a query is no candidate of its own
+            scores = scores.astype(np.int64)
             for row, query in enumerate(a):
                 fit = (scores[row] >= best.worst[query]) & (ids[b] != query_ids[query])
                 if fit.any():
