@@ -9,11 +9,14 @@ smallest doc_id. Heads get ``bands * rows`` universal hash minima; every band of
 is a bucket key. At the default 32 bands of 4, a pair right at 0.8 shares no bucket with
 probability (1 - 0.8**4)**32 < 5e-8.
 
-No bucket is expanded into its pairs. Pairs are tried in rounds, each with its own choice of a
-bucket's centre: every member not yet in the centre's component is verified against it, and
-components are found again by alternating large-star and small-star. A bucket whose members are
-all in one component is done. What is left after ``rounds`` rounds is pairs of different
-components, and all of those are verified, so the rounds only save work and never lose a link.
+No bucket is expanded into its pairs. Pairs are tried in rounds: every member of a bucket that is
+not in the component of the bucket's centre is verified against it, and components are found
+again by alternating large-star and small-star. The first round's centre is the member whose
+buckets are the largest (in a family of edited copies that is the original), later ones are
+chosen by hash. A bucket whose members are all in one component is done. What is left are pairs
+of different components within open buckets, and all of those are compared: buckets of a few
+members as pairs, larger ones in blocks of bounded size, whose sets are multiplied as matrices
+inside a task so that only links leave it. So the rounds only save work and never lose a link.
 Verification compares lengths, then signatures (a pair is set aside only if its agreement is
 more than six standard deviations below the threshold), then the full sets.
 
@@ -33,6 +36,7 @@ from pyspark.sql import functions as F
 from lakeloom.llm.common import Scratch, find_words, gram_hashes, hash_words, lower_ascii, mix64, spans_of, text_blocks
 
 PRIME = np.uint64((1 << 31) - 1)
+FEW, BLOCK_ROWS, BLOCK_SHINGLES = 4, 400, 250_000
 
 
 def _family(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,22 +109,24 @@ def _sketch(shingle: int, bands: int, rows: int, seed: int):
     return scan
 
 
+def _sets(column, shingle: int):
+    """The sorted phrase hashes of each text."""
+    for _, k, buffer, starts in text_blocks(column):
+        buffer = lower_ascii(buffer)
+        first, last = find_words(buffer)
+        values, begin = shingle_sets(hash_words(buffer, first, last), spans_of(starts, first), shingle)
+        for d in range(k):
+            yield values[begin[d] : begin[d + 1]]
+
+
 def _verify(shingle: int, percent: int):
     """Compares the full sets of each pair's texts; sorted by the first text, so that its set is made once."""
     import pyarrow as pa
 
-    def sets(column):
-        for _, k, buffer, starts in text_blocks(column):
-            buffer = lower_ascii(buffer)
-            first, last = find_words(buffer)
-            values, begin = shingle_sets(hash_words(buffer, first, last), spans_of(starts, first), shingle)
-            for d in range(k):
-                yield values[begin[d] : begin[d + 1]]
-
     def scan(batches):
         for batch in batches:
             keep = []
-            for x, y in zip(sets(batch.column("text_a")), sets(batch.column("text_b")), strict=True):
+            for x, y in zip(_sets(batch.column("text_a"), shingle), _sets(batch.column("text_b"), shingle), strict=True):
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(bool(len(x) and len(y)) and 100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -128,6 +134,45 @@ def _verify(shingle: int, percent: int):
     return scan
 
 
+def _block_links(table, shingle: int, percent: int) -> tuple[list[bytes], list[bytes]]:
+    """Links among the rows of one group that join different components, in the first band only that both rows have in common."""
+    nodes, roots, parts = (table.column(c).to_pylist() for c in ("node", "root", "part"))
+    if len(set(roots)) < 2:
+        return [], []
+    n, band = len(nodes), table.column("band")[0].as_py()
+    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    bands = np.asarray(table.column("bands").to_pylist(), np.int64)
+    _, root = np.unique(np.asarray(roots, object), return_inverse=True)
+    part = np.asarray(parts)
+    order = np.argsort(np.asarray(nodes, object), kind="stable")
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    want = (place[:, None] < place[None]) & (root[:, None] != root[None])
+    if i != j:  # pairs inside a part belong to that part's own group
+        want &= part[:, None] != part[None]
+    for earlier in range(band):
+        want &= bands[:, earlier][:, None] != bands[:, earlier][None]
+    if not want.any():
+        return [], []
+    sets = [values for chunk in table.column("text").chunks for values in _sets(chunk, shingle)]
+    size = np.asarray([len(x) for x in sets])
+    owner, values = np.repeat(np.arange(n), size), np.concatenate(sets)
+    _, column, count = np.unique(values, return_inverse=True, return_counts=True)
+    keep = count[column] > 1  # a phrase of one row is in no intersection
+    names, column = np.unique(column[keep], return_inverse=True)
+    owner, shared = owner[keep], np.zeros((n, n), np.float32)
+    ordered = np.argsort(column, kind="stable")
+    owner, column = owner[ordered], column[ordered]
+    for lo in range(0, len(names), 4096):
+        a, b = np.searchsorted(column, [lo, lo + 4096])
+        dense = np.zeros((n, 4096), np.float32)
+        dense[owner[a:b], column[a:b] - lo] = 1
+        shared += dense @ dense.T
+    linked = want & (100 * shared.astype(np.float64) >= percent * (size[:, None] + size[None] - shared.astype(np.float64)))
+    x, y = np.nonzero(linked)
+    return [nodes[p] for p in x], [nodes[p] for p in y]
+
+
 def large_star(edges: DataFrame) -> DataFrame:
     """edges (u, v). Connects each node's larger neighbours with its smallest neighbour."""
     both = edges.union(edges.select("v", "u"))
@@ -166,7 +211,7 @@ def star_components(spark: SparkSession, edges: DataFrame, scratch: Scratch, nam
 class NearDuplicates:
     """Links and components of one corpus. See the module's text."""
 
-    def __init__(self, spark: SparkSession, docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, rounds: int = 3, seed: int = 7):
+    def __init__(self, spark: SparkSession, docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, rounds: int = 2, seed: int = 7):
         self.spark, self.docs, self.scratch = spark, docs.select("doc_id", "text"), Scratch(spark)
         self.shingle, self.percent, self.bands, self.rows, self.rounds, self.seed = shingle, percent, bands, rows, rounds, seed
 
@@ -179,10 +224,12 @@ class NearDuplicates:
         return self.scratch.save(heads.withColumn("node", F.col("class")), "heads")
 
     def _members(self, heads: DataFrame) -> DataFrame:
-        """(band, key, node, n) of the buckets that have more than one class."""
+        """(band, key, node, n, popular) of the buckets that have more than one class; popular: the sizes of the class's buckets, summed."""
         each = heads.select("node", "n", F.posexplode("bands").alias("band", "key"))
-        shared = each.groupBy("band", "key").agg(F.count("*").alias("m")).filter("m > 1").select("band", "key")
-        return self.scratch.save(each.join(shared, ["band", "key"]).select("band", "key", "node", "n"), "members")
+        shared = each.groupBy("band", "key").agg(F.count("*").alias("m")).filter("m > 1")
+        found = self.scratch.save(each.join(shared, ["band", "key"]).select("band", "key", "node", "n", "m"), "shared")
+        popular = found.groupBy("node").agg(F.sum("m").alias("popular"))
+        return self.scratch.save(found.drop("m").join(popular, "node"), "members")
 
     def _texts(self, heads: DataFrame, members: DataFrame) -> DataFrame:
         """(node, text): one text of each class that has a bucket in common with another, found once for all rounds.
@@ -224,6 +271,25 @@ class NearDuplicates:
         full = likely.join(texts.withColumnsRenamed({"node": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b")
         return self.scratch.save(full.mapInArrow(_verify(self.shingle, self.percent), "a binary, b binary"), f"links-{name}")
 
+    def _in_blocks(self, now: DataFrame, heads: DataFrame, texts: DataFrame) -> DataFrame:
+        """Links between components of large open buckets. A bucket's members are dealt to parts of about BLOCK_ROWS
+        members and BLOCK_SHINGLES phrases; each pair of parts is one group."""
+        parts = F.ceil(F.greatest(F.col("m") / BLOCK_ROWS, F.col("total") / BLOCK_SHINGLES)).cast("int")
+        own = now.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+        dealt = own.select("band", "key", "node", "root", "part", other.alias("other")).withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
+        full = dealt.join(heads.select("node", "bands"), "node").join(texts, "node")
+        shingle, percent = self.shingle, self.percent
+
+        def compare(table):
+            import pyarrow as pa
+
+            a, b = _block_links(table, shingle, percent)
+            return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+        done = full.select("band", "key", "i", "j", "node", "root", "part", "bands", "text").groupBy("band", "key", "i", "j").applyInArrow(compare, "a binary, b binary")
+        return self.scratch.save(done, "links-blocks")
+
     def links(self) -> tuple[DataFrame, DataFrame]:
         """Confirmed links (a, b) that span every component, and the classes."""
         heads = self._heads()
@@ -241,14 +307,20 @@ class NearDuplicates:
                 if now.isEmpty():
                     break
             if i < self.rounds:
-                order = F.xxhash64("node", "band", F.lit(i))
-                centre = now.groupBy("band", "key").agg(F.min_by(F.struct("node", "n", "root"), order).alias("c"))
+                order = F.struct(F.col("popular") if i == 0 else F.lit(0), F.xxhash64("node", "band", F.lit(i)))
+                centre = now.groupBy("band", "key").agg(F.max_by(F.struct("node", "n", "root"), order).alias("c"))
                 pairs = now.join(centre, ["band", "key"]).filter("root <> c.root").select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b"), F.col("n").alias("na"), F.col("c.n").alias("nb"))
             else:
-                other = now.withColumnsRenamed({"node": "node2", "n": "n2", "root": "root2"})
-                pairs = now.join(other, ["band", "key"]).filter("node < node2 and root <> root2").filter(f"100 * least(n, n2) >= {self.percent} * greatest(n, n2)").select(F.col("node").alias("a"), F.col("node2").alias("b"), F.col("n").alias("na"), F.col("n2").alias("nb"))
+                sizes = now.groupBy("band", "key").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
+                now = self.scratch.save(now.join(sizes, ["band", "key"]), "sized")
+                few = now.filter(f"m <= {FEW}")
+                other = few.select("band", "key", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
+                pairs = few.join(other, ["band", "key"]).filter("node < node2 and root <> root2").filter(f"100 * least(n, n2) >= {self.percent} * greatest(n, n2)").select(F.col("node").alias("a"), F.col("node2").alias("b"), F.col("n").alias("na"), F.col("n2").alias("nb"))
+                found.append(self._in_blocks(now.filter(f"m > {FEW}"), heads, texts))
             tried = self._confirmed(pairs, signed, texts, str(i))
             found.append(tried)
+            if i == self.rounds and i:
+                tried = self.scratch.save(tried.union(found[-2]).distinct(), "last")
             fresh = tried.select(F.col("a").alias("u"), F.col("b").alias("v"))
             if self.roots is not None:
                 if tried.isEmpty():
