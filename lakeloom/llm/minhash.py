@@ -211,7 +211,7 @@ def star_components(spark: SparkSession, edges: DataFrame, scratch: Scratch, nam
 class NearDuplicates:
     """Links and components of one corpus. See the module's text."""
 
-    def __init__(self, spark: SparkSession, docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, rounds: int = 2, seed: int = 7):
+    def __init__(self, spark: SparkSession, docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, rounds: int = 1, seed: int = 7):
         self.spark, self.docs, self.scratch = spark, docs.select("doc_id", "text"), Scratch(spark)
         self.shingle, self.percent, self.bands, self.rows, self.rounds, self.seed = shingle, percent, bands, rows, rounds, seed
 
