@@ -31,29 +31,45 @@ from pyspark.sql import types as T
 from lakeloom.llm.common import Scratch
 
 CAPACITY, END = 4096, 1
-CACHE_WORDS = 200_000
+CACHE_WORDS = 500_000
 
 
 class WordTokenizer:
-    """Ids of whole texts by the tokenizer of a file, as little-endian unsigned 32-bit numbers."""
+    """Ids of whole texts by the tokenizer of a file, as little-endian unsigned 32-bit numbers.
+
+    Words are cached in two generations: when the young one is full it becomes the old one, and words that are
+    met again move over, so frequent words stay. A worker process keeps its cache from task to task.
+    """
+
+    of_path: dict[str, WordTokenizer] = {}
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    @classmethod
+    def get(cls, path: str) -> WordTokenizer:
+        if path not in cls.of_path:
+            cls.of_path[path] = cls(path)
+        return cls.of_path[path]
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
+        if len(self.known) > CACHE_WORDS:
+            self.old, self.known = self.known, {}
+        known, old = self.known, self.old
         words = [t.split() for t in texts]  # bytes.split() splits at 0x20 and 0x09-0x0D only
-        new = {w for ws in words for w in ws if w not in self.known}
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known.clear()
-            new = {w for ws in words for w in ws}
-        if new:
-            order = list(new)
-            for w, e in zip(order, self.tokenizer.encode_batch_fast([w.decode() for w in order], add_special_tokens=False), strict=True):
-                self.known[w] = np.asarray(e.ids, "<u4").tobytes()
-        get = self.known.__getitem__
+        order = []
+        for w in set().union(*words).difference(known):
+            if w in old:
+                known[w] = old[w]
+            else:
+                order.append(w)
+        for w, e in zip(order, self.tokenizer.encode_batch_fast([w.decode() for w in order], add_special_tokens=False), strict=True):
+            known[w] = np.asarray(e.ids, "<u4").tobytes()
+        get = known.__getitem__
         return [b"".join(map(get, ws)) for ws in words]
 
 
@@ -66,7 +82,7 @@ def _pieces(path: str, capacity: int, end: int, with_ids: bool):
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        task, tokenizer, seen, rank_of = TaskContext.get().partitionId(), WordTokenizer(path), 0, {}
+        task, tokenizer, seen, rank_of = TaskContext.get().partitionId(), WordTokenizer.get(path), 0, {}
         tail = np.asarray([end], "<u4").tobytes()
         for batch in batches:
             texts = batch.column("text")
