@@ -229,7 +229,7 @@ def training_sample(labelled: DataFrame, docs_per_language: int = 150, sample_ch
     return [(t, lang) for lang in sorted(taken) for t in sorted(taken[lang])]
 
 
-def identify_languages(spark: SparkSession, docs: DataFrame, model: Model, carry: tuple = (), names: tuple = ("lang_pred", "score")) -> DataFrame:
+def identify_languages(spark: SparkSession, docs: DataFrame, model: Model, carry: tuple = (), result: tuple = ("lang_pred", "score")) -> DataFrame:
     """The carried columns of docs (doc_id by default), and the language and its score under the two names."""
     carry = carry or ("doc_id",)
     handle = spark.sparkContext.broadcast(model)
@@ -261,10 +261,10 @@ def identify_languages(spark: SparkSession, docs: DataFrame, model: Model, carry
                     fine = bool(letter[i + r])
                     names.append(model.languages[best[r]] if fine else NO_LANGUAGE)
                     scores.append(min(1.0, max(0.0, float(mean[r, best[r]]))) if fine else 0.0)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*carry, *names])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*carry, *result])
 
     source = docs.select(*carry, F.col("text").alias("__text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("__letter"))
-    return source.mapInArrow(scan, f"{fields}, `{names[0]}` string, `{names[1]}` double")
+    return source.mapInArrow(scan, f"{fields}, `{result[0]}` string, `{result[1]}` double")
 
 
 def held_out(id_column: str = "doc_id"):
