@@ -23,7 +23,7 @@ LEAST_LANGUAGE_SCORE = 0.3
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a language, or in which no language has a share of 0.3 of the words."""
     model = langcrf.train_on(docs)
-    labelled = langcrf.identify_languages(spark, docs, model, carry=tuple(docs.columns), names=("__lang", "__score"))
+    labelled = langcrf.identify_languages(spark, docs, model, carry=tuple(docs.columns), result=("__lang", "__score"))
     return labelled.filter((F.col("__lang") != langcrf.NO_LANGUAGE) & (F.col("__score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
 
 
