@@ -138,7 +138,7 @@ def test_approximate_search_recall(spark):
     assert score(vectors.ivf_search(spark, q, df, vectors.kmeans(df, 8), 10, 3)) >= 0.9
     assert score(vectors.graph_search(spark, q, df, 10)) >= 0.9
     assert score(vectors.funnel(spark, q, df, [(8, 100), (16, 10)])) >= 0.9
-    pq = vectors.ProductQuantizer(4, 16).fit(df)
+    pq = vectors.ProductQuantizer(8, 16).fit(df)
     assert score(vectors.rerank(spark, pq.search(spark, q, pq.encode(df), 60), df, q, 10)) >= 0.9
     low, high = vectors.scalar_ranges(df)
     back = df.select("embedding", vectors.scalar_restore("c", low, high).alias("r")) if "c" in df.columns else df.withColumn("c", vectors.scalar_quantize("embedding", low, high)).select("embedding", vectors.scalar_restore("c", low, high).alias("r"))
