@@ -26,20 +26,21 @@ from pyspark.sql import functions as F
 
 from lakeloom.llm.common import Scratch
 
-LEAF = 32
+LEAF, DATA_LEAF, FAN = 32, 256, 32
 
 
 class CoverTree:
-    """A cover tree over the rows of points: each level's centres are spread at least its base length apart,
-    and every point is within that length of its centre. Nodes are arrays: centre, radius, children, leaf rows."""
+    """A cover tree over the rows of points. The children of a node are centres more than its base length apart, found
+    farthest first; every point goes to its nearest centre. A node has at most ``fan`` children: where data is so flat
+    that these leave points uncovered, the nearest centre takes them all the same and its radius is what it then is.
+    Nodes are arrays: centre, radius (the true one), children, rows of leaves."""
 
-    def __init__(self, points: np.ndarray, leaf: int = LEAF, base: float = 1.6):
-        self.points, self.leaf, self.base = points, leaf, base
+    def __init__(self, points: np.ndarray, leaf: int = LEAF, base: float = 1.6, fan: int = FAN):
+        self.points, self.leaf, self.base, self.fan = points, leaf, base, fan
         self.centre: list[int] = []
         self.radius: list[float] = []
         self.children: list[list[int]] = []
         self.rows: list[np.ndarray | None] = []
-        self.least: list[int] = []
         if len(points):
             self._build()
 
@@ -64,20 +65,19 @@ class CoverTree:
                 self.rows[node] = rows
                 continue
             reach = self.radius[node] / self.base
-            c, left = self.centre[node], np.ones(len(rows), bool)
-            near = d
-            while True:  # the node's own centre first, then any point that no centre covers yet
-                own = left & (near <= reach)
-                if own.any():
-                    child = self._node(c, float(near[own].max()))
+            centres, far = [self.centre[node]], [d]
+            least = d
+            while least.max() > reach and len(centres) < self.fan:
+                centres.append(int(rows[int(least.argmax())]))
+                far.append(self._distances(rows, centres[-1]))
+                least = np.minimum(least, far[-1])
+            own = np.argmin(np.stack(far), axis=0)
+            for i, c in enumerate(centres):
+                mine = own == i
+                if mine.any():
+                    child = self._node(c, float(far[i][mine].max()))
                     self.children[node].append(child)
-                    todo.append((child, rows[own], near[own]))
-                    left &= ~own
-                if not left.any():
-                    break
-                pick = np.flatnonzero(left)[0]
-                c = int(rows[pick])
-                near = self._distances(rows, c)
+                    todo.append((child, rows[mine], far[i][mine]))
 
 
 class TopK:
@@ -102,7 +102,7 @@ def dual_tree_search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarra
     best = best or TopK(len(queries), k)
     if not len(queries) or not len(data):
         return best
-    qt, dt = query_tree or CoverTree(queries), CoverTree(data)
+    qt, dt = query_tree or CoverTree(queries), CoverTree(data, DATA_LEAF)
     q_norm, d_norm = np.linalg.norm(queries[qt.centre], axis=1), np.linalg.norm(data[dt.centre], axis=1)
     q_radius, d_radius = np.asarray(qt.radius), np.asarray(dt.radius)
     small = float(np.abs(queries).max(initial=0)) * float(np.abs(data).max(initial=0)) * queries.shape[1] < 2.0**53
