@@ -32,8 +32,9 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from lakeloom.llm.common import Scratch, find_words, gram_hashes, hash_words, lower_ascii, mix64, spans_of, text_blocks
+from lakeloom.llm.common import WORD_REGEX, Scratch, find_words, gram_hashes, hash_words, lower_ascii, mix64, spans_of, text_blocks
 
 PRIME = np.uint64((1 << 31) - 1)
 FEW, BLOCK_ROWS, BLOCK_SHINGLES = 4, 400, 250_000
@@ -119,6 +120,24 @@ def _sets(column, shingle: int):
             yield values[begin[d] : begin[d + 1]]
 
 
+def _classes(column):
+    """The class of each text: a digest of its word sequence."""
+    for _, k, buffer, starts in text_blocks(column):
+        buffer = lower_ascii(buffer)
+        first, last = find_words(buffer)
+        words, at = hash_words(buffer, first, last), spans_of(starts, first)
+        for d in range(k):
+            yield hashlib.blake2b(words[at[d] : at[d + 1]].tobytes(), digest_size=16).digest()
+
+
+def _with_class(batches):
+    import pyarrow as pa
+
+    for batch in batches:
+        keys = pa.array(_classes(batch.column("text")), pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns, keys], names=[*batch.schema.names, "__class"])
+
+
 def _verify(shingle: int, percent: int):
     """Compares the full sets of each pair's texts; sorted by the first text, so that its set is made once."""
     import pyarrow as pa
@@ -240,13 +259,7 @@ class NearDuplicates:
             import pyarrow as pa
 
             for batch in batches:
-                keys = []
-                for _, k, buffer, starts in text_blocks(batch.column("text")):
-                    buffer = lower_ascii(buffer)
-                    first, last = find_words(buffer)
-                    words, at = hash_words(buffer, first, last), spans_of(starts, first)
-                    keys.extend(hashlib.blake2b(words[at[d] : at[d + 1]].tobytes(), digest_size=16).digest() for d in range(k))
-                same = pa.array([x == y for x, y in zip(keys, batch.column("node").to_pylist(), strict=True)], pa.bool_())
+                same = pa.array([x == y for x, y in zip(_classes(batch.column("text")), batch.column("node").to_pylist(), strict=True)], pa.bool_())
                 yield batch.select(["node", "text"]).filter(same)
 
         named = self.docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("head"))).select("node", "text")
@@ -332,12 +345,16 @@ class NearDuplicates:
             edges = edges.union(x)
         return edges, heads
 
-    def components(self) -> DataFrame:
-        """doc_id, n_shingles, component_id (smallest doc_id reachable), kept, one row for each row of docs."""
+    def classes(self) -> DataFrame:
+        """node (the class), head, root of its component, component_id (smallest doc_id of the component), for classes with words."""
         _, heads = self.links()
         named = heads.select("node", "head").join(self.roots, "node", "left").select("node", "head", F.coalesce("root", "node").alias("root"))
         least = named.groupBy("root").agg(F.min("head").alias("component_id"))
-        ids = self.scratch.save(named.join(least, "root").select(F.col("node").alias("class"), "component_id"), "ids")
+        return self.scratch.save(named.join(least, "root").select("node", "head", "root", "component_id"), "ids")
+
+    def components(self) -> DataFrame:
+        """doc_id, n_shingles, component_id (smallest doc_id reachable), kept, one row for each row of docs."""
+        ids = self.classes().select(F.col("node").alias("class"), "component_id")
         # the few classes that stand for several documents or are linked are looked up; any other document is its own component
         out = self.sketches.select("doc_id", "class", "n_shingles").join(ids, "class", "left")
         component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
@@ -349,6 +366,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, **options) -> DataFram
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that stand for their group: of rows with one id, the first by text stays."""
-    kept = near_duplicates(spark, docs, **options).filter("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi").dropDuplicates(["doc_id"])
+    """One row for each component: of its rows with the smallest id, the first by text. Rows that share an id, or have
+    none, are told apart by their class. Rows without words are linked with nothing and all stay."""
+    ids = NearDuplicates(spark, docs, **options).classes().filter(F.col("head").eqNullSafe(F.col("component_id")))
+    ids = ids.select(F.col("node").alias("__class"), F.col("head").alias("__head"), F.col("root").alias("__root"))
+    marked = docs.mapInArrow(_with_class, StructType([*docs.schema.fields, StructField("__class", BinaryType())]))
+    named = marked.join(ids, (marked["__class"] == ids["__class"]) & F.col("doc_id").eqNullSafe(F.col("__head")))
+    one = named.groupBy("__root").agg(F.min_by(F.struct(*docs.columns), "text").alias("__row")).select("__row.*")
+    return one.union(docs.filter(~F.coalesce(F.col("text").rlike(WORD_REGEX), F.lit(False))))

@@ -123,6 +123,17 @@ def test_near_duplicates_of_odd_rows(spark):
     assert sorted(r["doc_id"] for r in kept) == [1, 2, 3, 4]
 
 
+def test_one_row_of_each_group_stays_whatever_the_ids(spark):
+    a, b, c, d, e, f = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcdef")
+    rows = [(None, a), (None, b), (None, a.upper()), (7, c), (7, d), (1, e), (5, e + " more"), (5, f), (9, f), (None, f), (2, b + " more"), (2, b + " also")]
+    rows += [(3, ""), (3, None), (None, None), (None, " ")]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, place int")
+    got = minhash.keep_one_of_each_group(spark, df)
+    assert got.columns == df.columns
+    want = [(None, a.upper()), (7, c), (7, d), (1, e), (5, f), (2, b + " also"), *rows[-4:]]
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_star_components(spark):
     edges = [(b"%03d" % a, b"%03d" % b) for a, b in [(1, 2), (2, 3), (3, 4), (9, 8), (8, 7), (20, 21), (4, 1), (5, 5)]]
     df = spark.createDataFrame(edges, "u binary, v binary")
