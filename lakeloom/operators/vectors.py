@@ -1,19 +1,21 @@
 """Vector search: exact and approximate neighbours, quantisation, recall.
 
-Queries are a set of rows; data is any number. Exact search keeps queries in blocks of a bounded
+Queries and data are any number of rows. Search keeps queries in blocks of a bounded
 size (broadcast) and sends only each task's best k per query. Distances inside tasks are numpy
 matrix products on Arrow batches.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-MOST_QUERIES = 10_000
+from lakeloom.sources.formats import work_dir
+
+MOST_QUERIES, AT_ONCE = 10_000, 512
 
 
 def dot(a, b) -> Column:
@@ -37,43 +39,75 @@ def _scores(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     return 1 - np.divide(q @ x.T, n, out=np.zeros_like(n), where=n > 0)
 
 
-def _query_block(queries: DataFrame, key: str, vector: str) -> tuple[np.ndarray, np.ndarray]:
-    rows = queries.select(key, vector).limit(MOST_QUERIES + 1).collect()
-    if len(rows) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries: search them in blocks")
-    return np.asarray([r[0] for r in rows], np.int64), np.asarray([r[1] for r in rows], np.float64)
+def _query_blocks(queries: DataFrame, key: str, vector: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors of all queries, at most MOST_QUERIES at a time; one empty block if there are none."""
+    ids, rows, any_yet = [], [], False
+    for r in queries.select(key, vector).toLocalIterator():
+        ids.append(r[0])
+        rows.append(r[1])
+        if len(ids) == MOST_QUERIES:
+            yield np.asarray(ids, np.int64), np.asarray(rows, np.float64)
+            ids, rows, any_yet = [], [], True
+    if ids or not any_yet:
+        yield np.asarray(ids, np.int64), np.asarray(rows, np.float64)
+
+
+def _search_blocks(spark: SparkSession, queries: DataFrame, key: str, vector: str, prepare: Callable, scan: Callable, data: DataFrame, k: int) -> DataFrame:
+    """The best k rows of scan(broadcast of prepare(ids, vectors)) for each query. Results of several blocks are written
+    to the shared folder one after the other, so that one block at a time is broadcast."""
+
+    def search(block) -> tuple[DataFrame, object]:
+        handle = spark.sparkContext.broadcast(prepare(*block))
+        found = data.mapInPandas(scan(handle), "query_id long, vec_id long, distance double")
+        w = Window.partitionBy("query_id").orderBy("distance", "vec_id")
+        return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k), handle
+
+    blocks = _query_blocks(queries, key, vector)
+    now, after = next(blocks), next(blocks, None)
+    if after is None:
+        return search(now)[0]
+    root, paths = work_dir(spark), []
+    while now is not None:
+        found, handle = search(now)
+        paths.append(f"{root}/block-{len(paths)}")
+        found.write.parquet(paths[-1])
+        handle.unpersist()
+        now, after = after, next(blocks, None)
+    return spark.read.schema(found.schema).parquet(*paths)
 
 
 def nearest(spark: SparkSession, queries: DataFrame, data: DataFrame, k: int, metric: str = "l2", key: str = "vec_id", vector: str = "embedding", exclude_self: bool = True) -> DataFrame:
     """query_id, vec_id, distance, rank: exact neighbours by l2 (squared), cosine or dot (negated), ties by vec_id."""
-    handle = spark.sparkContext.broadcast(_query_block(queries, key, vector))
 
-    def scan(frames: Iterator) -> Iterator:
-        import pandas as pd
+    def scan(handle):
+        def run(frames: Iterator) -> Iterator:
+            import pandas as pd
 
-        ids, q = handle.value
-        best: list[pd.DataFrame] = []
-        for frame in frames:
-            if not len(ids) or not len(frame):
-                continue
-            x, own = np.asarray(frame[vector].tolist(), np.float64), frame[key].to_numpy(np.int64)
-            d = _scores(q, x, metric)
-            if exclude_self:
-                d[ids[:, None] == own[None]] = np.inf
-            order = np.lexsort((np.broadcast_to(own, d.shape), d))[:, :k]
-            rows = pd.DataFrame({"query_id": np.repeat(ids, order.shape[1]), "vec_id": own[order].ravel(), "distance": np.take_along_axis(d, order, 1).ravel()})
-            best.append(rows[np.isfinite(rows["distance"])])
-            if len(best) > 8:
-                best = [_best(pd.concat(best), k)]
-        if best:
-            yield _best(pd.concat(best), k)
+            ids, q = handle.value
+            best: list[pd.DataFrame] = []
+            for frame in frames:
+                if not len(ids) or not len(frame):
+                    continue
+                x, own = np.asarray(frame[vector].tolist(), np.float64), frame[key].to_numpy(np.int64)
+                for lo in range(0, len(ids), AT_ONCE):
+                    some = ids[lo : lo + AT_ONCE]
+                    d = _scores(q[lo : lo + AT_ONCE], x, metric)
+                    if exclude_self:
+                        d[some[:, None] == own[None]] = np.inf
+                    order = np.lexsort((np.broadcast_to(own, d.shape), d))[:, :k]
+                    rows = pd.DataFrame({"query_id": np.repeat(some, order.shape[1]), "vec_id": own[order].ravel(), "distance": np.take_along_axis(d, order, 1).ravel()})
+                    best.append(rows[np.isfinite(rows["distance"])])
+                if len(best) > 8:
+                    best = [_best(pd.concat(best), k)]
+            if best:
+                yield _best(pd.concat(best), k)
+
+        return run
 
     def _best(frame, k):
         return frame.sort_values(["query_id", "distance", "vec_id"]).groupby("query_id").head(k)
 
-    found = data.select(key, vector).mapInPandas(scan, "query_id long, vec_id long, distance double")
-    w = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return _search_blocks(spark, queries, key, vector, lambda ids, q: (ids, q), scan, data.select(key, vector), k)
 
 
 def kmeans(data: DataFrame, k: int, vector: str = "embedding", seed: int = 1, rounds: int = 20) -> np.ndarray:
@@ -142,27 +176,29 @@ class ProductQuantizer:
 
     def search(self, spark: SparkSession, queries: DataFrame, coded: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", symmetric: bool = False) -> DataFrame:
         """Approximate neighbours by summed table entries; symmetric: the query is coded too."""
-        ids, q = _query_block(queries, key, vector)
-        if symmetric:
-            width = self.books[0].shape[1]
-            q = np.stack([np.concatenate([b[((b - v[i * width : (i + 1) * width]) ** 2).sum(1).argmin()] for i, b in enumerate(self.books)]) for v in q])
-        handle = spark.sparkContext.broadcast((ids, np.stack([self.tables(v) for v in q])))
 
-        def scan(frames):
-            import pandas as pd
+        def prepare(ids, q):
+            if symmetric:
+                width = self.books[0].shape[1]
+                q = [np.concatenate([b[((b - v[i * width : (i + 1) * width]) ** 2).sum(1).argmin()] for i, b in enumerate(self.books)]) for v in q]
+            return ids, [self.tables(v) for v in q]
 
-            ids, tables = handle.value
-            for frame in frames:
-                code, own = np.asarray(frame["code"].tolist(), np.int64), frame[key].to_numpy(np.int64)
-                for i, t in zip(ids, tables, strict=True):
-                    d = t[np.arange(code.shape[1])[None], code].sum(1)
-                    keep = np.lexsort((own, d))
-                    keep = keep[own[keep] != i][:k]
-                    yield pd.DataFrame({"query_id": i, "vec_id": own[keep], "distance": d[keep]})
-
-        found = coded.select(key, "code").mapInPandas(scan, "query_id long, vec_id long, distance double")
-        w = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-        return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+        def scan(handle):
+            def run(frames):
+                import pandas as pd
+
+                ids, tables = handle.value
+                for frame in frames:
+                    code, own = np.asarray(frame["code"].tolist(), np.int64), frame[key].to_numpy(np.int64)
+                    for i, t in zip(ids, tables, strict=True):
+                        d = t[np.arange(code.shape[1])[None], code].sum(1)
+                        keep = np.lexsort((own, d))
+                        keep = keep[own[keep] != i][:k]
+                        yield pd.DataFrame({"query_id": i, "vec_id": own[keep], "distance": d[keep]})
+
+            return run
+
+        return _search_blocks(spark, queries, key, vector, prepare, scan, coded.select(key, "code"), k)
 
 
 def residuals(data: DataFrame, centres: np.ndarray, vector: str = "embedding") -> DataFrame:
@@ -367,24 +403,24 @@ class SmallWorld:
 
 def graph_search(spark: SparkSession, queries: DataFrame, data: DataFrame, k: int, links: int = 8, effort: int = 64, block: int = 20_000, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Approximate neighbours: a small-world graph for each block of rows of a partition, best k merged."""
-    handle = spark.sparkContext.broadcast(_query_block(queries, key, vector))
 
-    def scan(frames):
-        import pandas as pd
+    def scan(handle):
+        def run(frames):
+            import pandas as pd
 
-        ids, q = handle.value
-        for frame in frames:
-            for lo in range(0, len(frame), block):
-                part = frame.iloc[lo : lo + block]
-                own = part[key].to_numpy(np.int64)
-                graph = SmallWorld(np.asarray(part[vector].tolist(), np.float64), links)
-                for i, v in zip(ids, q, strict=True):
-                    found = [(d, own[j]) for d, j in graph.search(v, k + 1, effort) if own[j] != i][:k]
-                    yield pd.DataFrame({"query_id": i, "vec_id": [j for _, j in found], "distance": [d for d, _ in found]}).astype({"vec_id": "int64", "distance": "float64"})
-
-    found = data.select(key, vector).mapInPandas(scan, "query_id long, vec_id long, distance double")
-    w = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+            ids, q = handle.value
+            for frame in frames:
+                for lo in range(0, len(frame), block):
+                    part = frame.iloc[lo : lo + block]
+                    own = part[key].to_numpy(np.int64)
+                    graph = SmallWorld(np.asarray(part[vector].tolist(), np.float64), links)
+                    for i, v in zip(ids, q, strict=True):
+                        found = [(d, own[j]) for d, j in graph.search(v, k + 1, effort) if own[j] != i][:k]
+                        yield pd.DataFrame({"query_id": i, "vec_id": [j for _, j in found], "distance": [d for d, _ in found]}).astype({"vec_id": "int64", "distance": "float64"})
+
+        return run
+
+    return _search_blocks(spark, queries, key, vector, lambda ids, q: (ids, q), scan, data.select(key, vector), k)
 
 
 def recall(found: DataFrame, truth: DataFrame) -> DataFrame:

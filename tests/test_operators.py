@@ -146,6 +146,21 @@ def test_approximate_search_recall(spark):
     assert worst <= max(h - lo for lo, h in zip(low, high, strict=True)) / 255
 
 
+def test_many_queries_are_searched_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(90, 16)))], "vec_id long, embedding array<double>").coalesce(2)
+    pq = vectors.ProductQuantizer(4, 8).fit(df)
+    coded, q = pq.encode(df), df.filter("vec_id < 21")
+    searches = [lambda: vectors.nearest(spark, q, df, 5), lambda: pq.search(spark, q, coded, 5), lambda: pq.search(spark, q, coded, 5, symmetric=True), lambda: vectors.graph_search(spark, q, df, 5)]
+    found = lambda: [sorted((r["query_id"], r["rank"], r["vec_id"]) for r in f().collect()) for f in searches]
+    want = found()
+    for most in (7, 8, 20, 21):  # full blocks only, a last one of fewer, of one, and one block
+        monkeypatch.setattr(vectors, "MOST_QUERIES", most)
+        assert found() == want
+    assert all(len(x) == 21 * 5 for x in want)
+    assert vectors.nearest(spark, q.filter("vec_id < 0"), df, 5).count() == 0
+
+
 def test_prefix_index_and_terms(spark):
     df = spark.createDataFrame([("#ab", 5), ("#abc", 7), ("x", 9)], "term string, score int")
     got = {(r["prefix"], r["term"]): r["rank"] for r in tx.autocomplete_index(df, 1).collect()}
