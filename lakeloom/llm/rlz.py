@@ -1,4 +1,4 @@
-"""Substring de-duplication by relative Lempel-Ziv parsing against indexed reference blocks.
+"""Substring de-duplication by counting windows in blocks of an elected-anchor index.
 
 A repeat is a run of ``window`` words that also starts at another place of the corpus.
 
@@ -8,11 +8,12 @@ A repeat is a run of ``window`` words that also starts at another place of the c
    counted over all documents; what is left are the phrases that the reference is indexed by.
 2. *Reference blocks.* The windows around one indexed anchor form a run. Runs with the same
    anchor make a block; equal runs of a block collapse to one representative.
-3. *Factors.* A run that has a twin is one long factor as it stands. Any other run is factored
-   greedily: it is extended window by window as long as the block holds the same window
-   elsewhere. A factor ends at the first window that has no twin, and the windows across the
-   boundary between two sources are looked up as well, so no window is missed there.
-4. The factors of a document are united; covered words go.
+3. *Windows.* A run that has a twin is covered as it stands. The others, and one of each kind of
+   twins, are taken apart into windows, which are counted within their block; each that occurs
+   more than once is a span. This replaces the relative Lempel-Ziv parsing: nothing is extended
+   greedily and no factors are made. A repeat is defined by whole windows, all of which elect
+   their block, so the count finds every one of them by aggregation alone.
+4. The spans of a document are united; covered words go.
 
 The text itself is never sent along with anchors: only hashes travel, and the documents are
 joined with their spans at the end. Counting and joining is by aggregation and sort-merge join,
@@ -200,7 +201,7 @@ def _cut(window: int, text: bool):
 
 
 def duplicate_spans(spark: SparkSession, docs: DataFrame, scratch: Scratch, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """doc_id, th (hash of the text), spans: the united factors, as first and last window."""
+    """doc_id, th (hash of the text), spans: the repeated runs and windows, as first and last window."""
     keyed = docs.select(F.col("doc_id"), F.xxhash64("text").alias("th"), F.col("text"))
     indexed = scratch.save(keyed.select("text").mapInArrow(_anchors(window, gram, False), "anchor long").groupBy("anchor").count().filter("count > 1").select("anchor"), "index")
     id_type = docs.schema["doc_id"].dataType.simpleString()
