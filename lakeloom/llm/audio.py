@@ -6,10 +6,12 @@ side information are ancillary data; those are the payload. The stream starts wi
 that holds the payload's lengths and a frame with the variable-bitrate table, and ends with an
 ID3v1 tag. Frames have the highest bitrate, the last one the lowest that holds what is left.
 
-``scan_stream`` reads any MPEG audio stream: it skips tags, resynchronises on headers that are
-followed by another header of the same kind (or by the stream's end), reads the variable-bitrate
-table, verifies checksums where frames have them and gives the exact number of samples and the
-offset of every frame.
+``scan_stream`` reads any MPEG audio stream that isn't free-format: it resynchronises on headers
+that are followed by another header of the same kind (or by the stream's end), reads the
+variable-bitrate table (Xing, Info or VBRI), verifies checksums of all three layers where frames
+have them and gives the exact number of samples and the offset of every frame. Of tags it keeps
+the ID3v2 text frames (by frame id, TXXX by description) and the ID3v1 fields (id3v1.title and so
+on); unsynchronised, compressed and encrypted ID3v2 frames and extended headers are not decoded.
 
 Defined results: null counts as empty; an empty text is 64 zero bytes; bytes between frames are
 skipped and counted as resynchronisations; a frame that is cut off by the stream's end is not
@@ -49,6 +51,13 @@ def crc16(data: bytes) -> int:
     return crc
 
 
+def _crc16_bits(data: bytes, bits: int) -> int:
+    crc = crc16(data[: bits // 8])
+    for i in range(bits % 8):
+        crc = (crc << 1 ^ 0x8005 if (crc >> 15 ^ data[bits // 8] >> 7 - i) & 1 else crc << 1) & 0xFFFF
+    return crc
+
+
 @dataclass(frozen=True)
 class Header:
     version: float
@@ -153,18 +162,48 @@ class Stream:
         return self.samples / self.hz if self.hz else 0.0
 
 
+_ENCODINGS = ("latin-1", "utf-16", "utf-16-be", "utf-8")
+
+
+def _read_text(name: str, body: bytes, found: Stream) -> None:
+    """Keeps a text frame of an ID3v2 tag. Each string of a UTF-16 frame may have a byte-order mark of its own."""
+    if not name.startswith("T") or not body or body[0] >= len(_ENCODINGS):
+        return
+    text = body[1:].decode(_ENCODINGS[body[0]], errors="replace")
+    if body[0] in (1, 2):
+        text = text.replace("\ufeff", "")
+    if name in ("TXXX", "TXX"):
+        name, _, text = text.partition("\0")
+    found.tags[name] = text.rstrip("\0")
+
+
+def _read_last_tag(tag: bytes, found: Stream) -> None:
+    """Keeps the fields of an ID3v1 tag that are not empty."""
+    numbered = tag[125] == 0 and tag[126] > 0
+    for name, lo, hi in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93), ("year", 93, 97), ("comment", 97, 125 if numbered else 127)):
+        value = tag[lo:hi].partition(b"\0")[0].decode("latin-1").rstrip(" ")
+        if value:
+            found.tags[f"id3v1.{name}"] = value
+    if numbered:
+        found.tags["id3v1.track"] = str(tag[126])
+    if tag[127] < 255 and any(tag[3:127]):
+        found.tags["id3v1.genre"] = str(tag[127])
+
+
 def _read_tags(data: bytes, found: Stream) -> int:
     at = 0
     while data[at : at + 3] == b"ID3" and len(data) >= at + 10:
         wide = data[at + 3] >= 4
         size = sum((b & 127) << s for b, s in zip(data[at + 6 : at + 10], (21, 14, 7, 0), strict=True))
         p, end = at + 10, min(len(data), at + 10 + size)
-        while p + 10 <= end and data[p]:
+        while data[at + 3] == 2 and p + 6 <= end and data[p]:  # the old form has short heads
+            n = int.from_bytes(data[p + 3 : p + 6], "big")
+            _read_text(data[p : p + 3].decode("latin-1"), data[p + 6 : min(end, p + 6 + n)], found)
+            p += 6 + n
+        while data[at + 3] != 2 and p + 10 <= end and data[p]:
             raw = data[p + 4 : p + 8]
             n = sum((b & 127) << s for b, s in zip(raw, (21, 14, 7, 0), strict=True)) if wide else int.from_bytes(raw, "big")
-            if data[p : p + 4] == b"TXXX" and data[p + 10 : p + 11] == b"\x03":
-                key, _, value = data[p + 11 : p + 10 + n].partition(b"\0")
-                found.tags[key.decode(errors="replace")] = value.decode(errors="replace")
+            _read_text(data[p : p + 4].decode("latin-1"), data[p + 10 : min(end, p + 10 + n)], found)
             p += 10 + n
         at = end
     return at
@@ -181,11 +220,46 @@ def _checksum(covered: bytes) -> int:
     return _CHECKED[covered]
 
 
+def _checked(data: bytes, at: int, h: Header, body: int) -> bool:
+    want = int.from_bytes(data[at + 4 : at + 6], "big")
+    if h.layer == 3:
+        return _checksum(data[at + 2 : at + 4] + data[at + 6 : body]) == want
+    inside = data[at + 6 : at + h.length]
+    bits = 16 + _protected_bits(h, data[at + 3] >> 4, inside)
+    return bits <= 16 + 8 * len(inside) and _crc16_bits(data[at + 2 : at + 4] + inside, bits) == want
+
+
+def _protected_bits(h: Header, mode: int, body: bytes) -> int:
+    """The number of bits after the checksum that it covers in Layers I and II: allocations and, in Layer II, scale factor selections."""
+    channels = 1 if h.mono else 2
+    if h.layer == 1:
+        widths = (4,) * 32
+    elif h.version != 1:
+        widths = (4,) * 4 + (3,) * 7 + (2,) * 19
+    else:
+        rate = h.kbps // channels
+        widths = (4,) * 11 + (3,) * 12 + (2,) * 7 if rate >= 56 else (4,) * 2 + (3,) * (10 if h.hz == 32000 else 6)
+        if h.hz == 48000 or rate <= 80:
+            widths = widths[:27]
+    bound = 4 * (mode & 3) + 4 if mode >> 2 == 1 else 32  # joint stereo shares allocations from there on
+    if h.layer == 1:
+        return sum(w * (channels if i < bound else 1) for i, w in enumerate(widths))
+    value, size, at, chosen = int.from_bytes(body[:64].ljust(64, b"\0"), "big"), 512, 0, 0
+    for i, w in enumerate(widths):
+        for _ in range(channels if i < bound else 1):
+            at += w
+            if value >> size - at & (1 << w) - 1:
+                chosen += 2 if i < bound else 2 * channels
+    return at + chosen
+
+
 def scan_stream(data: bytes) -> Stream:
     """Tags, table, frames and ancillary data of a stream."""
     found = Stream()
     at = _read_tags(data, found)
     end = len(data) - 128 if data[-128:-125] == b"TAG" and len(data) >= 128 + at else len(data)
+    if end < len(data):
+        _read_last_tag(data[end:], found)
     locked: Header | None = None
     while at + 4 <= end:
         h = read_header(data[at : at + 4])
@@ -210,8 +284,11 @@ def scan_stream(data: bytes) -> Stream:
             found.vbr_bytes = int.from_bytes(data[p : p + 4], "big") if flags & 2 else -1
             p += 2 * (flags & 2)
             found.vbr_toc = data[p : p + 100] if flags & 4 else b""
+        elif not found.offsets and found.vbr_frames < 0 and h.layer == 3 and data[at + 36 : at + 40] == b"VBRI":
+            found.vbr_bytes, found.vbr_frames, entries, _, width = struct.unpack(">IIHHH", data[at + 46 : at + 60].ljust(14, b"\0"))
+            found.vbr_toc = data[at + 62 : min(at + h.length, at + 62 + entries * width)]
         else:
-            if h.checked and h.layer == 3 and _checksum(data[at + 2 : at + 4] + data[at + 6 : body]) != int.from_bytes(data[at + 4 : at + 6], "big"):
+            if h.checked and not _checked(data, at, h, body):
                 found.bad_checksums += 1
             found.offsets.append(at)
             found.samples += h.samples

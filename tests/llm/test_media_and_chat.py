@@ -1,6 +1,7 @@
 import hashlib
 import json
 import random
+import struct
 import zlib
 
 import pytest
@@ -44,6 +45,47 @@ def test_checksum_of_the_format():
     assert audio.crc16(b"123456789") == 0xAEE7  # polynomial 0x8005 from 0xFFFF, not reflected
 
 
+def crc_of_bits(bits):
+    crc = 0xFFFF
+    for b in bits:
+        crc = (crc << 1 ^ (0x8005 if (crc >> 15) ^ int(b) else 0)) & 0xFFFF
+    return crc
+
+
+@pytest.mark.parametrize(
+    ("head", "covered"),
+    [
+        (b"\xff\xfe\x44\xc0", "0001" + "0" * 124),  # Layer I, mono: 32 allocations of 4 bits
+        (b"\xff\xfe\x44\x50", "1" + "0" * 159),  # Layer I, joint stereo: 8 of both and 24 shared
+        (b"\xff\xfc\x44\xc0", "0001" + "0" * 84 + "10"),  # Layer II, mono, 64 kbit/s at 48 kHz: 27 subbands, one selection
+        (b"\xff\xfc\x14\xc0", "0000" * 2 + "000" * 5 + "011" + "01"),  # Layer II, mono, 32 kbit/s: 8 subbands
+        (b"\xff\xf4\x84\xc0", "0" * 73 + "01" + "11"),  # version 2, Layer II, mono: 30 subbands
+    ],
+)
+def test_checksums_of_layers_one_and_two(head, covered):
+    bits = "".join(f"{b:08b}" for b in head[2:]) + covered
+    body = int(covered.ljust(512, "0"), 2).to_bytes(64, "big")
+    frame = (head + crc_of_bits(bits).to_bytes(2, "big") + body).ljust(audio.read_header(head).length, b"\0")[: audio.read_header(head).length]
+    bad = frame[:6] + bytes([frame[6] ^ 64]) + frame[7:]
+    assert audio.scan_stream(frame * 3).bad_checksums == 0
+    assert audio.scan_stream(frame + bad + frame).bad_checksums == 1
+
+
+def test_other_tags_and_tables():
+    text = lambda name, body: name + len(body).to_bytes(4, "big") + b"\0\0" + body
+    frames = text(b"TIT2", b"\x01" + "Tïtle".encode("utf-16")) + text(b"TPE1", b"\0Caf\xe9\0") + text(b"TXXX", b"\x01" + "k".encode("utf-16") + b"\0\0" + "v".encode("utf-16")) + text(b"APIC", b"\0x")
+    tag = b"ID3\x03\0\0" + bytes([0, 0, len(frames) >> 7, len(frames) & 127]) + frames
+    last = b"TAG" + b"Song".ljust(30, b"\0") + b"Band".ljust(30) + bytes(30) + b"1999" + b"note".ljust(28, b"\0") + b"\0\x07\x11"
+    plain = b"\xff\xfb\x94\xc0".ljust(384, b"\0")
+    table = (b"\xff\xfb\x94\xc0" + bytes(32) + b"VBRI" + bytes(6) + struct.pack(">IIHHHH", 1536, 3, 2, 1, 2, 1) + b"abcd").ljust(384, b"\0")
+    found = audio.scan_stream(tag + table + plain * 3 + last)
+    assert (len(found.offsets), found.samples, found.vbr_frames, found.vbr_bytes, found.vbr_toc) == (3, 3 * 1152, 3, 1536, b"abcd")
+    v1 = {"title": "Song", "artist": "Band", "year": "1999", "comment": "note", "track": "7", "genre": "17"}
+    assert found.tags == {"TIT2": "Tïtle", "TPE1": "Café", "k": "v"} | {f"id3v1.{k}": v for k, v in v1.items()}
+    old = b"TT2\0\0\x04\0abc"
+    assert audio.scan_stream(b"ID3\x02\0\0\0\0\0" + bytes([len(old)]) + old + plain * 2).tags == {"TT2": "abc"}
+
+
 def test_media_query_columns(spark):
     texts = ["", None, "héllo\n" * 500, "a" * 64, "same", "same"]
     rows = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, media string")
