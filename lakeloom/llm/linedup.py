@@ -12,8 +12,9 @@ similarity of ``percent`` or more with it. Matches are judged on the input, not
 3. *First round.* In each token's list every class is tried against the earliest line only.
    Most lines that go, go here: a group of copies costs as much as it has members.
 4. *Second round.* Lines that are still there are tried against every earlier class of their
-   lists. So no match is lost. Lines before the line tried are the only ones that count
-   (positional filter on the list), and only lengths that fit are compared (length filter).
+   lists. So no match is lost. Lines before the line tried are the only ones that count, and only
+   lengths that fit are compared (length filter). A positional filter, which bounds the overlap
+   by the places of shared tokens in the prefixes, is left out; it would not change results.
 5. Candidates are verified on their whole token sets.
 
 The order of tokens only affects work, not results. Sets are compared by 64-bit token hashes, classes by
