@@ -7,7 +7,6 @@ never uses those bytes inside a longer code point.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import tempfile
 import uuid
@@ -18,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 BLOCK_BYTES = 1 << 20
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 BASE = np.uint64(0x9E3779B97F4A7C15)
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 WORD_REGEX = r"[^\x20\x09-\x0D]+"
 
 
@@ -37,8 +37,13 @@ class Scratch:
         self.spark, self.root = spark, f"{shared_dir(spark)}/lakeloom-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.option("compression", "zstd").mode("overwrite").parquet(path)
+        """Writes a table and reads it again. The shuffle files of the write go when it ends."""
+        path, before = f"{self.root}/{name}", self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").mode("overwrite").parquet(path)
+        finally:
+            self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -48,12 +53,6 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of steps that are done: it does so when the driver's heap is collected."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser over uint64."""
     x = x ^ (x >> np.uint64(30))

@@ -1,198 +1,224 @@
 """Line de-duplication by an exact set-similarity join, with DataFrame functions only.
 
-A line is the set of its ``shingle``-word phrases (the whole line as one phrase if it has fewer
-words), after lower-casing; it goes if an earlier line, by (doc_id, line number), has a Jaccard
-similarity of ``percent`` or more with it. Matches are judged on the input, not on what is left.
-
-1. *Rarity.* All words are counted into 4096 hash buckets. A phrase is as rare as its rarest
-   word's bucket; phrases are ordered by that, ties by intrinsic properties of the phrase.
-2. *Prefix filter.* Two sets that match share a token among the first n - ceil(t n) + 1 of each.
-   Only those are posted (n is taken as the number of phrases with repeats, which posts a few
-   more). Lines of the same words are one class; tokens that one class alone posts are dropped.
-3. *First round.* In each token's list every class is tried against the earliest line only.
-   Most lines that go, go here: a group of copies costs as much as it has members.
-4. *Second round.* Lines that are still there are tried against every earlier class of their
-   lists. So no match is lost. Lines before the line tried are the only ones that count, and only
-   lengths that fit are compared (length filter). A positional filter, which bounds the overlap
-   by the places of shared tokens in the prefixes, is left out; it would not change results.
-5. Candidates are verified on their whole token sets.
-
-The order of tokens only affects work, not results. Sets are compared by 64-bit token hashes, classes by
-64-bit hashes of their words.
+A line is the set of its words after lower-casing; it goes if an earlier line, by (doc_id, line
+number), has a Jaccard similarity of ``percent`` or more with it. Matches are judged on the
+input, not on what is left.
+
+1. *Classes.* Equal lines (lower-cased, all white space a space) are one class from the start; its
+   place is that of its first line. Everything below is done once a class, however often it occurs.
+2. *Rarity.* The words of all classes are counted in 2**20 hash buckets. Words are ordered by the
+   logarithm of their bucket's count, in 16 levels, then by hash; any order gives the same result.
+3. *Prefix filter.* Of n words in that order a class posts the first n - ceil(t n) + 1: two sets that
+   match have a posted word in common. A posting has the word, the class, its place in the
+   prefix, the size, and a 64-bit parity map of the whole set.
+4. *Filters in the join.* Sizes must be within ``percent`` of each other (length filter); from the
+   first common word on, both sets must have enough words left (positional filter); and the
+   parity maps may differ in no more bits than the sets may in words. The shorter set of a pair
+   needs fewer postings, so the others are left out of its side.
+5. *Lists.* A word whose bucket counts at most ``SHORT`` has a short list, and is joined with itself. Other
+   lists are dealt to groups of about ``GROUP`` classes, in which all are tried against the first
+   one: that finds most members of large families of near copies. Classes that are not
+   known to be late by then are tried against all of the list, split by size classes.
+6. *Verification* of the pairs that are left, on the words of both lines.
+
+Words and classes are told apart by 64-bit hashes until they are verified.
 
 Defined results: null text has no lines; lines without words stay; a text's last line may lack
 its newline; rows that share a doc_id share their places (equal lines at the same place stay);
-a null doc_id is before any other; columns beyond doc_id and text are carried along.
+a null doc_id is before any other; columns beyond doc_id and text are carried along; a line may
+have any number of words.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import Scratch, release
-
-BUCKETS = 4096
-PLACE_BITS = 20
-
-
-def _words(line: Column) -> Column:
-    return F.array_remove(F.split(F.lower(line), r"[\x20\x09-\x0D]+"), "")
+from lakeloom.llm.common import Scratch
 
+BUCKETS, LEVELS, SLOTS = 1 << 20, 16, 1 << 16
+SHORT, GROUP = 128, 64
+ODD_SPACES = "\t\x0b\f\r"
 
-def _bucket(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
 
+def _normal(text: str) -> Column:
+    """Lower-cased, with a space for all white space but newlines."""
+    odd = F.lit(False)
+    for c in ODD_SPACES:
+        odd = odd | F.contains(F.col(text), F.lit(c))
+    return F.lower(F.when(odd, F.translate(F.col(text), ODD_SPACES, " " * len(ODD_SPACES))).otherwise(F.col(text)))
 
-def word_ranks(docs: DataFrame) -> list[int]:
-    """Rank by count of each of the 4096 buckets of words, over all documents."""
-    each = docs.select(F.explode(F.split(F.lower("text"), r"[\x20\x09-\x0D]+")).alias("w")).filter("w <> ''")
-    counts = {r["b"]: r["n"] for r in each.groupBy(_bucket(F.col("w")).alias("b")).agg(F.count("*").alias("n")).collect()}
-    order = sorted(range(BUCKETS), key=lambda b: (counts.get(b, 0), b))
-    ranks = [0] * BUCKETS
-    for rank, b in enumerate(order):
-        ranks[b] = rank
-    return ranks
 
+def _words(line: str | Column) -> Column:
+    return F.array_distinct(F.array_remove(F.split(line, " "), ""))
 
-def _bind(value: Column, body) -> Column:
-    """body(value) with the value made once: inside a function of elements it would be made for each of them."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
 
+def _shift(name: str, value: Column, by: Column) -> Column:
+    return F.call_function(name, value, by.cast("int"))
 
-def _shingle(words: Column, start: Column, shingle: int) -> Column:
-    return F.xxhash64(F.slice(words, start + 1, shingle))
 
+def _slots(numbers: list[int]) -> Column:
+    """A constant array of SLOTS longs."""
+    return F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<bigint>")
 
-def line_tokens(line: Column, shingle: int) -> Column:
-    """The hashes of all of a line's distinct phrases; empty for a line without words."""
 
-    def tokens(words: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.greatest(F.size(words) - shingle, F.lit(0)))
-        return F.when(F.size(words) > 0, F.array_distinct(F.transform(starts, lambda i: _shingle(words, i, shingle)))).otherwise(F.array().cast("array<bigint>"))
+def _slot(table: Column, index: Column) -> Column:
+    return F.get(table, index.bitwiseAND(F.lit(SLOTS - 1)).cast("int"))
 
-    return _bind(_words(line), tokens)
 
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >= 1 << 63 else x
 
-def line_prefix(words: Column, ranks: list[int], shingle: int, percent: int) -> Column:
-    """The line's rarest phrases, one more than may be missing from a match.
 
-    A word's key is its bucket's rank and 31 bits of hash. Phrases are ordered by the key of their
-    rarest word, then by how late that word stands in them, then by hash. Mostly the rarest words
-    of a line occur once in it; then the first phrases are those around these words, and no other
-    phrase is made. Otherwise all phrases are made and sorted.
-    """
-    table = F.split(F.lit(",".join(str(r << 51) for r in ranks)), ",").cast("array<bigint>")
-    last = F.size(words) - shingle  # the last start, negative for short lines
-    wanted = F.greatest(last + 1 - F.floor((F.greatest(last + 1, F.lit(1)) * percent + 99) / 100) + 1, F.lit(1)).cast("int")
-    most = F.least((wanted / shingle).cast("int") + 2, F.size(words))
+class Membership:
+    """A filter of fixed size over longs: false for most that are not in the table, true for all that are."""
 
-    def place_key(w: Column, i: Column) -> Column:
-        return _bind(F.xxhash64(w), lambda h: F.get(table, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")) + F.shiftrightunsigned(h, 33) * (1 << PLACE_BITS) + i)
+    def __init__(self, table: DataFrame, column: str):
+        key = F.col(column)
+        bits = table.groupBy(F.shiftright(key, 6).bitwiseAND(F.lit(SLOTS - 1)).alias("slot")).agg(F.bit_or(_shift("shiftleft", F.lit(1).cast("long"), key.bitwiseAND(F.lit(63)))).alias("bits"))
+        numbers = [0] * SLOTS
+        for r in bits.collect():  # at most SLOTS rows
+            numbers[r["slot"]] = r["bits"]
+        self.table = _slots(numbers)
 
-    def near(keys: Column) -> Column:
-        rarest = F.slice(keys, 1, most + 1)
-        once = F.size(F.array_distinct(F.transform(rarest, lambda k: F.shiftright(k, PLACE_BITS)))) == F.size(rarest)
+    def may_have(self, key: Column) -> Column:
+        return _shift("shiftright", _slot(self.table, F.shiftright(key, 6)), key.bitwiseAND(F.lit(63))).bitwiseAND(F.lit(1)) == 1
 
-        def starts(k: Column) -> Column:
-            place = k.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
-            return F.sequence(F.greatest(place - (shingle - 1), F.lit(0)), F.least(place, F.greatest(last, F.lit(0))))
 
-        around = F.array_distinct(F.flatten(F.transform(F.slice(keys, 1, most), starts)))
-        fine = lambda found: F.when(once & (F.size(found) >= wanted), F.transform(F.slice(found, 1, wanted), lambda i: _shingle(words, i, shingle)))
-        return _bind(around, fine)
+class Rarity:
+    """The level of each of the 2**20 buckets of words. The highest level holds the largest count of any bucket."""
 
-    def sorted_all(keys: Column) -> Column:
-        def one(i: Column) -> Column:
-            part = F.slice(keys, i + 1, shingle)
-            return F.struct(F.array_min(part).alias("rare"), (-F.array_position(part, F.array_min(part))).alias("late"), _shingle(words, i, shingle).alias("token"))
+    def __init__(self, lines: DataFrame):
+        each = lines.select(F.explode(F.split("s", " ")).alias("w")).filter("w <> ''")
+        counts = each.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).agg(F.count("*").alias("n"))
+        counts = counts.select("b", F.floor(F.log2("n") + 1e-9).cast("long").alias("level"))
+        packed = counts.groupBy(F.shiftright("b", 4).alias("slot")).agg(*[F.max(F.when(F.col("b").bitwiseAND(F.lit(15)) == i, F.col("level"))).alias(f"l{i}") for i in range(16)])
+        rows = packed.collect()  # at most SLOTS rows
+        top = max((r[f"l{i}"] or 0 for r in rows for i in range(16)), default=0)
+        # log2 of counts, in steps that make the largest count's level LEVELS - 1 at most
+        self.step = max(1, -(-(top + 1) // LEVELS))
+        numbers = [0] * SLOTS
+        for r in rows:
+            numbers[r["slot"]] = _signed(sum(((r[f"l{i}"] or 0) // self.step) << (4 * i) for i in range(16)))
+        self.table = _slots(numbers)
 
-        every = F.sort_array(F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), one))
-        return F.slice(F.array_distinct(F.transform(every, lambda x: x["token"])), 1, wanted)
+    def most(self, level: int) -> int:
+        """The largest count that a level can stand for."""
+        return (1 << ((level + 1) * self.step)) - 1
 
-    def plain_key(w: Column) -> Column:
-        return _bind(F.xxhash64(w), lambda h: F.shiftright(F.get(table, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), PLACE_BITS) + F.shiftrightunsigned(h, 33))
-
-    fast = F.when((last >= 0) & (F.size(words) < (1 << PLACE_BITS)), _bind(F.sort_array(F.transform(words, place_key)), near))
-    short = F.when(last < 0, F.array(F.xxhash64(words)))
-    return F.coalesce(short, fast, _bind(F.transform(words, plain_key), sorted_all))
+    def key(self, h: Column) -> Column:
+        """Sorts rare words first: the level, then 59 bits of hash."""
+        nibble = _shift("shiftright", _slot(self.table, F.shiftright(h, 4)), F.shiftleft(h.bitwiseAND(F.lit(15)), 2)).bitwiseAND(F.lit(LEVELS - 1))
+        return F.shiftleft(nibble, 59) + F.shiftrightunsigned(h, 5)
 
 
 class LineJoin:
     """The join of one corpus's lines with its earlier lines."""
 
-    def __init__(self, spark: SparkSession, docs: DataFrame, shingle: int = 5, percent: int = 80):
-        self.spark, self.docs, self.scratch = spark, docs, Scratch(spark)
-        self.shingle, self.percent = shingle, percent
-        self.ranks = word_ranks(docs)
-
-    def _lines(self) -> DataFrame:
-        """doc_id, th (hash of the text), line, class, n, prefix of each line with words."""
-        each = self.docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("line", "s"))
-        each = each.filter(F.col("s").rlike(r"[^\x20\x09-\x0D]"))
-        prefix = _bind(_words(F.col("s")), lambda w: F.struct(F.xxhash64(w).alias("class"), line_prefix(w, self.ranks, self.shingle, self.percent).alias("prefix")))
-        return self.scratch.save(each.select("doc_id", "th", "line", prefix.alias("p")).select("doc_id", "th", "line", "p.class", "p.prefix"), "lines")
-
-    def _postings(self, lines: DataFrame) -> DataFrame:
-        """token, class, at (the class's first line), head (the list's first class), of tokens that several classes post."""
-        each = lines.select("doc_id", "line", "class", F.explode("prefix").alias("token")).repartition("token")
-        # plain longs only here: they are summed by hash, and most tokens end here
-        several = each.groupBy("token").agg(F.min("class").alias("x"), F.max("class").alias("y")).filter("x <> y").select("token")
-        shared = self.scratch.save(each.join(several.hint("shuffle_hash"), "token"), "shared")
+    def __init__(self, spark: SparkSession, docs: DataFrame, percent: int = 80):
+        self.spark, self.docs, self.percent, self.scratch = spark, docs, percent, Scratch(spark)
+
+    def lines(self) -> DataFrame:
+        """doc_id, th (hash of the text), line, s, class of each line with words."""
+        each = self.docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split(_normal("text"), "\n")).alias("line", "s"))
+        return each.filter(F.trim("s") != "").withColumn("class", F.xxhash64("s"))
+
+    def _classes(self) -> DataFrame:
+        """class, at (the place of its first line), copies, s."""
         at = F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id", "line")
-        posts = self.scratch.save(shared.groupBy("token", "class").agg(F.min(at).alias("at")), "posts")
-        heads = posts.groupBy("token").agg(F.min(F.struct("at", "class")).alias("head"))
-        self.scratch.drop("shared")
-        return self.scratch.save(posts.join(heads, "token"), "postings")
-
-    def _sets(self, postings: DataFrame) -> DataFrame:
-        """class, tokens of every posted class, made again from the text of its first line."""
-        places = postings.groupBy("class").agg(F.min("at").alias("at")).select("class", "at.doc_id", "at.line")
-        wanted = places.groupBy("doc_id").agg(F.collect_list(F.struct("line", "class")).alias("wanted")).withColumnRenamed("doc_id", "d")
-        found = self.docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("d")))
-        pick = lambda lines: F.transform("wanted", lambda w: F.struct(w["class"].alias("class"), F.get(lines, w["line"]).alias("s")))
-        found = found.select(F.explode(F.get(F.transform(F.array(F.split("text", "\n")), pick), F.lit(0))).alias("w")).select("w.class", "w.s").filter("s is not null")
-        found = found.filter(F.xxhash64(_words(F.col("s"))) == F.col("class"))  # rows that share a doc_id have other lines at the place
-        sets = found.dropDuplicates(["class"]).select("class", line_tokens(F.col("s"), self.shingle).alias("tokens"))
-        return self.scratch.save(sets.withColumn("n", F.size("tokens")), "sets")
-
-    def _verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """class, match of the pairs whose whole sets are similar enough. Lengths that cannot fit are left out before sets are compared."""
-        sizes = sets.select("class", "n")
-        pairs = pairs.select("class", "match").distinct().join(sizes, "class").join(sizes.withColumnsRenamed({"class": "match", "n": "m"}), "match")
-        pairs = pairs.filter(100 * F.least("n", "m") >= self.percent * F.greatest("n", "m")).select("class", "match")
-        full = pairs.join(sets.select("class", "tokens"), "class").join(sets.select(F.col("class").alias("match"), F.col("tokens").alias("others")), "match")
-        shared = F.size(F.array_intersect("tokens", "others"))
-        return full.filter(100 * shared >= self.percent * (F.size("tokens") + F.size("others") - shared)).select("class", "match")
-
-    def matches(self) -> tuple[DataFrame, DataFrame]:
-        """The lines, and (class, match) with an earlier similar class for each class that has one."""
-        lines = self._lines()
-        postings = self._postings(lines)
-        release(self.spark)
-        sets = self._sets(postings)
-        release(self.spark)
-        tried = postings.filter(F.col("class") != F.col("head.class")).select("class", F.col("head.class").alias("match"))
-        first = self.scratch.save(self._verified(tried, sets), "first")
-        left = postings.join(first.select("class").distinct(), "class", "left_anti").filter(F.col("class") != F.col("head.class"))
-        others = postings.select("token", F.col("class").alias("match"), F.col("at").alias("before"))
-        pairs = left.join(others, "token").filter("before < at and match <> head.class")
-        second = self.scratch.save(self._verified(pairs, sets), "second")
-        found = first.union(second)
-        self.scratch.drop("postings", "posts", "sets")
-        return lines, found
+        return self.scratch.save(self.lines().groupBy("class").agg(F.min(at).alias("at"), F.count("*").alias("copies"), F.any_value("s").alias("s")), "classes")
+
+    def _prefixes(self, classes: DataFrame, rarity: Rarity) -> DataFrame:
+        """class, at, n, map, prefix: a class's size, parity map, and the keys of its rarest words."""
+        hashes = F.transform(_words("s"), lambda w: F.xxhash64(w))
+        keyed = classes.select("class", "at", F.sort_array(F.transform(hashes, rarity.key)).alias("keys"))
+        n = F.size("keys")
+        posted = n - F.floor((n * self.percent + 99) / 100).cast("int") + 1
+        parity = F.aggregate("keys", F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(_shift("shiftleft", F.lit(1).cast("long"), F.shiftright(k, 53))))
+        return self.scratch.save(keyed.select("class", "at", n.alias("n"), parity.alias("map"), F.slice("keys", F.lit(1), posted).alias("prefix")), "prefixes")
+
+    def _fits(self) -> Column:
+        """The filters on a pair of postings x and y of one word."""
+        p, both = self.percent, F.col("x.n") + F.col("y.n")
+        length = 100 * F.least("x.n", "y.n") >= p * F.greatest("x.n", "y.n")
+        places = (100 + p) * F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) >= p * both
+        maps = (100 + p) * F.bit_count(F.col("x.map").bitwiseXOR(F.col("y.map"))) <= (100 - p) * both
+        return length & places & maps
+
+    def _in_short_role(self) -> Column:
+        """Whether a posting can meet a set of at least its own size."""
+        return (100 + self.percent) * (F.col("n") - F.col("pos")) >= 2 * self.percent * F.col("n")
+
+    @staticmethod
+    def _ordered() -> Column:
+        return (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.class") < F.col("y.class")))
+
+    @staticmethod
+    def _pairs(joined: DataFrame) -> DataFrame:
+        return joined.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
+
+    def _short_lists(self, postings: DataFrame) -> DataFrame:
+        """Pairs within lists that have a proven bound."""
+        dealt = postings.repartition("token")
+        return self._pairs(dealt.filter(self._in_short_role()).alias("x").join(dealt.alias("y"), (F.col("x.token") == F.col("y.token")) & self._ordered() & self._fits()))
+
+    def _against_first(self, postings: DataFrame, rarity: Rarity) -> DataFrame:
+        """Pairs of each class with the first one of its group of each list."""
+        groups = F.element_at(F.array(*[F.lit(max(1, -(-rarity.most(v) // GROUP))) for v in range(LEVELS)]), (F.shiftright("token", 59) + 1).cast("int"))
+        dealt = postings.withColumn("group", F.pmod(F.xxhash64("class", "token"), groups)).repartition("token", "group")
+        first = dealt.groupBy("token", "group").agg(F.min(F.struct("at", "class", "n", "map", "pos")).alias("f")).select("token", "group", "f.*")
+        return self._pairs(dealt.alias("x").join(first.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.group") == F.col("y.group")) & (F.col("x.class") != F.col("y.class")) & self._fits()))
+
+    def _long_lists(self, prefixes: DataFrame, late: DataFrame, is_long: Column) -> DataFrame:
+        """Pairs within the other lists, except those of two classes that are known to be late."""
+        size = F.log(F.col("n").cast("double")) / math.log(100 / self.percent)
+        known = prefixes.join(late.withColumn("late", F.lit(True)), "class", "left").withColumn("late", F.coalesce("late", F.lit(False)))
+        postings = self._postings(known, "late").filter(is_long)
+        x = postings.filter(self._in_short_role()).withColumn("band", F.explode(F.sequence(F.floor(size - 1e-9), F.floor(size + 1 + 1e-9))))
+        y = postings.withColumn("band", F.floor(size))
+        same = (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band"))
+        return self._pairs(x.alias("x").join(y.alias("y"), same & ~(F.col("x.late") & F.col("y.late")) & self._ordered() & self._fits()))
+
+    @staticmethod
+    def _postings(prefixes: DataFrame, *more: str) -> DataFrame:
+        return prefixes.select("class", "n", "map", *more, F.posexplode("prefix").alias("pos", "token"))
+
+    def _late(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+        """The later class of each pair whose words are similar enough."""
+        ids = self.scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "ids")
+        wanted = classes.filter(Membership(ids, "class").may_have(F.col("class"))).select("class", "at", "s").join(ids, "class")
+        wanted = self.scratch.save(wanted, "wanted")
+        x, y = (wanted.select(F.col("class").alias(c), F.col("at").alias(f"at_{c}"), F.col("s").alias(f"s_{c}")) for c in "ab")
+        full = pairs.join(x, "a").join(y, "b").select("a", "b", "at_a", "at_b", _words("s_a").alias("v"), _words("s_b").alias("w"))
+        full = full.select("a", "b", "at_a", "at_b", F.size("v").alias("n"), F.size("w").alias("m"), F.size(F.array_intersect("v", "w")).alias("both"))
+        alike = full.filter(100 * F.col("both") >= self.percent * (F.col("n") + F.col("m") - F.col("both")))
+        return alike.select(F.when(F.col("at_a") < F.col("at_b"), F.col("b")).when(F.col("at_b") < F.col("at_a"), F.col("a")).alias("class")).filter("class is not null").distinct()
+
+    def late_classes(self) -> tuple[DataFrame, DataFrame]:
+        """The classes, and those that have an earlier similar one."""
+        classes, save = self._classes(), self.scratch.save
+        rarity = Rarity(classes)
+        prefixes = self._prefixes(classes, rarity)
+        short = sum(rarity.most(v) <= SHORT for v in range(LEVELS))
+        is_long = F.shiftright("token", 59) >= short
+        early = save(self._short_lists(self._postings(prefixes).filter(~is_long)), "pairs-short").union(save(self._against_first(self._postings(prefixes, "at").filter(is_long), rarity), "pairs-first"))
+        first = save(self._late(save(early.distinct(), "pairs-1"), classes), "late-1")
+        rest = save(self._long_lists(prefixes, first, is_long), "pairs-long").join(early, ["a", "b"], "left_anti")
+        second = save(self._late(save(rest, "pairs-2"), classes), "late-2")
+        self.scratch.drop("prefixes", "pairs-short", "pairs-first", "pairs-1", "pairs-2", "pairs-long")
+        return classes, first.union(second).distinct()
 
     def removed_lines(self) -> DataFrame:
-        """doc_id, th, lines: the sorted numbers of the lines that go."""
-        lines, found = self.matches()
+        """doc_id, th, gone: the sorted numbers of the lines that go."""
+        classes, late = self.late_classes()
+        marked = classes.select("class", "at", "copies").join(late.withColumn("late", F.lit(True)), "class", "left").filter("late or copies > 1")
+        marked = self.scratch.save(marked.select("class", F.col("at").alias("head"), F.coalesce("late", F.lit(False)).alias("late")), "marked")
+        self.scratch.drop("classes", "late-1", "late-2")
         at = F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id", "line")
-        late = found.select("class").distinct().withColumn("late", F.lit(True))
-        copied = lines.groupBy("class").agg(F.count("*").alias("copies")).filter("copies > 1").select("class")
-        known = copied.join(late, "class", "full").select("class", F.coalesce("late", F.lit(False)).alias("late"))
-        several = self.scratch.save(lines.select("doc_id", "th", "line", "class").join(known, "class"), "several")
-        heads = several.groupBy("class").agg(F.min(at).alias("head"))
-        gone = several.join(heads, "class").filter(F.col("late") | (at != F.col("head")))
-        gone = gone.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("line")).alias("gone"))
+        found = self.lines().filter(Membership(marked, "class").may_have(F.col("class"))).select("doc_id", "th", "line", "class").join(marked, "class")
+        gone = found.filter(F.col("late") | (at != F.col("head"))).groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("line")).alias("gone"))
         return self.scratch.save(gone, "gone")
 
 
@@ -204,9 +230,9 @@ def _kept(lines: Column, gone: Column) -> Column:
     return F.array_join(F.zip_with(F.slice(lines, 1, F.size(lines)), F.slice(flags, 1, F.size(lines)), lambda s, f: F.when(F.coalesce(f, F.lit("0")) != "1", s)), "\n")
 
 
-def dedup_lines(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent: int = 80, names: tuple = ("n_lines", "n_removed")) -> DataFrame:
+def dedup_lines(spark: SparkSession, docs: DataFrame, percent: int = 80, names: tuple = ("n_lines", "n_removed")) -> DataFrame:
     """The rows of docs with their text cut, and the numbers of lines and of removed ones under the two names."""
-    gone = LineJoin(spark, docs, shingle, percent).removed_lines().withColumnsRenamed({"doc_id": "__d", "th": "__h", "gone": "__gone"})
+    gone = LineJoin(spark, docs, percent).removed_lines().withColumnsRenamed({"doc_id": "__d", "th": "__h", "gone": "__gone"})
     both = docs.withColumn("__th", F.xxhash64("text")).join(gone, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__th") == F.col("__h")), "left")
     split = F.split("text", "\n")
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(_kept(split, F.col("__gone")))

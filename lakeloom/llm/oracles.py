@@ -56,14 +56,17 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM c GROUP BY conv_id
 """
 
+#: A line is its set of words. Pairs are looked for by the rarest words only (a set of n needs n - ceil(0.8 n) + 1 of them), then compared whole.
 OP10 = f"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
-w AS (SELECT doc_id, i, regexp_extract_all(lower(s), '{WORD}') AS w FROM l),
-t AS (SELECT doc_id, i, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda k: array_to_string(w[k : k + 4], ' ')))) AS t FROM w WHERE len(w) > 0),
-c AS (SELECT t, min({{'d': doc_id, 'i': i}}) AS at, row_number() OVER (ORDER BY min({{'d': doc_id, 'i': i}})) AS c FROM t GROUP BY t),
+t AS (SELECT doc_id, i, list_sort(list_distinct(regexp_extract_all(lower(s), '{WORD}'))) AS t FROM l),
+c AS (SELECT t, min({{'d': doc_id, 'i': i}}) AS at, row_number() OVER (ORDER BY min({{'d': doc_id, 'i': i}})) AS c FROM t WHERE len(t) > 0 GROUP BY t),
 g AS (SELECT c, len(t) AS n, unnest(t) AS s FROM c),
-pair AS (SELECT b.c AS late, count(*) AS common, any_value(a.n) AS na, any_value(b.n) AS nb FROM g a JOIN g b ON a.s = b.s AND a.c < b.c GROUP BY a.c, b.c),
-late AS (SELECT DISTINCT late FROM pair WHERE 100 * common >= 80 * (na + nb - common)),
+df AS (SELECT s, count(*) AS df FROM g GROUP BY s),
+p AS (SELECT c, n, s FROM (SELECT c, n, s, row_number() OVER (PARTITION BY c ORDER BY df, s) AS r FROM g JOIN df USING (s)) WHERE r <= n - (80 * n + 99) // 100 + 1),
+pair AS (SELECT DISTINCT a.c AS early, b.c AS late FROM p a JOIN p b ON a.s = b.s AND a.c < b.c WHERE 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+both AS (SELECT late, len(list_intersect(a.t, b.t)) AS common, len(a.t) AS na, len(b.t) AS nb FROM pair JOIN c a ON a.c = early JOIN c b ON b.c = late),
+late AS (SELECT DISTINCT late FROM both WHERE 100 * common >= 80 * (na + nb - common)),
 gone AS (SELECT t.doc_id, t.i FROM t JOIN c ON t.t = c.t WHERE c.c IN (SELECT late FROM late) OR c.at <> {{'d': t.doc_id, 'i': t.i}}),
 kept AS (SELECT l.doc_id, count(*) AS n_lines, count(g.i) AS n_removed, coalesce(string_agg(l.s, chr(10) ORDER BY l.i) FILTER (g.i IS NULL), '') AS text
          FROM l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.i = l.i GROUP BY l.doc_id)

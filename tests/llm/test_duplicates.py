@@ -141,13 +141,13 @@ def test_star_components(spark):
     assert got == {b"%03d" % k: b"%03d" % v for k, v in {1: 1, 2: 1, 3: 1, 4: 1, 7: 7, 8: 7, 9: 7, 20: 20, 21: 20}.items()}
 
 
-def line_want(rows, k=5, percent=80):
+def line_want(rows, percent=80):
     lines = []
     for i, (d, t, *_) in enumerate(rows):
         for n, s in enumerate(t.split("\n") if t is not None else []):
             w = WORD.findall(s.lower())
             if w:
-                lines.append(((d is not None, d or 0, n), i, frozenset([tuple(w)] if len(w) < k else [tuple(w[j : j + k]) for j in range(len(w) - k + 1)])))
+                lines.append(((d is not None, d or 0, n), i, frozenset(w)))
     gone = set()
     for at, i, x in lines:
         if any(b < at and 100 * len(x & y) >= percent * len(x | y) for b, _, y in lines):
@@ -185,6 +185,36 @@ def test_line_dedup_of_repeated_rows_and_other_sizes(spark):
     assert got == [(1, "a b c d e f\nx"), (1, "a b c d e f\nx"), (2, "y")]
     texts = corpus(6, 20)
     rows = list(enumerate(texts))
-    gone = line_want(rows, 2, 60)
-    got = linedup.dedup_lines(spark, spark.createDataFrame(rows, "doc_id long, text string"), shingle=2, percent=60)
-    assert got.agg(F.sum("n_removed")).first()[0] == len(gone)
+    for percent in (50, 60, 95):
+        gone = line_want(rows, percent)
+        got = linedup.dedup_lines(spark, spark.createDataFrame(rows, "doc_id long, text string"), percent=percent)
+        assert got.agg(F.sum("n_removed")).first()[0] == len(gone)
+
+
+def test_line_dedup_with_a_word_in_most_lines_and_a_large_family(spark, monkeypatch):
+    """Long lists: a word that is rare in no line, and near copies that match each other but mostly not the first."""
+    monkeypatch.setattr(linedup, "SHORT", 3)
+    monkeypatch.setattr(linedup, "GROUP", 4)
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(30)]
+    family = []
+    for _ in range(120):
+        x = list(base)
+        for _ in range(rng.randrange(5)):
+            x[rng.randrange(30)] = f"b{rng.randrange(40)}"
+        family.append(" ".join(x))
+    hot = [f"hot {a} {b} {c}" for a in "pqr" for b in "stu" for c in "vwx"] + ["hot p s v z", "hot p s", "hot", "HOT", "hot hot"]
+    texts = ["\n".join(rng.sample(family, 6) + rng.sample(hot, 4)) for _ in range(40)]
+    rows = list(enumerate(texts))
+    gone = line_want(rows)
+    got = {r["doc_id"]: r["text"] for r in linedup.dedup_lines(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: "\n".join(s for j, s in enumerate(t.split("\n")) if (i, j) not in gone) for i, t in rows}
+
+
+def test_line_dedup_of_a_very_long_line(spark):
+    words = [f"v{i}" for i in range(1_100_000)]
+    near = words[:900_000] + [f"u{i}" for i in range(200_000)]
+    rows = [(1, " ".join(words)), (2, "short\n" + " ".join(words[::-1])), (3, " ".join(near)), (4, " ".join(words[:880_000]) + "\tv5")]
+    got = {r["doc_id"]: r for r in linedup.dedup_lines(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: r["n_removed"] for i, r in got.items()} == {1: 0, 2: 1, 3: 0, 4: 1}
+    assert got[2]["text"] == "short" and got[4]["text"] == ""
