@@ -88,25 +88,26 @@ class Membership:
 
 
 class Rarity:
-    """The level of each of the 2**20 buckets of words. The highest level holds the largest count of any bucket."""
+    """The level of each of the 2**20 buckets of words. Levels are equal steps of the logarithm up to the largest count."""
+
+    PARTS = 8  # of a factor of two
 
     def __init__(self, lines: DataFrame):
         each = lines.select(F.explode(F.split("s", " ")).alias("w")).filter("w <> ''")
         counts = each.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).agg(F.count("*").alias("n"))
-        counts = counts.select("b", F.floor(F.log2("n") + 1e-9).cast("long").alias("level"))
-        packed = counts.groupBy(F.shiftright("b", 4).alias("slot")).agg(*[F.max(F.when(F.col("b").bitwiseAND(F.lit(15)) == i, F.col("level"))).alias(f"l{i}") for i in range(16)])
-        rows = packed.collect()  # at most SLOTS rows
-        top = max((r[f"l{i}"] or 0 for r in rows for i in range(16)), default=0)
-        # log2 of counts, in steps that make the largest count's level LEVELS - 1 at most
-        self.step = max(1, -(-(top + 1) // LEVELS))
+        counts = counts.select("b", F.floor(F.log2("n") * self.PARTS + 1e-9).cast("int").alias("log"))
+        packed = counts.groupBy(F.shiftright("b", 4).alias("slot")).agg(F.collect_list(F.struct(F.col("b").bitwiseAND(F.lit(15)).cast("int").alias("i"), "log")).alias("logs"))
+        rows = packed.collect()  # at most SLOTS rows of at most 16 pairs
+        top = max((x["log"] for r in rows for x in r["logs"]), default=0)
+        self.step = -(-(top + 1) // LEVELS)
         numbers = [0] * SLOTS
         for r in rows:
-            numbers[r["slot"]] = _signed(sum(((r[f"l{i}"] or 0) // self.step) << (4 * i) for i in range(16)))
+            numbers[r["slot"]] = _signed(sum((x["log"] // self.step) << (4 * x["i"]) for x in r["logs"]))
         self.table = _slots(numbers)
 
     def most(self, level: int) -> int:
         """The largest count that a level can stand for."""
-        return (1 << ((level + 1) * self.step)) - 1
+        return int(2 ** ((level + 1) * self.step / self.PARTS))
 
     def key(self, h: Column) -> Column:
         """Sorts rare words first: the level, then 59 bits of hash."""
@@ -189,11 +190,10 @@ class LineJoin:
         """The later class of each pair whose words are similar enough."""
         ids = self.scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "ids")
         wanted = classes.filter(Membership(ids, "class").may_have(F.col("class"))).select("class", "at", "s").join(ids, "class")
-        wanted = self.scratch.save(wanted, "wanted")
-        x, y = (wanted.select(F.col("class").alias(c), F.col("at").alias(f"at_{c}"), F.col("s").alias(f"s_{c}")) for c in "ab")
-        full = pairs.join(x, "a").join(y, "b").select("a", "b", "at_a", "at_b", _words("s_a").alias("v"), _words("s_b").alias("w"))
-        full = full.select("a", "b", "at_a", "at_b", F.size("v").alias("n"), F.size("w").alias("m"), F.size(F.array_intersect("v", "w")).alias("both"))
-        alike = full.filter(100 * F.col("both") >= self.percent * (F.col("n") + F.col("m") - F.col("both")))
+        wanted = self.scratch.save(wanted.select("class", "at", _words("s").alias("words")), "wanted")
+        x, y = (wanted.select(F.col("class").alias(c), F.col("at").alias(f"at_{c}"), F.col("words").alias(f"words_{c}")) for c in "ab")
+        full = pairs.join(x, "a").join(y, "b")
+        alike = full.filter((100 + self.percent) * F.size(F.array_intersect("words_a", "words_b")) >= self.percent * (F.size("words_a") + F.size("words_b")))
         return alike.select(F.when(F.col("at_a") < F.col("at_b"), F.col("b")).when(F.col("at_b") < F.col("at_a"), F.col("a")).alias("class")).filter("class is not null").distinct()
 
     def late_classes(self) -> tuple[DataFrame, DataFrame]:
