@@ -104,8 +104,10 @@ def text_blocks(column, block_bytes: int = BLOCK_BYTES):
         if k == 1:
             buffer = np.append(data[lo:hi], np.uint8(10))
         else:
-            buffer = np.full(hi - lo + k, 10, np.uint8)
-            buffer[np.arange(hi - lo) + np.repeat(np.arange(k), np.diff(offsets[i : j + 1]))] = data[lo:hi]
+            buffer, raw_bytes = np.full(hi - lo + k, 10, np.uint8), memoryview(data)
+            view = memoryview(buffer)
+            for at, a, b in zip(starts[:-1].tolist(), offsets[i:j].tolist(), offsets[i + 1 : j + 1].tolist(), strict=True):
+                view[at : at + b - a] = raw_bytes[a:b]
         yield i, k, buffer, starts
         i = j
 

@@ -11,8 +11,9 @@ A plan entry gives the ranks (within a length) that it places, its first bin, ho
 share a bin, and the offset of the first. Documents get their rank within their length from the
 counts of the tasks before theirs, and take their slots by joining with the plan on rank.
 
-Tokens are made word by word with a bounded cache: the tokenizer never joins what white space
-separates, so a text's ids are its words' ids in order.
+Tokens are made word by word with a cache of bounded memory, as arrays: the tokenizer never joins what
+white space separates, so a text's ids are its words' ids in order. Words are told apart in the
+cache by 64-bit hash and length.
 
 Defined results: null text is empty, which is one piece with the end token alone; a text of
 exactly ``capacity`` tokens is one piece; repeated rows are packed each.
@@ -21,6 +22,7 @@ exactly ``capacity`` tokens is one piece; repeated rows are packed each.
 from __future__ import annotations
 
 import bisect
+import itertools
 import zlib
 
 import numpy as np
@@ -28,17 +30,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeloom.llm.common import Scratch
+from lakeloom.llm.common import Scratch, find_words, hash_words, spans_of, text_blocks
 
 CAPACITY, END = 4096, 1
-CACHE_WORDS = 500_000
+SLOTS, POOL_IDS = 1 << 20, 1 << 22
 
 
 class WordTokenizer:
-    """Ids of whole texts by the tokenizer of a file, as little-endian unsigned 32-bit numbers.
+    """Ids of whole texts by the tokenizer of a file.
 
-    Words are cached in two generations: when the young one is full it becomes the old one, and words that are
-    met again move over, so frequent words stay. A worker process keeps its cache from task to task.
+    Words are looked up by their 64-bit hash and length in a table of fixed size: each has two slots, and a new one takes
+    the place of another word if both are taken. Their ids stand one after the other in a pool. When it is over POOL_IDS,
+    table and pool start anew, so that memory is bounded by that and one block's words, whatever their length. A worker
+    process keeps them from task to task.
     """
 
     of_path: dict[str, WordTokenizer] = {}
@@ -47,8 +51,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self._clear()
 
     @classmethod
     def get(cls, path: str) -> WordTokenizer:
@@ -56,21 +59,45 @@ class WordTokenizer:
             cls.of_path[path] = cls(path)
         return cls.of_path[path]
 
-    def ids(self, texts: list[bytes]) -> list[bytes]:
-        if len(self.known) > CACHE_WORDS:
-            self.old, self.known = self.known, {}
-        known, old = self.known, self.old
-        words = [t.split() for t in texts]  # bytes.split() splits at 0x20 and 0x09-0x0D only
-        order = []
-        for w in set().union(*words).difference(known):
-            if w in old:
-                known[w] = old[w]
-            else:
-                order.append(w)
-        for w, e in zip(order, self.tokenizer.encode_batch_fast([w.decode() for w in order], add_special_tokens=False), strict=True):
-            known[w] = np.asarray(e.ids, "<u4").tobytes()
-        get = known.__getitem__
-        return [b"".join(map(get, ws)) for ws in words]
+    def _clear(self) -> None:
+        self.hashes, self.sizes = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32)
+        self.starts, self.counts = np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int32)
+        self.pool, self.used = np.zeros(1 << 16, "<u4"), 0
+
+    def _add(self, ids: np.ndarray) -> int:
+        """The place of new ids in the pool."""
+        at = self.used
+        if at + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(ids)), "<u4")])
+        self.pool[at : at + len(ids)] = ids
+        self.used += len(ids)
+        return at
+
+    def ids(self, buffer: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words of a buffer, and where each word's begin (the total at the end)."""
+        if self.used > POOL_IDS:
+            self._clear()
+        h, size = hash_words(buffer, first, last), last - first
+        one, two = (h & np.uint64(SLOTS - 1)).astype(np.int64), ((h >> np.uint64(32)) & np.uint64(SLOTS - 1)).astype(np.int64)
+        in_one = (self.hashes[one] == h) & (self.sizes[one] == size)
+        slot = np.where(in_one, one, two)
+        known = in_one | ((self.hashes[two] == h) & (self.sizes[two] == size))
+        start, count = self.starts[slot], self.counts[slot].astype(np.int64)
+        new = np.flatnonzero(~known)
+        if len(new):
+            values, place, which = np.unique(h[new], return_index=True, return_inverse=True)
+            at = new[place]
+            raw = buffer.tobytes()
+            encoded = self.tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in zip(first[at].tolist(), last[at].tolist(), strict=True)], add_special_tokens=False)
+            lists = [e.ids for e in encoded]
+            counts = np.fromiter(map(len, lists), np.int64, len(lists))
+            begin = self._add(np.fromiter(itertools.chain.from_iterable(lists), "<u4", int(counts.sum()))) + np.cumsum(counts) - counts
+            into = np.where(self.sizes[one[at]] == 0, one[at], two[at])
+            self.hashes[into], self.sizes[into], self.starts[into], self.counts[into] = values, size[at], begin, counts
+            start[new], count[new] = begin[which], counts[which]
+        ends = np.cumsum(count)
+        begins = np.concatenate([[0], ends])
+        return self.pool[np.arange(begins[-1]) + np.repeat(start - begins[:-1], count)], begins
 
 
 def _pieces(path: str, capacity: int, end: int, with_ids: bool):
@@ -82,48 +109,40 @@ def _pieces(path: str, capacity: int, end: int, with_ids: bool):
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        task, tokenizer, seen, rank_of = TaskContext.get().partitionId(), WordTokenizer.get(path), 0, {}
-        tail = np.asarray([end], "<u4").tobytes()
+        task, tokenizer, rank_of = TaskContext.get().partitionId(), WordTokenizer.get(path), np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            texts = batch.column("text")
-            for lo, hi in _slices(texts):
-                rows = {c: [] for c in ("doc", "row", "piece", "start", "length", "crc", "rank", "ids")}
-                encoded = tokenizer.ids([(t.as_py() or "").encode() for t in texts[lo:hi]])
-                for i, ids in enumerate(encoded, lo):
-                    ids += tail
-                    total = len(ids) // 4
-                    for piece in range((total + capacity - 1) // capacity):
-                        part = ids[piece * capacity * 4 : (piece + 1) * capacity * 4]
-                        length = len(part) // 4
-                        rank = rank_of.get(length, 0)
-                        rank_of[length] = rank + 1
-                        for c, v in zip(rows, (i, seen + i, piece, piece * capacity, length, zlib.crc32(part), rank, np.frombuffer(part, "<u4").astype(np.int32) if with_ids else None), strict=True):
-                            rows[c].append(v)
+            for i, k, buffer, starts in text_blocks(batch.column("text")):
+                first, last = find_words(buffer)
+                ids, begins = tokenizer.ids(buffer, first, last)
+                ends = begins[spans_of(starts, first)]
+                # each document's ids and its end token
+                ids = np.insert(ids, ends[1:], end).astype("<u4")
+                ends = ends + np.arange(k + 1)
+                total = np.diff(ends)
+                pieces = -(-total // capacity)
+                doc = np.repeat(np.arange(k), pieces)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                start = piece * capacity
+                length = np.minimum(capacity, total[doc] - start)
+                raw, lo = memoryview(ids.view(np.uint8)), (ends[doc] + start) * 4
+                crc = [zlib.crc32(raw[a:b]) for a, b in zip(lo.tolist(), (lo + length * 4).tolist(), strict=True)]
+                order = np.argsort(length, kind="stable")
+                _, at, many = np.unique(length[order], return_index=True, return_counts=True)
+                rank = np.empty(len(doc), np.int64)
+                rank[order] = np.arange(len(doc)) - np.repeat(at, many)
+                rank += rank_of[length]
+                rank_of[length[order][at]] += many
                 out = {
-                    "doc_id": batch.column("doc_id").take(pa.array(rows["doc"], pa.int64())), "task": pa.array([task] * len(rows["doc"]), pa.int32()), "piece": pa.array(rows["piece"], pa.int32()), "start": pa.array(rows["start"], pa.int64()),
-                    "length": pa.array(rows["length"], pa.int32()), "ids_crc32": pa.array(rows["crc"], pa.int64()), "task_rank": pa.array(rows["rank"], pa.int64()),
+                    "doc_id": batch.column("doc_id").take(pa.array(doc + i)), "task": pa.array(np.full(len(doc), task, np.int32)), "piece": pa.array(piece.astype(np.int32)), "start": pa.array(start),
+                    "length": pa.array(length.astype(np.int32)), "ids_crc32": pa.array(crc, pa.int64()), "task_rank": pa.array(rank),
                 }
                 if with_ids:
-                    out["ids"] = pa.array(rows["ids"], pa.list_(pa.int32()))
+                    out["ids"] = pa.ListArray.from_arrays(pa.array(np.append(ends[doc] + start, ends[-1]).astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_pydict(out)
-            seen += batch.num_rows
 
     return scan
 
 
-def _slices(texts, most: int = 1 << 20):
-    """Row ranges of an Arrow string column of about most bytes."""
-    import pyarrow.compute as pc
-
-    sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), np.int64)
-    total = np.concatenate([[0], np.cumsum(sizes)])
-    lo = 0
-    while lo < len(sizes):
-        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + most, "right")) - 1)
-        yield lo, hi
-        lo = hi
-
-
 def plan_bins(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple], int]:
     """Entries (length, rank_from, rank_to, first_bin, per_bin, offset) and the number of bins; best-fit decreasing over counts."""
     rooms: list[int] = []  # sorted; runs[room]: runs of bins with that room, as (first bin, bins)

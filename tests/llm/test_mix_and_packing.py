@@ -122,3 +122,39 @@ def test_packing_repeated_rows_and_nothing(spark):
     got = packing.pack_documents(spark, docs(spark, rows), tokenizer_path(), with_ids=False).collect()
     assert len(got) == 40 and len({(r["sequence_id"], r["offset"]) for r in got}) == 40
     assert packing.pack_documents(spark, docs(spark, []), tokenizer_path(), with_ids=False).count() == 0
+
+
+def test_plan_equals_plain_best_fit_decreasing():
+    rng = np.random.default_rng(9)
+    for capacity, n in ((10, 80), (50, 300), (97, 500)):
+        lengths = rng.integers(1, capacity + 1, n).tolist()
+        bins = []
+        for length in sorted(lengths, reverse=True):
+            fit = [b for b in bins if sum(b) + length <= capacity]
+            if fit:
+                max(fit, key=sum).append(length)
+            else:
+                bins.append([length])
+        plan, count = packing.plan_bins(dict(Counter(lengths)), capacity)
+        got = [[] for _ in range(count)]
+        for length, a, b, first, each, _ in plan:
+            for rank in range(a, b):
+                got[first + (rank - a) // each].append(length)
+        assert sorted(map(sorted, got)) == sorted(map(sorted, bins))
+
+
+def test_ids_do_not_depend_on_the_cache(monkeypatch):
+    from tokenizers import Tokenizer
+
+    from lakeloom.llm.common import find_words
+
+    monkeypatch.setattr(packing, "SLOTS", 8)
+    monkeypatch.setattr(packing, "POOL_IDS", 50)
+    words, plain = packing.WordTokenizer(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
+    rng = np.random.default_rng(2)
+    for _ in range(30):
+        text = " ".join(f"wörd{rng.integers(0, 40)}" for _ in range(rng.integers(0, 60))) + " " + "long" * int(rng.integers(0, 200))
+        raw = np.frombuffer(text.encode() + b"\n", np.uint8)
+        ids, begins = words.ids(raw, *find_words(raw))
+        assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids and begins[-1] == len(ids)
+        assert words.used <= 50 + 800
