@@ -1,4 +1,4 @@
-"""Substring de-duplication by counting windows in blocks of an elected-anchor index.
+"""Substring de-duplication by relative Lempel-Ziv parsing against blocks of an elected-anchor index.
 
 A repeat is a run of ``window`` words that also starts at another place of the corpus.
 
@@ -6,23 +6,26 @@ A repeat is a run of ``window`` words that also starts at another place of the c
    smallest hash, leftmost on ties) as its anchor. Equal windows elect equal anchors, so a
    window whose anchor occurs once in the whole corpus is certainly unique. Anchors are
    counted over all documents; what is left are the phrases that the reference is indexed by.
-2. *Reference blocks.* The windows around one indexed anchor form a run. Runs with the same
-   anchor make a block; equal runs of a block collapse to one representative.
-3. *Windows.* A run that has a twin is covered as it stands. The others, and one of each kind of
-   twins, are taken apart into windows, which are counted within their block; each that occurs
-   more than once is a span. This replaces the relative Lempel-Ziv parsing: nothing is extended
-   greedily and no factors are made. A repeat is defined by whole windows, all of which elect
-   their block, so the count finds every one of them by aggregation alone.
-4. The spans of a document are united; covered words go.
-
-The text itself is never sent along with anchors: only hashes travel, and the documents are
-joined with their spans at the end. Counting and joining is by aggregation and sort-merge join,
-so a passage that a third of all documents share is summed before it is shuffled.
+2. *Reference blocks.* The windows around one indexed anchor form a run, of at most ``window - gram + 1``
+   windows. All runs of one anchor are its block; equal runs of a block are one reference. The block's
+   index has, for each window, the first and the last place (reference, offset) at which it occurs.
+3. *Parsing.* Every reference is factored against its whole block, from left to right: at each window the
+   places of the index other than its own are followed as long as the next window stands at
+   the next place too, and the one that goes on longest becomes a factor. A factor has at least one window, so at
+   least ``window`` words; a window without another place is skipped as a literal. The window after a factor's last
+   is looked up anew, so words on both sides of a factor's boundary are judged by every window that spans
+   it. A run that has a twin is one factor as it stands.
+4. The factors of all runs of a document are united; covered words go.
+
+A block may be as large as its passage is frequent, so no task ever holds one: its index is an
+aggregation, and what is parsed by itself is one reference with the places of its own few windows. The
+text itself is never sent along with anchors: only hashes travel, and the documents are joined
+with their spans at the end.
 
 Defined results: null text has no words; texts with fewer than ``window`` words lose nothing;
 identical rows are places of their own (both lose their repeats); null ids are kept; columns
-beyond doc_id and text are ignored. Windows are equal if the 64-bit hashes of both the anchor
-and the window are.
+beyond doc_id and text are ignored; a text may have any length, and is held whole by one task with about 60 bytes
+for each byte. Windows are equal if the 64-bit hashes of both the anchor and the window are.
 """
 
 from __future__ import annotations
@@ -36,6 +39,7 @@ from pyspark.sql import functions as F
 from lakeloom.llm.common import Scratch, find_words, gram_hashes, hash_words, spans_of, text_blocks
 
 WINDOW, GRAM = 35, 8
+MAX = np.int64((1 << 63) - 1)
 
 
 def _elect(grams: np.ndarray, width: int) -> np.ndarray:
@@ -200,33 +204,104 @@ def _cut(window: int, text: bool):
     return scan
 
 
-def duplicate_spans(spark: SparkSession, docs: DataFrame, scratch: Scratch, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """doc_id, th (hash of the text), spans: the repeated runs and windows, as first and last window."""
-    keyed = docs.select(F.col("doc_id"), F.xxhash64("text").alias("th"), F.col("text"))
-    indexed = scratch.save(keyed.select("text").mapInArrow(_anchors(window, gram, False), "anchor long").groupBy("anchor").count().filter("count > 1").select("anchor"), "index")
+def parse(run: np.ndarray, i: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Greedy factors of many runs at once: first row, number of windows, place of the first in the block.
+
+    A row is a window of a run that has other places; rows are in order of run, then of i, the window's number. places: two
+    of its other places (-1: none); the next place is the number after.
+    """
+    n = len(run)
+    follows = np.append((run[1:] == run[:-1]) & (i[1:] == i[:-1] + 1), False)
+    length = np.ones((n, 2), np.int64)
+    todo = np.flatnonzero(follows)
+    # how far each place goes on: rows that follow each other by their distance from the end of their stretch
+    stretch = np.flatnonzero(~follows)
+    away = stretch[np.searchsorted(stretch, np.arange(n))] - np.arange(n)
+    for d in range(1, int(away.max(initial=0)) + 1):
+        rows = todo[away[todo] == d]
+        for c in (0, 1):
+            for e in (1, 0):  # the first one of equal places counts
+                on = (places[rows, c] >= 0) & (places[rows + 1, e] == places[rows, c] + 1)
+                length[rows[on], c] = 1 + length[rows[on] + 1, e]
+    length[places < 0] = 0
+    best = np.where(length[:, 1] > length[:, 0], 1, 0)
+    reach, firsts = length[np.arange(n), best], []
+    now = np.flatnonzero(np.append(True, run[1:] != run[:-1])) if n else np.zeros(0, np.int64)
+    ends = np.append(now[1:], n)
+    while len(now):
+        firsts.append(now)
+        now = now + np.maximum(reach[now], 1)
+        now, ends = now[now < ends], ends[now < ends]
+    first = np.sort(np.concatenate(firsts)) if firsts else np.zeros(0, np.int64)
+    first = first[reach[first] > 0]
+    return first, reach[first], places[first, best[first]]
+
+
+def _parse_runs(bits: int):
+    """One row for each factor of a reference."""
+    import pyarrow as pa
+
+    low = np.int64((1 << bits) - 1)
+
+    def scan(batches):
+        for batch in batches:
+            found = batch.column("found")
+            each = np.diff(np.asarray(found.offsets))
+            rows = found.flatten()
+            owner = np.repeat(np.arange(len(each)), each)
+            i, lo, hi = (rows.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("i", "lo", "hi"))
+            own = ((np.asarray(batch.column("run"))[owner] & ~low) | i) & MAX
+            places = np.stack([np.where(lo == own, -1, lo), np.where((hi == own) | (hi == lo), -1, hi)], 1)
+            first, many, place = parse(owner, i, places)
+            at = pa.array(owner[first])
+            yield pa.RecordBatch.from_pydict({
+                "anchor": batch.column("anchor").take(at), "run": batch.column("run").take(at), "i": pa.array(i[first].astype(np.int32)), "j": pa.array((i[first] + many - 1).astype(np.int32)),
+                "reference": pa.array(place & ~low), "offset": pa.array((place & low).astype(np.int32)),
+            })
+
+    return scan
+
+
+def reference_blocks(spark: SparkSession, docs: DataFrame, scratch: Scratch, window: int, gram: int) -> tuple[DataFrame, DataFrame]:
+    """The runs of all documents (doc_id, th, anchor, run, first, size) and the references of the blocks (anchor, run, copies, windows)."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    places = keyed.mapInArrow(_anchors(window, gram, True), f"doc_id {id_type}, th long, anchor long, first int, last int")
+    keyed = docs.select(F.col("doc_id"), F.xxhash64("text").alias("th"), F.col("text"))
+    places = scratch.save(keyed.mapInArrow(_anchors(window, gram, True), f"doc_id {id_type}, th long, anchor long, first int, last int"), "places")
+    indexed = places.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
     found = places.join(indexed, "anchor", "left_semi").groupBy("doc_id", "th").agg(F.collect_set(F.struct("anchor", "first", "last")).alias("runs"))
     found = scratch.save(found, "found")
+    scratch.drop("places")
     texts = keyed.join(found.withColumnsRenamed({"doc_id": "d", "th": "h"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h"))).select("doc_id", "th", "text", "runs")
-    runs = texts.mapInArrow(_run_hashes(window), f"doc_id {id_type}, th long, anchor long, run long, first int, windows array<long>")
-    runs = scratch.save(runs, "runs")
-    scratch.drop("index", "found")
-    classes = runs.groupBy("anchor", "run").agg(F.count("*").alias("copies"), F.min(F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id", "th", "first")).alias("head"))
-    known = scratch.save(classes, "classes")
-    same = runs.join(known, ["anchor", "run"])
-    whole = same.filter("copies > 1").select("doc_id", "th", "first", (F.col("first") + F.size("windows") - 1).alias("last"))
-    is_head = (F.col("head.th") == F.col("th")) & (F.col("head.first") == F.col("first")) & F.col("head.doc_id").eqNullSafe(F.col("doc_id"))
-    single = same.filter("copies = 1").select("doc_id", "th", "anchor", F.lit(True).alias("single"), "first", "windows")
-    heads = same.filter("copies > 1").filter(is_head).select("doc_id", "th", "anchor", F.lit(False).alias("single"), "first", "windows").dropDuplicates(["doc_id", "th", "anchor", "first"])
-    block = single.unionByName(heads)
-    block = block.select("doc_id", "th", "anchor", "single", "first", F.posexplode("windows").alias("i", "window"))
-    block = scratch.save(block.select("anchor", "window", "doc_id", "th", (F.col("first") + F.col("i")).alias("first"), "single"), "block")
-    twin = block.groupBy("anchor", "window").agg(F.count("*").alias("n")).filter("n > 1").select("anchor", "window")
-    part = block.filter("single").join(twin, ["anchor", "window"], "left_semi").select("doc_id", "th", "first", F.col("first").alias("last"))
-    spans = whole.unionByName(part).groupBy("doc_id", "th").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
-    spans = scratch.save(spans, "spans")
-    scratch.drop("runs", "classes", "block")
+    runs = scratch.save(texts.mapInArrow(_run_hashes(window), f"doc_id {id_type}, th long, anchor long, run long, first int, windows array<long>"), "runs")
+    scratch.drop("found")
+    references = scratch.save(runs.groupBy("anchor", "run").agg(F.count("*").alias("copies"), F.any_value("windows").alias("windows")), "references")
+    return runs.select("doc_id", "th", "anchor", "run", "first", F.size("windows").alias("size")), references
+
+
+def factors_of(references: DataFrame, window: int, gram: int) -> DataFrame:
+    """anchor, run, i, j, reference, offset: the factors (first and last window) of each reference, and where the block has them.
+
+    A place is one number: the upper bits of the reference's hash, and the offset in the lower ones.
+    """
+    bits = (window - gram + 1).bit_length()
+    each = references.select("anchor", "run", F.posexplode("windows").alias("i", "window"))
+    place = (F.col("run").bitwiseAND(F.lit(-1 << bits)).bitwiseOR(F.col("i"))).bitwiseAND(F.lit(int(MAX)))
+    each = each.withColumn("place", place)
+    index = each.groupBy("anchor", "window").agg(F.count("*").alias("n"), F.min("place").alias("lo"), F.max("place").alias("hi")).filter("n > 1").drop("n")
+    found = each.join(index, ["anchor", "window"]).groupBy("anchor", "run").agg(F.sort_array(F.collect_list(F.struct("i", "lo", "hi"))).alias("found"))
+    return found.mapInArrow(_parse_runs(bits), "anchor long, run long, i int, j int, reference long, offset int")
+
+
+def duplicate_spans(spark: SparkSession, docs: DataFrame, scratch: Scratch, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """doc_id, th (hash of the text), spans: the factors, as first and last window."""
+    runs, references = reference_blocks(spark, docs, scratch, window, gram)
+    own = scratch.save(factors_of(references, window, gram).select("anchor", "run", "i", "j"), "factors")
+    twins = references.filter("copies > 1").select("anchor", "run", F.lit(0).alias("i"), (F.size("windows") - 1).alias("j"))
+    single = own.join(references.filter("copies = 1").select("anchor", "run"), ["anchor", "run"], "left_semi")
+    parsed = scratch.save(single.unionByName(twins).groupBy("anchor", "run").agg(F.collect_list(F.struct("i", "j")).alias("factors")), "parsed")
+    spans = runs.join(parsed, ["anchor", "run"]).select("doc_id", "th", F.explode(F.transform("factors", lambda x: F.struct((F.col("first") + x["i"]).alias("first"), (F.col("first") + x["j"]).alias("last")))).alias("span"))
+    spans = scratch.save(spans.groupBy("doc_id", "th").agg(F.collect_set("span").alias("spans")), "spans")
+    scratch.drop("runs", "references", "factors", "parsed")
     return spans
 
 

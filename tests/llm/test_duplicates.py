@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from lakeloom.llm import linedup, minhash, rlz
@@ -55,6 +56,46 @@ def test_substring_removal_equals_brute_force(spark):
     assert rlz.remove_repeats(spark, df.limit(0)).count() == 0
 
 
+def test_parsing_is_greedy_and_factors_are_maximal():
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        runs = [np.sort(rng.choice(9, rng.integers(1, 9), replace=False)) for _ in range(6)]
+        run, i = np.repeat(np.arange(6), [len(r) for r in runs]), np.concatenate(runs)
+        places = rng.integers(0, 3, (len(i), 2)) * 100 + i[:, None] + rng.integers(0, 2, (len(i), 2))
+        places[rng.random(len(i)) < 0.3, 1] = -1
+        first, many, place = rlz.parse(run, i, places)
+        where = {(r, k): set(p[p >= 0].tolist()) for r, k, p in zip(run.tolist(), i.tolist(), places, strict=True)}
+        got = [(int(run[f]), int(i[f]), int(m), int(p)) for f, m, p in zip(first, many, place, strict=True)]
+        reach = lambda r, k, p: next(j for j in range(20) if p + j not in where.get((r, k + j), ()))  # noqa: B023, E731
+        for r in range(6):
+            at = 0
+            mine = [g for g in got if g[0] == r]
+            while at < 9:
+                if (r, at) not in where:
+                    at += 1  # a literal
+                    continue
+                _, k, m, p = mine.pop(0)
+                assert k == at and p in where[r, at]
+                assert m == reach(r, at, p) == max(reach(r, at, q) for q in where[r, at])
+                at += m
+            assert not mine
+
+
+def test_factors_name_equal_text(spark):
+    """Each factor's windows are the windows of the reference at the place that it names."""
+    rows, df = frame(spark, corpus(5, 30))
+    scratch = Scratch(spark)
+    _, references = rlz.reference_blocks(spark, df, scratch, 12, 4)
+    known = {(r["anchor"], r["run"]): r["windows"] for r in references.collect()}
+    upper = {(a, (run & (-1 << 4)) & (2**63 - 1)): w for (a, run), w in known.items()}
+    factors = rlz.factors_of(references, 12, 4).collect()
+    assert len(factors) > 20 and any(f["j"] > f["i"] for f in factors)
+    for f in factors:
+        size = f["j"] - f["i"] + 1
+        there = upper[f["anchor"], f["reference"]][f["offset"] : f["offset"] + size]
+        assert known[f["anchor"], f["run"]][f["i"] : f["j"] + 1] == there
+
+
 def test_substring_removal_with_small_windows(spark):
     rows, df = frame(spark, corpus(2, 20))
     words = [WORD.findall(t or "") for _, t, *_ in rows]
