@@ -33,6 +33,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,28 +60,24 @@ def _shift(name: str, value: Column, by: Column) -> Column:
     return F.call_function(name, value, by.cast("int"))
 
 
-def _slots(numbers: list[int]) -> Column:
+def _slots(numbers: np.ndarray) -> Column:
     """A constant array of SLOTS longs."""
-    return F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<bigint>")
+    return F.split(F.lit(",".join(map(str, numbers.tolist()))), ",").cast("array<bigint>")
 
 
 def _slot(table: Column, index: Column) -> Column:
     return F.get(table, index.bitwiseAND(F.lit(SLOTS - 1)).cast("int"))
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >= 1 << 63 else x
-
-
 class Membership:
     """A filter of fixed size over longs: false for most that are not in the table, true for all that are."""
 
     def __init__(self, table: DataFrame, column: str):
         key = F.col(column)
         bits = table.groupBy(F.shiftright(key, 6).bitwiseAND(F.lit(SLOTS - 1)).alias("slot")).agg(F.bit_or(_shift("shiftleft", F.lit(1).cast("long"), key.bitwiseAND(F.lit(63)))).alias("bits"))
-        numbers = [0] * SLOTS
-        for r in bits.collect():  # at most SLOTS rows
-            numbers[r["slot"]] = r["bits"]
+        found = bits.toArrow()  # at most SLOTS rows
+        numbers = np.zeros(SLOTS, np.int64)
+        numbers[found.column("slot").to_numpy()] = found.column("bits").to_numpy()
         self.table = _slots(numbers)
 
     def may_have(self, key: Column) -> Column:
@@ -90,20 +87,19 @@ class Membership:
 class Rarity:
     """The level of each of the 2**20 buckets of words. Levels are equal steps of the logarithm up to the largest count."""
 
-    PARTS = 8  # of a factor of two
+    PARTS = 4  # of a factor of two; a count's logarithm fits a byte
 
     def __init__(self, lines: DataFrame):
         each = lines.select(F.explode(F.split("s", " ")).alias("w")).filter("w <> ''")
         counts = each.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).agg(F.count("*").alias("n"))
-        counts = counts.select("b", F.floor(F.log2("n") * self.PARTS + 1e-9).cast("int").alias("log"))
-        packed = counts.groupBy(F.shiftright("b", 4).alias("slot")).agg(F.collect_list(F.struct(F.col("b").bitwiseAND(F.lit(15)).cast("int").alias("i"), "log")).alias("logs"))
-        rows = packed.collect()  # at most SLOTS rows of at most 16 pairs
-        top = max((x["log"] for r in rows for x in r["logs"]), default=0)
-        self.step = -(-(top + 1) // LEVELS)
-        numbers = [0] * SLOTS
-        for r in rows:
-            numbers[r["slot"]] = _signed(sum((x["log"] // self.step) << (4 * x["i"]) for x in r["logs"]))
-        self.table = _slots(numbers)
+        log = _shift("shiftleft", F.floor(F.log2("n") * self.PARTS + 1e-9).cast("long"), F.col("b").bitwiseAND(F.lit(7)) * 8)
+        packed = counts.groupBy(F.shiftright("b", 3).alias("slot")).agg(F.bit_or(log).alias("logs")).toArrow()  # at most 2**17 rows
+        logs = np.zeros(BUCKETS // 8, np.int64)
+        logs[packed.column("slot").to_numpy()] = packed.column("logs").to_numpy()
+        logs = logs.view(np.uint8).astype(np.uint64)
+        self.step = int(logs.max(initial=0)) // LEVELS + 1
+        nibbles = (logs // np.uint64(self.step)).reshape(SLOTS, 16) << (np.uint64(4) * np.arange(16, dtype=np.uint64))
+        self.table = _slots(np.bitwise_or.reduce(nibbles, axis=1).view(np.int64))
 
     def most(self, level: int) -> int:
         """The largest count that a level can stand for."""
