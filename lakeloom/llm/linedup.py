@@ -18,7 +18,8 @@ input, not on what is left.
 5. *Lists.* A word whose bucket counts at most ``SHORT`` has a short list, and is joined with itself. Other
    lists are dealt to groups of about ``GROUP`` classes, in which all are tried against the first
    one: that finds most members of large families of near copies. Classes that are not
-   known to be late by then are tried against all of the list, split by size classes.
+   known to be late by then are tried against all of the list; lists that may have more than ``LONG`` are
+   split by size classes.
 6. *Verification* of the pairs that are left, on the words of both lines.
 
 Words and classes are told apart by 64-bit hashes until they are verified.
@@ -40,7 +41,7 @@ from pyspark.sql import functions as F
 from lakeloom.llm.common import Scratch
 
 BUCKETS, LEVELS, SLOTS = 1 << 20, 16, 1 << 16
-SHORT, GROUP = 128, 64
+SHORT, LONG, GROUP = 256, 4096, 64
 ODD_SPACES = "\t\x0b\f\r"
 
 
@@ -129,8 +130,8 @@ class LineJoin:
 
     def _prefixes(self, classes: DataFrame, rarity: Rarity) -> DataFrame:
         """class, at, n, map, prefix: a class's size, parity map, and the keys of its rarest words."""
-        hashes = F.transform(_words("s"), lambda w: F.xxhash64(w))
-        keyed = classes.select("class", "at", F.sort_array(F.transform(hashes, rarity.key)).alias("keys"))
+        hashes = F.transform(F.array_remove(F.split("s", " "), ""), lambda w: F.xxhash64(w))
+        keyed = classes.select("class", "at", F.sort_array(F.transform(F.array_distinct(hashes), rarity.key)).alias("keys"))
         n = F.size("keys")
         posted = n - F.floor((n * self.percent + 99) / 100).cast("int") + 1
         parity = F.aggregate("keys", F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(_shift("shiftleft", F.lit(1).cast("long"), F.shiftright(k, 53))))
@@ -168,13 +169,17 @@ class LineJoin:
         first = dealt.groupBy("token", "group").agg(F.min(F.struct("at", "class", "n", "map", "pos")).alias("f")).select("token", "group", "f.*")
         return self._pairs(dealt.alias("x").join(first.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.group") == F.col("y.group")) & (F.col("x.class") != F.col("y.class")) & self._fits()))
 
-    def _long_lists(self, prefixes: DataFrame, late: DataFrame, is_long: Column) -> DataFrame:
-        """Pairs within the other lists, except those of two classes that are known to be late."""
+    def _long_lists(self, prefixes: DataFrame, late: DataFrame, rarity: Rarity, is_long: Column) -> DataFrame:
+        """Pairs within the other lists, except those of two classes that are known to be late. The longest lists are split by size."""
         size = F.log(F.col("n").cast("double")) / math.log(100 / self.percent)
-        known = prefixes.join(late.withColumn("late", F.lit(True)), "class", "left").withColumn("late", F.coalesce("late", F.lit(False)))
+        may_be_late = Membership(late, "class").may_have(F.col("class"))
+        some = prefixes.filter(may_be_late).join(late.withColumn("late", F.lit(True)), "class", "left").withColumn("late", F.coalesce("late", F.lit(False)))
+        known = prefixes.filter(~may_be_late).withColumn("late", F.lit(False)).unionByName(some)
+        split = F.shiftright("token", 59) >= sum(rarity.most(v) <= LONG for v in range(LEVELS))
         postings = self._postings(known, "late").filter(is_long)
-        x = postings.filter(self._in_short_role()).withColumn("band", F.explode(F.sequence(F.floor(size - 1e-9), F.floor(size + 1 + 1e-9))))
-        y = postings.withColumn("band", F.floor(size))
+        bands = F.when(split, F.sequence(F.floor(size - 1e-9), F.floor(size + 1 + 1e-9))).otherwise(F.array(F.lit(0).cast("long")))
+        x = postings.filter(self._in_short_role()).withColumn("band", F.explode(bands))
+        y = postings.withColumn("band", F.when(split, F.floor(size)).otherwise(F.lit(0).cast("long")))
         same = (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band"))
         return self._pairs(x.alias("x").join(y.alias("y"), same & ~(F.col("x.late") & F.col("y.late")) & self._ordered() & self._fits()))
 
@@ -201,7 +206,7 @@ class LineJoin:
         is_long = F.shiftright("token", 59) >= short
         early = save(self._short_lists(self._postings(prefixes).filter(~is_long)), "pairs-short").union(save(self._against_first(self._postings(prefixes, "at").filter(is_long), rarity), "pairs-first"))
         first = save(self._late(save(early.distinct(), "pairs-1"), classes), "late-1")
-        rest = save(self._long_lists(prefixes, first, is_long), "pairs-long").join(early, ["a", "b"], "left_anti")
+        rest = save(self._long_lists(prefixes, first, rarity, is_long), "pairs-long").join(early, ["a", "b"], "left_anti")
         second = save(self._late(save(rest, "pairs-2"), classes), "late-2")
         self.scratch.drop("prefixes", "pairs-short", "pairs-first", "pairs-1", "pairs-2", "pairs-long")
         return classes, first.union(second).distinct()

@@ -235,6 +235,7 @@ def test_line_dedup_of_repeated_rows_and_other_sizes(spark):
 def test_line_dedup_with_a_word_in_most_lines_and_a_large_family(spark, monkeypatch):
     """Long lists: a word that is rare in no line, and near copies that match each other but mostly not the first."""
     monkeypatch.setattr(linedup, "SHORT", 3)
+    monkeypatch.setattr(linedup, "LONG", 20)
     monkeypatch.setattr(linedup, "GROUP", 4)
     rng = random.Random(8)
     base = [f"b{i}" for i in range(30)]
