@@ -1,17 +1,21 @@
 """Exact top-k by inner product: cover trees over queries and data, searched together.
 
 Every data partition is cut into blocks, and each block is indexed by a cover tree; so is each
-block of queries. A pair of nodes (query node with centre p and radius r, data node with centre
-q and radius s) has no score above  <p, q> + |p| s + |q| r + r s.  A pair whose bound is below
-the worst kth score of the query group is pruned; leaves are compared exactly. Partial results
-are merged by (score, id) over partitions, so the result is exact and independent of the blocks.
+block of queries. A pair of nodes (query node with centre p and radius r, data node with centre q and radius s) has no
+score above  <p, q> + |p| s + |q| r + r s,  and none below  <p, q>  less the same. A pair whose upper bound is below the
+worst kth score of the query group, or below the group's (k+1)th largest lower bound, is pruned; leaves that
+remain are compared exactly, the most promising first. The traversal goes down both trees level by level, over all
+pairs of a level at once. Partial results are merged by (score, id) over partitions, so the result is exact and
+independent of the blocks. Leaves are single points or equal ones: where data has no clusters, radii hide everything
+above them, and the traversal then costs what a comparison of all pairs costs.
 
 Query blocks have at most ``query_block`` rows; only one is held by the driver and broadcast at
 a time. Data is never collected.
 
 Components are floor(scale * x) as integers. Products are exact in float64 while a block's
-largest possible score stays below 2**53; otherwise leaves are compared in Python integers. A
-score that does not fit a long raises an error.
+largest possible score stays below 2**53; otherwise leaves are compared in Python integers, and bounds have a slack
+of 1e-11 of the product of the nodes' largest norms, which is far above their rounding. A score that does not fit a long
+raises an error.
 
 Defined results: vectors that are null or hold null or non-finite components take no part, nor
 do rows without an id; vectors of different lengths have no score with each other; identical
@@ -26,19 +30,21 @@ from pyspark.sql import functions as F
 
 from lakeloom.llm.common import Scratch
 
-LEAF, DATA_LEAF, FAN = 32, 256, 32
+LEAF, FAN = 1, 64
 
 
 class CoverTree:
-    """A cover tree over the rows of points. The children of a node are centres more than its base length apart, found
-    farthest first; every point goes to its nearest centre. A node has at most ``fan`` children: where data is so flat
-    that these leave points uncovered, the nearest centre takes them all the same and its radius is what it then is.
-    Nodes are arrays: centre, radius (the true one), children, rows of leaves."""
+    """A cover tree over the rows of points. The children of a node are a net of its points, chosen farthest first: centres
+    are at least the node's ``reach`` apart, and every point is within it of its own, the nearest, centre. As in a cover
+    tree of fixed scales, but each node's scale is the one at which its net has at most ``fan`` centres, so that flat data,
+    where a fixed scale would need as many centres as points, keeps a bounded fan. Radii are the true ones.
+    Nodes are arrays: centre, radius, reach, children, rows of leaves; children come after their node."""
 
     def __init__(self, points: np.ndarray, leaf: int = LEAF, base: float = 1.6, fan: int = FAN):
         self.points, self.leaf, self.base, self.fan = points, leaf, base, fan
         self.centre: list[int] = []
         self.radius: list[float] = []
+        self.reach: list[float] = []
         self.children: list[list[int]] = []
         self.rows: list[np.ndarray | None] = []
         if len(points):
@@ -51,6 +57,7 @@ class CoverTree:
     def _node(self, c: int, radius: float) -> int:
         self.centre.append(c)
         self.radius.append(radius)
+        self.reach.append(0.0)
         self.children.append([])
         self.rows.append(None)
         return len(self.centre) - 1
@@ -64,20 +71,18 @@ class CoverTree:
             if len(rows) <= self.leaf or self.radius[node] == 0:
                 self.rows[node] = rows
                 continue
-            reach = self.radius[node] / self.base
-            centres, far = [self.centre[node]], [d]
-            least = d
-            while least.max() > reach and len(centres) < self.fan:
+            centres, own, least = [self.centre[node]], np.zeros(len(rows), np.int64), d
+            while len(centres) < self.fan and least.max() > self.radius[node] / self.base**4:
                 centres.append(int(rows[int(least.argmax())]))
-                far.append(self._distances(rows, centres[-1]))
-                least = np.minimum(least, far[-1])
-            own = np.argmin(np.stack(far), axis=0)
+                far = self._distances(rows, centres[-1])
+                own = np.where(far < least, len(centres) - 1, own)
+                least = np.minimum(least, far)
+            self.reach[node] = float(least.max())
             for i, c in enumerate(centres):
                 mine = own == i
-                if mine.any():
-                    child = self._node(c, float(far[i][mine].max()))
-                    self.children[node].append(child)
-                    todo.append((child, rows[mine], far[i][mine]))
+                child = self._node(c, float(least[mine].max()))
+                self.children[node].append(child)
+                todo.append((child, rows[mine], least[mine]))
 
 
 class TopK:
@@ -88,6 +93,7 @@ class TopK:
         self.score = [np.zeros(0, np.int64)] * n
         self.ids = [np.zeros(0, np.int64)] * n
         self.worst = np.full(n, -np.inf)
+        self.bounded = self.compared = 0  # pairs of nodes with bounds, pairs of rows with scores
 
     def offer(self, q: int, score: np.ndarray, ids: np.ndarray) -> None:
         s, i = np.concatenate([self.score[q], score]), np.concatenate([self.ids[q], ids])
@@ -97,48 +103,96 @@ class TopK:
             self.worst[q] = s[best[-1]]
 
 
-def dual_tree_search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, ids: np.ndarray, k: int, query_tree: CoverTree | None = None, best: TopK | None = None) -> TopK:
+class _Flat:
+    """A tree's nodes as arrays, for steps over many nodes at once."""
+
+    def __init__(self, tree: CoverTree):
+        self.tree, self.centre, self.radius = tree, np.asarray(tree.centre), np.asarray(tree.radius)
+        self.norm = np.linalg.norm(tree.points[self.centre], axis=1)
+        self.leaf = np.asarray([rows is not None for rows in tree.rows])
+        self.many = np.asarray([len(c) for c in tree.children])
+        self.first = np.cumsum(self.many) - self.many
+        self.child = np.asarray([c for children in tree.children for c in children], np.int64)
+
+    def least_below(self, values: np.ndarray) -> np.ndarray:
+        """The least of its rows' values, for each node."""
+        out = np.empty(len(self.centre))
+        for n in range(len(out) - 1, -1, -1):
+            rows = self.tree.rows[n]
+            out[n] = values[rows].min() if rows is not None else out[self.tree.children[n]].min()
+        return out
+
+    def below(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The children of all nodes, a leaf for itself, and for each the place of its node in nodes."""
+        many = np.maximum(self.many[nodes], 1)
+        owner = np.repeat(np.arange(len(nodes)), many)
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
+        out = nodes[owner]
+        inner = ~self.leaf[out]
+        out[inner] = self.child[self.first[out[inner]] + place[inner]]
+        return out, owner
+
+
+def _bounds(q: _Flat, d: _Flat, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """No score of rows under the query nodes a and the data nodes b is below the first or above the second."""
+    some, i = np.unique(a, return_inverse=True)
+    others, j = np.unique(b, return_inverse=True)
+    dots = (q.tree.points[q.centre[some]] @ d.tree.points[d.centre[others]].T)[i, j]
+    room = q.norm[a] * d.radius[b] + q.radius[a] * (d.norm[b] + d.radius[b]) + 1e-11 * (q.norm[a] + q.radius[a]) * (d.norm[b] + d.radius[b]) + 1e-6
+    return dots - room, dots + room
+
+
+def dual_tree_search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, ids: np.ndarray, k: int, query_tree: CoverTree | None = None, best: TopK | None = None, chunk: int = 256) -> TopK:
     """Adds the rows of data to each query's best k. Vectors are integers held as float64, exact below 2**53."""
     best = best or TopK(len(queries), k)
     if not len(queries) or not len(data):
         return best
-    qt, dt = query_tree or CoverTree(queries), CoverTree(data, DATA_LEAF)
-    q_norm, d_norm = np.linalg.norm(queries[qt.centre], axis=1), np.linalg.norm(data[dt.centre], axis=1)
-    q_radius, d_radius = np.asarray(qt.radius), np.asarray(dt.radius)
+    q, d = _Flat(query_tree or CoverTree(queries)), _Flat(CoverTree(data))
     small = float(np.abs(queries).max(initial=0)) * float(np.abs(data).max(initial=0)) * queries.shape[1] < 2.0**53
-    under: list[np.ndarray] = [np.zeros(0, np.int64)] * len(qt.centre)
-    for n in range(len(qt.centre) - 1, -1, -1):
-        under[n] = qt.rows[n] if qt.rows[n] is not None else np.concatenate([under[c] for c in qt.children[n]])
-
-    def bounds(q: int, nodes: np.ndarray) -> np.ndarray:
-        dots = data[np.asarray(dt.centre)[nodes]] @ queries[qt.centre[q]]
-        slack = 1e-9 * (1 + np.abs(dots))
-        return dots + q_norm[q] * d_radius[nodes] + d_norm[nodes] * q_radius[q] + q_radius[q] * d_radius[nodes] + slack
-
-    todo = [(0, 0, np.inf)]
-    while todo:
-        q, d, bound = todo.pop()
-        if bound < best.worst[under[q]].min():  # equal scores may still win by a smaller id
-            continue
-        if qt.rows[q] is not None and dt.rows[d] is not None:
-            a, b = qt.rows[q], dt.rows[d]
-            scores = queries[a] @ data[b].T if small else queries[a].astype(np.int64).astype(object) @ data[b].T.astype(np.int64).astype(object)
-            scores[query_ids[a][:, None] == ids[b][None]] = 0  # a query is no candidate of its own
-            scores = scores.astype(np.int64)
-            for row, query in enumerate(a):
-                fit = (scores[row] >= best.worst[query]) & (ids[b] != query_ids[query])
-                if fit.any():
-                    best.offer(int(query), scores[row][fit], ids[b][fit])
-            continue
-        split_data = dt.rows[d] is None and (qt.rows[q] is not None or d_radius[d] * q_norm[q] >= q_radius[q] * d_norm[d])
-        if split_data:
-            nodes = np.asarray(dt.children[d])
-            limit = bounds(q, nodes)
-            for x in np.argsort(limit):  # the most promising is searched first
-                todo.append((q, int(nodes[x]), float(limit[x])))
-        else:
-            for child in qt.children[q]:
-                todo.append((child, d, float(bounds(child, np.asarray([d]))[0])))
+
+    def compare(query_leaf: int, data_leaves: np.ndarray) -> None:
+        a, b = q.tree.rows[query_leaf], np.concatenate([d.tree.rows[n] for n in data_leaves])
+        best.compared += len(a) * len(b)
+        scores = queries[a] @ data[b].T if small else queries[a].astype(np.int64).astype(object) @ data[b].T.astype(np.int64).astype(object)
+        own = query_ids[a][:, None] == ids[b][None]
+        scores[own] = 0  # a query is no candidate of its own
+        scores = scores.astype(np.int64)
+        for row, query in enumerate(a):
+            fit = (scores[row] >= best.worst[query]) & ~own[row]
+            if fit.any():
+                best.offer(int(query), scores[row][fit], ids[b][fit])
+
+    least = q.least_below(best.worst)
+    a, b = np.zeros(1, np.int64), np.zeros(1, np.int64)
+    left: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    while len(a):
+        lower, upper = _bounds(q, d, a, b)
+        best.bounded += len(a)
+        order = np.lexsort((-lower, a))
+        groups, first, many = np.unique(a[order], return_index=True, return_counts=True)
+        enough = many > k  # one of these may be the query itself
+        least[groups[enough]] = np.maximum(least[groups[enough]], lower[order[first[enough] + k]])
+        keep = upper >= least[a]  # equal scores may still win by a smaller id
+        a, b, upper = a[keep], b[keep], upper[keep]
+        ends = q.leaf[a] & d.leaf[b]
+        left.append((a[ends], b[ends], upper[ends]))
+        a, b = a[~ends], b[~ends]
+        over, owner = q.below(a)
+        least[over] = np.maximum(least[over], least[a[owner]])
+        a, b = over, b[owner]
+        below, owner = d.below(b)
+        a, b = a[owner], below
+    a, b, upper = (np.concatenate(x) for x in zip(*left, strict=True))
+    keep = upper >= least[a]
+    a, b, upper = a[keep], b[keep], upper[keep]
+    order = np.lexsort((-upper, a))
+    a, b, upper = a[order], b[order], upper[order]
+    groups, first = np.unique(a, return_index=True)
+    for n, lo, hi in zip(groups, first, [*first[1:], len(a)], strict=True):
+        while lo < hi and upper[lo] >= best.worst[q.tree.rows[n]].min():
+            to = min(hi, lo + chunk)
+            compare(n, b[lo:to])
+            lo = to
     return best
 
 

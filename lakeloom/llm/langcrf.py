@@ -25,7 +25,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakeloom.llm.common import find_words, hash_words, lower_ascii, spans_of, text_blocks
@@ -208,24 +208,17 @@ def label_words(model: Model, text: str) -> list[tuple[str, str, float]]:
     return [(raw[a:b].tobytes().decode(), model.languages[int(p.argmax())] if k else NO_LANGUAGE, float(p.max()) if k else 0.0) for a, b, p, k in zip(first, last, m, letters, strict=True)]
 
 
-def training_sample(labelled: DataFrame, docs_per_language: int = 150, sample_chars: int = 3000, most_languages: int = 200) -> list[tuple[str, str]]:
+def training_sample(labelled: DataFrame, docs_per_language: int = 150, sample_chars: int = 3000) -> list[tuple[str, str]]:
     """A bounded sample of (text, language): the documents with the smallest hashes among those under a rate that fits each language's count."""
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(most_languages + 1).collect()}
-    if len(counts) > most_languages:
-        raise ValueError(f"more than {most_languages} languages")
-    if not counts:
-        return []
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("__n"))
     key = F.xxhash64("text")
     place = F.shiftrightunsigned(key, 33) / F.lit(2.0**31)
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, 1.3 * docs_per_language / n))).otherwise(share)
     from_ = (F.greatest(F.lit(0), F.length("text") - sample_chars) * F.pmod(key, F.lit(1000)) / 1000).cast("int") + 1
-    rows = labelled.filter(place < share).select("lang", key.alias("key"), F.substring(F.col("text"), from_, F.lit(sample_chars)).alias("text"))
-    taken: dict[str, set[str]] = {lang: set() for lang in counts}
-    for r in rows.orderBy("key", "lang").limit(2 * docs_per_language * len(counts)).collect():
-        if len(taken[r["lang"]]) < docs_per_language:
-            taken[r["lang"]].add(r["text"])
+    rows = labelled.join(counts, "lang").filter(place * F.col("__n") < 1.3 * docs_per_language).select("lang", key.alias("key"), F.substring(F.col("text"), from_, F.lit(sample_chars)).alias("text"))
+    first = rows.distinct().withColumn("__r", F.row_number().over(Window.partitionBy("lang").orderBy("key", "text"))).filter(F.col("__r") <= docs_per_language)
+    taken: dict[str, set[str]] = {}
+    for r in first.collect():  # at most docs_per_language for each language
+        taken.setdefault(r["lang"], set()).add(r["text"])
     return [(t, lang) for lang in sorted(taken) for t in sorted(taken[lang])]
 
 

@@ -98,20 +98,6 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, **options) -> DataFram
 
 
 def _cut_text(text: str) -> Column:
-    """The text up to the end of its last taken word."""
-
-    @F.pandas_udf("string")
-    def cut(text, words):
-        import re
-
-        import pandas as pd
-
-        def one(t, n):
-            for i, m in enumerate(re.finditer(r"[^\x20\x09-\x0D]+", t), 1):
-                if i == n:
-                    return t[: m.end()]
-            return t
-
-        return pd.Series([one(t, n) if t is not None else None for t, n in zip(text, words, strict=True)])
-
-    return cut(F.col(text), F.col("words"))
+    """The text up to the end of its last taken word. Inside a CASE it is made for the rows that are cut only."""
+    words = F.regexp_extract_all(F.col(text), F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1))
+    return F.array_join(F.slice(words, F.lit(1), F.col("words").cast("int")), "")

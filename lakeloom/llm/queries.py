@@ -22,7 +22,7 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     indexed = audio.index_media(audio.store_texts(_table(spark, sf_dir, "documents")))
-    return indexed.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "seconds")
+    return indexed.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "seconds", "seek_offsets")
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

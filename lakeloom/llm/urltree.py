@@ -11,15 +11,17 @@ by the tree:
    that hold less than ``least_share`` of its urls into ``*``.
 3. *Merging.* Siblings whose distribution over the next level overlaps with their node's by at
    least ``overlap``, and whose share of blocked labels is within two standard errors of the
-   node's, become ``*`` too.
-4. *Purity.* Labels are the urls that rules decide. A node's purity is the share of blocked ones,
-   smoothed by its parent's purity with ``strength`` labels' weight, from the base rate ``prior``
-   over the host down to the template. Templates of at least ``reject`` purity are blocked.
+   node's, in the host and over all hosts, become ``*`` too.
+4. *Purity.* Labels are the urls that rules decide. A node's purity is the share of blocked ones, smoothed with
+   ``strength`` labels' weight by the mean of its parent's purity and that of the same node in the tree of all
+   hosts together, from the base rate of all labels over the host down to the template. So a host without
+   labels is judged by what its templates are elsewhere. Templates of at least ``reject`` purity are blocked.
 
 Levels beyond ``depth`` are one ``**`` segment.
 
 Defined results: a null url or one without ``://`` has an empty host and path and is judged as
-host '' (no rule fits); repeated rows are judged each; columns beyond page_id and url are ignored.
+host '' (no rule fits); without any labels the base rate is ``prior``; repeated rows are judged each; urls of any
+length are cut into segments whole; columns beyond page_id and url are ignored.
 """
 
 from __future__ import annotations
@@ -102,10 +104,18 @@ class TemplateTree:
         x = x.withColumn("__next_n", total("n", "__next")).withColumn("__cn", total("n", "__c")).withColumn("__cl", total("labelled", "__c")).withColumn("__cb", total("blocked", "__c")).withColumn("__cnext", total("n", "__c", "__next"))
         common = F.least(F.col("__cnext") / F.col("__cn"), F.col("__next_n") / F.col("__n")) * F.col("n") / F.col("__cnext")
         x = x.withColumn("__overlap", F.sum(common).over(Window.partitionBy("host", "__up", "__c")))
-        p = (F.col("__nb") + self.prior) / (F.col("__nl") + 1)
-        off = F.abs((F.col("__cb") + p) / (F.col("__cl") + 1) - p)
-        alike = (F.col("__cl") == 0) == (F.col("__nl") == 0)
-        same = F.col("__c").isNotNull() & (F.col("__c") != "**") & (F.col("__cn") < F.col("__n")) & (F.col("__overlap") >= self.overlap) & alike & (off <= 2 * F.sqrt(p * (1 - F.least(p, F.lit(1.0))) / (F.col("__cl") + 1)))
+        # the same branch and its siblings in the trees of all hosts together
+        key = [F.col("__up"), F.coalesce("__c", F.lit("")).alias("__k")]
+        pooled = x.groupBy(*key).agg(F.sum("labelled").alias("__pl"), F.sum("blocked").alias("__pb"))
+        pooled = pooled.join(pooled.groupBy("__up").agg(F.sum("__pl").alias("__pnl"), F.sum("__pb").alias("__pnb")), "__up")
+        x = x.withColumn("__k", F.coalesce("__c", F.lit(""))).join(pooled, ["__up", "__k"])
+
+        def alike(l: str, b: str, all_l: str, all_b: str) -> Column:
+            p = (F.col(all_b) + self.prior) / (F.col(all_l) + 1)
+            off = F.abs((F.col(b) + p) / (F.col(l) + 1) - p)
+            return ((F.col(l) == 0) == (F.col(all_l) == 0)) & (off <= 2 * F.sqrt(p * (1 - F.least(p, F.lit(1.0))) / (F.col(l) + 1)))
+
+        same = F.col("__c").isNotNull() & (F.col("__c") != "**") & (F.col("__cn") < F.col("__n")) & (F.col("__overlap") >= self.overlap) & alike("__cl", "__cb", "__nl", "__nb") & alike("__pl", "__pb", "__pnl", "__pnb")
         keep = [c for c in paths.columns if c != "template"]
         return x.select(*keep, F.when(same, self._with_star(level)).otherwise(F.col("template")).alias("template"))
 
@@ -120,15 +130,26 @@ class TemplateTree:
         few = paths.groupBy("host", "template").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
         few = few.withColumn("wild", F.col("template"))
         for level in range(self.depth):
-            few = self._merge(few, level)
+            few = scratch.save(self._merge(few, level), f"merge-{level}")
         few = scratch.save(few, "merged")
         levels = few.select("host", "template", "labelled", "blocked", F.explode(F.sequence(F.lit(0), F.size("template"))).alias("level"))
         nodes = levels.groupBy("host", F.slice("template", 1, F.col("level")).alias("node"), "level").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
         nodes = scratch.save(nodes, "nodes")
         whole = few.select("host", "template").distinct().select("host", "template", F.explode(F.sequence(F.lit(0), F.size("template"))).alias("level"))
         whole = whole.withColumn("node", F.slice("template", 1, F.col("level"))).join(nodes, ["host", "node", "level"])
-        chain = whole.groupBy("host", "template").agg(F.sort_array(F.collect_list(F.struct("level", "l", "b"))).alias("chain"))
-        purity = F.aggregate("chain", F.lit(self.prior), lambda p, x: (x["b"] + F.lit(self.strength) * p) / (x["l"] + F.lit(self.strength)))
+        pooled = nodes.groupBy("node", "level").agg(F.sum("l").alias("all_l"), F.sum("b").alias("all_b"))
+        whole = whole.join(pooled, ["node", "level"])
+        chain = whole.groupBy("host", "template").agg(F.sort_array(F.collect_list(F.struct("level", "l", "b", "all_l", "all_b"))).alias("chain"))
+        labels = nodes.filter("level = 0").agg(F.sum("l").alias("l"), F.sum("b").alias("b")).first()
+        base = F.lit(float(labels["b"]) / labels["l"] if labels["l"] else self.prior)
+        weight = F.lit(self.strength)
+
+        def step(p: Column, x: Column) -> Column:
+            everywhere = (x["all_b"] + weight * p["everywhere"]) / (x["all_l"] + weight)
+            own = (x["b"] + weight * (p["own"] + everywhere) / 2) / (x["l"] + weight)
+            return F.struct(everywhere.alias("everywhere"), own.alias("own"))
+
+        purity = F.aggregate("chain", F.struct(base.alias("everywhere"), base.alias("own")), step)["own"]
         scored = chain.select("host", "template", purity.alias("purity"))
         named = few.select("host", "wild", "template").join(scored, ["host", "template"])
         return scratch.save(paths.select("host", "shape", F.col("template").alias("wild")).join(named, ["host", "wild"]).select("host", "shape", "template", "purity"), "templates")

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakeloom.llm import covertree, langcrf, urltree
+from lakeloom.llm.common import Scratch
 from lakeloom.llm.queries import RULES
 
 
@@ -32,6 +33,43 @@ def test_cover_tree_covers():
     assert (seen == np.arange(700)).all()
 
 
+def test_nets_cover_and_keep_apart():
+    x = np.random.default_rng(3).normal(size=(500, 3))
+    tree = covertree.CoverTree(x)
+    for n, children in enumerate(tree.children):
+        c = x[[tree.centre[m] for m in children]]
+        if len(children) > 1:
+            apart = np.linalg.norm(c[:, None] - c[None], axis=2)[np.triu_indices(len(c), 1)]
+            assert apart.min() >= tree.reach[n] - 1e-9
+        assert all(tree.radius[m] <= tree.reach[n] + 1e-9 and m > n for m in children)
+
+
+def test_most_pairs_are_pruned_and_the_rest_is_exact():
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(40, 16))
+    data = np.floor(1024 * (centres[rng.integers(0, 40, 6000)] + 0.02 * rng.normal(size=(6000, 16))))
+    queries, ids = data[::50], np.arange(6000)
+    found = covertree.dual_tree_search(queries, ids[::50], data, ids, 10)
+    assert found.compared + found.bounded < 0.25 * len(queries) * len(data)
+    for q in range(len(queries)):
+        scores = (data @ queries[q]).astype(np.int64)
+        scores[50 * q] = -(1 << 60)
+        order = np.lexsort((ids, -scores))[:10]
+        assert found.ids[q].tolist() == order.tolist() and found.score[q].tolist() == scores[order].tolist()
+
+
+def test_scores_beyond_the_exact_range_of_doubles():
+    rng = np.random.default_rng(12)
+    data = np.floor(rng.normal(size=(300, 4)) * 2.0**29)
+    data[100:200] = data[:100] + rng.integers(-1, 2, (100, 4))
+    ids = np.arange(300)
+    found = covertree.dual_tree_search(data[:40], ids[:40], data, ids, 5)
+    exact = [[int(x) for x in row] for row in data]
+    for q in range(40):
+        scores = sorted((-sum(x * y for x, y in zip(exact[q], exact[c], strict=True)), c) for c in range(300) if c != q)[:5]
+        assert list(zip(found.score[q].tolist(), found.ids[q].tolist(), strict=True)) == [(-s, c) for s, c in scores]
+
+
 @pytest.mark.parametrize("blocks", [(4096, 8192), (7, 64)])
 def test_top_k_is_exact(spark, blocks):
     rng = np.random.default_rng(2)
@@ -97,6 +135,36 @@ def test_purity_decides_what_rules_leave(spark):
         assert r["verdict"] == ("block" if r["host"] == "bad.com" else "allow")
 
 
+def test_held_out_urls_are_judged_better_than_by_a_constant(spark):
+    host, path = urltree.split_url()
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", host.alias("host"), path.alias("path")).withColumn("rule", urltree.fitting_rule(RULES))
+    pages = pages.filter("rule is not null").withColumn("truth", F.col("rule").isin([r.name for r in RULES if r.block])).withColumn("hidden", F.col("page_id") % 3 == 0)
+    tree = urltree.TemplateTree()
+    learned = tree.fit(spark, pages.select("host", "path", F.when(~F.col("hidden"), F.col("truth")).alias("label")), Scratch(spark))
+    judged = pages.filter("hidden").withColumn("shape", urltree.shape_path("path", tree.depth)).join(learned, ["host", "shape"]).select("truth", (F.col("purity") >= tree.reject).alias("blocked")).collect()
+    right = sum(r["truth"] == r["blocked"] for r in judged) / len(judged)
+    blocked = sum(r["truth"] for r in judged) / len(judged)
+    assert right > max(blocked, 1 - blocked) and {r["blocked"] for r in judged} == {True, False}
+
+
+def test_a_host_without_labels_is_judged_by_its_templates_elsewhere(spark):
+    rules = [urltree.Rule("a.com", "/ads/", True), urltree.Rule("a.com", "/news/", False)]
+    urls = [f"http://{h}.com/{kind}/{i}" for h in "ab" for kind in ("ads", "news") for i in range(30)]
+    got = urltree.filter_urls(spark, spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()
+    assert all(r["verdict"] == ("block" if r["path"].startswith("/ads/") else "allow") for r in got)
+
+
+def test_long_urls_a_hot_host_and_merged_branches(spark):
+    urls = ["http://hot.com/" + "/".join(["seg"] * 3000)] + ["http://hot.com/" + "x" * 200_000] + [f"http://hot.com/user{i % 7}/posts/{i}" for i in range(600)] + [f"http://cold{i}.com/p" for i in range(20)]
+    got = urltree.filter_urls(spark, spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), RULES).collect()
+    assert len(got) == len(urls) and {r["verdict"] for r in got} == {"allow"}
+    of = {r["page_id"]: r["template"] for r in got}
+    assert of[0] == "/seg/seg/seg/seg/**" and {of[i] for i in range(2, 602)} <= {"/user{n}/posts/{n}", "/*/posts/{n}"}
+    letters = [f"http://m.com/{c * 3}/a/b" for c in "abcdefghijkl" for _ in range(9)]
+    got = urltree.filter_urls(spark, spark.createDataFrame(list(enumerate(letters)), "page_id long, url string"), RULES).collect()
+    assert {r["template"] for r in got} == {"/*/a/b"}  # siblings with the same branches below
+
+
 def test_rare_segments_become_wildcards(spark):
     urls = [f"http://h.com/{w}/page" for w in ("".join(chr(97 + (i * k) % 26) for k in range(1, 7)) + "z" * (i % 40) for i in range(400))]
     got = urltree.filter_urls(spark, spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), RULES)
