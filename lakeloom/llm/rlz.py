@@ -267,10 +267,11 @@ def reference_blocks(spark: SparkSession, docs: DataFrame, scratch: Scratch, win
     id_type = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select(F.col("doc_id"), F.xxhash64("text").alias("th"), F.col("text"))
     places = scratch.save(keyed.mapInArrow(_anchors(window, gram, True), f"doc_id {id_type}, th long, anchor long, first int, last int"), "places")
-    indexed = places.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+    # a table of its own: so a hot anchor's places, on the other side of the join, can be split
+    indexed = scratch.save(places.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "index")
     found = places.join(indexed, "anchor", "left_semi").groupBy("doc_id", "th").agg(F.collect_set(F.struct("anchor", "first", "last")).alias("runs"))
     found = scratch.save(found, "found")
-    scratch.drop("places")
+    scratch.drop("places", "index")
     texts = keyed.join(found.withColumnsRenamed({"doc_id": "d", "th": "h"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h"))).select("doc_id", "th", "text", "runs")
     runs = scratch.save(texts.mapInArrow(_run_hashes(window), f"doc_id {id_type}, th long, anchor long, run long, first int, windows array<long>"), "runs")
     scratch.drop("found")
