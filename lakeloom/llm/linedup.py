@@ -170,18 +170,22 @@ class LineJoin:
         return self._pairs(dealt.alias("x").join(first.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.group") == F.col("y.group")) & (F.col("x.class") != F.col("y.class")) & self._fits()))
 
     def _long_lists(self, prefixes: DataFrame, late: DataFrame, rarity: Rarity, is_long: Column) -> DataFrame:
-        """Pairs within the other lists, except those of two classes that are known to be late. The longest lists are split by size."""
+        """Pairs within the other lists, except those of two classes that are known to be late. Lists up to LONG meet in one
+        exchange, the longest are split by size."""
         size = F.log(F.col("n").cast("double")) / math.log(100 / self.percent)
         may_be_late = Membership(late, "class").may_have(F.col("class"))
         some = prefixes.filter(may_be_late).join(late.withColumn("late", F.lit(True)), "class", "left").withColumn("late", F.coalesce("late", F.lit(False)))
         known = prefixes.filter(~may_be_late).withColumn("late", F.lit(False)).unionByName(some)
         split = F.shiftright("token", 59) >= sum(rarity.most(v) <= LONG for v in range(LEVELS))
         postings = self._postings(known, "late").filter(is_long)
-        bands = F.when(split, F.sequence(F.floor(size - 1e-9), F.floor(size + 1 + 1e-9))).otherwise(F.array(F.lit(0).cast("long")))
-        x = postings.filter(self._in_short_role()).withColumn("band", F.explode(bands))
-        y = postings.withColumn("band", F.when(split, F.floor(size)).otherwise(F.lit(0).cast("long")))
+        others = ~(F.col("x.late") & F.col("y.late")) & self._ordered() & self._fits()
+        dealt = postings.filter(~split).repartition("token")
+        mid = dealt.filter(self._in_short_role()).alias("x").join(dealt.alias("y"), (F.col("x.token") == F.col("y.token")) & others)
+        mid = self.scratch.save(self._pairs(mid), "pairs-mid")
+        x = postings.filter(split).filter(self._in_short_role()).withColumn("band", F.explode(F.sequence(F.floor(size - 1e-9), F.floor(size + 1 + 1e-9))))
+        y = postings.filter(split).withColumn("band", F.floor(size))
         same = (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band"))
-        return self._pairs(x.alias("x").join(y.alias("y"), same & ~(F.col("x.late") & F.col("y.late")) & self._ordered() & self._fits()))
+        return mid.union(self._pairs(x.alias("x").join(y.alias("y"), same & others))).distinct()
 
     @staticmethod
     def _postings(prefixes: DataFrame, *more: str) -> DataFrame:
@@ -208,7 +212,7 @@ class LineJoin:
         first = save(self._late(save(early.distinct(), "pairs-1"), classes), "late-1")
         rest = save(self._long_lists(prefixes, first, rarity, is_long), "pairs-long").join(early, ["a", "b"], "left_anti")
         second = save(self._late(save(rest, "pairs-2"), classes), "late-2")
-        self.scratch.drop("prefixes", "pairs-short", "pairs-first", "pairs-1", "pairs-2", "pairs-long")
+        self.scratch.drop("prefixes", "pairs-short", "pairs-first", "pairs-1", "pairs-2", "pairs-mid", "pairs-long")
         return classes, first.union(second).distinct()
 
     def removed_lines(self) -> DataFrame:
