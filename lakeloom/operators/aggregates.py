@@ -109,6 +109,22 @@ def bloom_probe(df: DataFrame, key: str, bits_set: DataFrame, bits: int, hashes:
     return df.join(found, key, "left")
 
 
+def _count_min_cells(key: str, width: int, depth: int) -> Column:
+    return F.array(*[F.struct(F.lit(i).alias("row"), F.pmod(F.xxhash64(F.lit(i), F.col(key)), F.lit(width)).alias("cell")) for i in range(depth)])
+
+
+def count_min_build(df: DataFrame, key: str, width: int, depth: int) -> DataFrame:
+    """row, cell, count: a count-min sketch as a table of at most width * depth rows. Sketches merge by adding counts."""
+    return df.select(F.explode(_count_min_cells(key, width, depth)).alias("c")).groupBy("c.row", "c.cell").agg(F.count("*").alias("count"))
+
+
+def count_min_read(df: DataFrame, key: str, sketch: DataFrame, width: int, depth: int) -> DataFrame:
+    """df with estimate: never below the key's count, and above it by more than e / width of all rows for few keys."""
+    probes = df.select(key).distinct().select(key, F.explode(_count_min_cells(key, width, depth)).alias("c")).select(key, "c.row", "c.cell")
+    found = probes.join(sketch, ["row", "cell"], "left").groupBy(key).agg(F.min(F.coalesce("count", F.lit(0))).alias("estimate"))
+    return df.join(found, key, "left")
+
+
 def exact_bitmap_count(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Distinct non-negative integers per key by bitmaps that merge."""
     maps = df.groupBy(*keys, F.expr(f"bitmap_bucket_number({value})").alias("_b")).agg(F.expr(f"bitmap_construct_agg(bitmap_bit_position({value}))").alias("_m"))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lakeloom.sources.formats import work_dir
+
 
 def mark_join(left: DataFrame, right: DataFrame, on: Sequence[str], mark: str) -> DataFrame:
     """left with a boolean: whether right has the key. Right keys are made distinct, so left rows stay as many."""
@@ -63,21 +65,27 @@ def as_of_join(left: DataFrame, right: DataFrame, by: Sequence[str], at: str, va
     return out.select(*left.columns, *[F.col(f"_v.{v}").alias(v) for v in values])
 
 
-def closure(spark: SparkSession, edges: DataFrame, most_levels: int = 64) -> DataFrame:
+def closure(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(node, ancestor, depth) over child, parent edges, with the least depth. Cycles end by themselves: a pair is extended once only.
 
-    Joins level by level, so its cost is the number of pairs and not of paths.
+    Joins level by level, so its cost is the number of pairs and not of paths. Levels are written to the shared folder, each
+    with its own folder; there may be any number of them.
     """
-    step = edges.select("child", "parent").distinct().persist()
-    known = step.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
-    front = known
-    for depth in range(2, most_levels + 1):
-        further = front.join(step, F.col("ancestor") == F.col("child")).select("node", F.col("parent").alias("ancestor"), F.lit(depth).alias("depth")).distinct()
-        front = further.join(known.select("node", "ancestor"), ["node", "ancestor"], "left_anti").persist()
+    root = work_dir(spark)
+    kind = edges.schema["child"].dataType.simpleString()
+    schema = f"node {kind}, ancestor {kind}, depth int"
+    edges.select("child", "parent").distinct().write.parquet(f"{root}/edges")
+    step = spark.read.parquet(f"{root}/edges")
+    step.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).write.parquet(f"{root}/pairs/1")
+    depth = 1
+    while True:
+        known = spark.read.schema(schema).parquet(*[f"{root}/pairs/{d}" for d in range(1, depth + 1)])
+        front = spark.read.schema(schema).parquet(f"{root}/pairs/{depth}")
         if front.isEmpty():
             return known
-        known = known.unionByName(front)
-    raise RuntimeError(f"the hierarchy has more than {most_levels} levels")
+        further = front.join(step, F.col("ancestor") == F.col("child")).select("node", F.col("parent").alias("ancestor"), F.lit(depth + 1).alias("depth")).distinct()
+        further.join(known.select("node", "ancestor"), ["node", "ancestor"], "left_anti").write.parquet(f"{root}/pairs/{depth + 1}")
+        depth += 1
 
 
 def keep_where(left: DataFrame, guard: DataFrame, condition: Column) -> DataFrame:

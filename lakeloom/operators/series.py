@@ -127,3 +127,22 @@ def histogram_quantile(buckets: DataFrame, keys: Sequence[str], q: float, le: st
     low = F.coalesce(b["low"], F.lit(0.0))
     inside = low + (b["le"] - low) * F.try_divide(q * b["total"] - b["before"], (b["cum"] - b["before"]).cast("double"))
     return first.select(*keys, F.when(b["le"] == float("inf"), b["low"]).otherwise(inside).alias("quantile"))
+
+
+def running_max_before(df: DataFrame, order: str, value: str, name: str, width: int = 4096) -> DataFrame:
+    """Adds the largest value of all rows before, by a whole number that gives the order.
+
+    Rows are dealt to ranges of ``width`` numbers, and ranges to ranges of ranges; each has the largest value of those
+    before it carried in, so that no task takes more than a range's rows, and the last one a row for each width ** 2 numbers.
+    """
+    from pyspark.sql import Window
+
+    def before(by: Sequence[str], at: str):
+        return Window.partitionBy(*by).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+
+    x = df.withColumn("_bin", F.floor(F.col(order) / width))
+    bins = x.groupBy("_bin").agg(F.max(value).alias("_high")).withColumn("_top", F.floor(F.col("_bin") / width))
+    tops = bins.groupBy("_top").agg(F.max("_high").alias("_high"))
+    tops = tops.select("_top", F.max("_high").over(before([], "_top")).alias("_above"))
+    bins = bins.withColumn("_inside", F.max("_high").over(before(["_top"], "_bin"))).join(tops, "_top").select("_bin", F.greatest("_inside", "_above").alias("_carried"))
+    return x.withColumn("_own", F.max(value).over(before(["_bin"], order))).join(bins, "_bin").withColumn(name, F.greatest("_own", "_carried")).drop("_bin", "_own", "_carried")

@@ -143,17 +143,30 @@ def ivf_search(spark: SparkSession, queries: DataFrame, data: DataFrame, centres
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def _lloyd(x: np.ndarray, k: int, seed: int, rounds: int = 15) -> np.ndarray:
+    """Centres of a sample by Lloyd's rounds from distinct random rows; a centre without rows stays."""
+    points = np.unique(x, axis=0)
+    centres = points[np.random.default_rng(seed).choice(len(points), min(k, len(points)), replace=False)]
+    for _ in range(rounds):
+        near = _scores(x, centres, "l2").argmin(1)
+        n = np.bincount(near, minlength=len(centres))
+        sums = np.stack([np.bincount(near, x[:, j], len(centres)) for j in range(x.shape[1])], 1)
+        centres = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres)
+    return centres
+
+
 class ProductQuantizer:
     """Codes of m slices with up to 256 centres each, and asymmetric or symmetric distances by tables."""
 
     def __init__(self, m: int = 8, codes: int = 16, seed: int = 1):
         self.m, self.codes, self.seed, self.books = m, codes, seed, []
 
-    def fit(self, data: DataFrame, vector: str = "embedding") -> ProductQuantizer:
-        width = len(data.select(vector).first()[0]) // self.m
-        for i in range(self.m):
-            part = data.select(F.slice(vector, i * width + 1, width).alias("p"))
-            self.books.append(kmeans(part, self.codes, "p", self.seed))
+    def fit(self, data: DataFrame, vector: str = "embedding", sample: int = 20_000) -> ProductQuantizer:
+        """Learns the books from the `sample` vectors that come first by hash; every row is coded later."""
+        rows = data.select(F.col(vector).cast("array<double>").alias("v")).orderBy(F.xxhash64("v"), "v").limit(sample).collect()
+        x = np.asarray([r["v"] for r in rows], np.float64)
+        width = x.shape[1] // self.m
+        self.books = [_lloyd(x[:, i * width : (i + 1) * width], self.codes, self.seed) for i in range(self.m)]
         return self
 
     def encode(self, data: DataFrame, vector: str = "embedding", name: str = "code") -> DataFrame:
@@ -190,9 +203,13 @@ class ProductQuantizer:
                 ids, tables = handle.value
                 for frame in frames:
                     code, own = np.asarray(frame["code"].tolist(), np.int64), frame[key].to_numpy(np.int64)
+                    if not len(own):
+                        continue
                     for i, t in zip(ids, tables, strict=True):
                         d = t[np.arange(code.shape[1])[None], code].sum(1)
-                        keep = np.lexsort((own, d))
+                        few = np.argpartition(d, min(k, len(d) - 1))[: k + 1] if len(d) > k + 1 else np.arange(len(d))
+                        few = np.flatnonzero(d <= d[few].max())  # ties too
+                        keep = few[np.lexsort((own[few], d[few]))]
                         keep = keep[own[keep] != i][:k]
                         yield pd.DataFrame({"query_id": i, "vec_id": own[keep], "distance": d[keep]})
 

@@ -11,9 +11,9 @@ from lakeloom.sources import tables as tb
 from lakeloom.sources.tables import ctes, epoch, text_time
 
 
-@query("jn1_inner_join", "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 10 = 0")
+@query("jn1_inner_join", "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey")
 def _(t):
-    return t.orders.filter("o_orderkey % 10 = 0").join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_name")
+    return t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_name")
 
 
 @query("jn2_semi_join", f"{ctes('posts', 'follows')} SELECT post_id FROM posts WHERE author IN (SELECT followee FROM follows WHERE follower = 7)")
@@ -38,9 +38,9 @@ def _(t):
     return jn.not_in(t.customer.select("c_custkey"), "c_custkey", bad, "k")
 
 
-@query("jn4_not_in", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 3 = 0)")
+@query("jn4_not_in", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice >= 250000)")
 def _(t):
-    return jn.not_in(t.customer.select("c_custkey"), "c_custkey", t.orders.filter("o_orderkey % 3 = 0"), "o_custkey")
+    return jn.not_in(t.customer.select("c_custkey"), "c_custkey", t.orders.filter("o_totalprice >= 250000"), "o_custkey")
 
 
 @query("jn5_left_join", "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
@@ -176,12 +176,12 @@ def _(t):
     return t.region.select(F.col("r_name").alias("role")).crossJoin(F.broadcast(p)).filter((F.col("role") == "ASIA") | (F.col("permission") == "post:read"))
 
 
-_STAYS = "stays AS (SELECT event_id AS id, user_id AS room, CAST(floor(epoch(ts)) AS BIGINT) AS s, CAST(floor(epoch(ts)) AS BIGINT) + 1 + CAST(floor(value * 60) AS BIGINT) AS e FROM events WHERE user_id < 30)"
+_STAYS = "stays AS (SELECT event_id AS id, user_id AS room, CAST(floor(epoch(ts)) AS BIGINT) AS s, CAST(floor(epoch(ts)) AS BIGINT) + 1 + CAST(floor(value * 60) AS BIGINT) AS e FROM events)"
 
 
 @query("jn28_overlap_join", f"WITH {_STAYS} SELECT a.id AS id, b.id AS id2 FROM stays a JOIN stays b ON a.room = b.room AND a.id < b.id AND a.s < b.e AND b.s < a.e")
 def _(t):
-    x = t.events.filter("user_id < 30").select(F.col("event_id").alias("id"), F.col("user_id").alias("room"), epoch().alias("start"), (epoch() + 1 + F.floor(F.col("value") * 60)).alias("end"))
+    x = t.events.select(F.col("event_id").alias("id"), F.col("user_id").alias("room"), epoch().alias("start"), (epoch() + 1 + F.floor(F.col("value") * 60)).alias("end"))
     y = x.withColumnsRenamed({"id": "id2", "start": "start2", "end": "end2"})
     return jn.overlap_join(x, y, ["room"], 21600).filter("id < id2").select("id", "id2")
 
@@ -283,9 +283,12 @@ def _(t):
     return merged.join(F.broadcast(t.lineitem.agg(F.countDistinct("l_orderkey").alias("e")))).select((F.abs(F.col("a") - F.col("e")) <= 0.05 * F.col("e")).alias("within_error"))
 
 
-@query("ag18_count_min_sketch", "SELECT TRUE AS built FROM (SELECT 1)")
+@query("ag18_count_min_sketch", "SELECT user_id, count(*) AS n, TRUE AS not_below, TRUE AS close FROM events GROUP BY 1")
 def _(t):
-    return t.events.agg((F.length(F.count_min_sketch("user_id", F.lit(0.01), F.lit(0.95), F.lit(1))) > 0).alias("built"))
+    exact = t.events.groupBy("user_id").agg(F.count("*").alias("n"))
+    read = ag.count_min_read(exact, "user_id", ag.count_min_build(t.events, "user_id", 2000, 5), 2000, 5)
+    total = t.events.agg(F.count("*").alias("total"))
+    return read.join(F.broadcast(total)).select("user_id", "n", (F.col("estimate") >= F.col("n")).alias("not_below"), (F.col("estimate") <= F.col("n") + F.greatest(F.lit(1), F.col("total") * F.e() / 2000)).alias("close"))
 
 
 @query("ag19_approx_quantile", "SELECT event_type, TRUE AS within_error FROM events GROUP BY 1")
@@ -303,12 +306,14 @@ def _(t):
     return a.join(F.broadcast(e)).select((F.abs(F.col("a") - F.col("e")) <= 0.05 * F.col("e") + 1).alias("within_error"))
 
 
-@query("ag21_bloom_membership", "SELECT p_partkey % 2 = 0 AS member, TRUE AS maybe FROM part WHERE p_partkey % 2 = 0")
+@query("ag21_bloom_membership", "SELECT p_size <= 10 AS member, count(*) AS n, TRUE AS as_promised FROM part GROUP BY 1")
 def _(t):
-    keys = t.part.filter("p_partkey % 2 = 0").select("p_partkey")
+    keys = t.part.filter("p_size <= 10").select("p_partkey")
     bits, hashes = ag.bloom_parameters(20000, 0.01)
-    out = ag.bloom_probe(t.part.select("p_partkey"), "p_partkey", ag.bloom_build(keys, "p_partkey", bits, hashes), bits, hashes)
-    return out.filter("p_partkey % 2 = 0").select((F.col("p_partkey") % 2 == 0).alias("member"), "maybe")
+    out = ag.bloom_probe(t.part.select("p_partkey", (F.col("p_size") <= 10).alias("member")), "p_partkey", ag.bloom_build(keys, "p_partkey", bits, hashes), bits, hashes)
+    found = F.count_if("maybe")
+    # every member is found; of the others, few are
+    return out.groupBy("member").agg(F.count("*").alias("n"), found.alias("f")).select("member", "n", F.when(F.col("member"), F.col("f") == F.col("n")).otherwise(F.col("f") <= 0.03 * F.col("n") + 3).alias("as_promised"))
 
 
 @query("ag22_summing_merge", "SELECT user_id % 10 AS site, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")

@@ -43,6 +43,10 @@ class Database:
             raise SqlError(f"not a statement: {sql!r}")
         return run(text)
 
+    def register(self, name: str, table: DataFrame) -> None:
+        """Makes an existing frame a table, in the open transaction if there is one."""
+        self._now[name.lower()] = table
+
     # transactions
     def _begin(self, text: str) -> None:
         if not re.fullmatch(r"(?i)BEGIN(\s+TRANSACTION)?", text):
@@ -112,7 +116,7 @@ class Database:
         rows = self.spark.sql(f"SELECT * FROM VALUES {values}")
         if len(rows.columns) != len(columns):
             raise SqlError(f"{len(columns)} values are wanted")
-        return self._write(name, table, rows.toDF(*columns), len(rows.take(10_000)))
+        return self._write(name, table, rows.toDF(*columns), rows.count())
 
     def _write(self, name: str, table: DataFrame, rows: DataFrame, n: int) -> int:
         limits = self._limits.get(name.lower(), {})

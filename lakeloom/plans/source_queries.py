@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lakeloom.operators import aggregates as ag
+from lakeloom.operators import series
 from lakeloom.operators import vectors as vs
 from lakeloom.plans.registry import query
 from lakeloom.sources import formats as ff
@@ -92,12 +93,10 @@ def _(t):
     return insert_rows(t.region.select(F.col("r_regionkey").alias("id"), F.lit("read").alias("action")), t.nation.select(F.col("n_nationkey").alias("id"), F.lit("write").alias("action")))
 
 
-@query("st4_late_rows_counted", "WITH x AS (SELECT ts, max(ts) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM events WHERE event_id % 10 = 0) SELECT count(*) AS n, count(*) FILTER (ts < seen - INTERVAL 1 DAY) AS late FROM x")
+@query("st4_late_rows_counted", "WITH x AS (SELECT ts, max(ts) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM events) SELECT count(*) AS n, count(*) FILTER (ts < seen - INTERVAL 1 DAY) AS late FROM x")
 def _(t):
-    from pyspark.sql import Window
-
-    # arrival order is the event id here; one ordered pass over a tenth of the fixture
-    x = t.events.filter("event_id % 10 = 0").withColumn("seen", F.max("ts").over(Window.orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)))
+    # arrival order is the event id here
+    x = series.running_max_before(t.events.select("event_id", "ts"), "event_id", "ts", "seen")
     return x.agg(F.count("*").alias("n"), F.count_if(F.col("ts") < F.col("seen") - F.expr("INTERVAL 1 DAY")).alias("late"))
 
 
@@ -115,11 +114,11 @@ def _(t):
 
 @query("vs7_ivf_with_product_codes")
 def _(t):
-    return vs.ivf_pq_search(t.spark, t.embeddings.filter("vec_id < 10"), t.embeddings, 8, 4, 50)
+    return vs.ivf_pq_search(t.spark, t.embeddings.filter("vec_id % 50 = 0"), t.embeddings, 8, 8, 50, m=32, codes=64)
 
 
 @query("vs8_rotated_codes")
 def _(t):
     turned = vs.rotate(t.embeddings, vs.principal_rotation(t.embeddings))
-    pq = vs.ProductQuantizer(8, 16).fit(turned)
-    return pq.search(t.spark, turned.filter("vec_id < 10"), pq.encode(turned), 50)
+    pq = vs.ProductQuantizer(32, 64).fit(turned)
+    return pq.search(t.spark, turned.filter("vec_id % 50 = 0"), pq.encode(turned), 50)

@@ -5,28 +5,29 @@ from __future__ import annotations
 from lakeloom.plans.minisql import Database
 from lakeloom.plans.registry import query
 
-_STEPS = (
-    "CREATE TABLE users (id INT, name VARCHAR(50), age INT)",
-    "CREATE INDEX by_id ON users (id)",
-    "INSERT INTO users VALUES (1, 'Alice', 30), (2, 'Bob', 25), (3, 'Charlie', 35), (4, 'Diana', 28), (5, 'Eve', 32)",
-    "BEGIN",
-    "INSERT INTO users VALUES (6, 'Frank', 40)",
-    "ROLLBACK",
-    "DELETE FROM users WHERE id = 5",
-    "UPDATE users SET age = 31 WHERE id = 1",
-)
+#: Stock of parts, taken from the fixture, and what is done to it in the session.
+_STOCK = "SELECT CAST(p_partkey AS INT) AS part, substr(p_brand, 1, 8) AS brand, p_size AS pieces FROM part"
 
 
-@query("dm5_sql_session", "SELECT * FROM (VALUES (1, 'Alice', 31), (2, 'Bob', 25), (3, 'Charlie', 35), (4, 'Diana', 28)) t(id, name, age)")
+@query("dm5_sql_session", f"WITH s AS ({_STOCK}) SELECT part, CASE WHEN pieces > 40 THEN 'large' ELSE brand END AS brand, CASE WHEN pieces > 40 THEN pieces - 40 ELSE pieces END AS pieces FROM s WHERE pieces >= 5 UNION ALL SELECT -1, 'returned', 7")
 def _(t):
+    t.part.createOrReplaceTempView("part_of_fixture")
     db = Database(t.spark)
-    for step in _STEPS:
-        db.execute(step)
-    return db.execute("SELECT id, name, age FROM users WHERE age > 20 OR name IS NULL")
+    db.register("stock", t.spark.sql(_STOCK.replace("FROM part", "FROM part_of_fixture")))
+    db.execute("CREATE INDEX by_pieces ON stock (pieces)")
+    db.execute("BEGIN TRANSACTION")
+    db.execute("DELETE FROM stock WHERE pieces >= 5")
+    db.execute("ROLLBACK")
+    db.execute("BEGIN")
+    db.execute("DELETE FROM stock WHERE pieces < 5")
+    db.execute("UPDATE stock SET pieces = pieces - 40, brand = 'large' WHERE pieces > 40")
+    db.execute("COMMIT")
+    db.execute("INSERT INTO stock (part, brand, pieces) VALUES (-1, 'returned', 7)")
+    return db.execute("SELECT part, brand, pieces FROM stock")
 
 
 @query("dm1_sql_over_tables", "SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_acctbal > 0 AND (c_nationkey = 1 OR c_nationkey = 2) GROUP BY 1")
 def _(t):
     db = Database(t.spark)
-    db._tables["customer"] = t.customer
+    db.register("customer", t.customer)
     return db.execute("SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_acctbal > 0 AND (c_nationkey = 1 OR c_nationkey = 2) GROUP BY c_mktsegment")

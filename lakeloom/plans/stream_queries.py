@@ -2,22 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from lakeloom.plans.registry import query
 from lakeloom.sources import tables as tb
+from lakeloom.sources.formats import work_dir
 from lakeloom.sources.tables import ctes, text_time
 from lakeloom.streaming import jobs
 
 _OUT = "strftime({}, '%Y-%m-%d %H:%M:%S')"
 
 
-def _checkpoint() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="lakeloom-stream-")
-
-
 def _source(t):
     """The events as a stream. Watermarks need a timestamp with the session's time zone."""
     return jobs.read_events(t.spark, f"{t.sf_dir}/events.parquet*", t.events.schema).withColumn("ts", F.col("ts").cast("timestamp"))
@@ -25,7 +20,7 @@ def _source(t):
 
 @query("st1_tumbling_rollup_stream", f"SELECT {_OUT.format('date_trunc(\'hour\', ts)')} AS start, event_type, count(*) AS n, round(sum(value), 4) AS total, max(value) AS high FROM events GROUP BY 1, 2")
 def _(t):
-    out = jobs.drain(jobs.tumbling(_source(t), "ts", "1 hour", ["event_type"]), _checkpoint(), "complete")
+    out = jobs.drain(jobs.tumbling(_source(t), "ts", "1 hour", ["event_type"]), work_dir(t.spark), "complete")
     return out.select(text_time("start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"), "high")
 
 
@@ -36,7 +31,7 @@ def _(t):
 
 @query("st3_final_windows_only", f"SELECT {_OUT.format('date_trunc(\'hour\', ts)')} AS start, count(*) AS n FROM events GROUP BY 1 HAVING date_trunc('hour', min(ts)) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 15 MINUTE")
 def _(t):
-    out = jobs.drain(jobs.tumbling(_source(t), "ts", "1 hour", [], late="15 minutes"), _checkpoint())
+    out = jobs.drain(jobs.tumbling(_source(t), "ts", "1 hour", [], late="15 minutes"), work_dir(t.spark))
     return out.select(text_time("start").alias("start"), "n")
 
 
@@ -50,7 +45,7 @@ def _(t):
 def _(t):
     source = _source(t)
     twice = source.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
-    return jobs.drain(jobs.deduplicated(twice, "event_id", "ts", "40 days"), _checkpoint()).agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("ids"))
+    return jobs.drain(jobs.deduplicated(twice, "event_id", "ts", "40 days"), work_dir(t.spark)).agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("ids"))
 
 
 @query("st8_counter_upserts", f"{ctes('like_events')} SELECT item, CAST(greatest(0, sum(CASE WHEN action = 'like' THEN 1 ELSE -1 END)) AS BIGINT) AS n FROM like_events GROUP BY 1")
@@ -58,9 +53,9 @@ def _(t):
     class Streamed:
         events = _source(t)
 
-    table = jobs.KeyedTable(t.spark, _checkpoint(), "item long, n long", ["item"])
-    jobs.drain(tb.like_events(Streamed), _checkpoint(), each=jobs.count_likes(table))
-    return table.read()
+    table = jobs.KeyedTable(t.spark, work_dir(t.spark), "item long, n long", ["item"])
+    jobs.drain(tb.like_events(Streamed), work_dir(t.spark), each=jobs.count_likes(table))
+    return jobs.likes_shown(table)
 
 
 

@@ -316,17 +316,17 @@ def _(t):
     return paging.union_in_order([a, b], "id")
 
 
-@query("so4_all_and_any_of_sets", "WITH h AS (SELECT user_id, list(DISTINCT event_type) AS have FROM events WHERE event_id % 7 = 0 GROUP BY 1) SELECT user_id, list_has_all(have, ['click', 'view']) AS has_all, list_has_any(have, ['signup', 'error']) AS has_any, list_has_all(have, []::VARCHAR[]) AS has_none FROM h")
+@query("so4_all_and_any_of_sets", "WITH h AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, list(DISTINCT event_type) AS have FROM events GROUP BY 1, 2) SELECT user_id, day, list_has_all(have, ['click', 'view']) AS has_all, list_has_any(have, ['signup', 'error']) AS has_any, list_has_all(have, []::VARCHAR[]) AS has_none FROM h")
 def _(t):
-    h = t.events.filter("event_id % 7 = 0").groupBy("user_id").agg(F.collect_set("event_type").alias("have"))
+    h = t.events.groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.collect_set("event_type").alias("have"))
     every = lambda *w: F.size(F.array_except(F.array(*map(F.lit, w)).cast("array<string>"), "have")) == 0
-    return h.select("user_id", every("click", "view").alias("has_all"), F.arrays_overlap("have", F.array(F.lit("signup"), F.lit("error"))).alias("has_any"), every().alias("has_none"))
+    return h.select("user_id", "day", every("click", "view").alias("has_all"), F.arrays_overlap("have", F.array(F.lit("signup"), F.lit("error"))).alias("has_any"), every().alias("has_none"))
 
 
-@query("so5_difference", "SELECT user_id FROM events WHERE event_type = 'signup' AND event_id % 11 = 0 EXCEPT SELECT user_id FROM events WHERE event_type = 'purchase' AND event_id % 5 = 0")
+@query("so5_difference", "SELECT user_id, strftime(ts, '%Y-%m-%d') AS day FROM events WHERE event_type = 'signup' EXCEPT SELECT user_id, strftime(ts, '%Y-%m-%d') FROM events WHERE event_type = 'purchase'")
 def _(t):
-    e = t.events
-    return e.filter("event_type = 'signup' and event_id % 11 = 0").select("user_id").subtract(e.filter("event_type = 'purchase' and event_id % 5 = 0").select("user_id"))
+    days = lambda kind: t.events.filter(F.col("event_type") == kind).select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"))
+    return days("signup").subtract(days("purchase"))
 
 
 @query("so6_max_merge", f"""{ctes("tweets")}, tags AS (SELECT unnest(hashtags) AS tag FROM tweets), a AS (SELECT tag AS term, count(*) AS score FROM tags GROUP BY 1), b AS (SELECT '#' || source AS term, count(*) AS score FROM documents GROUP BY 1)
@@ -376,11 +376,11 @@ def _(t):
     return t.nation.select("n_nationkey", F.lower(F.trim("n_name")).alias("low"), F.substring("n_name", 1, 3).alias("pre"), F.concat_ws("/", "n_name", "n_regionkey").alias("joined"), F.md5("n_name").alias("digest"), F.base64(F.encode("n_name", "UTF-8")).alias("b64"))
 
 
-@query("fn_date_functions", "SELECT o_orderkey, strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS month, strftime(date_trunc('quarter', o_orderdate), '%Y-%m-%d') AS quarter, CAST(year(o_orderdate) AS INTEGER) AS y, CAST(dayofweek(o_orderdate) AS INTEGER) AS dow, strftime(o_orderdate, '%Y%m%d') AS ymd FROM orders WHERE o_orderkey <= 500")
+@query("fn_date_functions", "SELECT o_orderkey, strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS month, strftime(date_trunc('quarter', o_orderdate), '%Y-%m-%d') AS quarter, CAST(year(o_orderdate) AS INTEGER) AS y, CAST(dayofweek(o_orderdate) AS INTEGER) AS dow, strftime(o_orderdate, '%Y%m%d') AS ymd FROM orders")
 def _(t):
     d = F.col("o_orderdate")
     day = lambda c: F.date_format(c, "yyyy-MM-dd")
-    return t.orders.filter("o_orderkey <= 500").select("o_orderkey", day(F.date_trunc("month", d)).alias("month"), day(F.date_trunc("quarter", d)).alias("quarter"), F.year(d).alias("y"), (F.dayofweek(d) - 1).alias("dow"), F.date_format(d, "yyyyMMdd").alias("ymd"))
+    return t.orders.select("o_orderkey", day(F.date_trunc("month", d)).alias("month"), day(F.date_trunc("quarter", d)).alias("quarter"), F.year(d).alias("y"), (F.dayofweek(d) - 1).alias("dow"), F.date_format(d, "yyyyMMdd").alias("ymd"))
 
 
 @query("fn_math_and_null_functions", "SELECT c_custkey, round(ln(1 + abs(c_acctbal)), 6) AS l, round(sqrt(abs(c_acctbal)), 6) AS r, greatest(c_acctbal, 0) AS g, least(c_acctbal, 100) AS s, CAST(c_custkey % 7 AS BIGINT) AS m, CAST(c_custkey // 7 AS BIGINT) AS q, nullif(c_custkey % 3, 0) AS z, coalesce(nullif(c_custkey % 3, 0), -1) AS c FROM customer")
@@ -390,9 +390,9 @@ def _(t):
     return t.customer.select("c_custkey", F.round(F.log1p(F.abs(x)), 6).alias("l"), F.round(F.sqrt(F.abs(x)), 6).alias("r"), F.greatest(x, F.lit(0.0)).alias("g"), F.least(x, F.lit(100.0)).alias("s"), (k % 7).alias("m"), F.expr("c_custkey div 7").alias("q"), z.alias("z"), F.coalesce(z, F.lit(-1)).cast("long").alias("c"))
 
 
-@query("fn_arrays_and_structs", "SELECT o_orderkey, sum(l_quantity * l_extendedprice) IS NOT NULL AS priced, CAST(count(*) AS INTEGER) AS items, round(sum(l_quantity * l_extendedprice), 2) AS total FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey <= 400 GROUP BY 1")
+@query("fn_arrays_and_structs", "SELECT o_orderkey, sum(l_quantity * l_extendedprice) IS NOT NULL AS priced, CAST(count(*) AS INTEGER) AS items, round(sum(l_quantity * l_extendedprice), 2) AS total FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")
 def _(t):
-    nested = t.lineitem.filter("l_orderkey <= 400").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(F.struct(F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"))).alias("items"))
+    nested = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(F.struct(F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"))).alias("items"))
     nested = nested.join(t.orders.select("o_orderkey"), "o_orderkey")
     item = nested.select("o_orderkey", F.size("items").alias("n"), F.explode("items").alias("item"))
     return item.groupBy("o_orderkey").agg(F.max((F.col("item.quantity") * F.col("item.price")).isNotNull()).alias("priced"), F.first("n").alias("items"), F.round(F.sum(F.col("item.quantity") * F.col("item.price")), 2).alias("total"))

@@ -11,9 +11,14 @@ from pyspark.sql import functions as F
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder under the shared one where it is set, else (tests) a temporary one."""
+    """A new folder under the shared one. Where that is not set, a temporary one, which only a local session can use."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared}/lakeloom-{uuid.uuid4().hex}" if shared else "file://" + tempfile.mkdtemp(prefix="lakeloom-")
+    if shared:
+        return f"{shared}/lakeloom-{uuid.uuid4().hex}"
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return "file://" + tempfile.mkdtemp(prefix="lakeloom-")
 
 
 def read_files(spark: SparkSession, path: str | Sequence[str], format: str = "parquet", schema=None, merge: bool = False, **options) -> DataFrame:

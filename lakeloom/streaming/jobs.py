@@ -55,37 +55,62 @@ def deduplicated(events: DataFrame, key: str, at: str, late: str | None = "10 mi
 
 
 class KeyedTable:
-    """A keyed table in versioned folders: every upsert writes a new version, readers keep theirs."""
+    """A keyed table in versioned folders: every upsert writes a new version, readers keep theirs.
+
+    The folders themselves are the log, so a restarted job goes on from the last one that was written whole. A version
+    that a batch wrote has the batch's number in its name.
+    """
 
     def __init__(self, spark: SparkSession, path: str, schema: str, keys: Sequence[str]):
-        self.spark, self.path, self.schema, self.keys, self.version = spark, path, schema, list(keys), 0
+        self.spark, self.path, self.schema, self.keys = spark, path, schema, list(keys)
+
+    def versions(self) -> list[tuple[int, int | None, str]]:
+        """(version, batch, folder) of the versions that are whole, in order."""
+        jvm = self.spark._jvm
+        top = jvm.org.apache.hadoop.fs.Path(self.path)
+        files = top.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not files.exists(top):
+            return []
+        out = []
+        for status in files.listStatus(top):
+            name = status.getPath().getName()
+            if name.startswith("v") and files.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/_SUCCESS")):
+                version, _, batch = name[1:].partition("-batch")
+                out.append((int(version), int(batch) if batch else None, f"{self.path}/{name}"))
+        return sorted(out, key=lambda x: x[0])
+
+    @property
+    def version(self) -> int:
+        return max((v for v, _, _ in self.versions()), default=0)
 
     def read(self) -> DataFrame:
-        if not self.version:
+        known = self.versions()
+        if not known:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{self.version}")
+        return self.spark.read.schema(self.schema).parquet(known[-1][2])
 
-    def replace(self, df: DataFrame) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/v{self.version + 1}")
-        self.version += 1
+    def replace(self, df: DataFrame, batch: int | None = None) -> None:
+        df.write.mode("overwrite").parquet(f"{self.path}/v{self.version + 1}" + ("" if batch is None else f"-batch{batch}"))
 
 
 def count_likes(table: KeyedTable) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: adds the deltas of each batch's like and unlike events to the counts, never below 0. A batch that runs again is skipped."""
-    from lakeloom.operators.relational import upsert_counts
-
-    seen: set[int] = set()
+    """For foreachBatch: adds the deltas of each batch's like and unlike events to the sums. A batch that runs again, after a
+    restart too, is skipped. Sums may be below 0 for a while when batches split a like from its unlike; likes_shown() floors them."""
 
     def each(batch: DataFrame, number: int) -> None:
-        if number in seen:
+        if any(b is not None and b >= number for _, b, _ in table.versions()):
             return
         deltas = batch.select("item", F.when(F.col("action") == "like", 1).otherwise(-1).cast("long").alias("n"))
-        table.replace(upsert_counts(table.read(), deltas, ["item"]))
-        seen.add(number)
+        table.replace(table.read().unionByName(deltas).groupBy(*table.keys).agg(F.sum("n").alias("n")), number)
 
     return each
 
 
+def likes_shown(table: KeyedTable) -> DataFrame:
+    """The counts, never below 0, whatever the batches were."""
+    return table.read().withColumn("n", F.greatest("n", F.lit(0).cast("long")))
+
+
 def fan_out(posts: DataFrame, follows: DataFrame, celebrity: int = 10_000) -> tuple[DataFrame, DataFrame]:
     """(follower, post) rows for feeds, and the posts of celebrities, which are pulled at reading."""
     counts = follows.groupBy("followee").agg(F.count("*").alias("followers"))

@@ -20,23 +20,23 @@ def rows(df):
 
 def test_sql_session(spark):
     db = Database(spark)
-    db.execute("CREATE TABLE users (id INT, name VARCHAR(5), age INT)")
-    db.execute("CREATE INDEX by_age ON users (age)")
-    assert db.execute("INSERT INTO users VALUES (1, 'Alice Long', 30), (2, NULL, 25)") == 2
-    db.execute("INSERT INTO users (id, age) VALUES (3, 25);")
-    assert rows(db.execute("SELECT id, name FROM users WHERE age = 25")) == [(2, None), (3, None)]  # an index never hides rows
-    assert db.execute("SELECT * FROM users WHERE name = NULL").count() == 0 and db.execute("SELECT * FROM users WHERE name IS NULL").count() == 2
+    db.execute("CREATE TABLE depots (no INT, city VARCHAR(5), crates INT)")
+    db.execute("CREATE INDEX by_crates ON depots (crates)")
+    assert db.execute("INSERT INTO depots VALUES (10, 'Porto Novo', 4), (20, NULL, 9)") == 2
+    db.execute("INSERT INTO depots (no, crates) VALUES (30, 9);")
+    assert rows(db.execute("SELECT no, city FROM depots WHERE crates = 9")) == [(20, None), (30, None)]  # an index never hides rows
+    assert db.execute("SELECT * FROM depots WHERE city = NULL").count() == 0 and db.execute("SELECT * FROM depots WHERE city IS NULL").count() == 2
     db.execute("BEGIN")
-    assert db.execute("UPDATE users SET age = age + 1, name = 'x' WHERE id = 1 OR id = 2") == 2
-    assert db.execute("DELETE FROM users WHERE id = 3") == 1
-    assert rows(db.execute("SELECT id, name, age FROM users")) == [(1, "x", 31), (2, "x", 26)]  # own changes are seen
+    assert db.execute("UPDATE depots SET crates = crates * 2, city = 'x' WHERE no < 15 OR no = 20") == 2
+    assert db.execute("DELETE FROM depots WHERE no = 30") == 1
+    assert rows(db.execute("SELECT no, city, crates FROM depots")) == [(10, "x", 8), (20, "x", 18)]  # own changes are seen
     db.execute("ROLLBACK")
-    assert rows(db.execute("SELECT id, name, age FROM users")) == [(1, "Alice", 30), (2, None, 25), (3, None, 25)]
+    assert rows(db.execute("SELECT no, city, crates FROM depots")) == [(10, "Porto", 4), (20, None, 9), (30, None, 9)]
     db.execute("BEGIN")
-    db.execute("DELETE FROM users WHERE name = 'Alice'")
+    db.execute("DELETE FROM depots WHERE city = 'Porto'")
     db.execute("COMMIT")
-    assert db.execute("SELECT id FROM users").count() == 2  # UNKNOWN keeps rows
-    for bad in ("SELEC 1", "BEGIN x y", "COMMIT", "UPDATE users SET no = 1", "CREATE TABLE t (a BLOB)", "INSERT INTO nowhere VALUES (1)"):
+    assert db.execute("SELECT no FROM depots").count() == 2  # UNKNOWN keeps rows
+    for bad in ("SELEC 1", "BEGIN x y", "COMMIT", "UPDATE depots SET none = 1", "CREATE TABLE t (a BLOB)", "INSERT INTO nowhere VALUES (1)"):
         with pytest.raises(SqlError):
             db.execute(bad)
 
@@ -178,4 +178,38 @@ def test_stream_and_batch_agree(spark, tmp_path):
     counts = jobs.KeyedTable(spark, str(tmp_path / "t"), "item long, n long", ["item"])
     liked = jobs.read_events(spark, str(tmp_path / "in"), df.schema).select(F.lit(1).cast("long").alias("item"), F.when(F.col("event_id") % 4 == 0, "unlike").otherwise("like").alias("action"))
     jobs.drain(liked, str(tmp_path / "c2"), each=jobs.count_likes(counts))
-    assert rows(counts.read()) == [(1, 150)] and counts.version == 3
+    assert rows(jobs.likes_shown(counts)) == [(1, 150)] and counts.version == 3
+    again = jobs.KeyedTable(spark, str(tmp_path / "t"), "item long, n long", ["item"])  # as after a restart
+    jobs.count_likes(again)(spark.createDataFrame([(1, "like")], "item long, action string"), 2)
+    assert rows(again.read()) == [(1, 150)] and again.version == 3
+    jobs.count_likes(again)(spark.createDataFrame([(1, "unlike"), (2, "unlike")], "item long, action string"), 3)
+    jobs.count_likes(again)(spark.createDataFrame([(2, "like")], "item long, action string"), 4)
+    assert rows(jobs.likes_shown(again)) == [(1, 149), (2, 0)]
+
+
+def test_deep_pages(spark):
+    df = spark.createDataFrame([(i, i % 7) for i in range(500)], "id int, k int").repartition(5)
+    order = [F.col("k").desc(), F.col("id")]
+    want = [r["id"] for r in df.orderBy(*order).collect()]
+    for offset, limit in ((0, 20), (95, 20), (488, 20), (500, 5), (10**9, 20)):
+        assert [r["id"] for r in paging.deep_page(df, order, limit, offset).collect()] == want[offset : offset + limit]
+    assert paging.page(df, order, 20, 10**9).count() == 0 and paging.deep_page(df.limit(0), order, 5, 0).count() == 0
+
+
+def test_running_max_before(spark):
+    rng = random.Random(3)
+    data = [(i * 3 - 40, rng.randrange(1000)) for i in range(200)]
+    got = series.running_max_before(spark.createDataFrame(data, "at long, v int"), "at", "v", "seen", width=5).orderBy("at").collect()
+    high = None
+    for r in got:
+        assert r["seen"] == high
+        high = r["v"] if high is None else max(high, r["v"])
+
+
+def test_long_chains_and_large_inserts(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(12)], "child int, parent int")
+    got = jn.closure(spark, chain)
+    assert got.count() == 78 and got.agg(F.max("depth")).first()[0] == 12
+    db = Database(spark)
+    db.execute("CREATE TABLE n (i INT)")
+    assert db.execute("INSERT INTO n VALUES " + ", ".join(f"({i})" for i in range(10_050))) == 10_050
