@@ -210,11 +210,16 @@ def label_words(model: Model, text: str) -> list[tuple[str, str, float]]:
 
 def training_sample(labelled: DataFrame, docs_per_language: int = 150, sample_chars: int = 3000) -> list[tuple[str, str]]:
     """A bounded sample of (text, language): the documents with the smallest hashes among those under a rate that fits each language's count."""
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("__n"))
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row for each language, as the model has a column for each
+    if not counts:
+        return []
     key = F.xxhash64("text")
     place = F.shiftrightunsigned(key, 33) / F.lit(2.0**31)
     from_ = (F.greatest(F.lit(0), F.length("text") - sample_chars) * F.pmod(key, F.lit(1000)) / 1000).cast("int") + 1
-    rows = labelled.join(counts, "lang").filter(place * F.col("__n") < 1.3 * docs_per_language).select("lang", key.alias("key"), F.substring(F.col("text"), from_, F.lit(sample_chars)).alias("text"))
+    share = F.lit(0.0)
+    for r in counts:
+        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, 1.3 * docs_per_language / r["n"]))).otherwise(share)
+    rows = labelled.filter(place < share).select("lang", key.alias("key"), F.substring(F.col("text"), from_, F.lit(sample_chars)).alias("text"))
     first = rows.distinct().withColumn("__r", F.row_number().over(Window.partitionBy("lang").orderBy("key", "text"))).filter(F.col("__r") <= docs_per_language)
     taken: dict[str, set[str]] = {}
     for r in first.collect():  # at most docs_per_language for each language

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.llm.common import Scratch
 
-BUCKETS, LEVELS, SLOTS = 1 << 20, 16, 1 << 16
+BUCKETS, LEVELS, SLOTS, BIT_SLOTS = 1 << 20, 16, 1 << 16, 1 << 14
 SHORT, LONG, GROUP = 256, 4096, 64
 ODD_SPACES = "\t\x0b\f\r"
 
@@ -62,12 +62,12 @@ def _shift(name: str, value: Column, by: Column) -> Column:
 
 
 def _slots(numbers: np.ndarray) -> Column:
-    """A constant array of SLOTS longs."""
+    """A constant array of longs."""
     return F.split(F.lit(",".join(map(str, numbers.tolist()))), ",").cast("array<bigint>")
 
 
-def _slot(table: Column, index: Column) -> Column:
-    return F.get(table, index.bitwiseAND(F.lit(SLOTS - 1)).cast("int"))
+def _slot(table: Column, index: Column, slots: int) -> Column:
+    return F.get(table, index.bitwiseAND(F.lit(slots - 1)).cast("int"))
 
 
 class Membership:
@@ -75,14 +75,14 @@ class Membership:
 
     def __init__(self, table: DataFrame, column: str):
         key = F.col(column)
-        bits = table.groupBy(F.shiftright(key, 6).bitwiseAND(F.lit(SLOTS - 1)).alias("slot")).agg(F.bit_or(_shift("shiftleft", F.lit(1).cast("long"), key.bitwiseAND(F.lit(63)))).alias("bits"))
-        found = bits.toArrow()  # at most SLOTS rows
-        numbers = np.zeros(SLOTS, np.int64)
+        bits = table.groupBy(F.shiftright(key, 6).bitwiseAND(F.lit(BIT_SLOTS - 1)).alias("slot")).agg(F.bit_or(_shift("shiftleft", F.lit(1).cast("long"), key.bitwiseAND(F.lit(63)))).alias("bits"))
+        found = bits.toArrow()  # at most BIT_SLOTS rows
+        numbers = np.zeros(BIT_SLOTS, np.int64)
         numbers[found.column("slot").to_numpy()] = found.column("bits").to_numpy()
         self.table = _slots(numbers)
 
     def may_have(self, key: Column) -> Column:
-        return _shift("shiftright", _slot(self.table, F.shiftright(key, 6)), key.bitwiseAND(F.lit(63))).bitwiseAND(F.lit(1)) == 1
+        return _shift("shiftright", _slot(self.table, F.shiftright(key, 6), BIT_SLOTS), key.bitwiseAND(F.lit(63))).bitwiseAND(F.lit(1)) == 1
 
 
 class Rarity:
@@ -90,11 +90,12 @@ class Rarity:
 
     PARTS = 4  # of a factor of two; a count's logarithm fits a byte
 
-    def __init__(self, lines: DataFrame):
+    def __init__(self, lines: DataFrame, scratch: Scratch):
         each = lines.select(F.explode(F.split("s", " ")).alias("w")).filter("w <> ''")
         counts = each.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).agg(F.count("*").alias("n"))
         log = _shift("shiftleft", F.floor(F.log2("n") * self.PARTS + 1e-9).cast("long"), F.col("b").bitwiseAND(F.lit(7)) * 8)
-        packed = counts.groupBy(F.shiftright("b", 3).alias("slot")).agg(F.bit_or(log).alias("logs")).toArrow()  # at most 2**17 rows
+        packed = counts.groupBy(F.shiftright("b", 3).alias("slot")).agg(F.bit_or(log).alias("logs"))
+        packed = scratch.save(packed, "counts").toArrow()  # at most 2**17 rows
         logs = np.zeros(BUCKETS // 8, np.int64)
         logs[packed.column("slot").to_numpy()] = packed.column("logs").to_numpy()
         logs = logs.view(np.uint8).astype(np.uint64)
@@ -108,7 +109,7 @@ class Rarity:
 
     def key(self, h: Column) -> Column:
         """Sorts rare words first: the level, then 59 bits of hash."""
-        nibble = _shift("shiftright", _slot(self.table, F.shiftright(h, 4)), F.shiftleft(h.bitwiseAND(F.lit(15)), 2)).bitwiseAND(F.lit(LEVELS - 1))
+        nibble = _shift("shiftright", _slot(self.table, F.shiftright(h, 4), SLOTS), F.shiftleft(h.bitwiseAND(F.lit(15)), 2)).bitwiseAND(F.lit(LEVELS - 1))
         return F.shiftleft(nibble, 59) + F.shiftrightunsigned(h, 5)
 
 
@@ -204,7 +205,7 @@ class LineJoin:
     def late_classes(self) -> tuple[DataFrame, DataFrame]:
         """The classes, and those that have an earlier similar one."""
         classes, save = self._classes(), self.scratch.save
-        rarity = Rarity(classes)
+        rarity = Rarity(classes, self.scratch)
         prefixes = self._prefixes(classes, rarity)
         short = sum(rarity.most(v) <= SHORT for v in range(LEVELS))
         is_long = F.shiftright("token", 59) >= short
