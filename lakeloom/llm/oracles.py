@@ -65,8 +65,8 @@ g AS (SELECT c, len(t) AS n, unnest(t) AS s FROM c),
 df AS (SELECT s, count(*) AS df FROM g GROUP BY s),
 p AS (SELECT c, n, s FROM (SELECT c, n, s, row_number() OVER (PARTITION BY c ORDER BY df, s) AS r FROM g JOIN df USING (s)) WHERE r <= n - (80 * n + 99) // 100 + 1),
 pair AS (SELECT DISTINCT a.c AS early, b.c AS late FROM p a JOIN p b ON a.s = b.s AND a.c < b.c WHERE 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
-both AS (SELECT late, len(list_intersect(a.t, b.t)) AS common, len(a.t) AS na, len(b.t) AS nb FROM pair JOIN c a ON a.c = early JOIN c b ON b.c = late),
-late AS (SELECT DISTINCT late FROM both WHERE 100 * common >= 80 * (na + nb - common)),
+sized AS (SELECT late, len(list_intersect(a.t, b.t)) AS common, len(a.t) AS na, len(b.t) AS nb FROM pair JOIN c a ON a.c = early JOIN c b ON b.c = late),
+late AS (SELECT DISTINCT late FROM sized WHERE 100 * common >= 80 * (na + nb - common)),
 gone AS (SELECT t.doc_id, t.i FROM t JOIN c ON t.t = c.t WHERE c.c IN (SELECT late FROM late) OR c.at <> {{'d': t.doc_id, 'i': t.i}}),
 kept AS (SELECT l.doc_id, count(*) AS n_lines, count(g.i) AS n_removed, coalesce(string_agg(l.s, chr(10) ORDER BY l.i) FILTER (g.i IS NULL), '') AS text
          FROM l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.i = l.i GROUP BY l.doc_id)
