@@ -196,10 +196,11 @@ class LineJoin:
         """The later class of each pair whose words are similar enough."""
         ids = self.scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "ids")
         wanted = classes.filter(Membership(ids, "class").may_have(F.col("class"))).select("class", "at", "s").join(ids, "class")
-        wanted = self.scratch.save(wanted.select("class", "at", _words("s").alias("words")), "wanted")
-        x, y = (wanted.select(F.col("class").alias(c), F.col("at").alias(f"at_{c}"), F.col("words").alias(f"words_{c}")) for c in "ab")
+        # lines travel as text, which compresses; arrays of words would be several times as large
+        wanted = self.scratch.save(wanted.select("class", "at", "s", F.size(_words("s")).alias("n")), "wanted")
+        x, y = (wanted.select(F.col("class").alias(c), F.col("at").alias(f"at_{c}"), F.col("s").alias(f"s_{c}"), F.col("n").alias(f"n_{c}")) for c in "ab")
         full = pairs.join(x, "a").join(y, "b")
-        alike = full.filter((100 + self.percent) * F.size(F.array_intersect("words_a", "words_b")) >= self.percent * (F.size("words_a") + F.size("words_b")))
+        alike = full.filter((100 + self.percent) * F.size(F.array_intersect(_words("s_a"), _words("s_b"))) >= self.percent * (F.col("n_a") + F.col("n_b")))
         return alike.select(F.when(F.col("at_a") < F.col("at_b"), F.col("b")).when(F.col("at_b") < F.col("at_a"), F.col("a")).alias("class")).filter("class is not null").distinct()
 
     def late_classes(self) -> tuple[DataFrame, DataFrame]:
