@@ -3,7 +3,8 @@
 Each stage takes all that the one before it kept. Stages but the last return the columns of
 documents; the last returns one row for each packed piece. SQL can't express the language model,
 the tokenizer or the plan of the packing, so ORACLE_SQL is None; stages are tested against
-brute-force versions.
+brute-force versions. Without the subpackage lakeloom.llm this module can't be imported; only
+__spark_entry__.py guards against that.
 """
 
 from __future__ import annotations
