@@ -242,7 +242,7 @@ def ivf_pq_search(spark: SparkSession, queries: DataFrame, data: DataFrame, cell
         return pd.Series([pq.tables(np.asarray(v)).tolist() for v in r])
 
     near = q.select("query_id", "cell", table("r").alias("t"))
-    pairs = coded.join(F.broadcast(near), "cell").filter("query_id <> vec_id")
+    pairs = coded.join(near, "cell").filter("query_id <> vec_id")
     d = F.aggregate(F.zip_with("t", "code", lambda row, c: F.get(row, c.cast("int"))), F.lit(0.0), lambda s, v: s + v)
     w = Window.partitionBy("query_id").orderBy("distance", "vec_id")
     return pairs.select("query_id", "vec_id", d.alias("distance")).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

@@ -108,7 +108,7 @@ def _(t):
     follows = tb.follows(t)
     followers = follows.groupBy("followee").agg(F.count("*").alias("followers"))
     mine = follows.filter("follower = 11").join(followers, "followee").select(F.col("followee").alias("author"), (F.col("followers") >= 14).alias("celeb"))
-    p = tb.posts(t).join(F.broadcast(mine), "author")
+    p = tb.posts(t).join(mine, "author")
     pulled = ag.top_per_group(p.filter("celeb"), ["author"], [F.col("created_at").desc(), F.col("post_id").desc()], 10)
     both = p.filter("not celeb").select("post_id", "created_at").unionByName(pulled.select("post_id", "created_at")).dropDuplicates(["post_id"])
     return both.orderBy(F.col("created_at").desc(), F.col("post_id").desc()).limit(20).select("post_id")
