@@ -15,11 +15,11 @@ input, not on what is left.
    first common word on, both sets must have enough words left (positional filter); and the
    parity maps may differ in no more bits than the sets may in words. The shorter set of a pair
    needs fewer postings, so the others are left out of its side.
-5. *Lists.* A word whose bucket counts at most ``SHORT`` has a short list, and is joined with itself. Other
-   lists are dealt to groups of about ``GROUP`` classes, in which all are tried against the first
+5. *Lists.* Words are counted as they are posted, but for those whose bucket proves them rare. A list of at most
+   ``SHORT`` postings is joined with itself. Longer lists are dealt to groups of about ``GROUP`` classes, in which all are tried against the first
    one: that finds most members of large families of near copies. Classes that are not
    known to be late by then are tried against all of the list; lists that may have more than ``LONG`` are
-   split by size classes.
+   split by size classes. The length of a list is its exact number of postings, not a bound from buckets.
 6. *Verification* of the pairs that are left, on the words of both lines.
 
 Words and classes are told apart by 64-bit hashes until they are verified.
@@ -163,22 +163,26 @@ class LineJoin:
         dealt = postings.repartition("token")
         return self._pairs(dealt.filter(self._in_short_role()).alias("x").join(dealt.alias("y"), (F.col("x.token") == F.col("y.token")) & self._ordered() & self._fits()))
 
-    def _against_first(self, postings: DataFrame, rarity: Rarity) -> DataFrame:
+    def _hot(self, prefixes: DataFrame, rarity: Rarity) -> DataFrame:
+        """token, list: the words posted more than SHORT times, with that number."""
+        proven = sum(rarity.most(v) <= SHORT for v in range(LEVELS))
+        tokens = prefixes.select(F.explode("prefix").alias("token")).filter(F.shiftright("token", 59) >= proven)
+        return self.scratch.save(tokens.groupBy("token").agg(F.count("*").alias("list")).filter(F.col("list") > SHORT), "hot")
+
+    def _against_first(self, lists: DataFrame) -> DataFrame:
         """Pairs of each class with the first one of its group of each list."""
-        groups = F.element_at(F.array(*[F.lit(max(1, -(-rarity.most(v) // GROUP))) for v in range(LEVELS)]), (F.shiftright("token", 59) + 1).cast("int"))
-        dealt = postings.withColumn("group", F.pmod(F.xxhash64("class", "token"), groups)).repartition("token", "group")
+        dealt = lists.withColumn("group", F.pmod(F.xxhash64("class", "token"), F.ceil(F.col("list") / GROUP)))
         first = dealt.groupBy("token", "group").agg(F.min(F.struct("at", "class", "n", "map", "pos")).alias("f")).select("token", "group", "f.*")
         return self._pairs(dealt.alias("x").join(first.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.group") == F.col("y.group")) & (F.col("x.class") != F.col("y.class")) & self._fits()))
 
-    def _long_lists(self, prefixes: DataFrame, late: DataFrame, rarity: Rarity, is_long: Column) -> DataFrame:
-        """Pairs within the other lists, except those of two classes that are known to be late. Lists up to LONG meet in one
+    def _long_lists(self, lists: DataFrame, late: DataFrame) -> DataFrame:
+        """Pairs within the longer lists, except those of two classes that are known to be late. Lists up to LONG meet in one
         exchange, the longest are split by size."""
         size = F.log(F.col("n").cast("double")) / math.log(100 / self.percent)
         may_be_late = Membership(late, "class").may_have(F.col("class"))
-        some = prefixes.filter(may_be_late).join(late.withColumn("late", F.lit(True)), "class", "left").withColumn("late", F.coalesce("late", F.lit(False)))
-        known = prefixes.filter(~may_be_late).withColumn("late", F.lit(False)).unionByName(some)
-        split = F.shiftright("token", 59) >= sum(rarity.most(v) <= LONG for v in range(LEVELS))
-        postings = self._postings(known, "late").filter(is_long)
+        some = lists.filter(may_be_late).join(late.withColumn("late", F.lit(True)), "class", "left").withColumn("late", F.coalesce("late", F.lit(False)))
+        postings = lists.filter(~may_be_late).withColumn("late", F.lit(False)).unionByName(some).drop("at")
+        split = F.col("list") > LONG
         others = ~(F.col("x.late") & F.col("y.late")) & self._ordered() & self._fits()
         dealt = postings.filter(~split).repartition("token")
         mid = dealt.filter(self._in_short_role()).alias("x").join(dealt.alias("y"), (F.col("x.token") == F.col("y.token")) & others)
@@ -208,13 +212,17 @@ class LineJoin:
         classes, save = self._classes(), self.scratch.save
         rarity = Rarity(classes, self.scratch)
         prefixes = self._prefixes(classes, rarity)
-        short = sum(rarity.most(v) <= SHORT for v in range(LEVELS))
-        is_long = F.shiftright("token", 59) >= short
-        early = save(self._short_lists(self._postings(prefixes).filter(~is_long)), "pairs-short").union(save(self._against_first(self._postings(prefixes, "at").filter(is_long), rarity), "pairs-first"))
+        hot = self._hot(prefixes, rarity)
+        is_long = Membership(hot, "token").may_have(F.col("token"))
+        long = self._postings(prefixes, "at").filter(is_long).join(hot, "token", "left").withColumn("list", F.coalesce("list", F.lit(SHORT)))
+        lists = save(long, "lists")
+        short = save(self._short_lists(self._postings(prefixes).filter(~is_long)), "pairs-short")
+        self.scratch.drop("prefixes", "hot")
+        early = short.union(save(self._against_first(lists), "pairs-first"))
         first = save(self._late(save(early.distinct(), "pairs-1"), classes), "late-1")
-        rest = save(self._long_lists(prefixes, first, rarity, is_long), "pairs-long").join(early, ["a", "b"], "left_anti")
+        rest = save(self._long_lists(lists, first), "pairs-long").join(early, ["a", "b"], "left_anti")
         second = save(self._late(save(rest, "pairs-2"), classes), "late-2")
-        self.scratch.drop("prefixes", "pairs-short", "pairs-first", "pairs-1", "pairs-2", "pairs-mid", "pairs-long")
+        self.scratch.drop("lists", "pairs-short", "pairs-first", "pairs-1", "pairs-2", "pairs-mid", "pairs-long")
         return classes, first.union(second).distinct()
 
     def removed_lines(self) -> DataFrame:
