@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 BLOCK_BYTES = 1 << 20
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 BASE = np.uint64(0x9E3779B97F4A7C15)
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+# while a scratch table is written: shuffle files go at the end, and the driver keeps no long descriptions of plans with tables in them
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.maxPlanStringLength": "16384"}
 WORD_REGEX = r"[^\x20\x09-\x0D]+"
 
 
@@ -38,12 +39,15 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Writes a table and reads it again. The shuffle files of the write go when it ends."""
-        path, before = f"{self.root}/{name}", self.spark.conf.get(CLEANUP, None)
-        self.spark.conf.set(CLEANUP, "true")
+        path, conf = f"{self.root}/{name}", self.spark.conf
+        before = {key: conf.get(key, None) for key in WRITING}
+        for key, value in WRITING.items():
+            conf.set(key, value)
         try:
             df.write.option("compression", "zstd").mode("overwrite").parquet(path)
         finally:
-            self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
+            for key, value in before.items():
+                conf.unset(key) if value is None else conf.set(key, value)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

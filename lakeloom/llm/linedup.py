@@ -20,9 +20,10 @@ input, not on what is left.
    one: that finds most members of large families of near copies. Classes that are not
    known to be late by then are tried against all of the list; lists that may have more than ``LONG`` are
    split by size classes. The length of a list is its exact number of postings, not a bound from buckets.
-6. *Verification* of the pairs that are left, on the words of both lines.
+6. *Verification* of the pairs that are left, on the words of both lines. A map of 64 bits is full
+   long before a set has hundreds of words, so pairs of long lines first meet by maps of 256 bits.
 
-Words and classes are told apart by 64-bit hashes until they are verified.
+Classes are told apart by 64-bit hashes of their lines, words by 64-bit hashes until they are verified.
 
 Defined results: null text has no lines; lines without words stay; a text's last line may lack
 its newline; rows that share a doc_id share their places (equal lines at the same place stay);
@@ -42,6 +43,7 @@ from lakeloom.llm.common import Scratch
 
 BUCKETS, LEVELS, SLOTS, BIT_SLOTS = 1 << 20, 16, 1 << 16, 1 << 14
 SHORT, LONG, GROUP = 256, 4096, 64
+WIDE = 4
 ODD_SPACES = "\t\x0b\f\r"
 
 
@@ -196,14 +198,31 @@ class LineJoin:
     def _postings(prefixes: DataFrame, *more: str) -> DataFrame:
         return prefixes.select("class", "n", "map", *more, F.posexplode("prefix").alias("pos", "token"))
 
+    @staticmethod
+    def _wide_map() -> list[Column]:
+        """m0 to m3: the parity map of a set of over 64 hashes h in 64 * WIDE bits; null for smaller sets, whose map in the postings says enough."""
+        one = F.lit(1).cast("long")
+
+        def part(i: int) -> Column:
+            mine = F.filter("h", lambda k: F.shiftright(k, 6).bitwiseAND(F.lit(WIDE - 1)) == i)
+            return F.aggregate(mine, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(_shift("shiftleft", one, k.bitwiseAND(F.lit(63)))))
+
+        return [F.when(F.size("h") > 64, part(i)).alias(f"m{i}") for i in range(WIDE)]
+
     def _late(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
         """The later class of each pair whose words are similar enough."""
         ids = self.scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "ids")
         wanted = classes.filter(Membership(ids, "class").may_have(F.col("class"))).select("class", "at", "s").join(ids, "class")
         # lines travel as text, which compresses; arrays of words would be several times as large
-        wanted = self.scratch.save(wanted.select("class", "at", "s", F.size(_words("s")).alias("n")), "wanted")
-        x, y = (wanted.select(F.col("class").alias(c), F.col("at").alias(f"at_{c}"), F.col("s").alias(f"s_{c}"), F.col("n").alias(f"n_{c}")) for c in "ab")
-        full = pairs.join(x, "a").join(y, "b")
+        hashed = wanted.select("class", "at", "s", F.array_distinct(F.transform(F.array_remove(F.split("s", " "), ""), lambda w: F.xxhash64(w))).alias("h"))
+        wanted = self.scratch.save(hashed.select("class", "at", "s", F.size("h").alias("n"), *self._wide_map()), "wanted")
+        maps = [f"m{i}" for i in range(WIDE)]
+        x = wanted.select(F.col("class").alias("a"), F.col("n").alias("n_a"), *[F.col(m).alias(f"{m}_a") for m in maps])
+        y = wanted.select(F.col("class").alias("b"), F.col("at").alias("at_b"), F.col("s").alias("s_b"), F.col("n").alias("n_b"), *[F.col(m).alias(f"{m}_b") for m in maps])
+        differ = sum((F.coalesce(F.bit_count(F.col(f"{m}_a").bitwiseXOR(F.col(f"{m}_b"))), F.lit(0)) for m in maps), F.lit(0))
+        may_be_alike = (100 + self.percent) * differ <= (100 - self.percent) * (F.col("n_a") + F.col("n_b"))
+        near = pairs.join(x, "a").join(y, "b").filter(may_be_alike).select("a", "b", "n_a", "n_b", "at_b", "s_b")
+        full = near.join(wanted.select(F.col("class").alias("a"), F.col("at").alias("at_a"), F.col("s").alias("s_a")), "a")
         alike = full.filter((100 + self.percent) * F.size(F.array_intersect(_words("s_a"), _words("s_b"))) >= self.percent * (F.col("n_a") + F.col("n_b")))
         return alike.select(F.when(F.col("at_a") < F.col("at_b"), F.col("b")).when(F.col("at_b") < F.col("at_a"), F.col("a")).alias("class")).filter("class is not null").distinct()
 
