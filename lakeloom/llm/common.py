@@ -51,10 +51,29 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(conf).delete(path, True)
+            delete_file(self.spark, f"{self.root}/{name}")
+
+    def drop_all(self) -> None:
+        """For operators whose result no longer reads any table of the run."""
+        delete_file(self.spark, self.root)
+
+
+def delete_file(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder, given as a URI."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(path))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh_names(columns, *wanted: str) -> list[str]:
+    """Names like the wanted ones that no column has, in any case of letters."""
+    taken, names = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        names.append(name)
+    return names
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

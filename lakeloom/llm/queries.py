@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm import audio, chat, covertree, langcrf, linedup, minhash, mix, packing, rlz, urltree
+from lakeloom.llm import audio, chat, covertree, langcrf, linedup, minhash, mix, packing, rlz, timeparts, urltree
+from lakeloom.llm.common import Scratch, shared_dir
 from lakeloom.llm.oracles import ORACLES
 
 
@@ -71,6 +73,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op13_adaptive_time_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clicks = _table(spark, sf_dir, "clicks")
+    early = F.col("arrived_at") < F.lit("2024-04-01 00:00:00").cast("timestamp_ntz")
+    folder = f"{shared_dir(spark)}/clicks-{uuid.uuid4().hex}"
+    layout = timeparts.TimeLayout(spark, folder, clicks.schema, timeparts.shifted_moment("ts", "click_id"), ("arrived_at", "click_id"), 1 + clicks.count() // 800)
+    layout.lay_out(clicks.filter(early))
+    start = Scratch(spark).save(layout.stored_digests().select("path", F.lit(False).alias("rewritten")), "start")
+    layout.lay_out(clicks)
+    files = layout.files("click_id", ~F.coalesce(early, F.lit(False))).join(start, "path", "left")
+    return files.select("leaf", F.lit(",".join(clicks.columns)).alias("columns"), "ids_sha256", "path", F.col("part").cast("long").alias("part"), "n_rows", "n_new", F.coalesce("rewritten", F.lit(True)).alias("rewritten"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -78,7 +92,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_mix_sources, op2_media_columns, op3_substring_dedup, op4_exact_top_k, op5_url_filters, op6_best_fit_packing, op7_language_id, op8_minhash_dedup, op9_chat_formatting, op10_line_dedup, pipeline)
+    own = (op1_mix_sources, op2_media_columns, op3_substring_dedup, op4_exact_top_k, op5_url_filters, op6_best_fit_packing, op7_language_id, op8_minhash_dedup, op9_chat_formatting, op10_line_dedup, op13_adaptive_time_partitions, pipeline)
     return {f.__name__: f for f in own}
 
 
