@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm import audio, chat, covertree, langcrf, linedup, minhash, mix, packing, rlz, timeparts, urltree
+from lakeloom.llm import audio, chat, covertree, langcrf, linedup, minhash, mix, packing, rlz, timeparts, turns, urltree
 from lakeloom.llm.common import Scratch, shared_dir
 from lakeloom.llm.oracles import ORACLES
 
@@ -73,6 +73,15 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations")
+    damaged, dropped = turns.damage(rows)
+    found = turns.digest(turns.repair_conversations(spark, damaged, Scratch(spark)))
+    empty = rows.groupBy("conv_id").agg(F.bool_and(dropped).alias("all")).filter("all")
+    zeros = [F.lit(0).cast("long").alias(c) for c in found.columns[1:-2]]
+    return found.unionByName(empty.select("conv_id", *zeros, F.lit("").alias("audit"), F.sha2(F.lit(""), 256).alias("repaired_sha256")))
+
+
 def op13_adaptive_time_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     clicks = _table(spark, sf_dir, "clicks")
     early = F.col("arrived_at") < F.lit("2024-04-01 00:00:00").cast("timestamp_ntz")
@@ -92,7 +101,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_mix_sources, op2_media_columns, op3_substring_dedup, op4_exact_top_k, op5_url_filters, op6_best_fit_packing, op7_language_id, op8_minhash_dedup, op9_chat_formatting, op10_line_dedup, op13_adaptive_time_partitions, pipeline)
+    own = (op1_mix_sources, op2_media_columns, op3_substring_dedup, op4_exact_top_k, op5_url_filters, op6_best_fit_packing, op7_language_id, op8_minhash_dedup, op9_chat_formatting, op10_line_dedup, op11_conversation_repair, op13_adaptive_time_partitions, pipeline)
     return {f.__name__: f for f in own}
 
 

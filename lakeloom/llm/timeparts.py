@@ -147,7 +147,8 @@ class TimeLayout:
             wanted = rows.groupBy(*keys).agg(*_digest(self.columns))
             stay = scratch.save(before.join(wanted, [*keys, "n", "digest0", "digest1"], "left_semi").select(*keys, "path"), "stay")
             rows = rows.join(stay.select(*keys), [*keys], "left_anti")
-        ordered = rows.repartition(*keys).sortWithinPartitions(*keys, self.at, *(f"`{c}`" for c in self.order), self.tie)
+        tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))  # a file costs as much as many rows, so tasks are not merged by their bytes
+        ordered = rows.repartition(tasks, *keys).sortWithinPartitions(*keys, self.at, *(f"`{c}`" for c in self.order), self.tie)
         ordered.select(*(f"`{c}`" for c in self.columns), *keys).write.mode("append").partitionBy(*keys).parquet(self.folder)
         if before is not None:
             for row in before.join(stay, "path", "left_anti").select("path").toLocalIterator():
