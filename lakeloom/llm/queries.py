@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm import audio, chat, covertree, langcrf, linedup, minhash, mix, packing, rlz, timeparts, turns, urltree
+from lakeloom.llm import audio, bwtmerge, chat, covertree, langcrf, linedup, minhash, mix, packing, rlz, timeparts, turns, urltree
 from lakeloom.llm.common import Scratch, shared_dir
 from lakeloom.llm.oracles import ORACLES
 
@@ -82,6 +82,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.unionByName(empty.select("conv_id", *zeros, F.lit("").alias("audit"), F.sha2(F.lit(""), 256).alias("repaired_sha256")))
 
 
+def op12_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwtmerge.remove_repeats(spark, _table(spark, sf_dir, "documents"), keep_bytes=False)
+
+
 def op13_adaptive_time_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     clicks = _table(spark, sf_dir, "clicks")
     early = F.col("arrived_at") < F.lit("2024-04-01 00:00:00").cast("timestamp_ntz")
@@ -101,7 +105,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_mix_sources, op2_media_columns, op3_substring_dedup, op4_exact_top_k, op5_url_filters, op6_best_fit_packing, op7_language_id, op8_minhash_dedup, op9_chat_formatting, op10_line_dedup, op11_conversation_repair, op13_adaptive_time_partitions, pipeline)
+    own = (op1_mix_sources, op2_media_columns, op3_substring_dedup, op4_exact_top_k, op5_url_filters, op6_best_fit_packing, op7_language_id, op8_minhash_dedup, op9_chat_formatting, op10_line_dedup, op11_conversation_repair, op12_suffix_array_dedup, op13_adaptive_time_partitions, pipeline)
     return {f.__name__: f for f in own}
 
 

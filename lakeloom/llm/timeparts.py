@@ -82,17 +82,16 @@ def next_fit(limit: int):
 
     def pack(siblings):
         siblings = siblings.sort_values("node")
-        first, last, total, room = [], [], [], -1
+        first, room = [], -1
         for node, n in zip(siblings["node"].tolist(), siblings["n"].tolist(), strict=True):
-            if n <= limit and 0 <= n <= room:
+            if n <= room:
                 room -= n
             else:
-                start, room = node, limit - n if n <= limit else -1
+                start, room = node, limit - n  # negative above the limit, so that nothing joins
             first.append(start)
         siblings["first"] = first
         runs = siblings.groupby("first")
         siblings["last"], siblings["total"] = runs["node"].transform("max"), runs["n"].transform("sum")
-        del last, total
         return siblings[["parent", "node", "first", "last", "total"]]
 
     return pack
