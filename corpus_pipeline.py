@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.llm import langcrf, linedup, minhash, mix, packing
-from lakeloom.llm.common import shared_dir
+from lakeloom.llm.common import WORD_REGEX, fresh_names, shared_dir
 from lakeloom.llm.queries import tokenizer_path
 
 LEAST_LANGUAGE_SCORE = 0.3
@@ -24,15 +24,17 @@ LEAST_LANGUAGE_SCORE = 0.3
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a language, or in which no language has a share of 0.3 of the words."""
     model = langcrf.train_on(docs)
-    labelled = langcrf.identify_languages(spark, docs, model, carry=tuple(docs.columns), result=("__lang", "__score"))
-    return labelled.filter((F.col("__lang") != langcrf.NO_LANGUAGE) & (F.col("__score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    lang, score = fresh_names(docs.columns, "__lang", "__score")
+    labelled = langcrf.identify_languages(spark, docs, model, carry=tuple(docs.columns), result=(lang, score))
+    return labelled.filter((F.col(lang) != langcrf.NO_LANGUAGE) & (F.col(score) >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts later matches of lines out of texts. A document of which no word is left goes."""
-    cut = linedup.dedup_lines(spark, docs, names=("__lines", "__removed")).filter("__removed = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
+    lines, removed = fresh_names(docs.columns, "__lines", "__removed")
+    cut = linedup.dedup_lines(spark, docs, names=(lines, removed)).filter((F.col(removed) == 0) | F.col("text").rlike(WORD_REGEX))
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.col("__removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        cut = cut.withColumn("n_chars", F.when(F.col(removed) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return cut.select(*docs.columns)
 
 

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import find_words, hash_words, lower_ascii, spans_of, text_blocks
+from lakeloom.llm.common import find_words, fresh_names, hash_words, lower_ascii, spans_of, text_blocks
 
 TRIGRAMS, AFFIXES, LEXICON = 1 << 15, 1 << 14, 1 << 16
 SIZE = TRIGRAMS + 2 * AFFIXES + LEXICON
@@ -216,9 +216,9 @@ def training_sample(labelled: DataFrame, docs_per_language: int = 150, sample_ch
     key = F.xxhash64("text")
     place = F.shiftrightunsigned(key, 33) / F.lit(2.0**31)
     from_ = (F.greatest(F.lit(0), F.length("text") - sample_chars) * F.pmod(key, F.lit(1000)) / 1000).cast("int") + 1
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, 1.3 * docs_per_language / r["n"]))).otherwise(share)
+    # one flat map, whatever the number of languages: a chain of cases would nest as deep as there are languages
+    rates = F.map_from_arrays(F.array(*(F.lit(r["lang"]) for r in counts)), F.array(*(F.lit(min(1.0, 1.3 * docs_per_language / r["n"])) for r in counts)))
+    share = F.try_element_at(rates, F.col("lang"))
     rows = labelled.filter(place < share).select("lang", key.alias("key"), F.substring(F.col("text"), from_, F.lit(sample_chars)).alias("text"))
     first = rows.distinct().withColumn("__r", F.row_number().over(Window.partitionBy("lang").orderBy("key", "text"))).filter(F.col("__r") <= docs_per_language)
     taken: dict[str, set[str]] = {}
@@ -230,6 +230,7 @@ def training_sample(labelled: DataFrame, docs_per_language: int = 150, sample_ch
 def identify_languages(spark: SparkSession, docs: DataFrame, model: Model, carry: tuple = (), result: tuple = ("lang_pred", "score")) -> DataFrame:
     """The carried columns of docs (doc_id by default), and the language and its score under the two names."""
     carry = carry or ("doc_id",)
+    text_name, letter_name = fresh_names([*carry, *result], "__text", "__letter")
     handle = spark.sparkContext.broadcast(model)
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
 
@@ -240,8 +241,8 @@ def identify_languages(spark: SparkSession, docs: DataFrame, model: Model, carry
         labels = len(model.languages)
         for batch in batches:
             names, scores = [], []
-            letter = batch.column("__letter").to_pylist()
-            for i, k, buffer, starts in text_blocks(batch.column("__text")):
+            letter = batch.column(letter_name).to_pylist()
+            for i, k, buffer, starts in text_blocks(batch.column(text_name)):
                 if not labels:
                     names += [NO_LANGUAGE] * k
                     scores += [0.0] * k
@@ -261,7 +262,7 @@ def identify_languages(spark: SparkSession, docs: DataFrame, model: Model, carry
                     scores.append(min(1.0, max(0.0, float(mean[r, best[r]]))) if fine else 0.0)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*carry, *result])
 
-    source = docs.select(*carry, F.col("text").alias("__text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("__letter"))
+    source = docs.select(*carry, F.col("text").alias(text_name), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias(letter_name))
     return source.mapInArrow(scan, f"{fields}, `{result[0]}` string, `{result[1]}` double")
 
 

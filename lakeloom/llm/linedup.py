@@ -39,7 +39,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import Scratch
+from lakeloom.llm.common import Scratch, fresh_names
 
 BUCKETS, LEVELS, SLOTS, BIT_SLOTS = 1 << 20, 16, 1 << 16, 1 << 14
 SHORT, LONG, GROUP = 256, 4096, 64
@@ -266,10 +266,11 @@ def _kept(lines: Column, gone: Column) -> Column:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, percent: int = 80, names: tuple = ("n_lines", "n_removed")) -> DataFrame:
     """The rows of docs with their text cut, and the numbers of lines and of removed ones under the two names."""
-    gone = LineJoin(spark, docs, percent).removed_lines().withColumnsRenamed({"doc_id": "__d", "th": "__h", "gone": "__gone"})
-    both = docs.withColumn("__th", F.xxhash64("text")).join(gone, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__th") == F.col("__h")), "left")
+    d, h, th, cut = fresh_names(docs.columns, "__d", "__h", "__th", "__gone")
+    gone = LineJoin(spark, docs, percent).removed_lines().withColumnsRenamed({"doc_id": d, "th": h, "gone": cut})
+    both = docs.withColumn(th, F.xxhash64("text")).join(gone, F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(th) == F.col(h)), "left")
     split = F.split("text", "\n")
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(_kept(split, F.col("__gone")))
-    n_lines, n_removed = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(split)), F.coalesce(F.size("__gone"), F.lit(0))
-    n_removed = F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(n_removed)
+    text = F.when(F.col(cut).isNull(), F.col("text")).otherwise(_kept(split, F.col(cut)))
+    n_lines, n_removed = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(split)), F.coalesce(F.size(cut), F.lit(0))
+    n_removed = F.when(F.col(cut).isNull(), F.lit(0)).otherwise(n_removed)
     return both.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns], n_lines.cast("long").alias(names[0]), n_removed.cast("long").alias(names[1]))

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from lakeloom.llm.common import WORD_REGEX, Scratch, find_words, gram_hashes, hash_words, lower_ascii, mix64, spans_of, text_blocks
+from lakeloom.llm.common import WORD_REGEX, Scratch, find_words, fresh_names, gram_hashes, hash_words, lower_ascii, mix64, spans_of, text_blocks
 
 PRIME = np.uint64((1 << 31) - 1)
 FEW, BLOCK_ROWS, BLOCK_SHINGLES = 4, 400, 250_000
@@ -130,12 +130,15 @@ def _classes(column):
             yield hashlib.blake2b(words[at[d] : at[d + 1]].tobytes(), digest_size=16).digest()
 
 
-def _with_class(batches):
-    import pyarrow as pa
+def _with_class(name: str):
+    def scan(batches):
+        import pyarrow as pa
 
-    for batch in batches:
-        keys = pa.array(_classes(batch.column("text")), pa.binary())
-        yield pa.RecordBatch.from_arrays([*batch.columns, keys], names=[*batch.schema.names, "__class"])
+        for batch in batches:
+            keys = pa.array(_classes(batch.column("text")), pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, keys], names=[*batch.schema.names, name])
+
+    return scan
 
 
 def _verify(shingle: int, percent: int):
@@ -369,8 +372,9 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, **options) -> D
     """One row for each component: of its rows with the smallest id, the first by text. Rows that share an id, or have
     none, are told apart by their class. Rows without words are linked with nothing and all stay."""
     ids = NearDuplicates(spark, docs, **options).classes().filter(F.col("head").eqNullSafe(F.col("component_id")))
-    ids = ids.select(F.col("node").alias("__class"), F.col("head").alias("__head"), F.col("root").alias("__root"))
-    marked = docs.mapInArrow(_with_class, StructType([*docs.schema.fields, StructField("__class", BinaryType())]))
-    named = marked.join(ids, (marked["__class"] == ids["__class"]) & F.col("doc_id").eqNullSafe(F.col("__head")))
-    one = named.groupBy("__root").agg(F.min_by(F.struct(*docs.columns), "text").alias("__row")).select("__row.*")
+    own, node, head, root, row = fresh_names(docs.columns, "__own", "__class", "__head", "__root", "__row")
+    ids = ids.select(F.col("node").alias(node), F.col("head").alias(head), F.col("root").alias(root))
+    marked = docs.mapInArrow(_with_class(own), StructType([*docs.schema.fields, StructField(own, BinaryType())]))
+    named = marked.join(ids, (F.col(own) == F.col(node)) & F.col("doc_id").eqNullSafe(F.col(head)))
+    one = named.groupBy(root).agg(F.min_by(F.struct(*docs.columns), "text").alias(row)).select(f"{row}.*")
     return one.union(docs.filter(~F.coalesce(F.col("text").rlike(WORD_REGEX), F.lit(False))))

@@ -126,3 +126,24 @@ def test_held_out_accuracy_on_the_tables(spark):
     got = queries.op7_language_id(spark, "/root/testdata/sf0.01").filter("held_out").join(docs.select("doc_id", "lang"), "doc_id")
     n, right = got.agg(F.count("*"), F.count_if(F.col("lang") == F.col("lang_pred"))).first()
     assert n > 100 and right / n > 0.97
+
+
+def test_stages_with_clashing_names_repeats_null_ids_and_no_rows(spark):
+    odd = ("__d", "__h", "__gone", "__th", "__0", "__text", "__letter", "__class", "__own", "__row", "__lang", "__score", "__removed", "node", "words", "size")
+    rows = [*fixture()[:12], *fixture()[:3], (None, fixture()[3][1], "en", None, None)]
+    docs = spark.createDataFrame(rows, COLUMNS)
+    clashing = docs.selectExpr("*", *(f"'x' as `{c}`" for c in odd))
+    for table in (clashing, clashing.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, table, SF)
+            assert out.columns == table.columns, name
+            out.collect()
+    plain = [[tuple(r)[:5] for r in stage(spark, table, SF).collect()] for _, stage in corpus_pipeline.STAGES[:3] for table in (docs, clashing)]
+    assert all(sorted(map(repr, a)) == sorted(map(repr, b)) for a, b in zip(plain[::2], plain[1::2], strict=True))
+
+
+def test_samples_of_very_many_languages(spark):
+    from lakeloom.llm import langcrf
+
+    labelled = spark.range(2000).selectExpr("concat('text ', id) as text", "concat('l', id) as lang")
+    assert len(langcrf.training_sample(labelled)) == 2000
