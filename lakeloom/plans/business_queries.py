@@ -197,9 +197,9 @@ def _(t):
     return _minutes(t).join(F.broadcast(_dims(t)), "host").groupBy("family").agg(F.countDistinct("device").alias("devices"), F.round(F.sum("total") / F.sum("n"), 8).alias("mean"))
 
 
-@query("bq20_monthly_fleet", "SELECT CAST(year(o_orderdate) AS INTEGER) AS y, CAST(month(o_orderdate) AS INTEGER) AS m, round(avg(o_totalprice), 4) AS mean, count(DISTINCT o_custkey) AS active FROM orders GROUP BY 1, 2")
+@query("bq20_monthly_fleet", "SELECT CAST(year(o_orderdate) AS INTEGER) AS y, CAST(month(o_orderdate) AS INTEGER) AS m, CAST(sum(CAST(o_totalprice AS DECIMAL(14,2))) AS DOUBLE) / count(o_totalprice) AS mean, count(DISTINCT o_custkey) AS active FROM orders GROUP BY 1, 2")
 def _(t):
-    return t.orders.groupBy(F.year("o_orderdate").alias("y"), F.month("o_orderdate").alias("m")).agg(F.round(F.avg("o_totalprice"), 4).alias("mean"), F.countDistinct("o_custkey").alias("active"))
+    return t.orders.groupBy(F.year("o_orderdate").alias("y"), F.month("o_orderdate").alias("m")).agg((F.sum(F.col("o_totalprice").cast("decimal(14,2)")).cast("double") / F.count("o_totalprice")).alias("mean"), F.countDistinct("o_custkey").alias("active"))
 
 
 @query("bq21_minute_host_rollup", f"{ctes('gpu')} SELECT host, strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M:%S') AS bucket, round(avg(value) FILTER (metric = 'view'), 5) AS view_mean, max(value) FILTER (metric = 'error') AS error_high, count(DISTINCT device) AS devices, count(DISTINCT device) < 8 AS dropout, count(*) AS n FROM gpu GROUP BY 1, 2")

@@ -113,11 +113,11 @@ def _(t):
     return rel.visible_rows(v, rel.transaction_status(_log(t)), 42).select("id")
 
 
-@query("dm8_upsert_counts", f"""{ctes("like_events")}, base AS (SELECT p_partkey AS item, p_size AS n FROM part WHERE p_partkey <= 60),
+@query("dm8_upsert_counts", f"""{ctes("like_events")}, base AS (SELECT p_partkey AS item, p_size AS n FROM part),
 d AS (SELECT item, sum(CASE WHEN action = 'like' THEN 1 ELSE -1 END) AS d FROM like_events GROUP BY item)
 SELECT coalesce(base.item, d.item) AS item, CAST(greatest(0, coalesce(n, 0) + coalesce(d, 0)) AS BIGINT) AS n FROM base FULL JOIN d ON base.item = d.item""")
 def _(t):
-    base = t.part.filter("p_partkey <= 60").select(F.col("p_partkey").alias("item"), F.col("p_size").cast("long").alias("n"))
+    base = t.part.select(F.col("p_partkey").alias("item"), F.col("p_size").cast("long").alias("n"))
     deltas = tb.like_events(t).select("item", F.when(F.col("action") == "like", 1).otherwise(-1).cast("long").alias("n"))
     return rel.upsert_counts(base, deltas, ["item"])
 
@@ -309,10 +309,10 @@ def _(t):
     return t.customer.select(F.col("c_nationkey").alias("k"), F.lit("c").alias("side")).unionByName(t.supplier.select(F.col("s_nationkey").alias("k"), F.lit("s").alias("side")))
 
 
-@query("so3_union_in_order", "WITH a AS (SELECT o_custkey AS id, min(o_orderkey) AS position, 0 AS part FROM orders WHERE o_orderkey <= 300 GROUP BY 1), b AS (SELECT c_custkey, c_custkey, 1 FROM customer WHERE c_custkey <= 120), u AS (SELECT * FROM a UNION ALL SELECT * FROM b) SELECT id, part, position AS at FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY part, position) AS r FROM u) WHERE r = 1")
+@query("so3_union_in_order", "WITH a AS (SELECT o_custkey AS id, min(o_orderkey) AS position, 0 AS part FROM orders GROUP BY 1), b AS (SELECT c_custkey, c_custkey, 1 FROM customer), u AS (SELECT * FROM a UNION ALL SELECT * FROM b) SELECT id, part, position AS at FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY part, position) AS r FROM u) WHERE r = 1")
 def _(t):
-    a = t.orders.filter("o_orderkey <= 300").groupBy(F.col("o_custkey").alias("id")).agg(F.min("o_orderkey").alias("position"))
-    b = t.customer.filter("c_custkey <= 120").select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("position"))
+    a = t.orders.groupBy(F.col("o_custkey").alias("id")).agg(F.min("o_orderkey").alias("position"))
+    b = t.customer.select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("position"))
     return paging.union_in_order([a, b], "id")
 
 
