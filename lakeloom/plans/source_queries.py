@@ -10,6 +10,7 @@ from lakeloom.operators import vectors as vs
 from lakeloom.plans.registry import query
 from lakeloom.sources import formats as ff
 from lakeloom.sources import tables as tb
+from lakeloom.sources import versioned as vt
 from lakeloom.sources.tables import ctes, text_time
 
 _CUSTOMERS = "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer"
@@ -58,10 +59,10 @@ def _(t):
 
 
 def _versioned(t):
-    table = ff.VersionedTable(t.spark, ff.work_dir(t.spark))
-    table.commit(t.nation.filter("n_regionkey < 2"), 10)
-    table.commit(t.nation.filter("n_regionkey < 4"), 20)
-    return table
+    root = ff.work_dir(t.spark)
+    vt.VersionedTable(t.spark, root).commit(t.nation.filter("n_regionkey < 2"), 10)
+    vt.VersionedTable(t.spark, root).commit(t.nation.filter("n_regionkey < 4"), 20)
+    return vt.VersionedTable(t.spark, root)  # the log is on disk
 
 
 @query("sc21_snapshot_by_time", "SELECT n_nationkey FROM nation WHERE n_regionkey < 2")
@@ -83,7 +84,41 @@ def _(t):
 def _(t):
     before = t.nation.filter("n_regionkey in (0, 1, 4)")
     after = t.nation.filter("n_regionkey in (1, 2, 4)").withColumn("n_name", F.when(F.col("n_regionkey") == 1, F.lower("n_name")).otherwise(F.col("n_name")))
-    return ff.changes(before, after, ["n_nationkey"]).select("op", "n_nationkey")
+    return vt.change_rows(before, after, ["n_nationkey"]).select("op", "n_nationkey")
+
+
+def _orders_table(t):
+    """Orders in three versions: those outside every fourth key; new and changed ones merged; every fifth key deleted."""
+    columns = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"]
+    root = ff.work_dir(t.spark)
+    orders = t.orders.select(*columns)
+    vt.VersionedTable(t.spark, root, keys=["o_orderkey"], buckets=8).append(orders.filter("o_orderkey % 4 <> 0"), 10)
+    fresh = orders.filter("o_orderkey % 4 < 2").withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 4 == 1, "X").otherwise(F.col("o_orderstatus")))
+    vt.VersionedTable(t.spark, root).merge(fresh, at=20)
+    vt.VersionedTable(t.spark, root).merge(orders.filter("o_orderkey % 5 = 0"), delete="true", at=30)
+    return vt.VersionedTable(t.spark, root)
+
+
+_V = """v AS (SELECT 1 AS version, o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey % 4 <> 0
+UNION ALL SELECT 2, o_orderkey, o_custkey, CASE WHEN o_orderkey % 4 = 1 THEN 'X' ELSE o_orderstatus END FROM orders
+UNION ALL SELECT 3, o_orderkey, o_custkey, CASE WHEN o_orderkey % 4 = 1 THEN 'X' ELSE o_orderstatus END FROM orders WHERE o_orderkey % 5 <> 0)"""
+
+
+@query("sc21_versions_of_orders", f"WITH {_V} SELECT version, o_orderstatus, count(*) AS n, CAST(sum(o_custkey) AS BIGINT) AS customers FROM v GROUP BY 1, 2")
+def _(t):
+    table = _orders_table(t)
+    each = [table.read(n).select(F.lit(n).alias("version"), "o_orderstatus", "o_custkey") for n in (1, 2)] + [table.read(at=99).select(F.lit(3).alias("version"), "o_orderstatus", "o_custkey")]
+    return each[0].unionByName(each[1]).unionByName(each[2]).groupBy("version", "o_orderstatus").agg(F.count("*").alias("n"), F.sum("o_custkey").alias("customers"))
+
+
+@query("sc26_change_feed", f"""WITH {_V}, c AS (SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, CAST(coalesce(b.version, a.version + 1) AS BIGINT) AS version, a.o_orderstatus AS was, b.o_orderstatus AS later, a.o_orderkey IS NULL AS created, b.o_orderkey IS NULL AS gone
+FROM v a FULL JOIN v b ON a.o_orderkey = b.o_orderkey AND b.version = a.version + 1 WHERE coalesce(b.version, a.version + 1) IN (2, 3))
+SELECT version, CASE WHEN created THEN 'insert' WHEN gone THEN 'delete' ELSE 'update' END AS op, o_orderkey, was, later FROM c WHERE created OR gone OR was <> later""")
+def _(t):
+    table = _orders_table(t)
+    vt.ChangeFeed(table, "copy").confirm(1)
+    rows, _ = vt.ChangeFeed(vt.VersionedTable(t.spark, table.root), "copy").poll()  # another reader goes on after version 1
+    return rows.select("version", "op", F.coalesce("after.o_orderkey", "before.o_orderkey").alias("o_orderkey"), F.col("before.o_orderstatus").alias("was"), F.col("after.o_orderstatus").alias("later"))
 
 
 @query("dm16_audit_log", "SELECT r_regionkey AS id, 'read' AS action FROM region UNION ALL SELECT n_nationkey, 'write' FROM nation")

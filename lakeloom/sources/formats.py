@@ -1,4 +1,4 @@
-"""Files as tables: Parquet, ORC, CSV and JSON, partitioned folders, and versioned tables."""
+"""Files as tables: Parquet, ORC, CSV and JSON, and partitioned folders."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -51,49 +50,6 @@ def from_memory(spark: SparkSession, data, name: str | None = None) -> DataFrame
     return df
 
 
-class VersionedTable:
-    """A table of immutable versions. The log is a list of (version, folder, time); a clone copies the log's pointers only."""
-
-    def __init__(self, spark: SparkSession, root: str, log: list[tuple[int, str, int]] | None = None):
-        self.spark, self.root, self.log, self.dropped = spark, root, list(log or ()), False
-
-    def commit(self, df: DataFrame, at: int) -> int:
-        """Writes a new version with a time that is not before the last one's."""
-        if self.log and at < self.log[-1][2]:
-            raise ValueError("a version cannot be older than the one before it")
-        folder = f"{self.root}/{uuid.uuid4().hex}"
-        df.write.parquet(folder)
-        self.log.append((len(self.log) + 1, folder, at))
-        return len(self.log)
-
-    def read(self, version: int | None = None, at: int | None = None) -> DataFrame:
-        """The last version, a numbered one, or the one that was current at a time."""
-        if self.dropped:
-            raise LookupError("the table is dropped")
-        fit = [x for x in self.log if (version is None or x[0] == version) and (at is None or x[2] <= at)]
-        if not fit:
-            raise LookupError("there is no such version")
-        return self.spark.read.parquet(fit[-1][1])
-
-    def clone(self, root: str) -> VersionedTable:
-        return VersionedTable(self.spark, root, self.log)
-
-    def drop(self) -> None:
-        self.dropped = True
-
-    def undrop(self) -> None:
-        self.dropped = False
-
-
 def compact(spark: SparkSession, path: str, target: str, files: int) -> None:
     """Rewrites a folder's small files as so many."""
     spark.read.parquet(path).repartition(files).write.mode("overwrite").parquet(target)
-
-
-def changes(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Change rows between two versions: op (insert, update, delete), the keys, and the rows before and after."""
-    a = before.select(*keys, F.struct(*before.columns).alias("before"))
-    b = after.select(*keys, F.struct(*after.columns).alias("after"))
-    both = a.join(b, list(keys), "full")
-    op = F.when(F.col("before").isNull(), "insert").when(F.col("after").isNull(), "delete").otherwise("update")
-    return both.filter(~F.col("before").eqNullSafe(F.col("after"))).select(op.alias("op"), *keys, "before", "after")
