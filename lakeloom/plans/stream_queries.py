@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lakeloom.plans.registry import query
+from lakeloom.sources import eventlog as el
 from lakeloom.sources import tables as tb
 from lakeloom.sources.formats import work_dir
 from lakeloom.sources.tables import ctes, text_time
-from lakeloom.streaming import jobs
+from lakeloom.streaming import jobs, sinks
 
 _OUT = "strftime({}, '%Y-%m-%d %H:%M:%S')"
 
@@ -50,14 +51,52 @@ def _(t):
 
 @query("st8_counter_upserts", f"{ctes('like_events')} SELECT item, CAST(greatest(0, sum(CASE WHEN action = 'like' THEN 1 ELSE -1 END)) AS BIGINT) AS n FROM like_events GROUP BY 1")
 def _(t):
-    class Streamed:
-        events = _source(t)
-
-    table = jobs.KeyedTable(t.spark, work_dir(t.spark), "item long, n long", ["item"])
-    jobs.drain(tb.like_events(Streamed), work_dir(t.spark), each=jobs.count_likes(table))
+    root = work_dir(t.spark)
+    liked = tb.like_events(t)
+    el.publish(liked, f"{root}/log", F.col("item"), F.col("ts"))
+    table = jobs.KeyedTable(t.spark, f"{root}/counts", "item long, n long", ["item"])
+    stream = el.follow_log(t.spark, f"{root}/log", "item long, action string", f"{root}/group", 20_000)
+    sinks.run_until_idle(stream, f"{root}/checkpoint", jobs.count_likes(table), "0 seconds")
     return jobs.likes_shown(table)
 
 
+@query("st6_bounded_batches", "SELECT count(*) AS events, count(*) AS different, TRUE AS bounded FROM events")
+def _(t):
+    root = work_dir(t.spark)
+    el.publish(t.events, f"{root}/log", F.col("user_id"), F.col("ts"))
+    stream = el.follow_log(t.spark, f"{root}/log", "event_id long", f"{root}/group", 1000)
+    sinks.run_until_idle(stream, f"{root}/checkpoint", lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{root}/out/{n}"), "0 seconds")
+    read = t.spark.read.parquet(f"{root}/out/*")
+    most = read.groupBy("batch").agg(F.count("*").alias("n")).agg((F.max("n") <= 1000).alias("bounded"))
+    return read.agg(F.count("*").alias("events"), F.countDistinct("event_id").alias("different")).join(F.broadcast(most))
+
+
+@query("st2_early_results", f"SELECT {_OUT.format('date_trunc(\'hour\', ts)')} AS start, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(12,2))) AS DOUBLE) AS total, date_trunc('hour', ts) + INTERVAL 1 HOUR > (SELECT max(ts) FROM events) - INTERVAL 6 DAY AS provisional FROM events GROUP BY 1, 2, date_trunc('hour', ts)")
+def _(t):
+    root = work_dir(t.spark)
+    el.publish(t.events, f"{root}/log", F.col("event_id"), F.col("ts"))
+    early = sinks.EarlyWindows(t.spark, f"{root}/windows", "1 hour", "6 days", ("event_type",))
+    stream = el.follow_log(t.spark, f"{root}/log", "ts timestamp, event_type string, value decimal(12,2)", f"{root}/group", 25_000)
+    sinks.run_until_idle(early.windows(stream, "ts", "value"), f"{root}/checkpoint", early.upsert, "0 seconds", "update")
+    return early.read().select(text_time("start").alias("start"), "event_type", "n", F.col("total").cast("double").alias("total"), "provisional")
+
+
+@query("sc25_log_partitions", f"{ctes('gpu')} SELECT cluster, host, count(*) AS n, CAST(1 AS BIGINT) AS partitions, min(event_id) AS least FROM gpu GROUP BY 1, 2")
+def _(t):
+    root = work_dir(t.spark)
+    el.publish(tb.gpu_metrics(t), root, F.concat_ws(":", "cluster", "host"), F.col("ts"))
+    events = el.read_log(t.spark, root).select("partition", F.from_json("value", "cluster long, host long, event_id long").alias("v")).select("partition", "v.*")
+    return events.groupBy("cluster", "host").agg(F.count("*").alias("n"), F.countDistinct("partition").alias("partitions"), F.min("event_id").alias("least"))
+
+
+@query("sc27_newest_posts_lists", f"{ctes('posts')}, r AS (SELECT author, post_id, row_number() OVER (PARTITION BY author ORDER BY created_at DESC, post_id DESC) AS place FROM posts) SELECT author, CAST(place AS INTEGER) AS place, post_id FROM r WHERE place <= 10")
+def _(t):
+    root = work_dir(t.spark)
+    el.publish(tb.posts(t), f"{root}/log", F.col("author"), F.col("created_at"))
+    lists = sinks.CappedLists(t.spark, f"{root}/lists", 10)
+    stream = el.follow_log(t.spark, f"{root}/log", "author long, post_id long, created_at timestamp_ntz", f"{root}/group", 50_000)
+    sinks.run_until_idle(stream.select(F.col("author").alias("key"), F.col("created_at").alias("at"), F.col("post_id").alias("id")), f"{root}/checkpoint", lists.push, "0 seconds")
+    return lists.read().select(F.col("key").alias("author"), "place", F.col("id").alias("post_id"))
 
 
 @query("st9_fan_out_on_write", f"{ctes('posts', 'follows')}, n AS (SELECT followee, count(*) AS followers FROM follows GROUP BY 1), u AS (SELECT f.follower, p.post_id, p.created_at FROM posts p JOIN follows f ON f.followee = p.author JOIN n ON n.followee = p.author WHERE followers < 14), r AS (SELECT *, row_number() OVER (PARTITION BY follower ORDER BY created_at DESC, post_id DESC) AS r FROM u) SELECT follower, post_id FROM r WHERE r <= 50")

@@ -44,3 +44,30 @@ def run_until_idle(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame
         running.processAllAvailable()
     finally:
         running.stop()
+
+
+class EarlyWindows:
+    """Windows that are shown while they are open. Each batch of a stream in update mode upserts the windows that it changed, whole, so a batch
+    that runs again changes nothing. A window is provisional until the watermark, the newest event less the delay, has passed its end."""
+
+    def __init__(self, spark: SparkSession, root: str, width: str, late: str, keys: tuple[str, ...] = ()):
+        self.table, self.width, self.late, self.keys = VersionedTable(spark, root, ["start", *keys], 8), width, late, list(keys)
+
+    def windows(self, events: DataFrame, at: str, value: str) -> DataFrame:
+        """The stream of changed windows: start, the keys, n, total, newest."""
+        grouped = events.withWatermark(at, self.late).groupBy(F.window(at, self.width).alias("w"), *self.keys)
+        rows = grouped.agg(F.count("*").alias("n"), F.sum(value).alias("total"), F.max(at).alias("newest"))
+        return rows.select(F.col("w.start").alias("start"), *self.keys, "n", "total", "newest")
+
+    def upsert(self, rows: DataFrame, number: int | None = None) -> None:
+        """The signature of foreachBatch; the stream must be in update mode."""
+        if not self.table.version:
+            self.table.append(rows.limit(0))
+        self.table.merge(rows, order="n")
+
+    def read(self) -> DataFrame:
+        """The last state of each window, with provisional."""
+        rows = self.table.read()
+        seen = rows.agg(F.max("newest").alias("seen"))  # one row
+        open_ = F.col("start") + F.expr(f"INTERVAL {self.width}") > F.col("seen") - F.expr(f"INTERVAL {self.late}")
+        return rows.join(F.broadcast(seen)).select("start", *self.keys, "n", "total", open_.alias("provisional"))
