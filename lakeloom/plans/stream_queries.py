@@ -9,7 +9,7 @@ from lakeloom.sources import eventlog as el
 from lakeloom.sources import tables as tb
 from lakeloom.sources.formats import work_dir
 from lakeloom.sources.tables import ctes, text_time
-from lakeloom.streaming import jobs, sinks
+from lakeloom.streaming import jobs, sinks, views
 
 _OUT = "strftime({}, '%Y-%m-%d %H:%M:%S')"
 
@@ -89,6 +89,17 @@ def _(t):
     return events.groupBy("cluster", "host").agg(F.count("*").alias("n"), F.countDistinct("partition").alias("partitions"), F.min("event_id").alias("least"))
 
 
+@query("st14_kept_top_items", f"{ctes('like_events')}, c AS (SELECT user_id % 5 AS grp, item, sum(CASE WHEN action = 'like' THEN 1 ELSE -1 END) AS n FROM like_events WHERE item IS NOT NULL GROUP BY 1, 2 HAVING sum(CASE WHEN action = 'like' THEN 1 ELSE -1 END) <> 0), r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY n DESC, item) AS rank FROM c) SELECT grp, CAST(rank AS INTEGER) AS rank, item, CAST(n AS BIGINT) AS n FROM r WHERE rank <= 5")
+def _(t):
+    root = work_dir(t.spark)
+    el.publish(tb.like_events(t), f"{root}/log", F.col("event_id"), F.col("ts"))
+    view = views.TopView(t.spark, f"{root}/view", 5)
+    stream = el.follow_log(t.spark, f"{root}/log", "user_id long, item long, action string", f"{root}/group", 25_000)
+    deltas = stream.select((F.col("user_id") % 5).alias("group"), "item", F.when(F.col("action") == "like", 1).otherwise(-1).cast("long").alias("n"))
+    sinks.run_until_idle(deltas, f"{root}/checkpoint", view.refresh, "0 seconds")
+    return view.read().withColumnRenamed("group", "grp")
+
+
 @query("sc27_newest_posts_lists", f"{ctes('posts')}, r AS (SELECT author, post_id, row_number() OVER (PARTITION BY author ORDER BY created_at DESC, post_id DESC) AS place FROM posts) SELECT author, CAST(place AS INTEGER) AS place, post_id FROM r WHERE place <= 10")
 def _(t):
     root = work_dir(t.spark)

@@ -106,6 +106,14 @@ class VersionedTable:
     def version(self) -> int:
         return max(self.log.numbers(), default=0)
 
+    def last_note(self, key: str, default=None):
+        """What the last commit that has a note of this name says."""
+        for n in reversed(self.log.numbers()):
+            note = self.log.get(n).get("note") or {}
+            if key in note:
+                return note[key]
+        return default
+
     def history(self) -> list[dict]:
         return [{k: e[k] for k in ("version", "at", "did")} for e in map(self.log.get, self.log.numbers())]
 
@@ -121,7 +129,7 @@ class VersionedTable:
             at_now = max(int(time.time() * 1000), before["at"]) if at is None else at
             if at_now < before["at"]:
                 raise ValueError("a version cannot be older than the one before it")
-            entry = before | {"changes": None} | changed | {"version": before["version"] + 1, "did": did, "at": at_now}
+            entry = before | {"changes": None, "note": None} | changed | {"version": before["version"] + 1, "did": did, "at": at_now}
             if again:
                 entry["parts"] = before["parts"] + added
             if self.log.put(entry["version"], entry):
@@ -184,8 +192,9 @@ class VersionedTable:
             told = self._tell(change_rows(old, self._rows(entry, parts), before["keys"]))
         return self._put(before, "replace", at, parts=parts, schema=entry["schema"], dropped=False, changes=told)
 
-    def merge(self, changes: DataFrame, delete: str = "false", order: str | None = None, at: int | None = None) -> int:
-        """Upserts rows by the table's keys; deletes the keys of rows that fulfil the condition delete. Of rows with one key, the last one by order counts."""
+    def merge(self, changes: DataFrame, delete: str = "false", order: str | None = None, at: int | None = None, note: dict | None = None) -> int:
+        """Upserts rows by the table's keys; deletes the keys of rows that fulfil the condition delete. Of rows with one key, the last one by order counts.
+        note: kept in the commit, such as the batch that was merged."""
         before, columns = self._last(), None
         keys, buckets = before["keys"], before["buckets"]
         if not keys:
@@ -207,7 +216,7 @@ class VersionedTable:
         changed = old.join(last.select(*keys), keys, "left_semi")
         told = self._tell(change_rows(changed, new, keys))
         self.log.delete(staged)
-        return self._put(before, "merge", at, parts=parts, changes=told)
+        return self._put(before, "merge", at, parts=parts, changes=told, note=note)
 
     def _tell(self, rows: DataFrame) -> dict:
         folder = f"{self.root}/changes/{uuid.uuid4().hex}"
