@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from lakeloom.functions import text as tx
 from lakeloom.operators import aggregates as ag
 from lakeloom.operators import joins as jn
+from lakeloom.operators import permissions as pm
 from lakeloom.operators import paging
 from lakeloom.plans.registry import query
 from lakeloom.sources import tables as tb
+from lakeloom.sources.formats import work_dir
 from lakeloom.sources.tables import ctes, epoch, text_time
 
 _WORDS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda w: w <> '')"
@@ -151,6 +153,36 @@ def _(t):
     return sets.select("node", F.array_join("p", ",").alias("permissions"), F.array_contains("p", "admin:1").alias("is_admin"))
 
 
+_ACCESS = f"""WITH RECURSIVE {tb.SQL['roles']}, {_GRANTS}, c(node, ancestor) AS (SELECT child, parent FROM roles UNION SELECT c.node, r.parent FROM c JOIN roles r ON c.ancestor = r.child),
+u AS (SELECT 'c' || c_custkey AS "user", c_custkey % 50 = 0 AS super FROM customer UNION ALL SELECT 's' || s_suppkey, s_suppkey % 7 = 0 FROM supplier),
+x AS (SELECT u."user", u.super, coalesce(list(DISTINCT g.permission) FILTER (g.permission IS NOT NULL), []::VARCHAR[]) AS p FROM u LEFT JOIN c ON c.node = u."user" LEFT JOIN g ON g.role = c.ancestor GROUP BY 1, 2)"""
+
+
+def _access(t):
+    """Customers have the role of their nation, which inherits its region's; suppliers have no role; some of both are super users."""
+    users = t.customer.selectExpr("'c' || cast(c_custkey as string) as user", "c_custkey % 50 = 0 as super").union(t.supplier.selectExpr("'s' || cast(s_suppkey as string)", "s_suppkey % 7 = 0"))
+    hierarchy = t.nation.selectExpr("'n' || cast(n_nationkey as string) as child", "'r' || cast(n_regionkey as string) as parent")
+    granted = t.nation.selectExpr("'n' || cast(n_nationkey as string) as role", "'post:' || cast(n_nationkey % 4 as string) as permission").union(t.region.selectExpr("'r' || cast(r_regionkey as string)", "'admin:' || cast(r_regionkey as string)"))
+    user_roles = t.customer.selectExpr("'c' || cast(c_custkey as string) as user", "'n' || cast(c_nationkey as string) as role")
+    return pm.AccessTable(t.spark, work_dir(t.spark)).build(users, user_roles, hierarchy, granted).read()
+
+
+@query("bq14_any_permission", f"{_ACCESS} SELECT \"user\", super OR list_has_any(p, ['post:1', 'admin:3']) AS may, super AS of_none FROM x")
+def _(t):
+    return _access(t).select("user", pm.has_any(["post:1", "admin:3"]).alias("may"), pm.has_any([]).alias("of_none"))
+
+
+@query("bq14_all_permissions", f"{_ACCESS} SELECT \"user\", super OR list_has_all(p, ['post:2', 'admin:1']) AS may, TRUE AS all_of_none FROM x")
+def _(t):
+    return _access(t).select("user", pm.has_all(["post:2", "admin:1"]).alias("may"), pm.has_all([]).alias("all_of_none"))
+
+
+@query("bq14_superuser_bypass", f"{_ACCESS} SELECT super, super OR list_contains(p, 'admin:0') AS may, count(*) AS users, count(*) FILTER (len(p) = 0) AS without_any FROM x GROUP BY 1, 2")
+def _(t):
+    x = _access(t).withColumn("may", pm.has_permission("admin:0"))
+    return x.groupBy("super", "may").agg(F.count("*").alias("users"), F.count_if(F.size("permissions") == 0).alias("without_any"))
+
+
 # telemetry -----------------------------------------------------------------------------------
 _MIN = "m AS (SELECT host, cluster, device, date_trunc('minute', ts) AS bucket, sum(value) AS total, count(*) AS n, max(value) AS high FROM gpu GROUP BY 1, 2, 3, 4)"
 

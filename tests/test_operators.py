@@ -213,3 +213,16 @@ def test_long_chains_and_large_inserts(spark):
     db = Database(spark)
     db.execute("CREATE TABLE n (i INT)")
     assert db.execute("INSERT INTO n VALUES " + ", ".join(f"({i})" for i in range(10_050))) == 10_050
+
+
+def test_permission_checks(spark, tmp_path):
+    from lakeloom.operators import permissions as pm
+
+    make = lambda data, schema: spark.createDataFrame(data, schema)
+    users = make([("root", True), ("ann", False), ("bob", None), ("eve", False)], "user string, super boolean")
+    roles = make([("ann", "editor"), ("ann", "a"), ("bob", "viewer"), ("bob", None)], "user string, role string")
+    tree = make([("editor", "viewer"), ("a", "b"), ("b", "a")], "child string, parent string")  # with a cycle
+    granted = make([("viewer", "posts:read"), ("editor", "posts:write"), ("b", "users:read"), ("viewer", None)], "role string, permission string")
+    access = pm.AccessTable(spark, f"file://{tmp_path}/x").build(users, roles, tree, granted).read()
+    found = {r.user: tuple(r)[1:] for r in access.select("user", pm.has_permission("posts:read"), pm.has_any(["users:read", "posts:write"]), pm.has_all(["posts:read", "posts:write"]), pm.has_any([]), pm.has_all([])).collect()}
+    assert found == {"root": (True,) * 5, "ann": (True, True, True, False, True), "bob": (True, False, False, False, True), "eve": (False, False, False, False, True)}
