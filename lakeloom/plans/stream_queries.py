@@ -81,6 +81,22 @@ def _(t):
     return early.read().select(text_time("start").alias("start"), "event_type", "n", F.col("total").cast("double").alias("total"), "provisional")
 
 
+@query("st13_replayed_windows", f"WITH w AS (SELECT {_OUT.format('date_trunc(\'hour\', ts)')} AS start, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(12,2))) AS DOUBLE) AS total FROM events GROUP BY 1, 2, date_trunc('hour', ts) HAVING date_trunc('hour', ts) < (SELECT date_trunc('day', max(ts)) FROM events) - INTERVAL 7 DAY) SELECT start, event_type, n, total, sum(n) OVER () = (SELECT count(*) FROM events WHERE ts < (SELECT date_trunc('day', max(ts)) FROM events) - INTERVAL 7 DAY) AS reconciled FROM w")
+def _(t):
+    root = work_dir(t.spark)
+    el.publish(t.events, f"{root}/log", F.col("event_id"), F.col("ts"))
+    schema = "ts timestamp, event_type string, value decimal(12,2)"
+    early = sinks.EarlyWindows(t.spark, f"{root}/windows", "1 hour", "6 days", ("event_type",))
+    stream = el.follow_log(t.spark, f"{root}/log", schema, f"{root}/group", 25_000)
+    # the sink loses every other window that the stream gives it
+    sinks.run_until_idle(early.windows(stream, "ts", "value"), f"{root}/checkpoint", lambda rows, n: early.upsert(rows.filter("hour(start) % 2 = 0"), n), "0 seconds", "update")
+    raw = el.read_log(t.spark, f"{root}/log").select(F.from_json("value", schema).alias("v")).select("v.*")
+    first, last = raw.agg(F.date_trunc("day", F.min("ts")), F.date_trunc("day", F.max("ts")) - F.expr("INTERVAL 7 DAY")).first()
+    told = early.replay(raw, "ts", "value", first, last).select((F.col("counted_after") == F.col("raw_events")).alias("reconciled"))
+    final = early.read().filter(F.col("start") < F.lit(last))
+    return final.select(text_time("start").alias("start"), "event_type", "n", F.col("total").cast("double").alias("total")).join(F.broadcast(told))
+
+
 @query("sc25_log_partitions", f"{ctes('gpu')} SELECT cluster, host, count(*) AS n, CAST(1 AS BIGINT) AS partitions, min(event_id) AS least FROM gpu GROUP BY 1, 2")
 def _(t):
     root = work_dir(t.spark)

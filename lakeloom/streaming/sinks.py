@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.operators.aggregates import top_per_group
-from lakeloom.sources.versioned import VersionedTable
+from lakeloom.sources.versioned import Conflict, VersionedTable
 
 
 class CappedLists:
@@ -71,3 +71,27 @@ class EarlyWindows:
         seen = rows.agg(F.max("newest").alias("seen"))  # one row
         open_ = F.col("start") + F.expr(f"INTERVAL {self.width}") > F.col("seen") - F.expr(f"INTERVAL {self.late}")
         return rows.join(F.broadcast(seen)).select("start", *self.keys, "n", "total", open_.alias("provisional"))
+
+    def replay(self, raw: DataFrame, at: str, value: str, begin, end, tries: int = 5) -> DataFrame:
+        """Makes the windows that start from begin up to end anew from raw events, while the stream goes on; running it again changes nothing.
+
+        Only final windows are replayed (ValueError else): an open one would be overwritten from the stream's state. A batch of the
+        stream that commits meanwhile makes the merge start over. Returns one row: raw_events, counted_before, counted_after, changed (windows)."""
+        inside = lambda c: (F.col(c) >= F.lit(begin)) & (F.col(c) < F.lit(end))
+        grouped = raw.groupBy(F.window(at, self.width).alias("w"), *self.keys).agg(F.count("*").alias("n"), F.sum(value).alias("total"), F.max(at).alias("newest"))
+        rows = grouped.select(F.col("w.start").alias("start"), *self.keys, "n", "total", "newest").filter(inside("start"))
+        for left in reversed(range(tries)):
+            before = self.table.version
+            if not self.read().filter(inside("start") & F.col("provisional")).isEmpty():
+                raise ValueError("the range has windows that are open")
+            gone = self.table.read(before).filter(inside("start")).join(rows.select("start", *self.keys), ["start", *self.keys], "left_anti")
+            try:
+                after = self.table.merge(rows.withColumn("gone", F.lit(False)).unionByName(gone.withColumn("gone", F.lit(True))), delete="gone", note={"replayed": [str(begin), str(end)]})
+                break
+            except Conflict:
+                if not left:
+                    raise
+        counted = lambda v, name: self.table.read(v).filter(inside("start")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias(name))
+        changed = self.table.changes(after - 1, after).agg(F.count("*").alias("changed"))
+        sums = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("raw_events"))
+        return sums.join(counted(after - 1, "counted_before")).join(counted(after, "counted_after")).join(changed)  # one row each
