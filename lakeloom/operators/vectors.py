@@ -52,13 +52,16 @@ def _query_blocks(queries: DataFrame, key: str, vector: str) -> Iterator[tuple[n
         yield np.asarray(ids, np.int64), np.asarray(rows, np.float64)
 
 
-def _search_blocks(spark: SparkSession, queries: DataFrame, key: str, vector: str, prepare: Callable, scan: Callable, data: DataFrame, k: int) -> DataFrame:
-    """The best k rows of scan(broadcast of prepare(ids, vectors)) for each query. Results of several blocks are written
-    to the shared folder one after the other, so that one block at a time is broadcast."""
+def _search_blocks(spark: SparkSession, queries: DataFrame, key: str, vector: str, prepare: Callable, scan: Callable, data: DataFrame | Callable, k: int, more: str = "") -> DataFrame:
+    """The best k rows of scan(broadcast of prepare(ids, vectors)) for each query. data may be a function of what prepare
+    gave: the rows that this block of queries needs. Results of several blocks are written to the shared folder one after
+    the other, so that one block at a time is broadcast. more: further columns that scan returns."""
 
     def search(block) -> tuple[DataFrame, object]:
-        handle = spark.sparkContext.broadcast(prepare(*block))
-        found = data.mapInPandas(scan(handle), "query_id long, vec_id long, distance double")
+        ready = prepare(*block)
+        handle = spark.sparkContext.broadcast(ready)
+        source = data if isinstance(data, DataFrame) else data(ready)
+        found = source.mapInPandas(scan(handle), "query_id long, vec_id long, distance double" + more)
         w = Window.partitionBy("query_id").orderBy("distance", "vec_id")
         return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k), handle
 
@@ -76,6 +79,11 @@ def _search_blocks(spark: SparkSession, queries: DataFrame, key: str, vector: st
     return spark.read.schema(found.schema).parquet(*paths)
 
 
+def best_rows(frame, k: int):
+    """Each query's k best rows of a pandas frame."""
+    return frame.sort_values(["query_id", "distance", "vec_id"]).groupby("query_id").head(k)
+
+
 def nearest(spark: SparkSession, queries: DataFrame, data: DataFrame, k: int, metric: str = "l2", key: str = "vec_id", vector: str = "embedding", exclude_self: bool = True) -> DataFrame:
     """query_id, vec_id, distance, rank: exact neighbours by l2 (squared), cosine or dot (negated), ties by vec_id."""
 
@@ -98,15 +106,12 @@ def nearest(spark: SparkSession, queries: DataFrame, data: DataFrame, k: int, me
                     rows = pd.DataFrame({"query_id": np.repeat(some, order.shape[1]), "vec_id": own[order].ravel(), "distance": np.take_along_axis(d, order, 1).ravel()})
                     best.append(rows[np.isfinite(rows["distance"])])
                 if len(best) > 8:
-                    best = [_best(pd.concat(best), k)]
+                    best = [best_rows(pd.concat(best), k)]
             if best:
-                yield _best(pd.concat(best), k)
+                yield best_rows(pd.concat(best), k)
 
         return run
 
-    def _best(frame, k):
-        return frame.sort_values(["query_id", "distance", "vec_id"]).groupby("query_id").head(k)
-
     return _search_blocks(spark, queries, key, vector, lambda ids, q: (ids, q), scan, data.select(key, vector), k)
 
 
@@ -143,12 +148,19 @@ def ivf_search(spark: SparkSession, queries: DataFrame, data: DataFrame, centres
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def closest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The nearest centre of each row; distances are held for some rows at a time (32 MB)."""
+    step = max(1, (4 << 20) // max(1, len(centres)))
+    parts = [_scores(x[i : i + step], centres, "l2").argmin(1) for i in range(0, len(x), step)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
 def _lloyd(x: np.ndarray, k: int, seed: int, rounds: int = 15) -> np.ndarray:
     """Centres of a sample by Lloyd's rounds from distinct random rows; a centre without rows stays."""
     points = np.unique(x, axis=0)
     centres = points[np.random.default_rng(seed).choice(len(points), min(k, len(points)), replace=False)]
     for _ in range(rounds):
-        near = _scores(x, centres, "l2").argmin(1)
+        near = closest(x, centres)
         n = np.bincount(near, minlength=len(centres))
         sums = np.stack([np.bincount(near, x[:, j], len(centres)) for j in range(x.shape[1])], 1)
         centres = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres)
@@ -225,29 +237,6 @@ def residuals(data: DataFrame, centres: np.ndarray, vector: str = "embedding") -
     return x.withColumn("residual", F.zip_with(F.col(vector), F.get(book, F.col("cell")), lambda a, b: a.cast("double") - b))
 
 
-def ivf_pq_search(spark: SparkSession, queries: DataFrame, data: DataFrame, cells: int, probes: int, k: int, m: int = 8, codes: int = 16, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Neighbours by product codes of residuals in the probed cells: a query is coded against each probed cell's centre."""
-    centres = kmeans(data, cells, vector)
-    x = residuals(data.select(key, vector), centres, vector).select(F.col(key).alias("vec_id"), "cell", "residual")
-    pq = ProductQuantizer(m, codes).fit(x, "residual")
-    coded = pq.encode(x, "residual").select("vec_id", "cell", "code")
-    q = assign_cells(queries.select(F.col(key).alias("query_id"), F.col(vector).alias("q")), centres, "q", probes, "cells").select("query_id", "q", F.explode("cells").alias("cell"))
-    book = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in centres])
-    q = q.select("query_id", "cell", F.zip_with("q", F.get(book, F.col("cell")), lambda a, b: a.cast("double") - b).alias("r"))
-
-    @F.pandas_udf("array<array<double>>")
-    def table(r):
-        import pandas as pd
-
-        return pd.Series([pq.tables(np.asarray(v)).tolist() for v in r])
-
-    near = q.select("query_id", "cell", table("r").alias("t"))
-    pairs = coded.join(near, "cell").filter("query_id <> vec_id")
-    d = F.aggregate(F.zip_with("t", "code", lambda row, c: F.get(row, c.cast("int"))), F.lit(0.0), lambda s, v: s + v)
-    w = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-    return pairs.select("query_id", "vec_id", d.alias("distance")).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
 def principal_rotation(data: DataFrame, vector: str = "embedding") -> np.ndarray:
     """A rotation to principal axes, dealt over slices so that each has a like share of variance. Only a d x d matrix comes to the driver."""
     from pyspark.ml.functions import array_to_vector

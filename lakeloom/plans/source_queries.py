@@ -147,11 +147,6 @@ def _(t):
     return x.groupingSets([["device", "hour"], ["host", "hour"]], "device", "host", "hour").agg(F.count("*").alias("n"))
 
 
-@query("vs7_ivf_with_product_codes")
-def _(t):
-    return vs.ivf_pq_search(t.spark, t.embeddings.filter("vec_id % 50 = 0"), t.embeddings, 8, 8, 50, m=32, codes=64)
-
-
 @query("vs8_rotated_codes")
 def _(t):
     turned = vs.rotate(t.embeddings, vs.principal_rotation(t.embeddings))
