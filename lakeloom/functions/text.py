@@ -44,6 +44,13 @@ def match_all(index: DataFrame, key: str, wanted: Sequence[str]) -> DataFrame:
     return hits.groupBy(key).agg(F.count("*").alias("_n"), F.sum(F.col("weight") * F.log1p("tf")).alias("rank")).filter(F.col("_n") == len(set(wanted))).drop("_n")
 
 
+def count_term(text: str, term: str) -> Column:
+    """How often a term is in a text, by one pattern in the scan: for a few terms that need no index."""
+    import re
+
+    return F.regexp_count(F.lower(text), F.lit(rf"(?<![\p{{L}}\p{{N}}_]){re.escape(term)}(?![\p{{L}}\p{{N}}_])"))
+
+
 def match_any(index: DataFrame, key: str, wanted: Sequence[str]) -> DataFrame:
     return index.filter(F.col("term").isin(list(wanted))).select(key).distinct()
 

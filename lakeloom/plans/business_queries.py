@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lakeloom.functions import text as tx
+from lakeloom.functions.postings import PostingIndex
 from lakeloom.operators import aggregates as ag
 from lakeloom.operators import joins as jn
 from lakeloom.operators import permissions as pm
@@ -21,12 +22,14 @@ q AS (SELECT t.*, h.rank, epoch((SELECT max(created_at) FROM tweets)) - epoch(cr
 
 
 def _matches(t, words=("the", "of"), days=7):
-    """Tweets that hold every word, of the last days, with rank and age in seconds."""
+    """Tweets that hold every word, of the last days, with rank and age in seconds. Terms are counted in the scan, behind the time filter."""
     docs = tb.tweets(t)
-    hits = tx.match_all(tx.inverted_index(docs, "id", {"text": "A"}), "id", list(words))
     now = F.broadcast(docs.agg(F.max("created_at").alias("now")))
-    x = docs.join(hits, "id").join(now).filter(F.col("created_at") >= F.col("now") - F.expr(f"INTERVAL {days} DAYS"))
-    return x.withColumn("age", epoch("now") - epoch("created_at"))
+    x = docs.join(now).filter(F.col("created_at") >= F.col("now") - F.expr(f"INTERVAL {days} DAYS"))
+    for i, w in enumerate(words):
+        x = x.filter(F.lower("text").contains(w)).withColumn(f"_n{i}", tx.count_term("text", w)).filter(F.col(f"_n{i}") > 0)
+    rank = sum((F.lit(tx.WEIGHTS["A"]) * F.log1p(f"_n{i}") for i in range(1, len(words))), F.lit(tx.WEIGHTS["A"]) * F.log1p("_n0"))
+    return x.withColumn("rank", rank).withColumn("age", epoch("now") - epoch("created_at"))
 
 
 @query("bq1_ranked_search", f"""{ctes("tweets")}, {_MATCH}, s AS (SELECT id, 0.3 * rank + 0.4 / (1 + age / 21600.0) + 0.3 * (0.012 * ln(1 + likes) + 0.012 * ln(1 + retweets) + 0.006 * ln(1 + views / 1000.0)) AS score FROM q)
@@ -36,6 +39,31 @@ def _(t):
     return paging.page(s, [F.col("score").desc(), F.col("id")], 20).select("id", F.round("score", 6).alias("score"), "total")
 
 
+def _postings(t, **options):
+    return PostingIndex(t.spark, work_dir(t.spark) + "/postings").build(tb.tweets(t), "id", {"text": "A"}, **options)
+
+
+_PLACES = rf"p AS (SELECT doc_id AS id, unnest(w) AS term, generate_subscripts(w, 1) AS at FROM (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL))"
+
+
+@query("bq1_phrase_search", f"WITH {_PLACES} SELECT a.id, count(*) AS hits FROM p a JOIN p b ON a.id = b.id AND b.at = a.at + 1 WHERE a.term = 'of' AND b.term = 'the' GROUP BY 1")
+def _(t):
+    return _postings(t).search(phrases=["of the"]).select(F.col("key").alias("id"), F.col("phrase_hits").alias("hits"))
+
+
+_STEM = """CASE WHEN term LIKE '%ies' AND term NOT LIKE '%eies' AND term NOT LIKE '%aies' THEN term[:-4] || 'y' WHEN term LIKE '%es' AND term NOT LIKE '%aes' AND term NOT LIKE '%ees' AND term NOT LIKE '%oes' THEN term[:-2]
+WHEN term LIKE '%s' AND term NOT LIKE '%us' AND term NOT LIKE '%ss' THEN term[:-2] ELSE term END"""
+
+
+@query("bq1_stemmed_search", f"""WITH {_PLACES}, l AS (SELECT id, count(*) AS length FROM p GROUP BY 1), m AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT sum(length) FROM l) / (SELECT count(*) FROM documents) AS mean),
+f AS (SELECT id, {_STEM} AS term, count(*) AS tf FROM p GROUP BY 1, 2), d AS (SELECT term, count(*) AS d FROM f GROUP BY 1),
+r AS (SELECT id, sum(ln(1 + (n - d + 0.5) / (d + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))) AS rank FROM f JOIN d USING (term) JOIN l USING (id) CROSS JOIN m WHERE term IN ('the', 'one') GROUP BY 1 HAVING count(*) = 2)
+SELECT id, round(rank, 5) AS rank FROM r WHERE id NOT IN (SELECT id FROM f WHERE term = 'erin')""")
+def _(t):
+    found = _postings(t, stems=True).search(all_of="thes ones", none_of="erin")
+    return found.select(F.col("key").alias("id"), F.round("rank", 5).alias("rank"))
+
+
 @query("bq2_search_exponential", f"{ctes('tweets')}, {_MATCH}, s AS (SELECT id, 0.6 * exp(-age / 21600.0) + 0.4 * (0.4 * ln(1 + likes) + 0.4 * ln(1 + retweets) + 0.2 * ln(1 + views / 1000.0)) AS score FROM q) SELECT id, round(score, 6) AS score FROM s ORDER BY s.score DESC, id LIMIT 20")
 def _(t):
     s = _matches(t).select("id", tx.search_score_exponential(F.col("age")).alias("s"))
