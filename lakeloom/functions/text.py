@@ -48,7 +48,8 @@ def count_term(text: str, term: str) -> Column:
     """How often a term is in a text, by one pattern in the scan: for a few terms that need no index."""
     import re
 
-    return F.regexp_count(F.lower(text), F.lit(rf"(?<![\p{{L}}\p{{N}}_]){re.escape(term)}(?![\p{{L}}\p{{N}}_])"))
+    word = re.escape(term)  # matched first: what stands before it is looked at afterwards
+    return F.regexp_count(F.lower(text), F.lit(rf"{word}(?<![\p{{L}}\p{{N}}_]{word})(?![\p{{L}}\p{{N}}_])"))
 
 
 def match_any(index: DataFrame, key: str, wanted: Sequence[str]) -> DataFrame:

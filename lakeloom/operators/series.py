@@ -12,8 +12,40 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def trailing(keys: Sequence[str], seconds: int, at: str = "s"):
-    return Window.partitionBy(*keys).orderBy(at).rangeBetween(-(seconds - 1), 0)
+#: A bin of time is so many ranges wide; a block of ranks is so many windows long.
+RANGES_IN_BIN, WINDOWS_IN_BLOCK = 4, 10
+
+
+def _bin(at: str, width: int, ahead: int = 0) -> Column:
+    return F.floor((F.col(at) + ahead) / width)
+
+
+def over_ranges(df: DataFrame, keys: Sequence[str], seconds: int, at: str, **columns) -> DataFrame:
+    """Adds columns, functions of a trailing window, over bins of time: a sample is copied to the next bin if ranges there reach back to it."""
+    width = RANGES_IN_BIN * seconds
+    x = df.withColumn("_bin", F.explode_outer(F.sequence(_bin(at, width), _bin(at, width, seconds - 1))))
+    w = Window.partitionBy(*keys, "_bin").orderBy(at).rangeBetween(-(seconds - 1), 0)
+    x = x.select("*", *[f(w).alias(name) for name, f in columns.items()])
+    return x.filter(F.col("_bin").eqNullSafe(_bin(at, width))).drop("_bin")
+
+
+def _with_carried(df: DataFrame, keys: Sequence[str], at: str, tie: str | None, width: int, carry: Column, name: str, running: bool) -> tuple[DataFrame, object]:
+    """The samples by bins of time, and before each bin's first one a row whose column `name` is carry (an aggregate of a bin)
+    of the bin before, or its running sum over all bins before; and the window of a bin in order. _own tells samples from carried rows."""
+    x = df.withColumn("_bin", _bin(at, width)).withColumn("_own", F.lit(True))
+    by = Window.partitionBy(*keys).orderBy("_bin")  # a row for each bin of a series
+    left = x.groupBy(*keys, "_bin").agg(carry.alias("_left"))
+    before = F.sum("_left").over(by.rowsBetween(Window.unboundedPreceding, -1)) if running else F.lag("_left").over(by)
+    carried = left.select(*keys, "_bin", before.alias(name), F.lit(False).alias("_own"))
+    order = ["_own", at, *([tie] if tie else [])]
+    return x.unionByName(carried, allowMissingColumns=True), Window.partitionBy(*keys, "_bin").orderBy(*order)
+
+
+def _previous(df: DataFrame, keys: Sequence[str], value: str, at: str, tie: str | None, width: int, name: str) -> DataFrame:
+    """Adds the value of the sample before, from whichever bin."""
+    last = F.max_by(value, F.struct(at, *([tie] if tie else [])))
+    x, w = _with_carried(df, keys, at, tie, width, last, value, running=False)
+    return x.withColumn(name, F.lag(value).over(w)).filter("_own").drop("_own", "_bin")
 
 
 def _in_order(keys: Sequence[str], at: str = "s", tie: str | None = None):
@@ -22,35 +54,36 @@ def _in_order(keys: Sequence[str], at: str = "s", tie: str | None = None):
 
 def over_time(df: DataFrame, keys: Sequence[str], seconds: int, value: str = "v", at: str = "s") -> DataFrame:
     """Adds n, total, mean, low, high and population deviation over the trailing range."""
-    w, v = trailing(keys, seconds, at), F.col(value)
-    return df.select("*", F.count(v).over(w).alias("n"), F.sum(v).over(w).alias("total"), F.avg(v).over(w).alias("mean"), F.min(v).over(w).alias("low"), F.max(v).over(w).alias("high"), F.stddev_pop(v).over(w).alias("deviation"))
+    each = {"n": F.count, "total": F.sum, "mean": F.avg, "low": F.min, "high": F.max, "deviation": F.stddev_pop}
+    return over_ranges(df, keys, seconds, at, **{name: lambda w, f=f: f(value).over(w) for name, f in each.items()})
 
 
 def quantile_over_time(df: DataFrame, keys: Sequence[str], seconds: int, q: float, value: str = "v", at: str = "s") -> DataFrame:
-    return df.withColumn("quantile", F.expr(f"percentile({value}, {q})").over(trailing(keys, seconds, at)))
+    return over_ranges(df, keys, seconds, at, quantile=lambda w: F.expr(f"percentile({value}, {q})").over(w))
 
 
 def counter_increase(df: DataFrame, keys: Sequence[str], seconds: int, value: str = "v", at: str = "s", tie: str | None = None) -> DataFrame:
     """Adds increase over the trailing range and rate per second. The step into a series's first sample is none."""
-    prev = F.lag(value).over(_in_order(keys, at, tie))
+    x, prev = _previous(df, keys, value, at, tie, RANGES_IN_BIN * seconds, "_prev"), F.col("_prev")
     step = F.when(prev.isNull(), 0).when(F.col(value) < prev, F.col(value)).otherwise(F.col(value) - prev)
-    out = df.withColumn("_step", step).withColumn("increase", F.sum("_step").over(trailing(keys, seconds, at)))
+    out = over_ranges(x.withColumn("_step", step).drop("_prev"), keys, seconds, at, increase=lambda w: F.sum("_step").over(w))
     return out.withColumn("rate", F.col("increase") / seconds).drop("_step")
 
 
 def slope(df: DataFrame, keys: Sequence[str], seconds: int, value: str = "v", at: str = "s") -> DataFrame:
     """Adds the least-squares slope per second over the trailing range (null with fewer than two times)."""
-    w, x, y = trailing(keys, seconds, at), F.col(at).cast("double"), F.col(value)
-    n, sx, sy = F.count("*").over(w), F.sum(x - F.lit(1.7e9)).over(w), F.sum(y).over(w)
-    sxy, sxx = F.sum((x - F.lit(1.7e9)) * y).over(w), F.sum((x - F.lit(1.7e9)) * (x - F.lit(1.7e9))).over(w)
-    return df.withColumn("slope", F.try_divide(n * sxy - sx * sy, F.nullif(n * sxx - sx * sx, F.lit(0.0))))
+    x, y = F.col(at).cast("double") - F.lit(1.7e9), F.col(value)
+    sums = {"_n": F.count("*"), "_x": F.sum(x), "_y": F.sum(y), "_xy": F.sum(x * y), "_xx": F.sum(x * x)}
+    out = over_ranges(df, keys, seconds, at, **{name: lambda w, c=c: c.over(w) for name, c in sums.items()})
+    n, sx, sy, sxy, sxx = map(F.col, sums)
+    return out.withColumn("slope", F.try_divide(n * sxy - sx * sy, F.nullif(n * sxx - sx * sx, F.lit(0.0)))).drop(*sums)
 
 
 def value_changes(df: DataFrame, keys: Sequence[str], seconds: int, value: str = "v", at: str = "s", tie: str | None = None) -> DataFrame:
     """Adds how often the value differed from the one before, over the trailing range."""
-    prev = F.lag(value).over(_in_order(keys, at, tie))
+    x, prev = _previous(df, keys, value, at, tie, RANGES_IN_BIN * seconds, "_prev"), F.col("_prev")
     step = F.when(prev.isNotNull() & ~F.col(value).eqNullSafe(prev), 1).otherwise(0)
-    return df.withColumn("_step", step).withColumn("changes", F.sum("_step").over(trailing(keys, seconds, at))).drop("_step")
+    return over_ranges(x.withColumn("_step", step).drop("_prev"), keys, seconds, at, changes=lambda w: F.sum("_step").over(w)).drop("_step")
 
 
 def resample(df: DataFrame, keys: Sequence[str], seconds: int, agg: Column, value_name: str = "v", at: str = "s") -> DataFrame:
@@ -87,13 +120,21 @@ def normal_tail(z: Column) -> Column:
     return F.when(z >= 0, half).otherwise(1 - half)
 
 
-def phi_accrual(df: DataFrame, keys: Sequence[str], window: int = 100, at: str = "s", tie: str | None = None, now: Column | None = None, most: float = 15.0) -> DataFrame:
-    """Adds the mean and sample deviation of up to `window` earlier intervals, and the suspicion of each interval."""
-    w = _in_order(keys, at, tie)
-    gap = F.col(at) - F.lag(at).over(w)
-    x = df.withColumn("gap", gap)
+def phi_accrual(df: DataFrame, keys: Sequence[str], window: int = 100, at: str = "s", tie: str | None = None, now: Column | None = None, most: float = 15.0, width: int = 86400) -> DataFrame:
+    """Adds the mean and sample deviation of up to `window` earlier intervals, and the suspicion of each interval.
+
+    Ranks within a series come from bins of `width` seconds and carried counts. Blocks of ranks are the tasks' units, each with
+    the window + 1 samples before it."""
+    x, w = _with_carried(df.withColumn("_n", F.lit(1).cast("long")), keys, at, tie, width, F.count("*"), "_n", running=True)
+    x = x.withColumn("_rank", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).filter("_own").drop("_own", "_bin", "_n")
+    long = WINDOWS_IN_BLOCK * window
+    own = F.floor(F.col("_rank") / long)
+    x = x.withColumn("_block", F.explode(F.sequence(own, F.floor((F.col("_rank") + window + 1) / long))))
+    w = Window.partitionBy(*keys, "_block").orderBy("_rank")
     past = w.rowsBetween(-window, -1)
+    x = x.withColumn("gap", F.col(at) - F.lag(at).over(w))
     x = x.withColumn("mean", F.avg("gap").over(past)).withColumn("deviation", F.stddev_samp("gap").over(past))
+    x = x.filter(F.col("_block") == own).drop("_block", "_rank")
     sigma = F.when(F.coalesce("deviation", F.lit(0.0)) > 0, F.col("deviation")).otherwise(F.col("mean") / 4)
     tail = normal_tail((F.col("gap") - F.col("mean")) / F.nullif(sigma, F.lit(0.0)))
     phi = F.when(tail <= 10.0 ** -most, F.lit(most)).otherwise(F.least(F.lit(most), -F.log10(tail)))

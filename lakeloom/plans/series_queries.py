@@ -139,7 +139,7 @@ def _(t):
 
 @query("wn18_count_over_time", f"WITH {_S} SELECT event_id, count(*) FILTER (v > 250) OVER (PARTITION BY k ORDER BY s RANGE BETWEEN 86399 PRECEDING AND CURRENT ROW) AS n FROM x")
 def _(t):
-    return _series(t).select("event_id", F.count(F.when(F.col("v") > 250, 1)).over(sr.trailing(["k"], 86400)).alias("n"))
+    return sr.over_ranges(_series(t), ["k"], 86400, "s", n=lambda w: F.count(F.when(F.col("v") > 250, 1)).over(w)).select("event_id", "n")
 
 
 @query("wn19_age_of_last_event", f"WITH {_S} SELECT k, (SELECT max(s) FROM x) - max(s) AS age FROM x GROUP BY k HAVING (SELECT max(s) FROM x) - max(s) > 3600")
