@@ -1,4 +1,7 @@
-"""Line de-duplication by an exact set-similarity join, with DataFrame functions only.
+"""Line de-duplication by an exact set-similarity join.
+
+Joins, lists and filters are DataFrame functions. Words are hashed, put in order and verified in Arrow batches, since
+higher-order functions are interpreted and took most of the time (README).
 
 A line is the set of its words after lower-casing; it goes if an earlier line, by (doc_id, line
 number), has a Jaccard similarity of ``percent`` or more with it. Matches are judged on the
@@ -8,6 +11,7 @@ input, not on what is left.
    place is that of its first line. Everything below is done once a class, however often it occurs.
 2. *Rarity.* The words of all classes are counted in 2**20 hash buckets. Words are ordered by the
    logarithm of their bucket's count, in 16 levels, then by hash; any order gives the same result.
+   A word that is alone in its bucket is in one class only and is not posted.
 3. *Prefix filter.* Of n words in that order a class posts the first n - ceil(t n) + 1: two sets that
    match have a posted word in common. A posting has the word, the class, its place in the
    prefix, the size, and a 64-bit parity map of the whole set.
@@ -36,12 +40,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import Scratch, fresh_names
+from lakeloom.llm.common import Scratch, find_words, fresh_names, hash_words, text_blocks
 
-BUCKETS, LEVELS, SLOTS, BIT_SLOTS = 1 << 20, 16, 1 << 16, 1 << 14
+BUCKETS, BUCKET_SHIFT, LEVELS, BIT_SLOTS = 1 << 20, np.uint64(44), 16, 1 << 14
 SHORT, LONG, GROUP = 256, 4096, 64
 WIDE = 4
 ODD_SPACES = "\t\x0b\f\r"
@@ -55,10 +60,6 @@ def _normal(text: str) -> Column:
     return F.lower(F.when(odd, F.translate(F.col(text), ODD_SPACES, " " * len(ODD_SPACES))).otherwise(F.col(text)))
 
 
-def _words(line: str | Column) -> Column:
-    return F.array_distinct(F.array_remove(F.split(line, " "), ""))
-
-
 def _shift(name: str, value: Column, by: Column) -> Column:
     return F.call_function(name, value, by.cast("int"))
 
@@ -87,32 +88,121 @@ class Membership:
         return _shift("shiftright", _slot(self.table, F.shiftright(key, 6), BIT_SLOTS), key.bitwiseAND(F.lit(63))).bitwiseAND(F.lit(1)) == 1
 
 
+def _word_sets(lines, key=lambda h: h):
+    """Yields (first row, number of rows, rows, keys): each block's words, each once a row, in order of row and key."""
+    for at, rows, buffer, starts in text_blocks(lines):
+        first, last = find_words(buffer)
+        keys = key(hash_words(buffer, first, last))
+        row = np.searchsorted(starts, first, "right") - 1
+        order = np.argsort(keys)
+        small = row[order].astype(np.uint16) if rows <= 1 << 16 else row[order]
+        order = order[np.argsort(small, kind="stable")]
+        row, keys = row[order], keys[order]
+        once = np.ones(len(row), bool)
+        once[1:] = (row[1:] != row[:-1]) | (keys[1:] != keys[:-1])
+        yield at, rows, row[once], keys[once]
+
+
+def _parity(row: np.ndarray, bit: np.ndarray, rows: int) -> np.ndarray:
+    """For each row the 64-bit map of the numbers (0 to 63) that it has an odd number of times."""
+    out = np.zeros(rows, np.uint64)
+    if len(row):
+        first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+        out[row[first]] = np.bitwise_xor.reduceat(np.uint64(1) << bit, first)
+    return out
+
+
 class Rarity:
-    """The level of each of the 2**20 buckets of words. Levels are equal steps of the logarithm up to the largest count."""
+    """The logarithms of the counts of words in 2**20 buckets, broadcast as bytes. Levels are equal steps of the
+    logarithm up to the largest one."""
 
     PARTS = 4  # of a factor of two; a count's logarithm fits a byte
 
     def __init__(self, lines: DataFrame, scratch: Scratch):
-        each = lines.select(F.explode(F.split("s", " ")).alias("w")).filter("w <> ''")
-        counts = each.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).agg(F.count("*").alias("n"))
+        def count(batches):
+            n = np.zeros(BUCKETS, np.int64)
+            for batch in batches:
+                for _, _, buffer, _ in text_blocks(batch.column(0)):
+                    n += np.bincount((hash_words(buffer, *find_words(buffer)) >> BUCKET_SHIFT).astype(np.int64), minlength=BUCKETS)
+            some = np.flatnonzero(n)
+            for lo in range(0, len(some), 1 << 16):
+                b = some[lo : lo + (1 << 16)]
+                yield pa.record_batch({"b": b, "n": n[b]})
+
+        counts = lines.select("s").mapInArrow(count, "b long, n long").groupBy("b").agg(F.sum("n").alias("n"))
+        # no logarithm is 0 but that of a single word: 2 has PARTS
         log = _shift("shiftleft", F.floor(F.log2("n") * self.PARTS + 1e-9).cast("long"), F.col("b").bitwiseAND(F.lit(7)) * 8)
         packed = counts.groupBy(F.shiftright("b", 3).alias("slot")).agg(F.bit_or(log).alias("logs"))
         packed = scratch.save(packed, "counts").toArrow()  # at most 2**17 rows
         logs = np.zeros(BUCKETS // 8, np.int64)
         logs[packed.column("slot").to_numpy()] = packed.column("logs").to_numpy()
-        logs = logs.view(np.uint8).astype(np.uint64)
+        logs = logs.view(np.uint8)
         self.step = int(logs.max(initial=0)) // LEVELS + 1
-        nibbles = (logs // np.uint64(self.step)).reshape(SLOTS, 16) << (np.uint64(4) * np.arange(16, dtype=np.uint64))
-        self.table = _slots(np.bitwise_or.reduce(nibbles, axis=1).view(np.int64))
+        self.logs = lines.sparkSession.sparkContext.broadcast(logs)
 
     def most(self, level: int) -> int:
         """The largest count that a level can stand for."""
         return int(2 ** ((level + 1) * self.step / self.PARTS))
 
-    def key(self, h: Column) -> Column:
-        """Sorts rare words first: the level, then 59 bits of hash."""
-        nibble = _shift("shiftright", _slot(self.table, F.shiftright(h, 4), SLOTS), F.shiftleft(h.bitwiseAND(F.lit(15)), 2)).bitwiseAND(F.lit(LEVELS - 1))
-        return F.shiftleft(nibble, 59) + F.shiftrightunsigned(h, 5)
+
+def _prefix_batches(logs, step: int, percent: int):
+    """Size, parity map and prefix of each line. Keys sort rare words first: the level, then 59 bits of hash, the bucket
+    being the first 20 of these. Words that are alone in their bucket occur in one class only and are not posted."""
+
+    def key(h: np.ndarray) -> np.ndarray:
+        level = logs.value[(h >> BUCKET_SHIFT).astype(np.int64)] // step
+        return (level.astype(np.uint64) << np.uint64(59)) | (h >> np.uint64(5))
+
+    def run(batches):
+        for batch in batches:
+            for at, rows, row, keys in _word_sets(batch.column("s"), key):
+                n = np.bincount(row, minlength=rows)
+                posted = n - (n * percent + 99) // 100 + 1
+                pos = np.arange(len(row)) - (np.cumsum(n) - n)[row]
+                bucket = (keys >> np.uint64(39)).astype(np.int64) & (BUCKETS - 1)
+                use = (pos < posted[row]) & (logs.value[bucket] > 0)
+                offsets = np.concatenate([[0], np.cumsum(np.bincount(row[use], minlength=rows))]).astype(np.int32)
+                words = pa.StructArray.from_arrays([pa.array(pos[use].astype(np.int32)), pa.array(keys[use].astype(np.int64))], ["pos", "token"])
+                part = batch.slice(at, rows)
+                yield pa.record_batch({
+                    "class": part.column("class"), "at": part.column("at"), "n": n.astype(np.int32),
+                    "map": _parity(row, keys & np.uint64(63), rows).view(np.int64), "prefix": pa.ListArray.from_arrays(pa.array(offsets), words),
+                })
+
+    return run
+
+
+def _wide_batches(batches):
+    """Size of each line, and its parity map in 64 * WIDE bits; null for at most 64 words, whose map in the postings says enough."""
+    for batch in batches:
+        for at, rows, row, keys in _word_sets(batch.column("s")):
+            n, part = np.bincount(row, minlength=rows), batch.slice(at, rows)
+            maps = {}
+            for i in range(WIDE):
+                mine = (keys >> np.uint64(6)) & np.uint64(WIDE - 1) == i
+                maps[f"m{i}"] = pa.array(_parity(row[mine], keys[mine] & np.uint64(63), rows).view(np.int64), mask=n <= 64)
+            yield pa.record_batch({"class": part.column("class"), "at": part.column("at"), "s": part.column("s"), "n": n.astype(np.int32), **maps})
+
+
+def _alike_batches(percent: int):
+    """The pairs whose sets of words are similar enough, by the words themselves."""
+
+    def words(line: str) -> set:
+        found = set(line.split(" "))
+        found.discard("")
+        return found
+
+    def run(batches):
+        for batch in batches:
+            alike, last, a = np.zeros(len(batch), bool), None, set()
+            for i, (x, y) in enumerate(zip(batch.column("s_a"), batch.column("s_b"), strict=True)):
+                x, b = x.as_py(), words(y.as_py())
+                if x != last:
+                    last, a = x, words(x)
+                alike[i] = (100 + percent) * len(a & b) >= percent * (len(a) + len(b))
+            yield batch.select(["a", "b", "at_a", "at_b"]).filter(pa.array(alike))
+
+    return run
 
 
 class LineJoin:
@@ -133,12 +223,10 @@ class LineJoin:
 
     def _prefixes(self, classes: DataFrame, rarity: Rarity) -> DataFrame:
         """class, at, n, map, prefix: a class's size, parity map, and the keys of its rarest words."""
-        hashes = F.transform(F.array_remove(F.split("s", " "), ""), lambda w: F.xxhash64(w))
-        keyed = classes.select("class", "at", F.sort_array(F.transform(F.array_distinct(hashes), rarity.key)).alias("keys"))
-        n = F.size("keys")
-        posted = n - F.floor((n * self.percent + 99) / 100).cast("int") + 1
-        parity = F.aggregate("keys", F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(_shift("shiftleft", F.lit(1).cast("long"), F.shiftright(k, 53))))
-        return self.scratch.save(keyed.select("class", "at", n.alias("n"), parity.alias("map"), F.slice("keys", F.lit(1), posted).alias("prefix")), "prefixes")
+        at = classes.schema["at"].dataType.simpleString()
+        run = _prefix_batches(rarity.logs, rarity.step, self.percent)
+        out = classes.select("class", "at", "s").mapInArrow(run, f"class long, at {at}, n int, map long, prefix array<struct<pos:int,token:bigint>>")
+        return self.scratch.save(out, "prefixes")
 
     def _fits(self) -> Column:
         """The filters on a pair of postings x and y of one word."""
@@ -168,7 +256,7 @@ class LineJoin:
     def _hot(self, prefixes: DataFrame, rarity: Rarity) -> DataFrame:
         """token, list: the words posted more than SHORT times, with that number."""
         proven = sum(rarity.most(v) <= SHORT for v in range(LEVELS))
-        tokens = prefixes.select(F.explode("prefix").alias("token")).filter(F.shiftright("token", 59) >= proven)
+        tokens = prefixes.select(F.explode("prefix.token").alias("token")).filter(F.shiftright("token", 59) >= proven)
         return self.scratch.save(tokens.groupBy("token").agg(F.count("*").alias("list")).filter(F.col("list") > SHORT), "hot")
 
     def _against_first(self, lists: DataFrame) -> DataFrame:
@@ -196,34 +284,23 @@ class LineJoin:
 
     @staticmethod
     def _postings(prefixes: DataFrame, *more: str) -> DataFrame:
-        return prefixes.select("class", "n", "map", *more, F.posexplode("prefix").alias("pos", "token"))
-
-    @staticmethod
-    def _wide_map() -> list[Column]:
-        """m0 to m3: the parity map of a set of over 64 hashes h in 64 * WIDE bits; null for smaller sets, whose map in the postings says enough."""
-        one = F.lit(1).cast("long")
-
-        def part(i: int) -> Column:
-            mine = F.filter("h", lambda k: F.shiftright(k, 6).bitwiseAND(F.lit(WIDE - 1)) == i)
-            return F.aggregate(mine, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(_shift("shiftleft", one, k.bitwiseAND(F.lit(63)))))
-
-        return [F.when(F.size("h") > 64, part(i)).alias(f"m{i}") for i in range(WIDE)]
+        return prefixes.select("class", "n", "map", *more, F.inline("prefix"))
 
     def _late(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
         """The later class of each pair whose words are similar enough."""
         ids = self.scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "ids")
         wanted = classes.filter(Membership(ids, "class").may_have(F.col("class"))).select("class", "at", "s").join(ids, "class")
-        # lines travel as text, which compresses; arrays of words would be several times as large
-        hashed = wanted.select("class", "at", "s", F.array_distinct(F.transform(F.array_remove(F.split("s", " "), ""), lambda w: F.xxhash64(w))).alias("h"))
-        wanted = self.scratch.save(hashed.select("class", "at", "s", F.size("h").alias("n"), *self._wide_map()), "wanted")
+        at = classes.schema["at"].dataType.simpleString()
+        shape = f"class long, at {at}, s string, n int, " + ", ".join(f"m{i} long" for i in range(WIDE))
+        wanted = self.scratch.save(wanted.mapInArrow(_wide_batches, shape), "wanted")
         maps = [f"m{i}" for i in range(WIDE)]
         x = wanted.select(F.col("class").alias("a"), F.col("n").alias("n_a"), *[F.col(m).alias(f"{m}_a") for m in maps])
         y = wanted.select(F.col("class").alias("b"), F.col("at").alias("at_b"), F.col("s").alias("s_b"), F.col("n").alias("n_b"), *[F.col(m).alias(f"{m}_b") for m in maps])
         differ = sum((F.coalesce(F.bit_count(F.col(f"{m}_a").bitwiseXOR(F.col(f"{m}_b"))), F.lit(0)) for m in maps), F.lit(0))
         may_be_alike = (100 + self.percent) * differ <= (100 - self.percent) * (F.col("n_a") + F.col("n_b"))
-        near = pairs.join(x, "a").join(y, "b").filter(may_be_alike).select("a", "b", "n_a", "n_b", "at_b", "s_b")
+        near = pairs.join(x, "a").join(y, "b").filter(may_be_alike).select("a", "b", "at_b", "s_b")
         full = near.join(wanted.select(F.col("class").alias("a"), F.col("at").alias("at_a"), F.col("s").alias("s_a")), "a")
-        alike = full.filter((100 + self.percent) * F.size(F.array_intersect(_words("s_a"), _words("s_b"))) >= self.percent * (F.col("n_a") + F.col("n_b")))
+        alike = full.select("a", "b", "at_a", "at_b", "s_a", "s_b").mapInArrow(_alike_batches(self.percent), f"a long, b long, at_a {at}, at_b {at}")
         return alike.select(F.when(F.col("at_a") < F.col("at_b"), F.col("b")).when(F.col("at_b") < F.col("at_a"), F.col("a")).alias("class")).filter("class is not null").distinct()
 
     def late_classes(self) -> tuple[DataFrame, DataFrame]:
