@@ -5,9 +5,10 @@ block of queries. A pair of nodes (query node with centre p and radius r, data n
 score above  <p, q> + |p| s + |q| r + r s,  and none below  <p, q>  less the same. A pair whose upper bound is below the
 worst kth score of the query group, or below the group's (k+1)th largest lower bound, is pruned; leaves that
 remain are compared exactly, the most promising first. The traversal goes down both trees level by level, over all
-pairs of a level at once. Partial results are merged by (score, id) over partitions, so the result is exact and
-independent of the blocks. Leaves are single points or equal ones: where data has no clusters, radii hide everything
-above them, and the traversal then costs what a comparison of all pairs costs.
+pairs of a level at once, as long as bounds are few beside the pairs of rows (a 64th): where data has no clusters, radii hide
+everything, and the pairs of nodes reached by then are compared by one matrix product each, a million scores at a time.
+Partial results are merged by (score, id) over partitions, so the result is exact and independent of the blocks.
+Leaves have up to ``LEAF`` points, scored together.
 
 Query blocks have at most ``query_block`` rows; only one is held by the driver and broadcast at
 a time. Data is never collected.
@@ -30,14 +31,17 @@ from pyspark.sql import functions as F
 
 from lakeloom.llm.common import Scratch
 
-LEAF, FAN = 1, 64
+LEAF, FAN = 32, 64
+PAYS = 64  # there may be a bound for so many pairs of rows
+CELLS = 1 << 20  # scores and bounds held at once
 
 
 class CoverTree:
     """A cover tree over the rows of points. The children of a node are a net of its points, chosen farthest first: centres
     are at least the node's ``reach`` apart, and every point is within it of its own, the nearest, centre. As in a cover
     tree of fixed scales, but each node's scale is the one at which its net has at most ``fan`` centres, so that flat data,
-    where a fixed scale would need as many centres as points, keeps a bounded fan. Radii are the true ones.
+    where a fixed scale would need as many centres as points, keeps a bounded fan; there only so many centres are kept as
+    leaves are needed. Radii are the true ones.
     Nodes are arrays: centre, radius, reach, children, rows of leaves; children come after their node."""
 
     def __init__(self, points: np.ndarray, leaf: int = LEAF, base: float = 1.6, fan: int = FAN):
@@ -77,6 +81,11 @@ class CoverTree:
                 far = self._distances(rows, centres[-1])
                 own = np.where(far < least, len(centres) - 1, own)
                 least = np.minimum(least, far)
+            if least.max() > self.radius[node] / self.base**4 and len(centres) > (few := max(2, -(-len(rows) // self.leaf))):
+                centres, own, least = centres[:few], np.zeros(len(rows), np.int64), d
+                for i, c in enumerate(centres[1:], 1):
+                    far = self._distances(rows, c)
+                    own, least = np.where(far < least, i, own), np.minimum(least, far)
             self.reach[node] = float(least.max())
             for i, c in enumerate(centres):
                 mine = own == i
@@ -114,6 +123,17 @@ class _Flat:
         self.first = np.cumsum(self.many) - self.many
         self.child = np.asarray([c for children in tree.children for c in children], np.int64)
 
+    def rows(self, node: int) -> np.ndarray:
+        """The rows under a node."""
+        todo, out = [node], []
+        while todo:
+            n = todo.pop()
+            if self.leaf[n]:
+                out.append(self.tree.rows[n])
+            else:
+                todo += self.tree.children[n]
+        return np.concatenate(out)
+
     def least_below(self, values: np.ndarray) -> np.ndarray:
         """The least of its rows' values, for each node."""
         out = np.empty(len(self.centre))
@@ -137,12 +157,16 @@ def _bounds(q: _Flat, d: _Flat, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarra
     """No score of rows under the query nodes a and the data nodes b is below the first or above the second."""
     some, i = np.unique(a, return_inverse=True)
     others, j = np.unique(b, return_inverse=True)
-    dots = (q.tree.points[q.centre[some]] @ d.tree.points[d.centre[others]].T)[i, j]
+    if len(some) * len(others) <= max(4 * len(a), CELLS):
+        dots = (q.tree.points[q.centre[some]] @ d.tree.points[d.centre[others]].T)[i, j]
+    else:
+        step = max(1, CELLS // q.tree.points.shape[1])
+        dots = np.concatenate([np.einsum("ij,ij->i", q.tree.points[q.centre[a[n : n + step]]], d.tree.points[d.centre[b[n : n + step]]]) for n in range(0, len(a), step)])
     room = q.norm[a] * d.radius[b] + q.radius[a] * (d.norm[b] + d.radius[b]) + 1e-11 * (q.norm[a] + q.radius[a]) * (d.norm[b] + d.radius[b]) + 1e-6
     return dots - room, dots + room
 
 
-def dual_tree_search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, ids: np.ndarray, k: int, query_tree: CoverTree | None = None, best: TopK | None = None, chunk: int = 256) -> TopK:
+def dual_tree_search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, ids: np.ndarray, k: int, query_tree: CoverTree | None = None, best: TopK | None = None, chunk: int = 16) -> TopK:
     """Adds the rows of data to each query's best k. Vectors are integers held as float64, exact below 2**53."""
     best = best or TopK(len(queries), k)
     if not len(queries) or not len(data):
@@ -150,19 +174,28 @@ def dual_tree_search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarra
     q, d = _Flat(query_tree or CoverTree(queries)), _Flat(CoverTree(data))
     small = float(np.abs(queries).max(initial=0)) * float(np.abs(data).max(initial=0)) * queries.shape[1] < 2.0**53
 
-    def compare(query_leaf: int, data_leaves: np.ndarray) -> None:
-        a, b = q.tree.rows[query_leaf], np.concatenate([d.tree.rows[n] for n in data_leaves])
-        best.compared += len(a) * len(b)
+    def compare(mine: np.ndarray, data_nodes: np.ndarray) -> None:
+        b = np.concatenate([d.rows(n) for n in data_nodes])
+        best.compared += len(mine) * len(b)
+        for lo in range(0, len(b), CELLS):
+            some = b[lo : lo + CELLS]
+            step = max(1, CELLS // len(some))
+            for at in range(0, len(mine), step):
+                score_rows(mine[at : at + step], some)
+
+    def score_rows(a: np.ndarray, b: np.ndarray) -> None:
         scores = queries[a] @ data[b].T if small else queries[a].astype(np.int64).astype(object) @ data[b].T.astype(np.int64).astype(object)
         own = query_ids[a][:, None] == ids[b][None]
         scores[own] = 0  # a query is no candidate of its own
         scores = scores.astype(np.int64)
-        for row, query in enumerate(a):
-            fit = (scores[row] >= best.worst[query]) & ~own[row]
-            if fit.any():
-                best.offer(int(query), scores[row][fit], ids[b][fit])
-
-    least = q.least_below(best.worst)
+        scores[own] = np.iinfo(np.int64).min
+        fit = (scores >= best.worst[a][:, None]) & ~own
+        if len(b) > k:
+            fit &= scores >= np.partition(scores, len(b) - k, axis=1)[:, len(b) - k][:, None]
+        for row in np.flatnonzero(fit.any(1)):
+            best.offer(int(a[row]), scores[row][fit[row]], ids[b][fit[row]])
+
+    least, before = q.least_below(best.worst), best.bounded
     a, b = np.zeros(1, np.int64), np.zeros(1, np.int64)
     left: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     while len(a):
@@ -175,6 +208,9 @@ def dual_tree_search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarra
         keep = upper >= least[a]  # equal scores may still win by a smaller id
         a, b, upper = a[keep], b[keep], upper[keep]
         ends = q.leaf[a] & d.leaf[b]
+        after = (np.maximum(q.many[a], 1) * np.maximum(d.many[b], 1))[~ends].sum()
+        if (best.bounded - before + after) * PAYS > len(queries) * len(data):
+            ends[:] = True  # more bounds don't pay
         left.append((a[ends], b[ends], upper[ends]))
         a, b = a[~ends], b[~ends]
         over, owner = q.below(a)
@@ -189,9 +225,10 @@ def dual_tree_search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarra
     a, b, upper = a[order], b[order], upper[order]
     groups, first = np.unique(a, return_index=True)
     for n, lo, hi in zip(groups, first, [*first[1:], len(a)], strict=True):
-        while lo < hi and upper[lo] >= best.worst[q.tree.rows[n]].min():
+        mine = q.rows(n)
+        while lo < hi and upper[lo] >= best.worst[mine].min():
             to = min(hi, lo + chunk)
-            compare(n, b[lo:to])
+            compare(mine, b[lo:to])
             lo = to
     return best
 

@@ -229,3 +229,17 @@ def test_held_out_accuracy_and_samples(spark):
     none = df.filter("lang is null")
     nothing = langcrf.train_on(none)
     assert {r["lang_pred"] for r in langcrf.identify_languages(spark, none, nothing).collect()} == {"und"}
+
+
+def test_flat_data_costs_few_bounds_and_stays_exact():
+    rng = np.random.default_rng(21)
+    data = np.floor(1024 * rng.normal(size=(3000, 48)))
+    data[1500:1600] = data[0]
+    ids = np.arange(3000)
+    found = covertree.dual_tree_search(data[:600], ids[:600], data, ids, 10)
+    assert found.bounded <= 600 * 3000 / covertree.PAYS + 1
+    for q in range(0, 600, 7):
+        scores = (data @ data[q]).astype(np.int64)
+        scores[q] = -(1 << 60)
+        order = np.lexsort((ids, -scores))[:10]
+        assert found.ids[q].tolist() == order.tolist() and found.score[q].tolist() == scores[order].tolist()
