@@ -25,6 +25,10 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 SCHEMA = "partition int, key string, value string, at timestamp"
 
 
+def _ends(segments: dict[int, list]) -> dict[int, int]:
+    return {p: x[-1][0] + x[-1][1] for p, x in segments.items()}
+
+
 class Segments:
     """The folder of a log."""
 
@@ -49,14 +53,17 @@ class Segments:
         return {p: sorted(x) for p, x in found.items()}
 
     def ends(self) -> dict[int, int]:
-        return {p: x[-1][0] + x[-1][1] for p, x in self.all().items()}
+        return _ends(self.all())
 
     def read(self, partition: int, start: int, end: int) -> Iterator:
         """Record batches of the events from start up to end."""
+        yield from self.read_segments(self.all().get(partition, ()), partition, start, end)
+
+    def read_segments(self, segments, partition: int, start: int, end: int) -> Iterator:
         import pyarrow as pa
         import pyarrow.parquet as pq
 
-        for first, count, path in self.all().get(partition, ()):
+        for first, count, path in segments:
             if first < end and first + count > start:
                 with self.fs.open_input_file(path) as file:
                     events = pq.read_table(file).slice(max(0, start - first), min(end, first + count) - max(start, first))
@@ -124,6 +131,7 @@ class Range(InputPartition):
     partition: int
     start: int
     end: int
+    segments: list
 
 
 @dataclass
@@ -132,7 +140,8 @@ class Staged(WriterCommitMessage):
 
 
 class EventLog(DataSource):
-    """Options: path; for streams maxEvents (of a batch; 0: no limit), group (where its place is kept), startingOffsets (earliest or latest)."""
+    """Options: path; for streams maxEvents (of a batch; 0: no limit), group (where its place is kept), startingOffsets (earliest or latest),
+    members and member (a stream of so many that share the partitions, and its number from 0; each has its own group)."""
 
     @classmethod
     def name(cls):
@@ -159,22 +168,27 @@ class BatchReader(DataSourceReader):
         self.path = options["path"]
 
     def partitions(self):
-        return [Range(p, x[0][0], x[-1][0] + x[-1][1]) for p, x in sorted(Segments(self.path).all().items())] or [Range(0, 0, 0)]
+        return [Range(p, x[0][0], x[-1][0] + x[-1][1], x) for p, x in sorted(Segments(self.path).all().items())] or [Range(0, 0, 0, [])]
 
     def read(self, partition):
-        return Segments(self.path).read(partition.partition, partition.start, partition.end)
+        return Segments(self.path).read_segments(partition.segments, partition.partition, partition.start, partition.end)
 
 
 class StreamReader(DataSourceStreamReader):
     def __init__(self, options):
         self.path, self.most, self.group = options["path"], int(options.get("maxEvents", 0)), options.get("group")
-        self.latest, self.planned = options.get("startingOffsets", "earliest") == "latest", None
+        self.latest, self.planned, self.listed = options.get("startingOffsets", "earliest") == "latest", None, {}
+        self.member, self.members = int(options.get("member", 0)), int(options.get("members", 1))
         if self.most and not self.group:
             raise ValueError("maxEvents needs a group, to know after a restart what was read")
 
+    def _list(self) -> dict[int, list]:
+        """The segments of the member's partitions, listed anew."""
+        self.listed = {p: x for p, x in Segments(self.path).all().items() if p % self.members == self.member}
+        return self.listed
+
     def initialOffset(self):  # noqa: N802
-        log = Segments(self.path)
-        return {str(p): n if self.latest else 0 for p, n in log.ends().items()}
+        return {str(p): n if self.latest else 0 for p, n in _ends(self._list()).items()}
 
     def _planned(self) -> dict:
         if self.planned is None:
@@ -183,10 +197,12 @@ class StreamReader(DataSourceStreamReader):
         return self.planned
 
     def latestOffset(self):  # noqa: N802
-        ends = {str(p): n for p, n in Segments(self.path).ends().items()}
         if not self.most:
-            return ends
+            return {str(p): n for p, n in _ends(self._list()).items()}
         here = self._planned()
+        ends = {str(p): n for p, n in _ends(self.listed).items()}
+        if sum(max(0, n - here.get(p, 0)) for p, n in ends.items()) < self.most:  # else a batch is full with what is known
+            ends = {str(p): n for p, n in _ends(self._list()).items()}
         open_, out, room = sorted(p for p in ends if ends[p] > here.get(p, 0)), dict(here), self.most
         for i, p in enumerate(open_):
             take = min(ends[p] - here.get(p, 0), -(-room // (len(open_) - i)))
@@ -197,10 +213,13 @@ class StreamReader(DataSourceStreamReader):
         self.planned = {p: max(n, start.get(p, 0)) for p, n in end.items()}
         if self.group:  # before a batch is run, so that a restart never counts from an earlier place
             Segments(self.group).write_json("planned", self.planned)
-        return [Range(int(p), start.get(p, 0), n) for p, n in sorted(end.items()) if n > start.get(p, 0)]
+        ranges = [(int(p), start.get(p, 0), n) for p, n in sorted(end.items()) if n > start.get(p, 0)]
+        if any(n > _ends(self.listed).get(p, 0) for p, _, n in ranges):
+            self._list()
+        return [Range(p, a, b, [x for x in self.listed.get(p, ()) if x[0] < b and x[0] + x[1] > a]) for p, a, b in ranges]
 
     def read(self, partition):
-        return Segments(self.path).read(partition.partition, partition.start, partition.end)
+        return Segments(self.path).read_segments(partition.segments, partition.partition, partition.start, partition.end)
 
 
 class BatchWriter(DataSourceArrowWriter):
@@ -252,10 +271,10 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("event_log").load(path)
 
 
-def follow_log(spark: SparkSession, path: str, schema, group: str | None = None, most: int = 0, latest: bool = False) -> DataFrame:
-    """A log as a stream of its values' fields. most: events of a batch."""
+def follow_log(spark: SparkSession, path: str, schema, group: str | None = None, most: int = 0, latest: bool = False, member: int = 0, members: int = 1) -> DataFrame:
+    """A log as a stream of its values' fields. most: events of a batch. member of members: which of the streams that share the partitions."""
     spark.dataSource.register(EventLog)
-    reader = spark.readStream.format("event_log").option("startingOffsets", "latest" if latest else "earliest").option("maxEvents", most)
+    reader = spark.readStream.format("event_log").option("startingOffsets", "latest" if latest else "earliest").option("maxEvents", most).option("member", member).option("members", members)
     if group:
         reader = reader.option("group", group)
     return reader.load(path).select(F.from_json("value", schema).alias("v")).select("v.*")

@@ -2,25 +2,40 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.operators.aggregates import top_per_group
 from lakeloom.sources.versioned import Conflict, VersionedTable
+from lakeloom.streaming.held import Held
 
 
 class CappedLists:
-    """The newest entries of each key, at most so many, in a versioned table with a row a key. A push reads and rewrites the buckets of its keys only.
+    """The newest entries of each key, at most so many, in a versioned table with a row a key. A push reads and rewrites the buckets of its keys only;
+    pushes with a number are held beside the table and merged together.
 
     An entry is (at, id); a list holds an entry once, newest first, ties by the larger id. So a batch that is pushed again changes nothing."""
 
     def __init__(self, spark: SparkSession, root: str, keep: int, buckets: int = 16):
-        self.table, self.keep = VersionedTable(spark, root, ["key"], buckets), keep
+        self.table, self.keep, self.held = VersionedTable(spark, root, ["key"], buckets), keep, Held(spark, f"{root}/held")
 
     def push(self, entries: DataFrame, number: int | None = None) -> None:
         """entries: key, at, id. The signature of foreachBatch."""
+        if number is None:
+            return self._merge(entries)
+        entries = entries.select("key", "at", "id")
+        if not self.table.version:
+            self.table.append(self.held.spark.createDataFrame([], f"key {_type(entries, 'key')}, entries array<struct<at: {_type(entries, 'at')}, id: {_type(entries, 'id')}>>"))
+        taken = self.table.last_note("batch", -1)
+        if number <= taken:
+            return
+        self.held.put(entries, number)
+        if self.held.due(number, taken):
+            self._merge(self.held.read(self.held.numbers(taken, number), entries.schema), {"batch": number})
+
+    def _merge(self, entries: DataFrame, note: dict | None = None) -> None:
         first = top_per_group(entries.select("key", "at", "id").filter("key is not null").distinct(), ["key"], [F.col("at").desc(), F.col("id").desc()], self.keep)
         fresh = first.groupBy("key").agg(F.collect_list(F.struct("at", "id")).alias("entries"))  # at most keep entries a key
         if not self.table.version:
@@ -29,14 +44,25 @@ class CappedLists:
         known = self.table.read().withColumnRenamed("entries", "known")
         both = fresh.join(known, "key", "left")
         lists = F.array_distinct(F.concat("entries", F.coalesce("known", F.array().cast(fresh.schema["entries"].dataType))))
-        self.table.merge(both.select("key", F.slice(F.sort_array(lists, asc=False), 1, self.keep).alias("entries")))
+        self.table.merge(both.select("key", F.slice(F.sort_array(lists, asc=False), 1, self.keep).alias("entries")), note=note)
 
     def read(self) -> DataFrame:
         """key, place (from 1), at, id."""
-        rows = self.table.read().select("key", F.posexplode("entries").alias("place", "entry"))
+        taken = self.table.last_note("batch", -1)
+        kept, numbers = self.table.read(), self.held.numbers(taken)
+        if numbers:
+            known = kept.select("key", F.explode("entries").alias("entry")).select("key", "entry.at", "entry.id")
+            fresh = self.held.read(numbers, known.schema).filter("key is not null")
+            first = top_per_group(known.unionByName(fresh).distinct(), ["key"], [F.col("at").desc(), F.col("id").desc()], self.keep)
+            return first.select("key", F.col("rank").alias("place"), "at", "id")
+        rows = kept.select("key", F.posexplode("entries").alias("place", "entry"))
         return rows.select("key", (F.col("place") + 1).alias("place"), "entry.at", "entry.id")
 
 
+def _type(df: DataFrame, name: str) -> str:
+    return df.schema[name].dataType.simpleString()
+
+
 def run_until_idle(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], every: str = "1 second", mode: str = "append") -> None:
     """Runs a stream in batches that begin at most once in the given time, until its source has nothing more."""
     running = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(processingTime=every).foreachBatch(each).start()
@@ -46,12 +72,25 @@ def run_until_idle(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame
         running.stop()
 
 
+def run_members(streams: Sequence[DataFrame], checkpoint: str, each: Callable[[DataFrame, int, int], None]) -> None:
+    """Runs the streams that share a log side by side, each with its own checkpoint, until there is nothing more. each: batch, member, number."""
+    bound = lambda member: lambda batch, number: each(batch, member, number)
+    running = [s.writeStream.option("checkpointLocation", f"{checkpoint}/{m}").trigger(processingTime="0 seconds").foreachBatch(bound(m)).start() for m, s in enumerate(streams)]
+    try:
+        for r in running:
+            r.processAllAvailable()
+    finally:
+        for r in running:
+            r.stop()
+
+
 class EarlyWindows:
     """Windows that are shown while they are open. Each batch of a stream in update mode upserts the windows that it changed, whole, so a batch
-    that runs again changes nothing. A window is provisional until the watermark, the newest event less the delay, has passed its end."""
+    that runs again changes nothing. Batches with a number are held beside the table and merged together. A window is provisional until the watermark, the newest event less the delay, has passed its end."""
 
     def __init__(self, spark: SparkSession, root: str, width: str, late: str, keys: tuple[str, ...] = ()):
         self.table, self.width, self.late, self.keys = VersionedTable(spark, root, ["start", *keys], 8), width, late, list(keys)
+        self.held = Held(spark, f"{root}/held")
 
     def windows(self, events: DataFrame, at: str, value: str) -> DataFrame:
         """The stream of changed windows: start, the keys, n, total, newest."""
@@ -62,12 +101,34 @@ class EarlyWindows:
     def upsert(self, rows: DataFrame, number: int | None = None) -> None:
         """The signature of foreachBatch; the stream must be in update mode."""
         if not self.table.version:
-            self.table.append(rows.limit(0))
-        self.table.merge(rows, order="n")
+            self.table.append(self.held.spark.createDataFrame([], rows.schema))
+        if number is None:
+            self.table.merge(rows, order="n")
+            return
+        taken = self.table.last_note("batch", -1)
+        if number <= taken:
+            return
+        self.held.put(rows, number)
+        if self.held.due(number, taken):
+            self.settle()
+
+    def settle(self) -> None:
+        """Merges what is held into the table. A window only grows, so of its states the one with most events is the last."""
+        taken = self.table.last_note("batch", -1)
+        if numbers := self.held.numbers(taken):
+            self.table.merge(self.held.read(numbers, self.table.read().schema), order="n", note={"batch": numbers[-1]})
+
+    def _last_states(self) -> DataFrame:
+        taken = self.table.last_note("batch", -1)
+        rows, numbers = self.table.read(), self.held.numbers(taken)
+        if not numbers:
+            return rows
+        both = rows.withColumn("_held", F.lit(0)).unionByName(self.held.read(numbers, rows.schema).withColumn("_held", F.lit(1)))
+        return both.groupBy("start", *self.keys).agg(F.max_by(F.struct(*rows.columns), F.struct("_held", "n")).alias("_last")).select("_last.*")
 
     def read(self) -> DataFrame:
         """The last state of each window, with provisional."""
-        rows = self.table.read()
+        rows = self._last_states()
         seen = rows.agg(F.max("newest").alias("seen"))  # one row
         open_ = F.col("start") + F.expr(f"INTERVAL {self.width}") > F.col("seen") - F.expr(f"INTERVAL {self.late}")
         return rows.join(F.broadcast(seen)).select("start", *self.keys, "n", "total", open_.alias("provisional"))
@@ -81,6 +142,7 @@ class EarlyWindows:
         grouped = raw.groupBy(F.window(at, self.width).alias("w"), *self.keys).agg(F.count("*").alias("n"), F.sum(value).alias("total"), F.max(at).alias("newest"))
         rows = grouped.select(F.col("w.start").alias("start"), *self.keys, "n", "total", "newest").filter(inside("start"))
         for left in reversed(range(tries)):
+            self.settle()
             before = self.table.version
             if not self.read().filter(inside("start") & F.col("provisional")).isEmpty():
                 raise ValueError("the range has windows that are open")
