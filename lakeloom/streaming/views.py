@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.operators.aggregates import top_per_group
 from lakeloom.sources.versioned import VersionedTable
+from lakeloom.streaming.held import Held
 
 
 class TopView:
@@ -17,11 +18,13 @@ class TopView:
     where it is, because a member fell, is the group's list made anew from its stored counts. Raw events are never read again.
 
     A batch that runs again is told by its number. If it stopped between the two tables, the groups it names are repaired from the counts.
+    ``hold`` keeps a batch's deltas for a refresh that takes many batches at once; reading brings the lists up to date first.
+
     Keys without a count (0) are not stored. Null groups and items are not counted. ``refreshes`` has what each refresh read.
     """
 
     def __init__(self, spark: SparkSession, root: str, k: int, group: str = "long", item: str = "long", buckets: int = 16):
-        self.spark, self.root, self.k = spark, root, k
+        self.spark, self.root, self.k, self.held = spark, root, k, Held(spark, f"{root}/held")
         self.counts = VersionedTable(spark, f"{root}/counts", ["group", "item"], buckets)
         self.tops = VersionedTable(spark, f"{root}/tops", ["group"], buckets)
         if not self.counts.version:
@@ -71,8 +74,27 @@ class TopView:
         told.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{self.root}/refreshes/{number}")
         self.tops.merge(new, delete="entries is null", note={"batch": number})
 
+    def hold(self, deltas: DataFrame, number: int) -> None:
+        """As refresh, with the signature of foreachBatch: the deltas are kept until a refresh is due."""
+        taken = self.counts.last_note("batch", -1)
+        if number <= taken:
+            return
+        self.held.put(deltas.select("group", "item", "n"), number)
+        if self.held.due(number, taken):
+            self.settle()
+
+    def settle(self) -> None:
+        """Refreshes by what is held. A refresh that stopped between its tables is finished first, with the same batches."""
+        counted, listed = self.counts.last_note("batch", -1), self.tops.last_note("batch", -1)
+        schema = self.counts.read().schema
+        if listed < counted and (numbers := self.held.numbers(listed, counted)):
+            self.refresh(self.held.read(numbers, schema), counted)
+        if numbers := self.held.numbers(counted):
+            self.refresh(self.held.read(numbers, schema), numbers[-1])
+
     def read(self) -> DataFrame:
         """group, rank (from 1), item, n."""
+        self.settle()
         rows = self.tops.read().select("group", F.posexplode("entries").alias("rank", "e"))
         return rows.select("group", (F.col("rank") + 1).alias("rank"), "e.item", "e.n")
 
