@@ -54,20 +54,24 @@ def _(t):
     root = work_dir(t.spark)
     liked = tb.like_events(t)
     el.publish(liked, f"{root}/log", F.col("item"), F.col("ts"))
-    table = jobs.KeyedTable(t.spark, f"{root}/counts", "item long, n long", ["item"])
+    counts = jobs.LikeCounts(t.spark, root)
     stream = el.follow_log(t.spark, f"{root}/log", "item long, action string", f"{root}/group", 20_000)
-    sinks.run_until_idle(stream, f"{root}/checkpoint", jobs.count_likes(table), "0 seconds")
-    return jobs.likes_shown(table)
+    sinks.run_until_idle(stream, f"{root}/checkpoint", counts.each, "0 seconds")
+    return counts.read()
 
 
 @query("st6_bounded_batches", "SELECT count(*) AS events, count(*) AS different, TRUE AS bounded FROM events")
 def _(t):
     root = work_dir(t.spark)
     el.publish(t.events, f"{root}/log", F.col("user_id"), F.col("ts"))
-    stream = el.follow_log(t.spark, f"{root}/log", "event_id long", f"{root}/group", 1000)
-    sinks.run_until_idle(stream, f"{root}/checkpoint", lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{root}/out/{n}"), "0 seconds")
-    read = t.spark.read.parquet(f"{root}/out/*")
-    most = read.groupBy("batch").agg(F.count("*").alias("n")).agg((F.max("n") <= 1000).alias("bounded"))
+    streams = [el.follow_log(t.spark, f"{root}/log", "event_id long", f"{root}/group{m}", 1000, member=m, members=4) for m in range(4)]
+
+    def write(batch, member, number):  # a batch is small: one task, one file
+        batch.coalesce(1).withColumns({"member": F.lit(member), "batch": F.lit(number)}).write.mode("overwrite").parquet(f"{root}/out/{member}-{number}")
+
+    sinks.run_members(streams, f"{root}/checkpoint", write)
+    read = t.spark.read.schema("event_id long, member int, batch int").parquet(f"{root}/out/*")
+    most = read.groupBy("member", "batch").agg(F.count("*").alias("n")).agg((F.max("n") <= 1000).alias("bounded"))
     return read.agg(F.count("*").alias("events"), F.countDistinct("event_id").alias("different")).join(F.broadcast(most))
 
 
@@ -112,7 +116,7 @@ def _(t):
     view = views.TopView(t.spark, f"{root}/view", 5)
     stream = el.follow_log(t.spark, f"{root}/log", "user_id long, item long, action string", f"{root}/group", 25_000)
     deltas = stream.select((F.col("user_id") % 5).alias("group"), "item", F.when(F.col("action") == "like", 1).otherwise(-1).cast("long").alias("n"))
-    sinks.run_until_idle(deltas, f"{root}/checkpoint", view.refresh, "0 seconds")
+    sinks.run_until_idle(deltas, f"{root}/checkpoint", view.hold, "0 seconds")
     return view.read().withColumnRenamed("group", "grp")
 
 

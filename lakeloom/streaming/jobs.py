@@ -6,12 +6,13 @@ is the batch run of the transform over the raw events.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lakeloom.streaming.held import Held
+
 
 def read_events(spark: SparkSession, path: str, schema, files_per_batch: int = 1, format: str = "parquet", **options) -> DataFrame:
     """A stream of files. options go to the source, such as maxOffsetsPerTrigger for a log source."""
@@ -31,12 +32,14 @@ def to_log(df: DataFrame, key: str) -> DataFrame:
 
 
 def drain(stream: DataFrame, checkpoint: str, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None) -> DataFrame | None:
-    """Runs a stream until its source is used up. Without `each`, returns what it wrote (in memory: for tests)."""
+    """Runs a stream until its source is used up. Without `each`, returns what it wrote, from a folder of rows for each batch beside the checkpoint."""
+    rows = Held(stream.sparkSession, f"{checkpoint}-rows")
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    name = f"drain_{uuid.uuid4().hex}"
-    running = writer.foreachBatch(each).start() if each else writer.format("memory").queryName(name).start()
-    running.awaitTermination()
-    return None if each else stream.sparkSession.table(name)
+    writer.foreachBatch(each or rows.put).start().awaitTermination()
+    if each:
+        return None
+    numbers = rows.numbers(-1)
+    return rows.read(numbers[-1:] if mode == "complete" else numbers, stream.schema)
 
 
 def tumbling(events: DataFrame, at: str, width: str, keys: Sequence[str], late: str | None = "10 minutes", slide: str | None = None) -> DataFrame:
@@ -69,14 +72,11 @@ class KeyedTable:
         jvm = self.spark._jvm
         top = jvm.org.apache.hadoop.fs.Path(self.path)
         files = top.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not files.exists(top):
-            return []
         out = []
-        for status in files.listStatus(top):
-            name = status.getPath().getName()
-            if name.startswith("v") and files.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/_SUCCESS")):
-                version, _, batch = name[1:].partition("-batch")
-                out.append((int(version), int(batch) if batch else None, f"{self.path}/{name}"))
+        for status in files.globStatus(jvm.org.apache.hadoop.fs.Path(f"{self.path}/v*/_SUCCESS")) or []:
+            name = status.getPath().getParent().getName()
+            version, _, batch = name[1:].partition("-batch")
+            out.append((int(version), int(batch) if batch else None, f"{self.path}/{name}"))
         return sorted(out, key=lambda x: x[0])
 
     @property
@@ -106,6 +106,32 @@ def count_likes(table: KeyedTable) -> Callable[[DataFrame, int], None]:
     return each
 
 
+class LikeCounts:
+    """Likes less unlikes of each item, kept by a stream: a batch writes its own deltas, held beside the table, which takes many batches at once."""
+
+    def __init__(self, spark: SparkSession, root: str, item: str = "long"):
+        self.table, self.held = KeyedTable(spark, f"{root}/counts", f"item {item}, n long", ["item"]), Held(spark, f"{root}/held")
+
+    def _taken(self) -> int:
+        return max((b for _, b, _ in self.table.versions() if b is not None), default=-1)
+
+    def _sums(self, numbers: list[int]) -> DataFrame:
+        return self.table.read().unionByName(self.held.read(numbers, self.table.schema)).groupBy("item").agg(F.sum("n").alias("n"))
+
+    def each(self, batch: DataFrame, number: int) -> None:
+        """For foreachBatch: batch has item, action. A batch that runs again changes nothing."""
+        taken = self._taken()
+        if number <= taken:
+            return
+        self.held.put(batch.select("item", F.when(F.col("action") == "like", 1).otherwise(-1).cast("long").alias("n")), number)
+        if self.held.due(number, taken):
+            self.table.replace(self._sums(self.held.numbers(taken, number)), number)
+
+    def read(self) -> DataFrame:
+        """The counts, never below 0, whatever the batches were."""
+        return self._sums(self.held.numbers(self._taken())).withColumn("n", F.greatest("n", F.lit(0).cast("long")))
+
+
 def likes_shown(table: KeyedTable) -> DataFrame:
     """The counts, never below 0, whatever the batches were."""
     return table.read().withColumn("n", F.greatest("n", F.lit(0).cast("long")))
