@@ -225,11 +225,9 @@ class CellIndex:
     def _scan(self, queries: DataFrame, k: int, probes: int, key: str, vector: str, exclude_self: bool, column: str, measure) -> DataFrame:
         def scan(handle):
             def run(frames: Iterator) -> Iterator:
-                import pandas as pd
-
                 ready = handle.value
                 ids, _, at, share = ready
-                best: list[pd.DataFrame] = []
+                bests: dict[int, vs.Best] = {}
                 for frame in frames:
                     for cell, part in frame.groupby("cell", sort=False):
                         if cell not in at:
@@ -238,15 +236,12 @@ class CellIndex:
                         for some, d in measure(ready, cell, part):
                             if exclude_self:
                                 d[ids[some][:, None] == own[None]] = np.inf
-                            order = np.lexsort((np.broadcast_to(own, d.shape), d))[:, :k]
-                            wide = order.shape[1]
-                            rows = {"query_id": np.repeat(ids[some], wide), "vec_id": own[order].ravel(), "distance": np.take_along_axis(d, order, 1).ravel(), "share": np.repeat(share[some], wide), "cell": np.int32(cell)}
-                            rows = pd.DataFrame(rows)
-                            best.append(rows[np.isfinite(rows["distance"])])
-                        if len(best) > 64:
-                            best = [vs.best_rows(pd.concat(best), k)]
-                if best:
-                    yield vs.best_rows(pd.concat(best), k)
+                            n = int(some[0]) // vs.AT_ONCE
+                            bests.setdefault(n, vs.Best(vs.AT_ONCE, k)).add(some - n * vs.AT_ONCE, d, own, cell)
+                for n, best in bests.items():
+                    if len(best.at):
+                        lo = n * vs.AT_ONCE
+                        yield best.rows(ids[lo : lo + vs.AT_ONCE]).assign(share=share[lo + best.at], cell=best.mark)
 
             return run
 
@@ -273,5 +268,7 @@ def _matrix(v, kind=np.float64) -> np.ndarray:
 
 
 def _chunks(at: np.ndarray) -> Iterator[np.ndarray]:
-    for lo in range(0, len(at), vs.AT_ONCE):
-        yield at[lo : lo + vs.AT_ONCE]
+    """Places of queries in order, those of each AT_ONCE queries together."""
+    for some in np.split(at, np.flatnonzero(np.diff(at // vs.AT_ONCE)) + 1):
+        if len(some):
+            yield some

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.sources.formats import work_dir
 
-MOST_QUERIES, AT_ONCE = 10_000, 512
+MOST_QUERIES, MOST_RESULTS, MOST_TABLES, AT_ONCE = 10_000, 1_000_000, 32 << 20, 128  # of a block: queries, results, bytes of tables; queries scored at once
 
 
 def dot(a, b) -> Column:
@@ -35,27 +35,30 @@ def _scores(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
         return (q * q).sum(1)[:, None] - 2 * q @ x.T + (x * x).sum(1)[None]
     if metric == "dot":
         return -(q @ x.T)
+    if metric == "bits":
+        whole = lambda v: (v[:, 0].astype(np.uint64) << np.uint64(32)) | v[:, 1].astype(np.uint64)
+        return np.bitwise_count(whole(q)[:, None] ^ whole(x)[None]).astype(np.float64)
     n = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None]
     return 1 - np.divide(q @ x.T, n, out=np.zeros_like(n), where=n > 0)
 
 
-def _query_blocks(queries: DataFrame, key: str, vector: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids and vectors of all queries, at most MOST_QUERIES at a time; one empty block if there are none."""
+def _query_blocks(queries: DataFrame, key: str, vector: str, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors of all queries, at most so many at a time; one empty block if there are none."""
     ids, rows, any_yet = [], [], False
     for r in queries.select(key, vector).toLocalIterator():
         ids.append(r[0])
         rows.append(r[1])
-        if len(ids) == MOST_QUERIES:
+        if len(ids) == most:
             yield np.asarray(ids, np.int64), np.asarray(rows, np.float64)
             ids, rows, any_yet = [], [], True
     if ids or not any_yet:
         yield np.asarray(ids, np.int64), np.asarray(rows, np.float64)
 
 
-def _search_blocks(spark: SparkSession, queries: DataFrame, key: str, vector: str, prepare: Callable, scan: Callable, data: DataFrame | Callable, k: int, more: str = "") -> DataFrame:
+def _search_blocks(spark: SparkSession, queries: DataFrame, key: str, vector: str, prepare: Callable, scan: Callable, data: DataFrame | Callable, k: int, more: str = "", each: int = 0) -> DataFrame:
     """The best k rows of scan(broadcast of prepare(ids, vectors)) for each query. data may be a function of what prepare
     gave: the rows that this block of queries needs. Results of several blocks are written to the shared folder one after
-    the other, so that one block at a time is broadcast. more: further columns that scan returns."""
+    the other, so that one block at a time is broadcast. more: further columns that scan returns. each: bytes of what prepare gives for one query, if those are many."""
 
     def search(block) -> tuple[DataFrame, object]:
         ready = prepare(*block)
@@ -65,7 +68,8 @@ def _search_blocks(spark: SparkSession, queries: DataFrame, key: str, vector: st
         w = Window.partitionBy("query_id").orderBy("distance", "vec_id")
         return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k), handle
 
-    blocks = _query_blocks(queries, key, vector)
+    most = min(MOST_QUERIES, max(1, MOST_RESULTS // k), max(1, MOST_TABLES // each) if each else MOST_QUERIES)
+    blocks = _query_blocks(queries, key, vector, most)
     now, after = next(blocks), next(blocks, None)
     if after is None:
         return search(now)[0]
@@ -79,39 +83,66 @@ def _search_blocks(spark: SparkSession, queries: DataFrame, key: str, vector: st
     return spark.read.schema(found.schema).parquet(*paths)
 
 
-def best_rows(frame, k: int):
-    """Each query's k best rows of a pandas frame."""
-    return frame.sort_values(["query_id", "distance", "vec_id"]).groupby("query_id").head(k)
+class Best:
+    """The k best rows that some queries have met, ties by the smaller id: at most k a query are held."""
 
+    def __init__(self, queries: int, k: int):
+        self.k, self.high = k, np.full(queries, np.inf)
+        self.at, self.d, self.own, self.mark = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
-def nearest(spark: SparkSession, queries: DataFrame, data: DataFrame, k: int, metric: str = "l2", key: str = "vec_id", vector: str = "embedding", exclude_self: bool = True) -> DataFrame:
-    """query_id, vec_id, distance, rank: exact neighbours by l2 (squared), cosine or dot (negated), ties by vec_id."""
+    def add(self, which: np.ndarray, d: np.ndarray, own: np.ndarray, mark: int = 0) -> None:
+        """Distances of the queries at `which` to rows. Infinite ones and NaN are left out. mark: kept with the rows, such as their cell."""
+        high = self.high[which]
+        if d.shape[1] > self.k and not np.isfinite(high).all():
+            high = np.fmin(high, np.partition(d, self.k - 1, axis=1)[:, self.k - 1])
+        r, c = np.nonzero((d <= high[:, None]) & np.isfinite(d))
+        if not len(r):
+            return
+        at, dist, ids = np.concatenate([self.at, which[r]]), np.concatenate([self.d, d[r, c]]), np.concatenate([self.own, own[c]])
+        marks = np.concatenate([self.mark, np.full(len(r), mark, np.int32)])
+        order = np.lexsort((ids, dist, at))
+        rank = np.arange(len(order)) - np.searchsorted(at[order], at[order])
+        last = order[rank == self.k - 1]
+        self.high[at[last]] = dist[last]
+        order = order[rank < self.k]
+        self.at, self.d, self.own, self.mark = at[order], dist[order], ids[order], marks[order]
+
+    def rows(self, ids: np.ndarray):
+        import pandas as pd
 
-    def scan(handle):
-        def run(frames: Iterator) -> Iterator:
-            import pandas as pd
+        return pd.DataFrame({"query_id": ids[self.at], "vec_id": self.own, "distance": self.d})
 
-            ids, q = handle.value
-            best: list[pd.DataFrame] = []
-            for frame in frames:
-                if not len(ids) or not len(frame):
+
+def _scan_best(handle, key: str, vector: str, k: int, metric: str, exclude_self: bool, cell: str | None = None) -> Callable:
+    """For mapInPandas: the best k rows of each query in a task. With cell, handle has the cells of each query too, and a query meets the rows of its cells."""
+
+    def run(frames: Iterator) -> Iterator:
+        ids, q, *probed = handle.value
+        slices = [(slice(lo, lo + AT_ONCE), Best(len(ids[lo : lo + AT_ONCE]), k)) for lo in range(0, len(ids), AT_ONCE)]
+        for frame in frames:
+            for at, part in frame.groupby(cell) if cell else ((None, frame),):
+                if not len(part) or not len(ids):
                     continue
-                x, own = np.asarray(frame[vector].tolist(), np.float64), frame[key].to_numpy(np.int64)
-                for lo in range(0, len(ids), AT_ONCE):
-                    some = ids[lo : lo + AT_ONCE]
-                    d = _scores(q[lo : lo + AT_ONCE], x, metric)
+                x, own = np.asarray(part[vector].tolist(), np.float64), part[key].to_numpy(np.int64)
+                for span, best in slices:
+                    which = np.flatnonzero((probed[0][span] == at).any(1)) if cell else np.arange(len(best.high))
+                    if not len(which):
+                        continue
+                    d = _scores(q[span][which], x, metric)
                     if exclude_self:
-                        d[some[:, None] == own[None]] = np.inf
-                    order = np.lexsort((np.broadcast_to(own, d.shape), d))[:, :k]
-                    rows = pd.DataFrame({"query_id": np.repeat(some, order.shape[1]), "vec_id": own[order].ravel(), "distance": np.take_along_axis(d, order, 1).ravel()})
-                    best.append(rows[np.isfinite(rows["distance"])])
-                if len(best) > 8:
-                    best = [best_rows(pd.concat(best), k)]
-            if best:
-                yield best_rows(pd.concat(best), k)
+                        d[ids[span][which][:, None] == own[None]] = np.inf
+                    best.add(which, d, own)
+        for span, best in slices:
+            if len(best.at):
+                yield best.rows(ids[span])
 
-        return run
+    return run
 
+
+def nearest(spark: SparkSession, queries: DataFrame, data: DataFrame, k: int, metric: str = "l2", key: str = "vec_id", vector: str = "embedding", exclude_self: bool = True) -> DataFrame:
+    """query_id, vec_id, distance, rank: exact neighbours by l2 (squared), cosine, dot (negated) or bits (of bit_halves), ties by vec_id."""
+
+    scan = lambda handle: _scan_best(handle, key, vector, k, metric, exclude_self)
     return _search_blocks(spark, queries, key, vector, lambda ids, q: (ids, q), scan, data.select(key, vector), k)
 
 
@@ -140,12 +171,15 @@ def assign_cells(data: DataFrame, centres: np.ndarray, vector: str = "embedding"
 
 
 def ivf_search(spark: SparkSession, queries: DataFrame, data: DataFrame, centres: np.ndarray, k: int, probes: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Neighbours among the probed cells: queries meet data of their cells by an equi join on the cell."""
-    q = assign_cells(queries.select(F.col(key).alias("query_id"), F.col(vector).alias("q")), centres, "q", probes, "cells").select("query_id", "q", F.explode("cells").alias("cell"))
-    x = assign_cells(data.select(F.col(key).alias("vec_id"), F.col(vector).alias("x")), centres, "x")
-    pairs = x.join(q, "cell").filter("query_id <> vec_id").select("query_id", "vec_id", squared_distance("q", "x").alias("distance"))
-    w = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    """Neighbours among the probed cells: a row is scored for the queries that probe its cell. Queries come in blocks, so pairs exist inside tasks only, and a large cell is many tasks."""
+    c = np.asarray(centres, np.float64)
+
+    def prepare(ids, q):
+        near = np.argsort(_scores(q, c, "l2"), 1, kind="stable")[:, :probes] if len(ids) else np.zeros((0, probes), np.int64)
+        return ids, q, near
+
+    scan = lambda handle: _scan_best(handle, key, vector, k, "l2", True, "cell")
+    return _search_blocks(spark, queries, key, vector, prepare, scan, assign_cells(data.select(key, vector), c, vector), k)
 
 
 def closest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -227,7 +261,7 @@ class ProductQuantizer:
 
             return run
 
-        return _search_blocks(spark, queries, key, vector, prepare, scan, coded.select(key, "code"), k)
+        return _search_blocks(spark, queries, key, vector, prepare, scan, coded.select(key, "code"), k, each=8 * sum(map(len, self.books)))
 
 
 def residuals(data: DataFrame, centres: np.ndarray, vector: str = "embedding") -> DataFrame:
@@ -298,6 +332,12 @@ def sign_bits(vector: str, width: int = 64) -> Column:
     return F.aggregate(bits, F.lit(0).cast("long"), lambda s, b: s.bitwiseOR(b))
 
 
+def bit_halves(bits: str) -> Column:
+    """The upper and lower 32 bits of a long, as a vector."""
+    low = lambda c: c.bitwiseAND(F.lit(0xFFFFFFFF)).cast("double")
+    return F.array(low(F.shiftrightunsigned(F.col(bits), 32)), low(F.col(bits)))
+
+
 def hamming(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 

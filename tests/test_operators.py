@@ -226,3 +226,30 @@ def test_permission_checks(spark, tmp_path):
     access = pm.AccessTable(spark, f"file://{tmp_path}/x").build(users, roles, tree, granted).read()
     found = {r.user: tuple(r)[1:] for r in access.select("user", pm.has_permission("posts:read"), pm.has_any(["users:read", "posts:write"]), pm.has_all(["posts:read", "posts:write"]), pm.has_any([]), pm.has_all([])).collect()}
     assert found == {"root": (True,) * 5, "ann": (True, True, True, False, True), "bob": (True, False, False, False, True), "eve": (False, False, False, False, True)}
+
+
+def test_best_rows_of_many_results_stay_few(spark):
+    rng = np.random.default_rng(4)
+    best, ids, d = vectors.Best(3, 5), rng.permutation(200), rng.integers(0, 20, (3, 200)).astype(float)
+    d[0, :7], d[1, 3] = np.inf, np.nan
+    for lo in range(0, 200, 30):
+        best.add(np.arange(3), d[:, lo : lo + 30], ids[lo : lo + 30])
+        assert len(best.at) <= 15
+    want = [(q, i, x) for q in range(3) for x, i in sorted((x, i) for x, i in zip(d[q], ids, strict=True) if np.isfinite(x))[:5]]
+    assert list(map(tuple, best.rows(np.arange(3)).itertuples(index=False))) == want
+    # many rows a query: fewer queries are broadcast at once, and pairs of a cell are not joined
+    data = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(300)], "vec_id long, embedding array<double>")
+    found = vectors.ivf_search(spark, data, data, rng.normal(size=(3, 4)), 4, 3)
+    assert "Join" not in found._jdf.queryExecution().toString()
+    assert rows(found.select("query_id", "vec_id", "rank")) == rows(vectors.nearest(spark, data, data, 4).select("query_id", "vec_id", "rank"))
+
+
+def test_sketch_and_filter_of_large_tables(spark, tmp_path):
+    from lakeloom.plans import all_queries, registry
+
+    all_queries.load()
+    spark.range(600_000).select(F.col("id").alias("p_partkey"), (F.col("id") % 50 + 1).cast("int").alias("p_size")).write.parquet(f"{tmp_path}/part.parquet")
+    assert {r.as_promised for r in registry.QUERIES["ag21_bloom_membership"](spark, str(tmp_path)).collect()} == {True}
+    spark.range(100).select(F.col("id").alias("l_orderkey")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    plan = registry.QUERIES["ag16_approx_distinct"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "keys=[l_orderkey" in x and "approx_count_distinct" in x]
