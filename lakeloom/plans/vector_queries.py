@@ -108,12 +108,9 @@ def _(t):
 @query("vs10_sign_bits_hamming", f"""WITH {_CAST}, s AS (SELECT vec_id, list_transform(x, lambda v: v > 0) AS b FROM e), d AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(len(list_filter(range(1, 65), lambda i: q.b[i] <> c.b[i])) AS INTEGER) AS distance FROM s q JOIN s c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d) SELECT query_id, vec_id, distance FROM r WHERE rank <= 20""")
 def _(t):
-    from lakeloom.operators.aggregates import top_per_group
-
-    s = t.embeddings.select("vec_id", vs.sign_bits("embedding").alias("b"))
-    q = s.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("b").alias("qb"))
-    d = s.join(F.broadcast(q), F.col("query_id") != F.col("vec_id")).select("query_id", "vec_id", vs.hamming("b", "qb").alias("distance"))
-    return top_per_group(d, ["query_id"], [F.col("distance"), F.col("vec_id")], 20).select("query_id", "vec_id", "distance")
+    s = t.embeddings.select("vec_id", vs.sign_bits("embedding").alias("b")).filter("b is not null").select("vec_id", vs.bit_halves("b").alias("halves"))
+    found = vs.nearest(t.spark, s.filter("vec_id % 50 = 0"), s, 20, "bits", vector="halves")
+    return found.select("query_id", "vec_id", F.col("distance").cast("int").alias("distance"))
 
 
 @query("vs11_oversample_and_rerank")
