@@ -81,7 +81,7 @@ def _(t):
     el.publish(t.events, f"{root}/log", F.col("event_id"), F.col("ts"))
     early = sinks.EarlyWindows(t.spark, f"{root}/windows", "1 hour", "6 days", ("event_type",))
     stream = el.follow_log(t.spark, f"{root}/log", "ts timestamp, event_type string, value decimal(12,2)", f"{root}/group", 25_000)
-    sinks.run_until_idle(early.windows(stream, "ts", "value"), f"{root}/checkpoint", early.upsert, "0 seconds", "update")
+    early.follow(stream, "ts", "value", f"{root}/checkpoint")
     return early.read().select(text_time("start").alias("start"), "event_type", "n", F.col("total").cast("double").alias("total"), "provisional")
 
 

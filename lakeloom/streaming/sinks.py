@@ -63,9 +63,19 @@ def _type(df: DataFrame, name: str) -> str:
     return df.schema[name].dataType.simpleString()
 
 
-def run_until_idle(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], every: str = "1 second", mode: str = "append") -> None:
-    """Runs a stream in batches that begin at most once in the given time, until its source has nothing more."""
-    running = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(processingTime=every).foreachBatch(each).start()
+def run_until_idle(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], every: str = "1 second", mode: str = "append", state_parts: int | None = None) -> None:
+    """Runs a stream in batches that begin at most once in the given time, until its source has nothing more.
+
+    state_parts: of the stream's state, where that is small. Every batch reads and commits each part, whatever it brings, so the session's number of
+    shuffle partitions would be paid once a batch. A stream keeps the number that it began with."""
+    conf, name = stream.sparkSession.conf, "spark.sql.shuffle.partitions"
+    before = conf.get(name)
+    try:
+        if state_parts:
+            conf.set(name, state_parts)
+        running = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(processingTime=every).foreachBatch(each).start()  # runs in a copy of the session
+    finally:
+        conf.set(name, before)
     try:
         running.processAllAvailable()
     finally:
@@ -88,6 +98,9 @@ class EarlyWindows:
     """Windows that are shown while they are open. Each batch of a stream in update mode upserts the windows that it changed, whole, so a batch
     that runs again changes nothing. Batches with a number are held beside the table and merged together. A window is provisional until the watermark, the newest event less the delay, has passed its end."""
 
+    #: Of the stream's state, which has the open windows only, however many events there are.
+    STATE_PARTS = 4
+
     def __init__(self, spark: SparkSession, root: str, width: str, late: str, keys: tuple[str, ...] = ()):
         self.table, self.width, self.late, self.keys = VersionedTable(spark, root, ["start", *keys], 8), width, late, list(keys)
         self.held = Held(spark, f"{root}/held")
@@ -112,6 +125,10 @@ class EarlyWindows:
         if self.held.due(number, taken):
             self.settle()
 
+    def follow(self, events: DataFrame, at: str, value: str, checkpoint: str, each: Callable[[DataFrame, int], None] | None = None) -> None:
+        """Upserts the windows of a stream of events until its source has nothing more. each: instead of upsert."""
+        run_until_idle(self.windows(events, at, value), checkpoint, each or self.upsert, "0 seconds", "update", self.STATE_PARTS)
+
     def settle(self) -> None:
         """Merges what is held into the table. A window only grows, so of its states the one with most events is the last."""
         taken = self.table.last_note("batch", -1)

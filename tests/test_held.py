@@ -97,3 +97,17 @@ def test_a_drained_stream_leaves_its_rows_in_files(spark, tmp_path):
     spark.range(50).repartition(2).write.parquet(f"{tmp_path}/in")
     got = jobs.drain(jobs.read_events(spark, f"{tmp_path}/in", "id long"), f"file://{tmp_path}/c")
     assert got.count() == 50 and all(f.startswith("file:") for f in got.inputFiles()) and got.inputFiles()  # the memory sink has no files
+
+
+def test_state_of_early_windows_has_few_parts_whatever_the_session_has(spark, tmp_path):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 23)
+    try:
+        spark.range(40).select(F.timestamp_seconds(F.col("id") * 600).alias("ts"), F.lit("k").alias("kind"), F.col("id").cast("double").alias("value")).write.parquet(f"{tmp_path}/in")
+        early = sinks.EarlyWindows(spark, f"file://{tmp_path}/w", "1 hour", "2 hours", ("kind",))
+        early.follow(jobs.read_events(spark, f"{tmp_path}/in", "ts timestamp, kind string, value double"), "ts", "value", f"file://{tmp_path}/c")
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "23"
+        assert early.read().agg(F.sum("n")).first()[0] == 40
+        assert len([p for p in (tmp_path / "c" / "state" / "0").iterdir() if p.name.isdigit()]) == early.STATE_PARTS
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
