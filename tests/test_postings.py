@@ -6,6 +6,7 @@ import re
 
 from lakeloom.functions.postings import PostingIndex, stem, stem_word
 from lakeloom.sources.formats import work_dir
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 
@@ -79,3 +80,20 @@ def test_stems_and_stop_words(spark):
 def test_empty_table(spark):
     ix = index(spark, [])
     assert result(ix.search(all_of="a", phrases=["a b"])) == {}
+
+
+def test_rows_of_one_key_add_up(spark):
+    docs = [(1, "a b", "c a"), (1, None, "a c c"), (2, "a", None), (None, "a c", "a"), (None, "c", "c"), (3, "b", "b b")]
+    ix = index(spark, docs)
+    assert ix.frequencies(["a", "b", "c"]) == {"a": 2, "b": 2, "c": 1}  # null is no document
+    n, mean = 6, sum(len(words(a)) + len(words(b)) for _, a, b in docs) / 6
+    weigh = lambda weight, d, tf, length: weight * math.log(1 + (n - d + 0.5) / (d + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))
+    got = result(ix.search(all_of="a"))
+    assert got[2] == (round(weigh(1.0, 2, 1, 1), 6), 0) and got[1] == (round(weigh(1.0, 2, 1, 4) + weigh(0.2, 2, 2, 4), 6), 0) and set(got) == {1, 2, None}
+
+
+def test_words_are_not_shuffled_to_become_postings(spark, monkeypatch):
+    plans, write = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **k: (plans.append(self._df._jdf.queryExecution().executedPlan().toString()) if path.endswith("/postings") else None, write(self, path, *a, **k))[1])
+    index(spark, [(i, f"w{i}", "the of the and") for i in range(9)])
+    assert len(plans) == 1 and plans[0].count("Exchange") == 1 and "Generate" not in plans[0] and "Aggregate" not in plans[0]
