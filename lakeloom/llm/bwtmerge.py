@@ -194,27 +194,37 @@ def _interleave(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     order = np.argsort(keys, kind="stable")  # a natural merge sort: ascending pieces are merged, not sorted
     ordered = keys[order]
     fresh = np.ones(len(keys), bool)
-    fresh[1:] = ordered[1:] != ordered[:-1]
-    names = np.empty(len(keys), np.int64)
-    names[order] = np.cumsum(fresh) - 1
-    return order, names, fresh
+    np.not_equal(ordered[1:], ordered[:-1], out=fresh[1:])
+    del ordered
+    number = np.cumsum(fresh, dtype=np.int32)
+    number -= 1
+    names = np.empty(len(keys), np.int32)
+    names[order] = number
+    return order.astype(np.int32), names, fresh
 
 
 def merge(transforms: list[np.ndarray], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Interleaves transforms by refinement up to the depth of a window.
 
     The merged order of all suffixes (numbered shard by shard, in each shard's order), each suffix's block at that depth, and for
-    each place of the order the greatest depth up to which the blocks were seen to be one with the place before."""
-    base, later, first = 0, [], []
+    each place of the order the greatest depth up to which the blocks were seen to be one with the place before.
+
+    Numbers of suffixes take four bytes, since several workers share an executor; only a step's keys take eight."""
+    base, n = 0, sum(map(len, transforms))
+    jump, keys, ends = np.empty(n, np.int32), np.empty(n, np.int64), 0
     for t in transforms:
         step = np.argsort(t, kind="stable")  # the suffix that begins one byte later
-        later.append(step + base)
-        first.append(t[step].astype(np.int64))
-        base += len(t)
-    jump, first = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (later, first))
-    n, stops = len(first), first == 0
-    order, names, fresh = _interleave(np.where(stops, np.cumsum(stops) - 1, first + n))  # each end is a symbol of its own
-    common = np.where(fresh, 0, window)
+        jump[base : base + len(t)] = step
+        jump[base : base + len(t)] += base
+        first = t[step]
+        stops = int(np.searchsorted(first, 0, "right"))
+        keys[base : base + stops] = np.arange(ends, ends + stops)  # each end is a symbol of its own
+        keys[base + stops : base + len(t)] = first[stops:]
+        keys[base + stops : base + len(t)] += n
+        base, ends = base + len(t), ends + stops
+        del step, first
+    order, names, fresh = _interleave(keys)
+    common = np.where(fresh, 0, window).astype(np.int16 if window < 1 << 15 else np.int64)
     depth, top = 1, 1 << (window.bit_length() - 1)
     rest = {1 << b for b in range(window.bit_length() - 1) if (window - top) >> b & 1}
     known = {}  # what the last steps, from the greatest power of two to the window, need again
@@ -222,7 +232,10 @@ def merge(transforms: list[np.ndarray], window: int) -> tuple[np.ndarray, np.nda
         if depth in rest and depth < top:
             known[depth] = names, jump
         part, on = (names, jump) if depth < top else known[width]
-        order, names, fresh = _interleave(names * n + part[jump])
+        np.multiply(names, n, out=keys, dtype=np.int64)
+        keys += part[jump]
+        del order, names, part
+        order, names, fresh = _interleave(keys)
         jump = on[jump]
         common[fresh & (common == window)] = depth
         depth += width
@@ -256,7 +269,7 @@ def _merge_bucket(window: int):
     import pyarrow as pa
 
     def merged(table):
-        read = lambda c, kind: [np.frombuffer(x, kind) for x in table.column(c).to_pylist()]
+        read = lambda c, kind: [np.frombuffer(x.as_buffer(), kind) for x in table.column(c)]
         shards = list(zip(read("symbols", np.int16), read("places", np.int32), strict=True))
         blocks, runs, first, last = [], [], [], []
         for marks, starts, block, run in zip(repeated_windows(shards, window), read("starts", np.int32), table.column("block").to_pylist(), table.column("run").to_pylist(), strict=True):

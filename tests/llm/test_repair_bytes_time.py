@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
@@ -255,3 +256,17 @@ def test_time_layout_with_clashing_names_repeats_and_no_rows(spark, tmp_path):
     paths = {r.path for r in layout.files("id", F.lit(True)).collect()}
     layout.lay_out(table.filter("id > 5"))
     assert {r.path for r in layout.files("id", F.lit(True)).collect()} == paths  # nothing is written again
+
+
+def test_a_merge_of_transforms_takes_few_bytes_a_suffix():
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    source = rng.integers(97, 101, 50_000, dtype=np.uint8).tobytes()
+    made = [bwtmerge.transform([source[i : i + 350] for i in rng.integers(0, 49_000, 200)])[0] for _ in range(4)]
+    tracemalloc.start()
+    try:
+        bwtmerge.merge(made, 200)
+        assert tracemalloc.get_traced_memory()[1] < 64 * sum(map(len, made))  # 133 a suffix when its numbers took eight bytes each
+    finally:
+        tracemalloc.stop()
