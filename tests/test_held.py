@@ -103,7 +103,7 @@ def test_state_of_early_windows_has_few_parts_whatever_the_session_has(spark, tm
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", 23)
     try:
-        spark.range(40).select(F.timestamp_seconds(F.col("id") * 600).alias("ts"), F.lit("k").alias("kind"), F.col("id").cast("double").alias("value")).write.parquet(f"{tmp_path}/in")
+        spark.range(40).coalesce(1).select(F.timestamp_seconds(F.col("id") * 600).alias("ts"), F.lit("k").alias("kind"), F.col("id").cast("double").alias("value")).write.parquet(f"{tmp_path}/in")
         early = sinks.EarlyWindows(spark, f"file://{tmp_path}/w", "1 hour", "2 hours", ("kind",))
         early.follow(jobs.read_events(spark, f"{tmp_path}/in", "ts timestamp, kind string, value double"), "ts", "value", f"file://{tmp_path}/c")
         assert spark.conf.get("spark.sql.shuffle.partitions") == "23"
