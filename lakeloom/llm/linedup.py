@@ -1,17 +1,17 @@
 """Line de-duplication by an exact set-similarity join.
 
-Joins, lists and filters are DataFrame functions. Words are hashed, put in order and verified in Arrow batches, since
-higher-order functions are interpreted and took most of the time (README).
+All of it is DataFrame functions. Lines are cut from the texts once and stored; what follows reads their columns.
 
 A line is the set of its words after lower-casing; it goes if an earlier line, by (doc_id, line
 number), has a Jaccard similarity of ``percent`` or more with it. Matches are judged on the
 input, not on what is left.
 
 1. *Classes.* Equal lines (lower-cased, all white space a space) are one class from the start; its
-   place is that of its first line. Everything below is done once a class, however often it occurs.
-2. *Rarity.* The words of all classes are counted in 2**20 hash buckets. Words are ordered by the
+   place is that of its first line. Only the first lines of repeated classes are looked for by a join; words are
+   ordered and posted once a class, however often it occurs.
+2. *Rarity.* The words of all lines are counted in 2**20 hash buckets. Words are ordered by the
    logarithm of their bucket's count, in 16 levels, then by hash; any order gives the same result.
-   A word that is alone in its bucket is in one class only and is not posted.
+   A word that is alone in its bucket is level 0, is in one class only and is not posted.
 3. *Prefix filter.* Of n words in that order a class posts the first n - ceil(t n) + 1: two sets that
    match have a posted word in common. A posting has the word, the class, its place in the
    prefix, the size, and a 64-bit parity map of the whole set.
@@ -22,8 +22,8 @@ input, not on what is left.
 5. *Lists.* Words are counted as they are posted, but for those whose bucket proves them rare. A list of at most
    ``SHORT`` postings is joined with itself. Longer lists are dealt to groups of about ``GROUP`` classes, in which all are tried against the first
    one: that finds most members of large families of near copies. Classes that are not
-   known to be late by then are tried against all of the list; lists that may have more than ``LONG`` are
-   split by size classes. The length of a list is its exact number of postings, not a bound from buckets.
+   known to be late by then are tried against the earlier ones of the list, so that a family whose members match its first
+   one makes no more pairs than it has members; lists that may have more than ``LONG`` are split by size classes. The length of a list is its exact number of postings, not a bound from buckets.
 6. *Verification* of the pairs that are left, on the words of both lines. A map of 64 bits is full
    long before a set has hundreds of words, so pairs of long lines first meet by maps of 256 bits.
 
@@ -40,15 +40,15 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import Scratch, find_words, fresh_names, hash_words, text_blocks
+from lakeloom.llm.common import Scratch, fresh_names
 
-BUCKETS, BUCKET_SHIFT, LEVELS, BIT_SLOTS = 1 << 20, np.uint64(44), 16, 1 << 14
+BUCKETS, BUCKET_SHIFT, LEVELS, BIT_SLOTS = 1 << 20, 44, 16, 1 << 14
+LEVEL_SHIFT = 59
 SHORT, LONG, GROUP = 256, 4096, 64
-WIDE = 4
+WIDE, WIDE_FROM = 4, 96
 ODD_SPACES = "\t\x0b\f\r"
 
 
@@ -88,48 +88,29 @@ class Membership:
         return _shift("shiftright", _slot(self.table, F.shiftright(key, 6), BIT_SLOTS), key.bitwiseAND(F.lit(63))).bitwiseAND(F.lit(1)) == 1
 
 
-def _word_sets(lines, key=lambda h: h):
-    """Yields (first row, number of rows, rows, keys): each block's words, each once a row, in order of row and key."""
-    for at, rows, buffer, starts in text_blocks(lines):
-        first, last = find_words(buffer)
-        keys = key(hash_words(buffer, first, last))
-        row = np.searchsorted(starts, first, "right") - 1
-        order = np.argsort(keys)
-        small = row[order].astype(np.uint16) if rows <= 1 << 16 else row[order]
-        order = order[np.argsort(small, kind="stable")]
-        row, keys = row[order], keys[order]
-        once = np.ones(len(row), bool)
-        once[1:] = (row[1:] != row[:-1]) | (keys[1:] != keys[:-1])
-        yield at, rows, row[once], keys[once]
+def _words(line: str) -> Column:
+    return F.array_remove(F.split(line, " "), "")
 
 
-def _parity(row: np.ndarray, bit: np.ndarray, rows: int) -> np.ndarray:
-    """For each row the 64-bit map of the numbers (0 to 63) that it has an odd number of times."""
-    out = np.zeros(rows, np.uint64)
-    if len(row):
-        first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-        out[row[first]] = np.bitwise_xor.reduceat(np.uint64(1) << bit, first)
-    return out
+def _bit(h: Column) -> Column:
+    return _shift("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)))
+
+
+def _hashes(line: str) -> Column:
+    """The hashes of a line's words, each once. Words are between single spaces but for some, whose gaps hash as empty words."""
+    return F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
 class Rarity:
-    """The logarithms of the counts of words in 2**20 buckets, broadcast as bytes. Levels are equal steps of the
-    logarithm up to the largest one."""
+    """The levels of words, by the logarithm of the count of their bucket, as a table of four bits for each of 2**20 buckets.
+    Level 0 has the words that are alone in their bucket; the others are equal steps of the logarithm up to the largest one."""
 
     PARTS = 4  # of a factor of two; a count's logarithm fits a byte
+    EACH = 16  # levels in a long
 
     def __init__(self, lines: DataFrame, scratch: Scratch):
-        def count(batches):
-            n = np.zeros(BUCKETS, np.int64)
-            for batch in batches:
-                for _, _, buffer, _ in text_blocks(batch.column(0)):
-                    n += np.bincount((hash_words(buffer, *find_words(buffer)) >> BUCKET_SHIFT).astype(np.int64), minlength=BUCKETS)
-            some = np.flatnonzero(n)
-            for lo in range(0, len(some), 1 << 16):
-                b = some[lo : lo + (1 << 16)]
-                yield pa.record_batch({"b": b, "n": n[b]})
-
-        counts = lines.select("s").mapInArrow(count, "b long, n long").groupBy("b").agg(F.sum("n").alias("n"))
+        words = lines.select(F.explode(F.split("s", " ")).alias("w")).filter("w <> ''")
+        counts = words.groupBy(F.shiftrightunsigned(F.xxhash64("w"), BUCKET_SHIFT).alias("b")).agg(F.count("*").alias("n"))
         # no logarithm is 0 but that of a single word: 2 has PARTS
         log = _shift("shiftleft", F.floor(F.log2("n") * self.PARTS + 1e-9).cast("long"), F.col("b").bitwiseAND(F.lit(7)) * 8)
         packed = counts.groupBy(F.shiftright("b", 3).alias("slot")).agg(F.bit_or(log).alias("logs"))
@@ -137,72 +118,19 @@ class Rarity:
         logs = np.zeros(BUCKETS // 8, np.int64)
         logs[packed.column("slot").to_numpy()] = packed.column("logs").to_numpy()
         logs = logs.view(np.uint8)
-        self.step = int(logs.max(initial=0)) // LEVELS + 1
-        self.logs = lines.sparkSession.sparkContext.broadcast(logs)
+        self.step = int(logs.max(initial=0)) // (LEVELS - 1) + 1
+        levels = np.where(logs == 0, 0, 1 + logs // self.step).astype(np.uint64).reshape(-1, self.EACH)
+        self.table = _slots(np.bitwise_or.reduce(levels << (np.arange(self.EACH, dtype=np.uint64) * np.uint64(4)), axis=1).view(np.int64))
+
+    def key(self, h: Column) -> Column:
+        """A long that sorts rare words first: the level, then 59 bits of hash."""
+        slot = F.get(self.table, F.shiftrightunsigned(h, BUCKET_SHIFT + 4).cast("int"))
+        level = _shift("shiftrightunsigned", slot, F.shiftrightunsigned(h, BUCKET_SHIFT - 2).bitwiseAND(F.lit(60))).bitwiseAND(F.lit(LEVELS - 1))
+        return F.coalesce(F.shiftleft(level, LEVEL_SHIFT), F.lit(0).cast("long")).bitwiseOR(F.shiftrightunsigned(h, 64 - LEVEL_SHIFT))
 
     def most(self, level: int) -> int:
         """The largest count that a level can stand for."""
-        return int(2 ** ((level + 1) * self.step / self.PARTS))
-
-
-def _prefix_batches(logs, step: int, percent: int):
-    """Size, parity map and prefix of each line. Keys sort rare words first: the level, then 59 bits of hash, the bucket
-    being the first 20 of these. Words that are alone in their bucket occur in one class only and are not posted."""
-
-    def key(h: np.ndarray) -> np.ndarray:
-        level = logs.value[(h >> BUCKET_SHIFT).astype(np.int64)] // step
-        return (level.astype(np.uint64) << np.uint64(59)) | (h >> np.uint64(5))
-
-    def run(batches):
-        for batch in batches:
-            for at, rows, row, keys in _word_sets(batch.column("s"), key):
-                n = np.bincount(row, minlength=rows)
-                posted = n - (n * percent + 99) // 100 + 1
-                pos = np.arange(len(row)) - (np.cumsum(n) - n)[row]
-                bucket = (keys >> np.uint64(39)).astype(np.int64) & (BUCKETS - 1)
-                use = (pos < posted[row]) & (logs.value[bucket] > 0)
-                offsets = np.concatenate([[0], np.cumsum(np.bincount(row[use], minlength=rows))]).astype(np.int32)
-                words = pa.StructArray.from_arrays([pa.array(pos[use].astype(np.int32)), pa.array(keys[use].astype(np.int64))], ["pos", "token"])
-                part = batch.slice(at, rows)
-                yield pa.record_batch({
-                    "class": part.column("class"), "at": part.column("at"), "n": n.astype(np.int32),
-                    "map": _parity(row, keys & np.uint64(63), rows).view(np.int64), "prefix": pa.ListArray.from_arrays(pa.array(offsets), words),
-                })
-
-    return run
-
-
-def _wide_batches(batches):
-    """Size of each line, and its parity map in 64 * WIDE bits; null for at most 64 words, whose map in the postings says enough."""
-    for batch in batches:
-        for at, rows, row, keys in _word_sets(batch.column("s")):
-            n, part = np.bincount(row, minlength=rows), batch.slice(at, rows)
-            maps = {}
-            for i in range(WIDE):
-                mine = (keys >> np.uint64(6)) & np.uint64(WIDE - 1) == i
-                maps[f"m{i}"] = pa.array(_parity(row[mine], keys[mine] & np.uint64(63), rows).view(np.int64), mask=n <= 64)
-            yield pa.record_batch({"class": part.column("class"), "at": part.column("at"), "s": part.column("s"), "n": n.astype(np.int32), **maps})
-
-
-def _alike_batches(percent: int):
-    """The pairs whose sets of words are similar enough, by the words themselves."""
-
-    def words(line: str) -> set:
-        found = set(line.split(" "))
-        found.discard("")
-        return found
-
-    def run(batches):
-        for batch in batches:
-            alike, last, a = np.zeros(len(batch), bool), None, set()
-            for i, (x, y) in enumerate(zip(batch.column("s_a"), batch.column("s_b"), strict=True)):
-                x, b = x.as_py(), words(y.as_py())
-                if x != last:
-                    last, a = x, words(x)
-                alike[i] = (100 + percent) * len(a & b) >= percent * (len(a) + len(b))
-            yield batch.select(["a", "b", "at_a", "at_b"]).filter(pa.array(alike))
-
-    return run
+        return int(2 ** (level * self.step / self.PARTS))
 
 
 class LineJoin:
@@ -211,22 +139,34 @@ class LineJoin:
     def __init__(self, spark: SparkSession, docs: DataFrame, percent: int = 80):
         self.spark, self.docs, self.percent, self.scratch = spark, docs, percent, Scratch(spark)
 
-    def lines(self) -> DataFrame:
-        """doc_id, th (hash of the text), line, s, class of each line with words."""
+    def _lines(self) -> DataFrame:
+        """doc_id, th (hash of the text), line, s, class of each line with words, and uid, a number of its own."""
         each = self.docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split(_normal("text"), "\n")).alias("line", "s"))
-        return each.filter(F.trim("s") != "").withColumn("class", F.xxhash64("s"))
+        lines = each.filter(F.trim("s") != "").withColumn("class", F.xxhash64("s")).withColumn("uid", F.monotonically_increasing_id())
+        return self.scratch.save(lines, "lines")
+
+    @staticmethod
+    def _at(*more: str) -> Column:
+        return F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id", "line", *more)
+
+    def _heads(self, lines: DataFrame) -> DataFrame:
+        """class, head (place and uid of the first line) of the classes that have more than one line."""
+        each = lines.groupBy("class").agg(F.min(self._at("uid")).alias("head"), F.count("*").alias("copies"))
+        return self.scratch.save(each.filter("copies > 1").drop("copies"), "heads")
 
-    def _classes(self) -> DataFrame:
-        """class, at (the place of its first line), copies, s."""
-        at = F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id", "line")
-        return self.scratch.save(self.lines().groupBy("class").agg(F.min(at).alias("at"), F.count("*").alias("copies"), F.any_value("s").alias("s")), "classes")
+    def _classes(self, lines: DataFrame, heads: DataFrame) -> DataFrame:
+        """class, at (the place of its first line), s."""
+        may_repeat = Membership(heads, "class").may_have(F.col("class"))
+        some = lines.filter(may_repeat).join(heads, "class", "left").filter("head is null or head.uid = uid")
+        return lines.filter(~may_repeat).select("class", self._at().alias("at"), "s").union(some.select("class", self._at().alias("at"), "s"))
 
     def _prefixes(self, classes: DataFrame, rarity: Rarity) -> DataFrame:
         """class, at, n, map, prefix: a class's size, parity map, and the keys of its rarest words."""
-        at = classes.schema["at"].dataType.simpleString()
-        run = _prefix_batches(rarity.logs, rarity.step, self.percent)
-        out = classes.select("class", "at", "s").mapInArrow(run, f"class long, at {at}, n int, map long, prefix array<struct<pos:int,token:bigint>>")
-        return self.scratch.save(out, "prefixes")
+        hashed = classes.select("class", "at", _hashes("s").alias("h"))
+        parity = F.aggregate("h", F.lit(0).cast("long"), lambda seen, h: seen.bitwiseXOR(_bit(h)))
+        sized = hashed.select("class", "at", F.size("h").alias("n"), parity.alias("map"), F.sort_array(F.transform("h", rarity.key)).alias("keys"))
+        posted = F.col("n") - F.floor((F.col("n").cast("long") * self.percent + 99) / 100).cast("int") + 1
+        return self.scratch.save(sized.select("class", "at", "n", "map", F.slice("keys", F.lit(1), posted).alias("prefix")), "prefixes")
 
     def _fits(self) -> Column:
         """The filters on a pair of postings x and y of one word."""
@@ -246,17 +186,17 @@ class LineJoin:
 
     @staticmethod
     def _pairs(joined: DataFrame) -> DataFrame:
-        return joined.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
+        return joined.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b"))
 
     def _short_lists(self, postings: DataFrame) -> DataFrame:
-        """Pairs within lists that have a proven bound."""
+        """Pairs within lists that have a proven bound. Both sides are the same exchange."""
         dealt = postings.repartition("token")
-        return self._pairs(dealt.filter(self._in_short_role()).alias("x").join(dealt.alias("y"), (F.col("x.token") == F.col("y.token")) & self._ordered() & self._fits()))
+        return self._pairs(dealt.alias("x").join(dealt.alias("y"), (F.col("x.token") == F.col("y.token")) & self._ordered() & self._fits()))
 
     def _hot(self, prefixes: DataFrame, rarity: Rarity) -> DataFrame:
         """token, list: the words posted more than SHORT times, with that number."""
         proven = sum(rarity.most(v) <= SHORT for v in range(LEVELS))
-        tokens = prefixes.select(F.explode("prefix.token").alias("token")).filter(F.shiftright("token", 59) >= proven)
+        tokens = prefixes.select(F.explode("prefix").alias("token")).filter(F.shiftright("token", LEVEL_SHIFT) >= proven)
         return self.scratch.save(tokens.groupBy("token").agg(F.count("*").alias("list")).filter(F.col("list") > SHORT), "hot")
 
     def _against_first(self, lists: DataFrame) -> DataFrame:
@@ -266,17 +206,18 @@ class LineJoin:
         return self._pairs(dealt.alias("x").join(first.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.group") == F.col("y.group")) & (F.col("x.class") != F.col("y.class")) & self._fits()))
 
     def _long_lists(self, lists: DataFrame, late: DataFrame) -> DataFrame:
-        """Pairs within the longer lists, except those of two classes that are known to be late. Lists up to LONG meet in one
+        """Pairs within the longer lists, except those whose later class is known to be late. Lists up to LONG meet in one
         exchange, the longest are split by size."""
         size = F.log(F.col("n").cast("double")) / math.log(100 / self.percent)
         may_be_late = Membership(late, "class").may_have(F.col("class"))
         some = lists.filter(may_be_late).join(late.withColumn("late", F.lit(True)), "class", "left").withColumn("late", F.coalesce("late", F.lit(False)))
-        postings = lists.filter(~may_be_late).withColumn("late", F.lit(False)).unionByName(some).drop("at")
+        postings = lists.filter(~may_be_late).withColumn("late", F.lit(False)).unionByName(some)
         split = F.col("list") > LONG
-        others = ~(F.col("x.late") & F.col("y.late")) & self._ordered() & self._fits()
+        is_open = (~F.col("x.late") & (F.col("y.at") < F.col("x.at"))) | (~F.col("y.late") & (F.col("x.at") < F.col("y.at")))
+        others = self._ordered() & self._fits() & is_open
         dealt = postings.filter(~split).repartition("token")
         mid = dealt.filter(self._in_short_role()).alias("x").join(dealt.alias("y"), (F.col("x.token") == F.col("y.token")) & others)
-        mid = self.scratch.save(self._pairs(mid), "pairs-mid")
+        mid = self.scratch.save(self._pairs(mid).distinct(), "pairs-mid")
         x = postings.filter(split).filter(self._in_short_role()).withColumn("band", F.explode(F.sequence(F.floor(size - 1e-9), F.floor(size + 1 + 1e-9))))
         y = postings.filter(split).withColumn("band", F.floor(size))
         same = (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band"))
@@ -284,53 +225,59 @@ class LineJoin:
 
     @staticmethod
     def _postings(prefixes: DataFrame, *more: str) -> DataFrame:
-        return prefixes.select("class", "n", "map", *more, F.inline("prefix"))
+        return prefixes.select("class", "n", "map", *more, F.posexplode("prefix").alias("pos", "token")).filter(F.col("token") >= 1 << LEVEL_SHIFT)
 
-    def _late(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    def _late(self, pairs: DataFrame, lines: DataFrame) -> DataFrame:
         """The later class of each pair whose words are similar enough."""
         ids = self.scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "ids")
-        wanted = classes.filter(Membership(ids, "class").may_have(F.col("class"))).select("class", "at", "s").join(ids, "class")
-        at = classes.schema["at"].dataType.simpleString()
-        shape = f"class long, at {at}, s string, n int, " + ", ".join(f"m{i} long" for i in range(WIDE))
-        wanted = self.scratch.save(wanted.mapInArrow(_wide_batches, shape), "wanted")
+        wanted = lines.filter(Membership(ids, "class").may_have(F.col("class"))).groupBy("class").agg(F.min(self._at()).alias("at"), F.any_value("s").alias("s")).join(ids, "class")
+        wanted = self.scratch.save(wanted.withColumn("n", F.size(F.array_distinct(_words("s")))), "wanted")
+        # up to WIDE_FROM words the map in the postings says enough
+        words = wanted.filter(F.col("n") > WIDE_FROM).select("class", F.explode(F.array_distinct(_words("s"))).alias("w")).select("class", F.xxhash64("w").alias("h"))
         maps = [f"m{i}" for i in range(WIDE)]
-        x = wanted.select(F.col("class").alias("a"), F.col("n").alias("n_a"), *[F.col(m).alias(f"{m}_a") for m in maps])
-        y = wanted.select(F.col("class").alias("b"), F.col("at").alias("at_b"), F.col("s").alias("s_b"), F.col("n").alias("n_b"), *[F.col(m).alias(f"{m}_b") for m in maps])
+        part, bit = F.shiftright("h", 6).bitwiseAND(F.lit(WIDE - 1)), _bit(F.col("h"))
+        wide = words.groupBy("class").agg(*[F.bit_xor(F.when(part == i, bit).otherwise(F.lit(0).cast("long"))).alias(m) for i, m in enumerate(maps)])
+        wide = self.scratch.save(wanted.select("class", "n").join(wide, "class", "left"), "wide")
+        x, y = (wide.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"), *[F.col(m).alias(f"{m}_{c}") for m in maps]) for c in "ab")
         differ = sum((F.coalesce(F.bit_count(F.col(f"{m}_a").bitwiseXOR(F.col(f"{m}_b"))), F.lit(0)) for m in maps), F.lit(0))
-        may_be_alike = (100 + self.percent) * differ <= (100 - self.percent) * (F.col("n_a") + F.col("n_b"))
-        near = pairs.join(x, "a").join(y, "b").filter(may_be_alike).select("a", "b", "at_b", "s_b")
-        full = near.join(wanted.select(F.col("class").alias("a"), F.col("at").alias("at_a"), F.col("s").alias("s_a")), "a")
-        alike = full.select("a", "b", "at_a", "at_b", "s_a", "s_b").mapInArrow(_alike_batches(self.percent), f"a long, b long, at_a {at}, at_b {at}")
+        both = F.col("n_a").cast("long") + F.col("n_b")
+        may_be_alike = (100 + self.percent) * differ <= (100 - self.percent) * both
+        near = pairs.join(x, "a").join(y, "b").filter(may_be_alike).select("a", "b", both.alias("both"))
+        full = near.join(wanted.select(F.col("class").alias("b"), F.col("at").alias("at_b"), F.col("s").alias("s_b")), "b")
+        full = full.join(wanted.select(F.col("class").alias("a"), F.col("at").alias("at_a"), F.col("s").alias("s_a")), "a")
+        alike = full.filter((100 + self.percent) * F.size(F.array_intersect(_words("s_a"), _words("s_b"))) >= self.percent * F.col("both"))
         return alike.select(F.when(F.col("at_a") < F.col("at_b"), F.col("b")).when(F.col("at_b") < F.col("at_a"), F.col("a")).alias("class")).filter("class is not null").distinct()
 
-    def late_classes(self) -> tuple[DataFrame, DataFrame]:
-        """The classes, and those that have an earlier similar one."""
-        classes, save = self._classes(), self.scratch.save
-        rarity = Rarity(classes, self.scratch)
-        prefixes = self._prefixes(classes, rarity)
+    def late_classes(self, lines: DataFrame, heads: DataFrame) -> DataFrame:
+        """The classes that have an earlier similar one."""
+        save = self.scratch.save
+        rarity = Rarity(lines, self.scratch)
+        prefixes = self._prefixes(self._classes(lines, heads), rarity)
         hot = self._hot(prefixes, rarity)
         is_long = Membership(hot, "token").may_have(F.col("token"))
         long = self._postings(prefixes, "at").filter(is_long).join(hot, "token", "left").withColumn("list", F.coalesce("list", F.lit(SHORT)))
         lists = save(long, "lists")
-        short = save(self._short_lists(self._postings(prefixes).filter(~is_long)), "pairs-short")
+        short = self._short_lists(self._postings(prefixes).filter(~is_long))
+        early = save(short.union(self._against_first(lists)).distinct(), "pairs-1")
         self.scratch.drop("prefixes", "hot")
-        early = short.union(save(self._against_first(lists), "pairs-first"))
-        first = save(self._late(save(early.distinct(), "pairs-1"), classes), "late-1")
-        rest = save(self._long_lists(lists, first), "pairs-long").join(early, ["a", "b"], "left_anti")
-        second = save(self._late(save(rest, "pairs-2"), classes), "late-2")
-        self.scratch.drop("lists", "pairs-short", "pairs-first", "pairs-1", "pairs-2", "pairs-mid", "pairs-long")
-        return classes, first.union(second).distinct()
+        first = save(self._late(early, lines), "late-1")
+        rest = save(self._long_lists(lists, first).join(early, ["a", "b"], "left_anti"), "pairs-2")
+        second = save(self._late(rest, lines), "late-2")
+        self.scratch.drop("lists", "pairs-1", "pairs-2", "pairs-mid", "wanted", "wide", "ids")
+        return first.union(second).distinct()
 
     def removed_lines(self) -> DataFrame:
         """doc_id, th, gone: the sorted numbers of the lines that go."""
-        classes, late = self.late_classes()
-        marked = classes.select("class", "at", "copies").join(late.withColumn("late", F.lit(True)), "class", "left").filter("late or copies > 1")
-        marked = self.scratch.save(marked.select("class", F.col("at").alias("head"), F.coalesce("late", F.lit(False)).alias("late")), "marked")
-        self.scratch.drop("classes", "late-1", "late-2")
-        at = F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id", "line")
-        found = self.lines().filter(Membership(marked, "class").may_have(F.col("class"))).select("doc_id", "th", "line", "class").join(marked, "class")
-        gone = found.filter(F.col("late") | (at != F.col("head"))).groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("line")).alias("gone"))
-        return self.scratch.save(gone, "gone")
+        lines = self._lines()
+        heads = self._heads(lines)
+        late = self.late_classes(lines, heads).withColumn("late", F.lit(True))
+        marked = self.scratch.save(heads.join(late, "class", "full").select("class", "head", F.coalesce("late", F.lit(False)).alias("late")), "marked")
+        found = lines.filter(Membership(marked, "class").may_have(F.col("class"))).select("doc_id", "th", "line", "class").join(marked, "class")
+        is_copy = F.col("head").isNotNull() & (self._at() != F.struct("head.k", "head.doc_id", "head.line"))
+        gone = found.filter(F.col("late") | is_copy).groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("line")).alias("gone"))
+        gone = self.scratch.save(gone, "gone")
+        self.scratch.drop("lines", "heads", "late-1", "late-2", "marked")
+        return gone
 
 
 def _kept(lines: Column, gone: Column) -> Column:

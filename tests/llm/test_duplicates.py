@@ -260,3 +260,22 @@ def test_line_dedup_of_a_very_long_line(spark):
     got = {r["doc_id"]: r for r in linedup.dedup_lines(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {i: r["n_removed"] for i, r in got.items()} == {1: 0, 2: 1, 3: 0, 4: 1}
     assert got[2]["text"] == "short" and got[4]["text"] == ""
+
+
+def test_line_dedup_runs_no_python_on_the_executors(spark, monkeypatch):
+    def refuse(*_, **__):
+        raise AssertionError("Python on the executors")
+
+    df = spark.createDataFrame([(1, "a b c d e f\nx"), (2, "a  b c d e f g\n\ny")], "doc_id long, text string")
+    for name in ("mapInArrow", "mapInPandas"):
+        monkeypatch.setattr(type(df), name, refuse)
+    assert sorted((r["doc_id"], r["text"]) for r in linedup.dedup_lines(spark, df).collect()) == [(1, "a b c d e f\nx"), (2, "\ny")]
+
+
+def test_long_lists_make_no_pairs_whose_later_class_is_late(spark):
+    rows = [(c, (True, c, 0), 10, 0, 0, 1 << 60, 300) for c in range(40)]
+    lists = spark.createDataFrame(rows, "class long, at struct<k:boolean,doc_id:long,line:int>, n int, map long, pos int, token long, list long")
+    join = linedup.LineJoin(spark, spark.createDataFrame([], "doc_id long, text string"))
+    late = lambda n: spark.createDataFrame([(c,) for c in range(1, n)], "class long")
+    assert join._long_lists(lists, late(40)).count() == 0
+    assert sorted((r["a"], r["b"]) for r in join._long_lists(lists, late(39)).collect()) == [(a, 39) for a in range(39)]
