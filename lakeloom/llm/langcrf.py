@@ -33,6 +33,7 @@ from lakeloom.llm.common import find_words, fresh_names, hash_words, lower_ascii
 TRIGRAMS, AFFIXES, LEXICON = 1 << 15, 1 << 14, 1 << 16
 SIZE = TRIGRAMS + 2 * AFFIXES + LEXICON
 BLOCK = 128
+SCORED_BYTES = 1 << 18  # of text at a time: scoring takes some 80 bytes for each
 SQUARE = np.uint32(65599 * 65599 % (1 << 32))
 NO_LANGUAGE = "und"
 
@@ -228,21 +229,22 @@ def training_sample(labelled: DataFrame, docs_per_language: int = 150, sample_ch
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, model: Model, carry: tuple = (), result: tuple = ("lang_pred", "score")) -> DataFrame:
-    """The carried columns of docs (doc_id by default), and the language and its score under the two names."""
+    """The carried columns of docs (doc_id by default), and the language and its score under the two names.
+
+    Only the text goes to Python and only the two results come back, whatever is carried.
+    """
+    import pyarrow as pa
+
     carry = carry or ("doc_id",)
-    text_name, letter_name = fresh_names([*carry, *result], "__text", "__letter")
+    found_name, letter_name = fresh_names([*carry, *result], "__found", "__letter")
     handle = spark.sparkContext.broadcast(model)
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-
-    def scan(batches):
-        import pyarrow as pa
 
+    def scan(columns):
         model = handle.value
         labels = len(model.languages)
-        for batch in batches:
+        for column in columns:
             names, scores = [], []
-            letter = batch.column(letter_name).to_pylist()
-            for i, k, buffer, starts in text_blocks(batch.column(text_name)):
+            for _, k, buffer, starts in text_blocks(column, SCORED_BYTES):
                 if not labels:
                     names += [NO_LANGUAGE] * k
                     scores += [0.0] * k
@@ -255,15 +257,16 @@ def identify_languages(spark: SparkSession, docs: DataFrame, model: Model, carry
                 total = np.concatenate([np.zeros((1, labels)), np.cumsum(np.where(letters[:, None], m, 0), axis=0)])
                 count = np.concatenate([[0], np.cumsum(letters)])
                 mean = (total[at[1:]] - total[at[:-1]]) / np.maximum(1, count[at[1:]] - count[at[:-1]])[:, None]
-                best = mean.argmax(1)
-                for r in range(k):
-                    fine = bool(letter[i + r])
-                    names.append(model.languages[best[r]] if fine else NO_LANGUAGE)
-                    scores.append(min(1.0, max(0.0, float(mean[r, best[r]]))) if fine else 0.0)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*carry, *result])
-
-    source = docs.select(*carry, F.col("text").alias(text_name), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias(letter_name))
-    return source.mapInArrow(scan, f"{fields}, `{result[0]}` string, `{result[1]}` double")
+                names += [model.languages[i] for i in mean.argmax(1).tolist()]
+                scores += np.clip(mean.max(1), 0.0, 1.0).tolist()
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
+
+    # as nondeterministic it is not run again for a filter on its result
+    identify = F.arrow_udf(scan, "struct<lang string, score double>", F.ArrowUDFType.SCALAR_ITER).asNondeterministic()
+    found = docs.select(*carry, identify(F.col("text")).alias(found_name), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias(letter_name))
+    lang = F.when(F.col(letter_name), F.col(f"{found_name}.lang")).otherwise(F.lit(NO_LANGUAGE))
+    score = F.when(F.col(letter_name), F.col(f"{found_name}.score")).otherwise(F.lit(0.0))
+    return found.select(*carry, lang.alias(result[0]), score.alias(result[1]))
 
 
 def held_out(id_column: str = "doc_id"):

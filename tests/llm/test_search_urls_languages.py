@@ -243,3 +243,14 @@ def test_flat_data_costs_few_bounds_and_stays_exact():
         scores[q] = -(1 << 60)
         order = np.lexsort((ids, -scores))[:10]
         assert found.ids[q].tolist() == order.tolist() and found.score[q].tolist() == scores[order].tolist()
+
+
+def test_only_texts_go_through_python_for_languages(spark):
+    """Carried columns stay in the JVM, and a filter on the result does not score texts again."""
+    rows = [(i, t, lang) for i, (lang, t) in enumerate((lang, t) for lang in WORDS for t in sentences(lang, 5, 3))] + [(100, None, "en"), (101, "12", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langcrf.train_on(df)
+    out = langcrf.identify_languages(spark, df, model, carry=("doc_id", "text", "lang"), result=("__l", "__s")).filter("__s >= 0.3 and __l <> 'und'")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and plan.count("ArrowEvalPython") == 1 and "[scan(text#" in plan
+    assert sorted(r["doc_id"] for r in out.select("doc_id").collect()) == list(range(len(rows) - 2))
