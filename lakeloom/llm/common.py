@@ -36,22 +36,36 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_dir(spark)}/lakeloom-{uuid.uuid4().hex}"
+        self.tables: dict[str, str] = {}  # names in the catalog of tables in buckets
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Writes a table and reads it again. The shuffle files of the write go when it ends."""
-        path, conf = f"{self.root}/{name}", self.spark.conf
+        path = f"{self.root}/{name}"
+        self._write(lambda: df.write.option("compression", "zstd").mode("overwrite").parquet(path))
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def save_buckets(self, df: DataFrame, name: str, column: str) -> DataFrame:
+        """The same in as many buckets by a column as there are shuffle partitions: joins and groups by it don't move the table's rows again."""
+        table, n = f"lakeloom_{uuid.uuid4().hex}", int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self._write(lambda: df.write.option("compression", "zstd").option("path", f"{self.root}/{name}").format("parquet").bucketBy(n, column).saveAsTable(table))
+        self.tables[name] = table
+        return self.spark.table(table)
+
+    def _write(self, write) -> None:
+        conf = self.spark.conf
         before = {key: conf.get(key, None) for key in WRITING}
         for key, value in WRITING.items():
             conf.set(key, value)
         try:
-            df.write.option("compression", "zstd").mode("overwrite").parquet(path)
+            write()
         finally:
             for key, value in before.items():
                 conf.unset(key) if value is None else conf.set(key, value)
-        return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
         for name in names:
+            if name in self.tables:
+                self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop(name)}")
             delete_file(self.spark, f"{self.root}/{name}")
 
     def drop_all(self) -> None:

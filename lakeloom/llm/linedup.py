@@ -1,15 +1,15 @@
 """Line de-duplication by an exact set-similarity join.
 
-All of it is DataFrame functions. Lines are cut from the texts once and stored; what follows reads their columns.
+All of it is DataFrame functions. Lines are cut from the texts once; their places are stored apart from their words.
+Classes are stored in buckets: a line's words cross the network once to get there, and again only for lines in a pair.
 
 A line is the set of its words after lower-casing; it goes if an earlier line, by (doc_id, line
 number), has a Jaccard similarity of ``percent`` or more with it. Matches are judged on the
 input, not on what is left.
 
 1. *Classes.* Equal lines (lower-cased, all white space a space) are one class from the start; its
-   place is that of its first line. Only the first lines of repeated classes are looked for by a join; words are
-   ordered and posted once a class, however often it occurs.
-2. *Rarity.* The words of all lines are counted in 2**20 hash buckets. Words are ordered by the
+   place is that of its first line. Words are counted, ordered and posted once a class, however often it occurs.
+2. *Rarity.* The words of all classes are counted in 2**20 hash buckets. Words are ordered by the
    logarithm of their bucket's count, in 16 levels, then by hash; any order gives the same result.
    A word that is alone in its bucket is level 0, is in one class only and is not posted.
 3. *Prefix filter.* Of n words in that order a class posts the first n - ceil(t n) + 1: two sets that
@@ -69,23 +69,27 @@ def _slots(numbers: np.ndarray) -> Column:
     return F.split(F.lit(",".join(map(str, numbers.tolist()))), ",").cast("array<bigint>")
 
 
-def _slot(table: Column, index: Column, slots: int) -> Column:
-    return F.get(table, index.bitwiseAND(F.lit(slots - 1)).cast("int"))
+class Membership:
+    """A filter of fixed size over longs: drops most rows whose long is not in the table, none whose long is.
+    Its BIT_SLOTS rows of 64 bits are broadcast to a join, so that no plan holds the table."""
 
+    def __init__(self, table: DataFrame, column: str, name: str):
+        self.column, self.slot, self.bits = column, f"__slot_{name}", f"__bits_{name}"
+        self.table = table.groupBy(self._slot().alias(self.slot)).agg(F.bit_or(_bit(F.col(column))).alias(self.bits))
 
-class Membership:
-    """A filter of fixed size over longs: false for most that are not in the table, true for all that are."""
+    def _slot(self) -> Column:
+        return F.shiftright(self.column, 6).bitwiseAND(F.lit(BIT_SLOTS - 1))
 
-    def __init__(self, table: DataFrame, column: str):
-        key = F.col(column)
-        bits = table.groupBy(F.shiftright(key, 6).bitwiseAND(F.lit(BIT_SLOTS - 1)).alias("slot")).agg(F.bit_or(_shift("shiftleft", F.lit(1).cast("long"), key.bitwiseAND(F.lit(63)))).alias("bits"))
-        found = bits.toArrow()  # at most BIT_SLOTS rows
-        numbers = np.zeros(BIT_SLOTS, np.int64)
-        numbers[found.column("slot").to_numpy()] = found.column("bits").to_numpy()
-        self.table = _slots(numbers)
+    def _has(self) -> Column:
+        return (self._slot() == F.col(self.slot)) & (F.col(self.bits).bitwiseAND(_bit(F.col(self.column))) != 0)
 
-    def may_have(self, key: Column) -> Column:
-        return _shift("shiftright", _slot(self.table, F.shiftright(key, 6), BIT_SLOTS), key.bitwiseAND(F.lit(63))).bitwiseAND(F.lit(1)) == 1
+    def keep(self, rows: DataFrame) -> DataFrame:
+        """The rows whose long may be in the table."""
+        return rows.join(F.broadcast(self.table), self._has(), "left_semi")
+
+    def drop(self, rows: DataFrame) -> DataFrame:
+        """The others."""
+        return rows.join(F.broadcast(self.table), self._has(), "left_anti")
 
 
 def _words(line: str) -> Column:
@@ -108,8 +112,8 @@ class Rarity:
     PARTS = 4  # of a factor of two; a count's logarithm fits a byte
     EACH = 16  # levels in a long
 
-    def __init__(self, lines: DataFrame, scratch: Scratch):
-        words = lines.select(F.explode(F.split("s", " ")).alias("w")).filter("w <> ''")
+    def __init__(self, classes: DataFrame, scratch: Scratch):
+        words = classes.select(F.explode(F.split("s", " ")).alias("w")).filter("w <> ''")
         counts = words.groupBy(F.shiftrightunsigned(F.xxhash64("w"), BUCKET_SHIFT).alias("b")).agg(F.count("*").alias("n"))
         # no logarithm is 0 but that of a single word: 2 has PARTS
         log = _shift("shiftleft", F.floor(F.log2("n") * self.PARTS + 1e-9).cast("long"), F.col("b").bitwiseAND(F.lit(7)) * 8)
@@ -140,25 +144,19 @@ class LineJoin:
         self.spark, self.docs, self.percent, self.scratch = spark, docs, percent, Scratch(spark)
 
     def _lines(self) -> DataFrame:
-        """doc_id, th (hash of the text), line, s, class of each line with words, and uid, a number of its own."""
+        """doc_id, th (hash of the text), line, s, class of each line with words."""
         each = self.docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split(_normal("text"), "\n")).alias("line", "s"))
-        lines = each.filter(F.trim("s") != "").withColumn("class", F.xxhash64("s")).withColumn("uid", F.monotonically_increasing_id())
+        lines = each.filter(F.trim("s") != "").withColumn("class", F.xxhash64("s"))
         return self.scratch.save(lines, "lines")
 
     @staticmethod
-    def _at(*more: str) -> Column:
-        return F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id", "line", *more)
-
-    def _heads(self, lines: DataFrame) -> DataFrame:
-        """class, head (place and uid of the first line) of the classes that have more than one line."""
-        each = lines.groupBy("class").agg(F.min(self._at("uid")).alias("head"), F.count("*").alias("copies"))
-        return self.scratch.save(each.filter("copies > 1").drop("copies"), "heads")
+    def _at() -> Column:
+        return F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id", "line")
 
-    def _classes(self, lines: DataFrame, heads: DataFrame) -> DataFrame:
-        """class, at (the place of its first line), s."""
-        may_repeat = Membership(heads, "class").may_have(F.col("class"))
-        some = lines.filter(may_repeat).join(heads, "class", "left").filter("head is null or head.uid = uid")
-        return lines.filter(~may_repeat).select("class", self._at().alias("at"), "s").union(some.select("class", self._at().alias("at"), "s"))
+    def _classes(self, lines: DataFrame) -> DataFrame:
+        """class, at (the place of its first line), copies (its lines), s. Stored in buckets by class, so that lines looked up by class stay where they are."""
+        each = lines.groupBy("class").agg(F.min(self._at()).alias("at"), F.count("*").alias("copies"), F.any_value("s").alias("s"))
+        return self.scratch.save_buckets(each, "classes", "class")
 
     def _prefixes(self, classes: DataFrame, rarity: Rarity) -> DataFrame:
         """class, at, n, map, prefix: a class's size, parity map, and the keys of its rarest words."""
@@ -209,9 +207,9 @@ class LineJoin:
         """Pairs within the longer lists, except those whose later class is known to be late. Lists up to LONG meet in one
         exchange, the longest are split by size."""
         size = F.log(F.col("n").cast("double")) / math.log(100 / self.percent)
-        may_be_late = Membership(late, "class").may_have(F.col("class"))
-        some = lists.filter(may_be_late).join(late.withColumn("late", F.lit(True)), "class", "left").withColumn("late", F.coalesce("late", F.lit(False)))
-        postings = lists.filter(~may_be_late).withColumn("late", F.lit(False)).unionByName(some)
+        may_be_late = Membership(late, "class", "late")
+        some = may_be_late.keep(lists).join(late.withColumn("late", F.lit(True)), "class", "left").withColumn("late", F.coalesce("late", F.lit(False)))
+        postings = may_be_late.drop(lists).withColumn("late", F.lit(False)).unionByName(some)
         split = F.col("list") > LONG
         is_open = (~F.col("x.late") & (F.col("y.at") < F.col("x.at"))) | (~F.col("y.late") & (F.col("x.at") < F.col("y.at")))
         others = self._ordered() & self._fits() & is_open
@@ -227,10 +225,10 @@ class LineJoin:
     def _postings(prefixes: DataFrame, *more: str) -> DataFrame:
         return prefixes.select("class", "n", "map", *more, F.posexplode("prefix").alias("pos", "token")).filter(F.col("token") >= 1 << LEVEL_SHIFT)
 
-    def _late(self, pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    def _late(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
         """The later class of each pair whose words are similar enough."""
         ids = self.scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "ids")
-        wanted = lines.filter(Membership(ids, "class").may_have(F.col("class"))).groupBy("class").agg(F.min(self._at()).alias("at"), F.any_value("s").alias("s")).join(ids, "class")
+        wanted = classes.select("class", "at", "s").join(ids.hint("shuffle_hash"), "class")  # the buckets of classes are read as they are
         wanted = self.scratch.save(wanted.withColumn("n", F.size(F.array_distinct(_words("s")))), "wanted")
         # up to WIDE_FROM words the map in the postings says enough
         words = wanted.filter(F.col("n") > WIDE_FROM).select("class", F.explode(F.array_distinct(_words("s"))).alias("w")).select("class", F.xxhash64("w").alias("h"))
@@ -248,35 +246,39 @@ class LineJoin:
         alike = full.filter((100 + self.percent) * F.size(F.array_intersect(_words("s_a"), _words("s_b"))) >= self.percent * F.col("both"))
         return alike.select(F.when(F.col("at_a") < F.col("at_b"), F.col("b")).when(F.col("at_b") < F.col("at_a"), F.col("a")).alias("class")).filter("class is not null").distinct()
 
-    def late_classes(self, lines: DataFrame, heads: DataFrame) -> DataFrame:
+    def late_classes(self, classes: DataFrame) -> DataFrame:
         """The classes that have an earlier similar one."""
         save = self.scratch.save
-        rarity = Rarity(lines, self.scratch)
-        prefixes = self._prefixes(self._classes(lines, heads), rarity)
+        rarity = Rarity(classes, self.scratch)
+        prefixes = self._prefixes(classes, rarity)
         hot = self._hot(prefixes, rarity)
-        is_long = Membership(hot, "token").may_have(F.col("token"))
-        long = self._postings(prefixes, "at").filter(is_long).join(hot, "token", "left").withColumn("list", F.coalesce("list", F.lit(SHORT)))
+        is_hot = Membership(hot, "token", "hot")
+        long = is_hot.keep(self._postings(prefixes, "at")).join(hot, "token", "left").withColumn("list", F.coalesce("list", F.lit(SHORT)))
         lists = save(long, "lists")
-        short = self._short_lists(self._postings(prefixes).filter(~is_long))
+        short = self._short_lists(is_hot.drop(self._postings(prefixes)))
         early = save(short.union(self._against_first(lists)).distinct(), "pairs-1")
         self.scratch.drop("prefixes", "hot")
-        first = save(self._late(early, lines), "late-1")
+        first = save(self._late(early, classes), "late-1")
         rest = save(self._long_lists(lists, first).join(early, ["a", "b"], "left_anti"), "pairs-2")
-        second = save(self._late(rest, lines), "late-2")
+        second = save(self._late(rest, classes), "late-2")
         self.scratch.drop("lists", "pairs-1", "pairs-2", "pairs-mid", "wanted", "wide", "ids")
         return first.union(second).distinct()
 
     def removed_lines(self) -> DataFrame:
         """doc_id, th, gone: the sorted numbers of the lines that go."""
         lines = self._lines()
-        heads = self._heads(lines)
-        late = self.late_classes(lines, heads).withColumn("late", F.lit(True))
+        classes = self._classes(lines)
+        places = self.scratch.save(lines.select("doc_id", "th", "line", "class"), "places")
+        self.scratch.drop("lines")
+        late = self.late_classes(classes).withColumn("late", F.lit(True))
+        heads = classes.filter("copies > 1").select("class", F.col("at").alias("head"))
         marked = self.scratch.save(heads.join(late, "class", "full").select("class", "head", F.coalesce("late", F.lit(False)).alias("late")), "marked")
-        found = lines.filter(Membership(marked, "class").may_have(F.col("class"))).select("doc_id", "th", "line", "class").join(marked, "class")
-        is_copy = F.col("head").isNotNull() & (self._at() != F.struct("head.k", "head.doc_id", "head.line"))
+        self.scratch.drop("classes")
+        found = Membership(marked, "class", "marked").keep(places).join(marked, "class")
+        is_copy = F.col("head").isNotNull() & (self._at() != F.col("head"))
         gone = found.filter(F.col("late") | is_copy).groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("line")).alias("gone"))
         gone = self.scratch.save(gone, "gone")
-        self.scratch.drop("lines", "heads", "late-1", "late-2", "marked")
+        self.scratch.drop("places", "late-1", "late-2", "marked")
         return gone
 
 

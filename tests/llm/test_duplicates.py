@@ -279,3 +279,18 @@ def test_long_lists_make_no_pairs_whose_later_class_is_late(spark):
     late = lambda n: spark.createDataFrame([(c,) for c in range(1, n)], "class long")
     assert join._long_lists(lists, late(40)).count() == 0
     assert sorted((r["a"], r["b"]) for r in join._long_lists(lists, late(39)).collect()) == [(a, 39) for a in range(39)]
+
+
+def test_line_dedup_keeps_tables_out_of_plans_and_texts_in_their_buckets(spark):
+    """The driver holds each plan's text, and a line's words cross the network once before pairs are known."""
+    rows = [(i, "a b c d e %d\nsame line in all\nown %d" % (i % 7, i)) for i in range(60)]
+    join = linedup.LineJoin(spark, spark.createDataFrame(rows, "doc_id long, text string"))
+    lines = join._lines()
+    classes = join._classes(lines)
+    assert classes.count() == 7 + 1 + 60 and classes.agg(F.sum("copies")).first()[0] == 180
+    lists = spark.createDataFrame([], "class long, at struct<k:boolean,doc_id:long,line:int>, n int, map long, pos int, token long, list long")
+    assert len(join._long_lists(lists, classes.select("class"))._jdf.queryExecution().toString()) < 50_000
+    wanted = classes.select("class", "at", "s").join(classes.select("class").distinct().repartition(3).hint("shuffle_hash"), "class")
+    assert "Bucketed: true" in wanted._jdf.queryExecution().executedPlan().toString()
+    join.scratch.drop("classes", "lines")
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("lakeloom_")]
