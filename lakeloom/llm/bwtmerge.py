@@ -7,8 +7,8 @@ another; matches never cross documents. All bytes that a repeat covers go.
    anchors, so a window whose anchor has one place in the whole corpus is unique. What is left are the runs (up to
    ``window - gram + 1`` neighbouring windows) of anchors that occur more than once; equal runs are one, with a count. A run
    with a twin is a repeat as it stands; the others go to the transforms, with all distinct runs of their anchors.
-2. *Shards.* Anchors are dealt to buckets by hash, about ``BUCKET_BYTES`` each, and a bucket's runs to shards. Each shard's suffixes are sorted by itself
-   and kept as its transform: the byte before each suffix, in the suffixes' order. Runs end in a byte of their own.
+2. *Shards.* Anchors are put into buckets by running sums of their bytes, so that no bucket has more than ``BUCKET_BYTES`` and one anchor, and a bucket's runs
+   are dealt to shards. Each shard's suffixes are sorted by itself and kept as its transform: the byte before each suffix, in the suffixes' order. Runs end in a byte of their own.
 3. *Merging.* A bucket's shards are interleaved by refinement. At depth h every suffix has the number of its block, the suffixes that share its first h bytes. From
    a transform alone follows which suffix comes one byte later (a stable count of its symbols), hence h bytes later by composition. So a suffix has as key its block and the block h bytes later: in each
    shard, keys ascend already, and merging the shards' ascending keys gives the interleave and the blocks of depth 2 h. No suffix is sorted again. A
@@ -20,7 +20,7 @@ share, until what is left fits; at the narrowest range only equal windows remain
 
 Defined results: null text has no bytes; texts shorter than ``window`` lose nothing; equal texts are places of their own (both lose their
 bytes); null ids stay; columns beyond doc_id and text are ignored. A text may have any length; one task holds it whole, with about 40 bytes
-for each of its bytes in pieces of a megabyte, and some 20 for the rest. Texts are told equal by two 64-bit hashes, runs by one and their anchor's.
+for each of its bytes in pieces of 256 KB, and some 20 for the rest. Texts are told equal by two 64-bit hashes, runs by one and their anchor's.
 """
 
 from __future__ import annotations
@@ -28,14 +28,17 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakeloom.llm.common import Scratch, gram_hashes, text_blocks
 
 WINDOW, GRAM = 200, 48
-BUCKET_BYTES, BLOCK_BYTES, SHARDS = 2 << 20, 1 << 20, 4
-PIECE, PLACE_BITS = 1 << 20, 21
+BUCKET_BYTES, BLOCK_BYTES, SHARDS = 1 << 20, 1 << 20, 4
+BATCH_BYTES = 8 << 20
+# readers hold a row group at once, and a row of transforms has megabytes
+SMALL_GROUPS = {"parquet.block.size": str(BATCH_BYTES), "parquet.page.size.row.check.min": "1"}
+PIECE, PLACE_BITS = 1 << 18, 21
 
 
 # ---- runs of windows around repeated anchors
@@ -92,7 +95,7 @@ def _scan(window: int, gram: int):
 
     def scan(batches):
         for batch in batches:
-            for i, _, buffer, starts in text_blocks(batch.column("text")):
+            for i, _, buffer, starts in text_blocks(batch.column("text"), PIECE):
                 text, first, size, anchor, one = runs_of(buffer, starts, window, gram)
                 for a in range(0, len(text), 200_000):
                     cut = slice(a, a + 200_000)
@@ -115,7 +118,7 @@ def _extract(window: int):
             offsets = offsets - offsets[0]
             anchor, first, size = (rows.field(c) for c in ("anchor", "first", "size"))
             firsts, sizes = np.asarray(first), np.asarray(size)
-            for i, k, buffer, starts in text_blocks(batch.column("text")):
+            for i, k, buffer, starts in text_blocks(batch.column("text"), PIECE):
                 a, b = int(offsets[i]), int(offsets[i + k])
                 text = np.repeat(np.arange(i, i + k), np.diff(offsets[i : i + k + 1]))
                 at = starts[text - i] + firsts[a:b]
@@ -135,10 +138,13 @@ def _split(window: int, gram: int, width: int):
     """Pieces of runs: windows in which the anchor's first place is in one range of the given width."""
     import pyarrow as pa
 
+    kinds = {"block": pa.int64(), "run": pa.int64(), "at": pa.int32(), "anchor": pa.int64(), "key": pa.int64(), "data": pa.binary()}
+
     def scan(batches):
         for batch in batches:
-            out = {"block": [], "run": [], "at": [], "anchor": [], "key": [], "data": []}
-            for block, run, anchor, data in zip(*(batch.column(c).to_pylist() for c in ("block", "run", "anchor", "data")), strict=True):
+            out, held = {c: [] for c in kinds}, 0
+            for block, run, anchor, data in zip(*(batch.column(c) for c in ("block", "run", "anchor", "data")), strict=True):
+                block, run, anchor, data = block.as_py(), run.as_py(), anchor.as_py(), data.as_py()
                 n = len(data) - window + 1
                 _, place = anchors_of(np.frombuffer(data, np.uint8), window, gram)
                 group = (place - np.arange(n)) // width
@@ -150,7 +156,11 @@ def _split(window: int, gram: int, width: int):
                     key = hashlib.blake2b(b"%d,%d,%d," % (anchor, width, c) + shared, digest_size=8).digest()
                     for name, x in zip(out, (block, run, a, anchor, int.from_bytes(key, "little", signed=True), data[a : b + window - 1]), strict=True):
                         out[name].append(x)
-            yield pa.RecordBatch.from_pydict({"block": pa.array(out["block"], pa.int64()), "run": pa.array(out["run"], pa.int64()), "at": pa.array(out["at"], pa.int32()), "anchor": pa.array(out["anchor"], pa.int64()), "key": pa.array(out["key"], pa.int64()), "data": pa.array(out["data"], pa.binary())})
+                    held += b - a + window - 1
+                if held > PIECE:  # at narrow ranges a run has a piece for each window
+                    yield pa.RecordBatch.from_pydict({c: pa.array(out[c], kind) for c, kind in kinds.items()})
+                    out, held = {c: [] for c in kinds}, 0
+            yield pa.RecordBatch.from_pydict({c: pa.array(out[c], kind) for c, kind in kinds.items()})
 
     return scan
 
@@ -288,18 +298,28 @@ def _merge_bucket(window: int):
 # ---- the corpus
 
 
+def _buckets(sizes: DataFrame, total: int, limits: tuple[int, int]) -> DataFrame:
+    """block, bytes and the bucket of blocks (block, bytes) of so many bytes at most in all: a bucket has less than both limits together. The bucket is null for blocks that are too large.
+
+    Blocks are dealt to parts of some 4 buckets by hash, and a part's blocks to buckets by the bytes that come before them, large blocks first. Buckets
+    by hash alone have no bound: the more of them, the more large blocks meet in one."""
+    fits = F.col("bytes") <= limits[1]
+    parts = sizes.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(total // (4 * limits[0]) + 1)))
+    before = F.sum(F.when(fits, F.col("bytes"))).over(Window.partitionBy("part").orderBy(fits.desc(), F.col("bytes").desc(), "block").rowsBetween(Window.unboundedPreceding, 0)) - F.col("bytes")
+    return parts.select("block", "bytes", F.when(fits, F.shiftleft("part", 32) + F.floor(before / limits[0])).alias("bucket"))
+
+
 def _repeats(spark: SparkSession, runs: DataFrame, scratch: Scratch, window: int, gram: int, width: int, limits: tuple[int, int]) -> DataFrame:
     """block, run, i, j: the repeated windows, first to last, of distinct runs (block, run, anchor, copies, data)."""
     twins = runs.filter("copies > 1").select("block", "run", F.lit(0).alias("i"), (F.length("data") - window).alias("j"))
     sizes = runs.groupBy("block").agg(F.sum(F.length("data")).alias("bytes"), F.min("copies").alias("least")).filter("least = 1")
-    several = scratch.save(runs.join(sizes.select("block", "bytes"), "block"), f"several-{width}")
-    small = several.filter(F.col("bytes") <= limits[1])
-    total = small.agg(F.sum(F.length("data"))).first()[0] or 0
-    dealt = small.select(F.pmod(F.xxhash64("block"), F.lit(-(-total // limits[0]) or 1)).cast("int").alias("bucket"), F.pmod(F.xxhash64("run"), F.lit(SHARDS)).cast("int").alias("shard"), "block", "run", "data")
-    shards = dealt.groupBy("bucket", "shard").applyInArrow(_build, "bucket int, block array<long>, run array<long>, starts binary, symbols binary, places binary")
-    shards = scratch.save(shards, f"transforms-{width}")
+    total = runs.agg(F.sum(F.length("data"))).first()[0] or 0
+    several = scratch.save(runs.join(_buckets(sizes.select("block", "bytes"), total, limits), "block"), f"several-{width}")
+    dealt = several.filter("bucket is not null").select("bucket", F.pmod(F.xxhash64("run"), F.lit(SHARDS)).cast("int").alias("shard"), "block", "run", "data")
+    shards = dealt.groupBy("bucket", "shard").applyInArrow(_build, "bucket long, block array<long>, run array<long>, starts binary, symbols binary, places binary")
+    shards = scratch.save(shards, f"transforms-{width}", SMALL_GROUPS)
     found = twins.unionByName(shards.groupBy("bucket").applyInArrow(_merge_bucket(window), "block long, run long, i int, j int"))
-    large = several.filter(F.col("bytes") > limits[1])
+    large = several.filter("bucket is null")
     if width > 1 and not large.isEmpty():
         width = -(-width // 2)
         pieces = large.select("block", "run", "anchor", "data").mapInArrow(_split(window, gram, width), "block long, run long, at int, anchor long, key long, data binary")
@@ -358,7 +378,7 @@ def _cut(window: int, keep_bytes: bool):
                 at.clear()
                 return pa.RecordBatch.from_pydict(columns)
 
-            for i, k, buffer, starts in text_blocks(batch.column("text")):
+            for i, k, buffer, starts in text_blocks(batch.column("text"), PIECE):
                 edge = np.zeros(len(buffer) + 1, np.int32)
                 a, b = int(offsets[i]), int(offsets[i + k])
                 begin = np.repeat(starts[:-1], sizes[i : i + k])
@@ -387,7 +407,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW, g
     """doc_id, n_bytes, n_removed, n_spans (removed stretches), kept_sha256 and, with keep_bytes, the bytes kept (a cut may fall inside a character)."""
     if not 1 < gram < window:
         raise ValueError("gram must be shorter than window")
-    scratch = Scratch(spark)
+    scratch = Scratch(spark, {"spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)})  # whole texts go to Python
     spans = duplicate_spans(spark, docs, scratch, window, gram, limits)
     both = _keyed(docs).join(spans, ["h1", "h2"], "left").select("doc_id", "text", "spans")
     id_type = docs.schema["doc_id"].dataType.simpleString()

@@ -32,16 +32,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables of one run in the shared folder. They cut lineage and survive the loss of executors."""
+    """Tables of one run in the shared folder. They cut lineage and survive the loss of executors. writing: what the session is set to, besides, while a table is written."""
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/lakeloom-{uuid.uuid4().hex}"
+    def __init__(self, spark: SparkSession, writing: dict[str, str] | None = None):
+        self.spark, self.root, self.writing = spark, f"{shared_dir(spark)}/lakeloom-{uuid.uuid4().hex}", WRITING | (writing or {})
         self.tables: dict[str, str] = {}  # names in the catalog of tables in buckets
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes a table and reads it again. The shuffle files of the write go when it ends."""
+    def save(self, df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
+        """Writes a table, with the options of its format, and reads it again. The shuffle files of the write go when it ends."""
         path = f"{self.root}/{name}"
-        self._write(lambda: df.write.option("compression", "zstd").mode("overwrite").parquet(path))
+        self._write(lambda: df.write.options(**{"compression": "zstd"} | (options or {})).mode("overwrite").parquet(path))
         return self.spark.read.schema(df.schema).parquet(path)
 
     def save_buckets(self, df: DataFrame, name: str, column: str) -> DataFrame:
@@ -53,8 +53,8 @@ class Scratch:
 
     def _write(self, write) -> None:
         conf = self.spark.conf
-        before = {key: conf.get(key, None) for key in WRITING}
-        for key, value in WRITING.items():
+        before = {key: conf.get(key, None) for key in self.writing}
+        for key, value in self.writing.items():
             conf.set(key, value)
         try:
             write()

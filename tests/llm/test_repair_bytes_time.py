@@ -176,6 +176,36 @@ def test_byte_repeats_of_no_documents(spark):
     assert bwtmerge.remove_repeats(spark, spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_no_bucket_of_transforms_grows_with_their_number(spark, monkeypatch):
+    from lakeloom.llm.common import Scratch
+
+    rnd, saved, save = random.Random(3), {}, Scratch.save
+    rows = [(b, 1000 * b + r, b, 1, bytearray(rnd.randbytes(rnd.choice([30, 90, 300])))) for b in range(400) for r in range(3)]
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name, *options: saved.setdefault(name, save(self, df, name, *options)))
+    runs = spark.createDataFrame(rows, "block long, run long, anchor long, copies long, data binary")
+    bwtmerge._repeats(spark, runs, Scratch(spark), 20, 6, 1, (2000, 900)).collect()
+    buckets, blocks = Counter(), Counter()
+    for r in saved["transforms-1"].collect():
+        buckets[r.bucket] += len(r.symbols) // 2 - len(r.run)
+        blocks.update((b, r.bucket) for b in set(r.block))
+    assert sum(buckets.values()) == sum(len(r[4]) for r in rows)  # nothing is left out
+    assert max(buckets.values()) < 2900 and len({b for b, _ in blocks}) == len(blocks)  # a block is in one bucket
+
+
+def test_pieces_of_split_runs_come_in_small_batches(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(bwtmerge, "PIECE", 4000)
+    data = [random.Random(i).randbytes(60) for i in range(50)]
+    numbers = pa.array(range(50), pa.int64())
+    batch = pa.RecordBatch.from_pydict({"block": numbers, "run": numbers, "anchor": numbers, "data": pa.array(data, pa.binary())})
+    made = list(bwtmerge._split(40, 6, 1)([batch]))
+    sizes = [sum(len(x) for x in b.column("data").to_pylist()) for b in made]
+    assert len(sizes) > 10 and max(sizes) < 4000 + 21 * 60
+    whole = [(r["run"], r["at"] + i) for b in made for r in b.to_pylist() for i in range(len(r["data"]) - 39)]
+    assert sorted(whole) == [(r, i) for r in range(50) for i in range(21)]
+
+
 # ---- 13
 
 
