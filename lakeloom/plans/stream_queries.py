@@ -66,12 +66,9 @@ def _(t):
     el.publish(t.events, f"{root}/log", F.col("user_id"), F.col("ts"))
     streams = [el.follow_log(t.spark, f"{root}/log", "event_id long", f"{root}/group{m}", 1000, member=m, members=4) for m in range(4)]
 
-    def write(batch, member, number):  # a batch is small: one task, one file
-        batch.coalesce(1).withColumns({"member": F.lit(member), "batch": F.lit(number)}).write.mode("overwrite").parquet(f"{root}/out/{member}-{number}")
-
-    sinks.run_members(streams, f"{root}/checkpoint", write)
-    read = t.spark.read.schema("event_id long, member int, batch int").parquet(f"{root}/out/*")
-    most = read.groupBy("member", "batch").agg(F.count("*").alias("n")).agg((F.max("n") <= 1000).alias("bounded"))
+    sinks.run_members(streams, f"{root}/checkpoint", lambda batch, member, number: sinks.write_file(batch, f"{root}/out/{member}-{number}.parquet"))
+    read = t.spark.read.schema("event_id long").parquet(f"{root}/out").select("event_id", F.col("_metadata.file_name").alias("batch"))
+    most = read.groupBy("batch").agg(F.count("*").alias("n")).agg((F.max("n") <= 1000).alias("bounded"))
     return read.agg(F.count("*").alias("events"), F.countDistinct("event_id").alias("different")).join(F.broadcast(most))
 
 

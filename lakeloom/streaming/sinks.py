@@ -11,6 +11,8 @@ from lakeloom.operators.aggregates import top_per_group
 from lakeloom.sources.versioned import Conflict, VersionedTable
 from lakeloom.streaming.held import Held
 
+CHECKPOINTS = "spark.sql.streaming.checkpointFileManagerClass"
+
 
 class CappedLists:
     """The newest entries of each key, at most so many, in a versioned table with a row a key. A push reads and rewrites the buckets of its keys only;
@@ -82,10 +84,47 @@ def run_until_idle(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame
         running.stop()
 
 
+def write_file(batch: DataFrame, path: str) -> None:
+    """Writes a small batch as one Parquet file at a URI. Its task writes it aside and renames it, so it is there whole or not at all, and one that is written again replaces itself.
+
+    Spark's own writer makes, commits and deletes several folders for each write, which takes longer than a thousand rows do. A batch without rows has no file."""
+
+    def put(batches):
+        import uuid
+
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        rows = [b for b in batches if b.num_rows]
+        if rows:
+            files, target = fs.FileSystem.from_uri(path)
+            folder, _, name = target.rpartition("/")
+            files.create_dir(folder, recursive=True)
+            aside = f"{folder}/.{name}.{uuid.uuid4().hex}"
+            with files.open_output_stream(aside) as out:
+                pq.write_table(pa.Table.from_batches(rows), out)
+            if files.get_file_info(target).is_file:
+                files.delete_file(target)
+            files.move(aside, target)
+        yield pa.RecordBatch.from_pydict({"n": pa.array([sum(b.num_rows for b in rows)], pa.int64())})
+
+    batch.coalesce(1).mapInArrow(put, "n long").write.format("noop").mode("overwrite").save()
+
+
 def run_members(streams: Sequence[DataFrame], checkpoint: str, each: Callable[[DataFrame, int, int], None]) -> None:
-    """Runs the streams that share a log side by side, each with its own checkpoint, until there is nothing more. each: batch, member, number."""
+    """Runs the streams that share a log side by side, each with its own checkpoint, until there is nothing more. each: batch, member, number.
+
+    On a local folder Spark's usual writer of checkpoints starts several processes (readlink) for each file, two files a batch; the one taken there checks and renames as well, without them."""
     bound = lambda member: lambda batch, number: each(batch, member, number)
-    running = [s.writeStream.option("checkpointLocation", f"{checkpoint}/{m}").trigger(processingTime="0 seconds").foreachBatch(bound(m)).start() for m, s in enumerate(streams)]
+    conf, running = streams[0].sparkSession.conf, []
+    before = conf.get(CHECKPOINTS, None)
+    try:
+        if before is None and checkpoint.startswith("file:"):
+            conf.set(CHECKPOINTS, "org.apache.spark.sql.execution.streaming.checkpointing.FileSystemBasedCheckpointFileManager")
+        running += [s.writeStream.option("checkpointLocation", f"{checkpoint}/{m}").trigger(processingTime="0 seconds").foreachBatch(bound(m)).start() for m, s in enumerate(streams)]  # in copies of the session
+    finally:
+        conf.unset(CHECKPOINTS) if before is None else conf.set(CHECKPOINTS, before)
     try:
         for r in running:
             r.processAllAvailable()

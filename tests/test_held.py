@@ -111,3 +111,47 @@ def test_state_of_early_windows_has_few_parts_whatever_the_session_has(spark, tm
         assert len([p for p in (tmp_path / "c" / "state" / "0").iterdir() if p.name.isdigit()]) == early.STATE_PARTS
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_a_small_batch_is_read_by_one_task_and_only_where_it_lies(spark, tmp_path, monkeypatch):
+    import pyarrow.parquet as pq
+
+    path = f"file://{tmp_path}/log"
+    el.publish(spark.range(9000).select("id", F.timestamp_seconds(F.col("id")).alias("at")), path, F.col("id"), F.col("at"), 4)
+    whole = {p: [v for b in el.Segments(path).read(p, 0, 9000) for v in b.column("value").to_pylist()] for p in range(4)}
+    assert sum(map(len, whole.values())) == 9000
+    groups, read = [], pq.ParquetFile.read_row_groups
+    monkeypatch.setattr(pq.ParquetFile, "read_row_groups", lambda self, wanted, *a, **b: groups.append(len(wanted)) or read(self, wanted, *a, **b))
+    for a, b in ((0, 1), (0, 1000), (999, 1001), (1000, 2000), (1700, 2100), (2000, 10**6)):
+        for p, values in whole.items():
+            assert [v for x in el.Segments(path).read(p, a, b) for v in x.column("value").to_pylist()] == values[a:b]
+    assert max(groups) == 2  # of three in each segment
+    for most in (4000, 8000):
+        reader = el.StreamReader({"path": path, "maxEvents": str(most), "group": f"file://{tmp_path}/g{most}"})
+        here, there = reader.initialOffset(), reader.latestOffset()
+        ranges = reader.partitions(here, there)
+        assert len(ranges) == (1 if most == 4000 else 4)
+        got = [v for r in ranges for b in reader.read(r) for v in b.column("value").to_pylist()]
+        assert got == [v for p in range(4) for v in whole[p][: there[str(p)]]] and len(got) == most
+
+
+def test_a_small_batch_is_one_file_and_replaces_itself(spark, tmp_path):
+    folder = tmp_path / "out"
+    for rows in (30, 20):
+        sinks.write_file(spark.range(rows).repartition(3), f"file://{folder}/0-1.parquet")
+    sinks.write_file(spark.range(0), f"file://{folder}/0-2.parquet")
+    assert [p.name for p in folder.iterdir()] == ["0-1.parquet"]
+    assert sorted(r.id for r in spark.read.parquet(str(folder)).collect()) == list(range(20))
+
+
+def test_members_go_on_from_their_checkpoints(spark, tmp_path):
+    path, before = f"file://{tmp_path}/log", spark.conf.get(sinks.CHECKPOINTS, None)
+    for part in range(2):
+        rows = spark.range(300 * part, 300 * part + 300).select("id", F.timestamp_seconds(F.col("id")).alias("at"))
+        el.publish(rows, path, F.col("id"), F.col("at"), 4)
+        streams = [el.follow_log(spark, path, "id long", f"file://{tmp_path}/g{m}", 50, member=m, members=2) for m in range(2)]
+        sinks.run_members(streams, f"file://{tmp_path}/c", lambda batch, member, number: sinks.write_file(batch, f"file://{tmp_path}/out/{member}-{number}.parquet"))
+        assert spark.conf.get(sinks.CHECKPOINTS, None) == before
+    read = spark.read.parquet(f"{tmp_path}/out").select("id", F.col("_metadata.file_name").alias("batch"))
+    assert sorted(r.id for r in read.collect()) == list(range(600))
+    assert max(r["count"] for r in read.groupBy("batch").count().collect()) <= 50
